@@ -134,3 +134,25 @@ def field_types(ddl: str) -> T.StructType:
 
 
 import pyarrow.compute  # noqa: E402,F401  (pa.compute is a lazy submodule)
+
+
+def text_column(spark: SparkSession, function: Callable[[list[str | None]], list[pa.Array]], ddl: str, limit: int = 4 << 20):
+    """A function of one text column that returns a struct: `function` maps a bounded list of texts to the struct's fields.
+
+    It is marked nondeterministic, so that the optimizer doesn't evaluate it once for a filter and again for a projection.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    ship(spark)
+    names = [f.name for f in field_types(ddl).fields]
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            out = [
+                pa.StructArray.from_arrays(function(piece.column(0).to_pylist()), names)
+                for piece in chunks([pa.RecordBatch.from_arrays([array], ["text"])], limit)
+            ]
+            yield pa.concat_arrays(out) if out else pa.StructArray.from_arrays(function([]), names)
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, field_types(ddl)).asNondeterministic()

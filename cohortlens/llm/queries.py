@@ -5,18 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
-from .common import table
+from . import language_id, near_dedup
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    remainder = crc_mod("doc_id", 3)
+    profiles = language_id.fit(docs.where(remainder != 1), "doc_id", "text", "lang")
+    found = language_id.identify(docs, profiles)
+    return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, percent=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op4_near_dedup": op4_near_dedup,
 }
 
