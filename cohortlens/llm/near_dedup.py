@@ -8,9 +8,9 @@ The coordinates are cut into bands; documents that share a band key are candidat
 sets. 60 bands of 7 rows miss a pair of resemblance 0.8 with a probability below 1e-6.
 
 Scale: equal sets are first collapsed to one representative by a 128-bit digest (partial aggregation, so a hot group of
-copies costs one row per task). Within a band bucket no pairs are enumerated: members are compared with one hub per
-bucket and round, and components are formed after each round; only members that are still in different components of
-the same bucket are then compared with one another, without any cap.
+copies costs one row per task). Within a band bucket no pairs are enumerated: members are compared with one hub of the
+bucket, then, where a bucket still holds different components, with a second hub. What is then undecided is joined exactly
+on prefixes of rare shingles, without any cap.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from .common import drop, map_arrow, save, texts_of
 from .hashing import U, mix, shingles, wrap
 
 BANDS, ROWS = 60, 7
-HUB_ROUNDS = 3
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -124,6 +123,35 @@ def _confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return shared.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("s") - F.col("c"))).select("a", "b").distinct()
 
 
+def _undecided(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the buckets of three members or more that still hold different components."""
+    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("key")
+    placed = keys.join(crowded, "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return save(placed.join(mixed, "key", "left_semi"), "members")
+
+
+def _rare_pairs(nodes: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of different roots that can reach the threshold, by an exact join on prefixes.
+
+    With each set's shingles ordered from rare to frequent, two sets that reach the threshold share one of their first
+    n - ceil(percent * n / 100) + 1 shingles, and what can still follow that shingle in both bounds their intersection.
+    What many documents share stands last in this order, so a common passage makes no pairs.
+    """
+    own = save(items.join(nodes, "node").select("node", "root", F.size("items").alias("n"), F.explode("items").alias("item")), "own")
+    counted = own.groupBy("item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    common = own.join(counted, "item", "left").select("node", "root", "n", F.struct(F.coalesce("f", F.lit(1)).alias("f"), "item").alias("x"))
+    ordered = common.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    prefix = ordered.select("node", "root", "n", F.posexplode(F.slice("xs", F.lit(1), F.expr(f"n - cast(ceil({percent} * n / 100) as int) + 1"))).alias("i", "x"))
+    prefix = save(prefix.where("x.f > 1").select("node", "root", "n", "i", F.col("x.item").alias("item")), "prefix")
+    left, right = (prefix.select("item", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "i")]) for k in (1, 2))
+    follow = F.lit(1) + F.least(F.expr("n1 - i1 - 1"), F.expr("n2 - i2 - 1"))
+    can = F.lit(100 + percent) * follow >= F.lit(percent) * (F.col("n1") + F.col("n2"))
+    fits = (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2")) & can
+    pairs = left.join(right, (left["item"] == right["item"]) & F.expr("node1 < node2 and root1 <> root2") & fits)
+    return save(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicate documents: (doc_id, n_shingles, component_id, kept), a row for each input row.
 
@@ -146,25 +174,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     items = save(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {dict(source.dtypes)['id']}, items array<long>").distinct(), "sets")
     edges = save(_confirm(tested, items, percent), "edges")
 
-    # More hubs, then all members of a bucket that are still in different components.
-    for turn in range(1, HUB_ROUNDS + 1):
-        roots = components(edges)
-        crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2")
-        placed = keys.join(crowded.select("key"), "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")).where("low <> high")
-        members = save(placed.join(mixed.select("key", "hub"), "key"), "members")
-        if members.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            hub_root = members.where("node = hub").select("key", F.col("root").alias("hub_root")).distinct()
-            new = members.join(hub_root, "key").where("root <> hub_root").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        else:
-            left = members.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-            right = members.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            new = left.join(right, "key").where("a < b and ra <> rb").select("a", "b")
-        new = save(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = save(edges.union(_confirm(new, items, percent)), "edges")
-        tested = tested.union(new)
+    # A second hub for buckets whose members are still in different components, then a join on rare shingles for the rest.
+    roots = components(edges)
+    members = _undecided(keys, roots)
+    second = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("hub"))
+    new = members.join(second, "key").where("root <> hub.root").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
+    new = save(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    edges = save(edges.union(_confirm(new, items, percent)), "edges")
+    roots = components(edges)
+    rest = _undecided(keys, roots).select("node", "root").distinct()
+    edges = edges.union(_confirm(_rare_pairs(save(rest, "undecided"), items, percent), items, percent))
 
     # An id belongs to each set of its rows, and a set to its smallest id.
     owners = with_id.select("id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
