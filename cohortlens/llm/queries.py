@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, quality, toxicity
+from . import html_text, language_id, near_dedup, quality, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted", "hits")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, remainder = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), crc_mod("doc_id", 5)
     found = quality.score(docs, quality.fit(docs, labels.where(remainder != 0)))
@@ -41,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
 }
 
