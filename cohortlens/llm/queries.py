@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, html_text, language_id, near_dedup, quality, toxicity
+from . import bpe, chat_format, fingerprint, html_text, language_id, near_dedup, quality, token_files, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,25 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(rows.unionByName(more))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A file of the installed package of public tokenizers, at the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, percent=80)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path()))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, remainder = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"), crc_mod("doc_id", 5)
     found = toxicity.score(docs, toxicity.fit(docs, labels.where(remainder != 0)))
@@ -55,7 +70,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
+    "op3_bpe": op3_bpe,
     "op4_near_dedup": op4_near_dedup,
+    "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprint": op7_fingerprint,
     "op9_html_text": op9_html_text,
