@@ -41,11 +41,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of its text), in order."""
+def words(texts: list[str], separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of its text), in order. `separators` marks the bytes between words; 0x20 is one."""
     data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     buffer = np.frombuffer(b" ".join(data) + b" ", dtype=np.uint8)
-    space = _SPACE[buffer]
+    space = separators[buffer]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
@@ -62,6 +62,14 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, owner
 
 
+def grams(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words."""
+    rolled = np.zeros(max(len(hashes) - width + 1, 0), dtype=np.uint64)
+    for j in range(width):
+        rolled += mix(hashes[j : j + len(rolled)] + wrap((j + 1) * 0xD1B54A32D192ED03)) * U(2 * j + 3)
+    return mix(rolled)
+
+
 def shingles(texts: list[str], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of `width` words.
 
@@ -69,11 +77,7 @@ def shingles(texts: list[str], width: int) -> list[np.ndarray]:
     """
     hashes, owner = words(texts)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    n = len(hashes)
-    rolled = np.zeros(max(n - width + 1, 0), dtype=np.uint64)
-    for j in range(width):
-        rolled += mix(hashes[j : j + len(rolled)] + wrap((j + 1) * 0xD1B54A32D192ED03)) * U(2 * j + 3)
-    rolled = mix(rolled)
+    rolled = grams(hashes, width)
     out = []
     for k in range(len(texts)):
         a, b = int(bounds[k]), int(bounds[k + 1])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprint, html_text, language_id, near_dedup, quality, token_files, toxicity
+from . import bpe, chat_format, decontamination, fingerprint, html_text, language_id, near_dedup, quality, token_files, toxicity
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprint": op7_fingerprint,
+    "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
 }
