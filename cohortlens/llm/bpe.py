@@ -208,19 +208,58 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(_BASE_INVERSE, max(len(data), 1))[starts] + (ends - starts).astype(np.uint64))
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of distinct words, number among them of each word); words of one hash are compared byte by byte."""
-    _, one, same = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of distinct words, number among them of each word, their counts and hashes); words of one hash are compared byte by byte."""
+    hashes, one, same, counts = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
     lengths = ends - starts
     other = one[same]
     if (lengths != lengths[other]).any() or (gather(data, starts, lengths) != gather(data, starts[other], lengths)).any():
-        return np.arange(len(starts)), np.arange(len(starts))
-    return one, same
+        return np.arange(len(starts)), np.arange(len(starts)), np.ones(len(starts), dtype=np.int64), word_hashes(data, starts, ends)
+    return one, same, counts, hashes
+
+
+class SeenWords:
+    """Merged words that this process has met twice in a chunk, up to a bound; found by hash and compared byte by byte."""
+
+    def __init__(self, limit: int = 200_000):
+        self.limit = limit
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts = self.lengths = self.first = self.size = np.zeros(0, dtype=np.int64)
+        self.data, self.ids = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int32)
+
+    def merge(self, vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As Vocabulary.merge_all, equal words being merged once and words seen before not at all."""
+        one, same, counts, hashes = distinct(data, starts, ends)
+        a, lengths = starts[one], ends[one] - starts[one]
+        first, size = np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=np.int64)
+        new = np.ones(len(one), dtype=bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = np.flatnonzero((self.hashes[at] == hashes) & (self.lengths[at] == lengths))
+            differs = np.flatnonzero(gather(data, a[hit], lengths[hit]) != gather(self.data, self.starts[at[hit]], lengths[hit]))
+            if len(differs):  # two words of one hash
+                hit = np.delete(hit, np.unique(np.searchsorted(np.cumsum(lengths[hit]), differs, side="right")))
+            new[hit] = False
+            first[hit], size[hit] = self.first[at[hit]], self.size[at[hit]]
+        fresh = np.flatnonzero(new)
+        ids, begin, size[fresh] = vocab.merge_all(data, a[fresh], ends[one][fresh])
+        known = self.ids
+        first[fresh] = begin + len(known)
+        often = fresh[(counts[fresh] > 1) & (lengths[fresh] <= 64)][: max(self.limit - len(self.hashes), 0)]
+        if len(often):
+            bytes_, own = gather(data, a[often], lengths[often]), gather(np.concatenate([known, ids]), first[often], size[often])
+            order = np.argsort(np.concatenate([self.hashes, hashes[often]]), kind="stable")
+            grown = lambda old, more: np.concatenate([old, more])[order]
+            self.starts = grown(self.starts, len(self.data) + np.cumsum(lengths[often]) - lengths[often])
+            self.first = grown(self.first, len(known) + np.cumsum(size[often]) - size[often])
+            self.hashes, self.lengths, self.size = grown(self.hashes, hashes[often]), grown(self.lengths, lengths[often]), grown(self.size, size[often])
+            self.data, self.ids = np.concatenate([self.data, bytes_]), np.concatenate([known, own])
+        return np.concatenate([known, ids]), first[same], size[same]
 
 
 class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: Transducer | None = None):
-        self.vocab, self.lexicon = vocab, lexicon
+        self.vocab, self.lexicon, self.seen = vocab, lexicon, SeenWords()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text plus the end)."""
@@ -257,9 +296,7 @@ class Encoder:
         if len(unseen):
             a, b = starts[unseen], ends[unseen]
             if self.lexicon is None:  # equal words are merged once
-                one, same = distinct(data, a, b)
-                ids, first, size = self.vocab.merge_all(data, a[one], b[one])
-                first, size = first[same], size[same]
+                ids, first, size = self.seen.merge(self.vocab, data, a, b)
             else:
                 ids, first, size = self.vocab.merge_all(data, a, b)
             source[unseen], length[unseen] = len(values) + first, size

@@ -19,13 +19,8 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 
 @functools.cache
 def kinds() -> np.ndarray:
-    out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for c in range(0x110000):
-        category = unicodedata.category(chr(c))[0]
-        if category == "L":
-            out[c] = LETTER
-        elif category == "N":
-            out[c] = NUMBER
+    of = {"L": LETTER, "N": NUMBER}
+    out = np.fromiter((of.get(k[0], OTHER) for k in map(unicodedata.category, map(chr, range(0x110000)))), dtype=np.uint8, count=0x110000)
     out[list(WHITE)] = SPACE
     return out
 

@@ -6,7 +6,7 @@ expands, and the remaining symbols, so any run of ids is decoded without the res
 
 A round counts all neighbouring pairs of the shard and replaces up to PER_ROUND of the most frequent ones at once (in a
 chain of overlapping occurrences every second one), which changes little against replacing one pair at a time and keeps a
-round to a few array passes. Shards are rows of a Parquet table in the shared folder: the table's commit makes the writing
+round to a few array passes. It ends when a round would shorten the shard by less than GAIN. Shards are rows of a Parquet table in the shared folder: the table's commit makes the writing
 safe against lost executors.
 """
 
@@ -26,22 +26,24 @@ from pyspark.sql import functions as F
 from .bpe import encoder, gather
 from .common import chunks, save, ship
 
-SHARD, ROUNDS, PER_ROUND, LEAST = 1 << 20, 8, 4096, 8
-END = 0
+SHARD, ROUNDS, PER_ROUND, LEAST, GAIN = 1 << 20, 8, 4096, 8, 0.01
+END, BITS = 0, 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "part int, offset long, n_ids long, doc_ids array<long>, payload binary"
 
 
-def _chosen(pairs: np.ndarray, limit: int, least: int) -> np.ndarray:
-    """The most frequent pairs, sorted by value: at most `limit`, each at least `least` times."""
-    bits = 20
-    bucket = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-    many = np.bincount(bucket, minlength=1 << bits)
-    top = np.sort(many)[-4 * limit] if len(many) > 4 * limit else 0
-    found, counts = np.unique(pairs[many[bucket] >= max(least, int(top))], return_counts=True)
-    if len(found) > limit:
-        best = np.argpartition(-counts, limit)[:limit]
-        found, counts = found[best], counts[best]
-    return np.sort(found[counts >= max(least, int(counts.max(initial=0)) // 256)])
+def _chosen(pairs: np.ndarray, bucket: np.ndarray, inside: np.ndarray, limit: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, their buckets): the most frequent ones, at most `limit`, each at least `least` times, one for each bucket."""
+    many = np.bincount(bucket, minlength=1 << BITS)
+    at_least = np.cumsum(np.bincount(np.minimum(many, 1 << 16))[::-1])[::-1]  # buckets with so many pairs or more
+    cut = max(least, int(np.searchsorted(-at_least, -4 * limit)))
+    found, counts = np.unique(pairs[(many[bucket] >= cut) & inside], return_counts=True)
+    order = np.argsort(-counts, kind="stable")[:limit]
+    order = order[counts[order] >= max(least, int(counts.max(initial=0)) // 256)]
+    found = found[order]
+    own = ((found * _ODD) >> np.uint64(64 - BITS)).astype(np.int32)
+    first = np.sort(np.unique(own, return_index=True)[1])  # a pair whose bucket a more frequent one has waits for a later round
+    return found[first], own[first]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
@@ -58,22 +60,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         if len(symbols) < 2 or room < 1:
             break
         pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        inside = np.flatnonzero(~last[:-1])
-        chosen = _chosen(pairs[inside], min(per_round, room), least) if len(inside) else pairs[:0]
+        bucket = ((pairs * _ODD) >> np.uint64(64 - BITS)).astype(np.int32)
+        inside = ~last[:-1]
+        chosen, own = _chosen(pairs, bucket, inside, min(per_round, room), least)
         if not len(chosen):
             break
-        # positions of chosen pairs, through a table of the buckets that hold some
-        bucket = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        held = np.zeros(1 << 20, dtype=bool)
-        held[(chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)] = True
-        at = np.flatnonzero(held[bucket] & ~last[:-1])
-        which = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
+        number = np.full(1 << BITS, -1, dtype=np.int32)
+        number[own] = np.arange(len(chosen), dtype=np.int32)
+        which = number[bucket]
+        at = np.flatnonzero((which >= 0) & inside)
+        which = which[at]
         ok = chosen[which] == pairs[at]
         at, which = at[ok], which[ok]
         new_run = np.diff(at, prepend=-2) != 1
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, which = at[take], which[take]
+        if len(at) < GAIN * len(symbols):
+            break
         symbols[at] = first + sum(sizes) + which
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), dtype=bool)
