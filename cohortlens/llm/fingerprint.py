@@ -31,17 +31,21 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
     The hashes of neighbouring words are folded by shifted arrays, so the work is linear in the text.
     """
 
+    def folded(spans: Column, step: int) -> Column:
+        """Each span hashed with the one `step` words on."""
+
+        def both(s: Column) -> Column:
+            n = F.greatest(F.size(s) - step, F.lit(0))
+            return F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+        return let(spans, both)
+
     def rolled(h: Column) -> Column:
-        # doubling: spans of 1, 2, 4, ... words, then the rest
-        span, have = h, 1
+        # spans of 1, 2, 4, ... words, then of `width`
+        have = 1
         while have * 2 <= width:
-            step = have
-            span = let(span, lambda s, step=step: F.zip_with(F.slice(s, F.lit(1), F.greatest(F.size(s) - step, F.lit(0))), F.slice(s, F.lit(step + 1), F.greatest(F.size(s) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-            have *= 2
-        if have < width:
-            step = width - have
-            span = let(span, lambda s: F.zip_with(F.slice(s, F.lit(1), F.greatest(F.size(s) - step, F.lit(0))), F.slice(s, F.lit(step + 1), F.greatest(F.size(s) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-        return span
+            h, have = folded(h, have), have * 2
+        return folded(h, width - have) if have < width else h
 
     def of(h: Column) -> Column:
         short = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
