@@ -224,7 +224,7 @@ ORACLES: dict[str, str] = {
     "raw_topk": f"SELECT query_id, rank, gallery_id, round(score, 6) AS score FROM ({top_k(10, 'true')})",
     "rank1_review": f"SELECT query_id, rank, gallery_id, round(score, 6) AS score FROM ({top_k(1, 'true')}) WHERE score >= 0.9999",
     "evidence_prompt": f"""SELECT query_id, count(*) AS n_neighbors, sha256(string_agg('REFERENCE ' || rank || ' (similarity=' || printf('%.6f', round(score, 3)) || '):' || chr(10) || trim(substr({clean('text')}, 1, 200)), chr(10) || chr(10) ORDER BY rank)) AS prompt_hash
-FROM ({top_k(3, SAFE)}) t JOIN documents d ON d.doc_id = t.gallery_id GROUP BY query_id""",
+FROM ({top_k(3, SAFE)}) t LEFT JOIN documents d ON d.doc_id = t.gallery_id GROUP BY query_id""",
     "overlap_audit_counts": f"WITH {MANIFEST}, o AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, k FROM (SELECT {f} AS k FROM g WHERE {f} IS NOT NULL{w} INTERSECT SELECT {f} FROM q WHERE true{w})" for f, w in (("study_id", ""), ("image_id", ""), ("image_sha256", ""), ("report_sha256", ""), ("patient_key", " AND patient_reliable"))) + " UNION ALL SELECT 'image_phash', record_id FROM nearg) SELECT f.field, count(k) AS n_overlap, coalesce(array_to_string(list_sort(list(k) FILTER (k IS NOT NULL))[1:20], ','), '') AS examples FROM (VALUES ('study_id'), ('image_id'), ('image_sha256'), ('report_sha256'), ('patient_key'), ('image_phash')) f(field) LEFT JOIN o USING (field) GROUP BY f.field",
     "gallery_clean": f"WITH {CLEANED} SELECT record_id, report_sha256 FROM c WHERE len(reasons) = 0",
     "gallery_removed": f"WITH {CLEANED} SELECT record_id, array_to_string(reasons, ',') AS reasons FROM c WHERE len(reasons) > 0",

@@ -125,7 +125,7 @@ def rank1_review(spark, sf):
 @query
 def evidence_prompt(spark, sf):
     names = table(spark, sf, "documents").select(F.col("doc_id").alias("gallery_id"), F.substring(X.clean(F.col("text")), 1, 200).alias("report_text"))
-    near = _safe(spark, sf, 3).join(names, "gallery_id")
+    near = _safe(spark, sf, 3).join(names, "gallery_id", "left")
     rows = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.round("score", 3).alias("score"), "report_text", F.lit("").alias("report"), F.lit("").alias("caption")))).alias("n"))
     return rows.select("query_id", F.size("n").alias("n_neighbors"), F.sha2(X.evidence_block(F.col("n")), 256).alias("prompt_hash"))
 

@@ -99,7 +99,7 @@ def inventory(spark: SparkSession, path: str, name_pattern: str = ".*", hash_lim
 def asset_pairs(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".jpg", ".jpeg", ".png"), strict: bool = True) -> DataFrame:
     """(record, image_path, json_path, image_sha256, metadata) of images and the JSON file of the same stem beside each.
 
-    `strict` raises for an image without JSON.
+    `strict` raises for an image without JSON. The binary source lists no empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     stem, ending = F.regexp_replace("path", r"\.[^./]*$", ""), F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
