@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import chunks, ship, text_column
+from .common import CHUNK, chunks, ship, text_column
 from .hashing import _BASE, _BASE_INVERSE, _CODES, mix, powers
 from .transducer import Transducer
 
@@ -324,7 +324,7 @@ def _counted(batches):
     """Lossy counting of pretokens in one task: a bucket is a chunk, a word seen once in its first bucket is let go."""
     counts: dict[bytes, list[int]] = {}
     bucket = 0
-    for piece in chunks(batches):
+    for piece in chunks(batches, 2 * CHUNK):
         bucket += 1
         data, where, _ = pretokens.cut([x or "" for x in piece.column(0).to_pylist()])
         starts, ends = where[:-1], where[1:]
@@ -395,7 +395,7 @@ def _ids(path: str, lexicon: str | None):
 
 def encode(df: DataFrame, text: Column, path: str, lexicon: str | None = None) -> Column:
     """A struct (ids): the token ids of a text, none for a null or empty one."""
-    return text_column(df.sparkSession, _ids(path, lexicon), "ids array<int>")(text)
+    return text_column(df.sparkSession, _ids(path, lexicon), "ids array<int>", 2 * CHUNK)(text)
 
 
 def decode(df: DataFrame, ids: Column, path: str) -> Column:
@@ -415,5 +415,5 @@ def decode(df: DataFrame, ids: Column, path: str) -> Column:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded; null is the empty text."""
     lexicon = learn_lexicon(docs, text_col, path, size)
-    coded = text_column(docs.sparkSession, _round_trip(path, lexicon), "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col(text_col))
+    coded = text_column(docs.sparkSession, _round_trip(path, lexicon), "n_tokens long, ids_sha256 string, decoded_sha256 string", 2 * CHUNK)(F.col(text_col))
     return docs.select(F.col(id_col), coded.alias("found")).select(id_col, "found.*")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of text that a worker handles at once, and that an Arrow batch on the way to it holds.
+CHUNK, BATCH = 1 << 20, 8 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 _saved: list[tuple[SparkSession, str]] = []
 
@@ -26,7 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's path (executors elsewhere need it installed or in --py-files)."""
+    """Let Python workers import this package from the driver's path (executors elsewhere need it installed or in --py-files).
+
+    Arrow batches are limited in bytes, as 10,000 long texts in one batch would take the memory of several workers.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) not in range(1, BATCH + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -83,7 +90,7 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def chunks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds about `limit` bytes, or one row if that row alone is larger."""
     for batch in batches:
         rows = batch.num_rows
@@ -106,7 +113,7 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = 4 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = CHUNK) -> DataFrame:
     """Apply `function` to pieces of bounded size of each partition."""
     ship(df.sparkSession)
     return df.mapInArrow(functools.partial(_mapped, function, limit), schema)
@@ -136,7 +143,7 @@ def field_types(ddl: str) -> T.StructType:
 import pyarrow.compute  # noqa: E402,F401  (pa.compute is a lazy submodule)
 
 
-def text_column(spark: SparkSession, function: Callable[[list[str | None]], list[pa.Array]], ddl: str, limit: int = 4 << 20):
+def text_column(spark: SparkSession, function: Callable[[list[str | None]], list[pa.Array]], ddl: str, limit: int = CHUNK):
     """A function of one text column that returns a struct: `function` maps a bounded list of texts to the struct's fields.
 
     It is marked nondeterministic, so that the optimizer doesn't evaluate it once for a filter and again for a projection.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_column
+from .common import CHUNK, map_arrow, text_column
 from .sampling import bounded
 
 PROFILE, DOCUMENT, PER_LANGUAGE, MAX_LANGUAGES = 400, 300, 4000, 1000
@@ -75,7 +75,7 @@ def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
 def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles of the languages in `rows` (null texts and languages are skipped): n-gram keys by rank."""
     usable = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = map_arrow(bounded(usable, "id", "lang", per_language).select("lang", "text"), _counted, "lang string, gram long, n long")
+    counted = map_arrow(bounded(usable, "id", "lang", per_language).select("lang", "text"), _counted, "lang string, gram long, n long", CHUNK // 2)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("r", rank).where(F.col("r") <= profile)
     found = top.select("lang", "r", "gram").collect()
@@ -116,7 +116,7 @@ def predictor(profiles: dict[str, np.ndarray], size: int = PROFILE, limit: int =
 def language(df: DataFrame, text: Column, profiles: dict[str, np.ndarray]) -> Column:
     """A struct (lang_pred, score): `und` and 0 for a null text or one without a letter; the score is the relative margin
     between the two nearest profiles, 0 for a tie (the first language by name wins)."""
-    return text_column(df.sparkSession, predictor(profiles), "lang_pred string, score double")(text)
+    return text_column(df.sparkSession, predictor(profiles), "lang_pred string, score double", CHUNK // 2)(text)
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, gather
-from .common import chunks, save, ship
+from .common import CHUNK, chunks, save, ship
 
 SHARD, ROUNDS, PER_ROUND, LEAST, GAIN = 1 << 20, 8, 4096, 8, 0.01
 END, BITS = 0, 20
@@ -174,7 +174,7 @@ def _written(path: str, end: int, shard: int, batches: Iterator[pa.RecordBatch])
         columns = [pa.array([part], pa.int32()), pa.array([offset], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["part", "offset", "n_ids", "doc_ids", "payload"])
 
-    for piece in chunks(batches, 2 << 20):
+    for piece in chunks(batches, 2 * CHUNK):
         ids, bounds = coder.encode([t or "" for t in piece.column(1).to_pylist()])
         docs = len(bounds) - 1
         ids = np.insert(ids, bounds[1:], end)
