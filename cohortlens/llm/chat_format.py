@@ -31,7 +31,8 @@ SENTINEL = "\U0010fffd"
 _ESCAPE = re.compile(r"\\|###|</turn>")
 _ROLE_ESCAPE = re.compile(r"\\|###|</turn>|:")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>|:)")
-_MARK = re.compile(r"\\(?:\\|###|</turn>|:)|(### )|( </turn>\n)|(: )")
+_ROLE_END = re.compile(r"\\(?:\\|###|</turn>|:)|(: )")
+_TEXT_END = re.compile(r"\\(?:\\|###|</turn>|:)|( </turn>\n)")
 
 
 def escape(text: str, pattern: re.Pattern = _ESCAPE) -> str:
@@ -45,22 +46,30 @@ def unescape(text: str) -> str:
 
 def turn_template(turns: list[Turn]) -> str:
     """`### Role: text </turn>` and a line end for each turn, control strings inside role and text escaped."""
-    return "".join(f"### {escape(role[:1].upper() + role[1:] if role[:1].islower() and role[:1].upper().lower() == role[:1] and len(role[:1].upper()) == 1 else '~' + role, _ROLE_ESCAPE)}: {escape(text)} </turn>\n" for role, text in turns)
+    return "".join(f"### {escape(_shown(role), _ROLE_ESCAPE)}: {escape(text)} </turn>\n" for role, text in turns)
+
+
+def _shown(role: str) -> str:
+    """A role with a capital; one that wouldn't be read back from that is marked by a tilde instead."""
+    capital = role[:1].upper() + role[1:]
+    return capital if role[:1].islower() and capital[:1].lower() + capital[1:] == role else "~" + role
 
 
 def parse(formatted: str) -> list[Turn]:
     """The turns of an output of turn_template, read back by its control strings alone."""
-    out, at, role = [], 0, None
-    for m in _MARK.finditer(formatted):
-        if m[1] and role is None:
-            at = m.end()
-        elif m[3] and role is None:
-            name = unescape(formatted[at : m.start()])
-            role = name[1:] if name[:1] == "~" else name[:1].lower() + name[1:]
-            at = m.end()
-        elif m[2] and role is not None:
-            out.append((role, unescape(formatted[at : m.start()])))
-            role = None
+
+    def until(mark: re.Pattern, start: int) -> re.Match | None:
+        return next((m for m in mark.finditer(formatted, start) if m[1]), None)
+
+    out, at = [], 0
+    while formatted.startswith("### ", at):
+        colon = until(_ROLE_END, at + 4)
+        end = until(_TEXT_END, colon.end()) if colon else None
+        if end is None:
+            break
+        name = unescape(formatted[at + 4 : colon.start()])
+        out.append((name[1:] if name[:1] == "~" else name[:1].lower() + name[1:], unescape(formatted[colon.end() : end.start()])))
+        at = end.end()
     return out
 
 
