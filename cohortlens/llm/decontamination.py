@@ -212,8 +212,8 @@ def contamination(df: DataFrame, text: Column, block: Block) -> Column:
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs`, all columns, that hold no copy of a test item."""
-    kept, columns = docs, docs.columns
+    kept = docs
     for items in blocks(benchmark, item_col, item_text_col, block_words):
         block = seeded(docs, items, text_col)
-        kept = kept.withColumn("__leak", contamination(docs, F.col(text_col), block)).where(F.col("__leak.score") < threshold).select(*columns)
+        kept = kept.where(contamination(docs, F.col(text_col), block)["score"] < threshold)
     return kept

@@ -197,6 +197,7 @@ LABELLED = (
     (18, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 45, 0.0, 55, 0.0, 0, 0, 0, 0, 1),
     (8, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1, 0, 1), (6, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1), (200, 0.02, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     (40, 0.2, 6, 0.0, 35, 0.1, 0, 0, 0, 0, 1), (25, 0.0, 5, 1.0, 22, 0.0, 0, 0, 0, 0, 1), (16, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (12, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     (3, 0.0, 40, 0.0, 42, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 55, 0.0, 38, 0.0, 0, 0, 0, 0, 1), (22, 0.0, 8, 0.0, 6, 0.4, 0, 0, 0, 0, 1),
     (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (10, 0.8, 5, 1.0, 8, 0.9, 0, 0, 0, 0, 0),
     (25, 0.9, 10, 0.8, 30, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 4, 1.0, 3, 0.6, 0, 0, 0, 0, 0),
