@@ -2,8 +2,8 @@
 
 The corpus' words (pretokens) are counted over all documents by lossy counting: each task keeps the words that may exceed
 a share of its input and sends only these, so no word above that share is missed and little is shuffled. The most frequent
-ones are merged once, compiled with their ids into a minimal acyclic transducer, sent to the executors as a file and
-memory-mapped. Encoding walks all words of a chunk at once; words that the lexicon lacks are merged exactly. The result
+ones are merged once, compiled with their ids into a minimal acyclic transducer, written to the shared folder, fetched by
+each executor as a file and memory-mapped. Encoding walks all words of a chunk at once; words that the lexicon lacks are merged exactly. The result
 is that of the `tokenizers` library, whatever the lexicon holds.
 """
 
@@ -13,9 +13,6 @@ import functools
 import hashlib
 import heapq
 import json
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import CHUNK, chunks, ship, text_column
+from .common import CHUNK, chunks, save_bytes, ship, text_column
 from .hashing import _BASE, _BASE_INVERSE, _CODES, mix, powers
 from .transducer import Transducer
 
@@ -355,11 +352,9 @@ def learn_lexicon(docs: DataFrame, text_col: str, path: str, size: int = LEXICON
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
     vocab = vocabulary(path)
     made = Transducer.build((bytes(r["word"]), vocab.merge(bytes(r["word"]))) for r in top)
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="cohortlens-"), name)
-    made.write(local)
-    spark.sparkContext.addFile(local)
-    return name
+    path = save_bytes(spark, made.payload(), "lexicon")
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
 
 
 @functools.lru_cache(2)

@@ -68,6 +68,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def save_bytes(spark: SparkSession, data: bytes, name: str) -> str:
+    """Write one small file to the shared folder; its path."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.bin"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data))
+    out.close()
+    if not _saved:
+        atexit.register(drop_saved)
+    _saved.append((spark, path))
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that save() wrote and that no later plan reads."""
     for entry in [x for x in _saved if any(x[1].rsplit("/", 1)[-1] in f for f in df.inputFiles())]:

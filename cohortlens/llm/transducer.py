@@ -101,18 +101,18 @@ class Transducer:
         table["ids"] = np.array([i for _, ids in entries for i in ids], dtype=np.uint32)
         return cls(table)
 
-    def write(self, path: str) -> None:
-        """One file: a line of JSON that says where each array lies, then the arrays."""
+    def payload(self) -> bytes:
+        """A line of JSON that says where each array lies, then the arrays."""
         head, at = {}, 0
         for name, a in self.arrays.items():
             head[name] = (a.dtype.str, len(a), at)
             at += -(-a.nbytes // 64) * 64
         line = json.dumps(head).encode()
         line += b" " * (-(len(line) + 1) % 64) + b"\n"
-        with Path(path).open("wb") as f:
-            f.write(line)
-            for a in self.arrays.values():
-                f.write(a.tobytes() + b"\0" * (-a.nbytes % 64))
+        return line + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 64) for a in self.arrays.values())
+
+    def write(self, path: str) -> None:
+        Path(path).write_bytes(self.payload())
 
     @classmethod
     def map(cls, path: str) -> Transducer:
