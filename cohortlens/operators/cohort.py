@@ -20,23 +20,34 @@ def distinct_keys(df: DataFrame, column: str, where: Column | None = None) -> Da
     return rows.select(present(column).alias("k")).where("k is not null").distinct()
 
 
-def near_hash_pairs(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFrame:
-    """(id_a, id_b, distance): all pairs of rows (id, hi, lo) whose hashes differ in `threshold` bits or fewer, exactly.
+def near_hashes(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFrame:
+    """(hi_a, lo_a, hi_b, lo_b, distance): all pairs of distinct hashes of two tables (id, hi, lo) that differ in `threshold`
+    bits or fewer, exactly.
 
-    Both sides are joined on bands of bits: two near hashes agree in one band at least. Rows of equal hashes meet once per
-    hash, not once per row: the join is over distinct hashes, and ids are joined back to the near ones.
+    The join is on bands of bits: two near hashes agree in one band at least. It is over distinct hashes, so a hash that many
+    rows share counts once.
     """
 
-    def side(df: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        rows = df.where("hi is not null and lo is not null").select(F.col("id").alias(f"id_{tag}"), F.col("hi").alias(f"hi_{tag}"), F.col("lo").alias(f"lo_{tag}"))
-        hashes = rows.select(f"hi_{tag}", f"lo_{tag}").distinct()
-        return rows, hashes.select("*", F.explode(bands(F.col(f"hi_{tag}"), F.col(f"lo_{tag}"), threshold)).alias("b")).select(f"hi_{tag}", f"lo_{tag}", "b.band", "b.bits")
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        hashes = df.where("hi is not null and lo is not null").select(F.col("hi").alias(f"hi_{tag}"), F.col("lo").alias(f"lo_{tag}")).distinct()
+        return hashes.select("*", F.explode(bands(F.col(f"hi_{tag}"), F.col(f"lo_{tag}"), threshold)).alias("b")).select(f"hi_{tag}", f"lo_{tag}", "b.band", "b.bits")
 
-    rows_a, a = side(left, "a")
-    rows_b, b = side(right, "b")
     distance = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    near = a.join(b, ["band", "bits"]).where(distance <= threshold).select("hi_a", "lo_a", "hi_b", "lo_b", distance.alias("distance")).distinct()
-    return near.join(rows_a, ["hi_a", "lo_a"]).join(rows_b, ["hi_b", "lo_b"]).select("id_a", "id_b", "distance")
+    both = side(left, "a").join(side(right, "b"), ["band", "bits"])
+    return both.where(distance <= threshold).select("hi_a", "lo_a", "hi_b", "lo_b", distance.alias("distance")).distinct()
+
+
+def near_hash_pairs(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFrame:
+    """(id_a, id_b, distance): the rows behind all near hashes, pair by pair. For the rows of one side only, see near_rows."""
+    rows = lambda df, tag: df.where("hi is not null and lo is not null").select(F.col("id").alias(f"id_{tag}"), F.col("hi").alias(f"hi_{tag}"), F.col("lo").alias(f"lo_{tag}"))
+    near = near_hashes(left, right, threshold)
+    return near.join(rows(left, "a"), ["hi_a", "lo_a"]).join(rows(right, "b"), ["hi_b", "lo_b"]).select("id_a", "id_b", "distance")
+
+
+def near_rows(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFrame:
+    """(id): the rows of `left` with a near hash in `right`; a hash that many rows share makes no pairs."""
+    near = near_hashes(left, right, threshold).select(F.col("hi_a").alias("hi"), F.col("lo_a").alias("lo")).distinct()
+    return left.join(near, ["hi", "lo"], "left_semi").select("id").distinct()
 
 
 def overlap_audit(gallery: DataFrame, queries: DataFrame, threshold: int = 4, examples: int = 20) -> DataFrame:
@@ -47,8 +58,8 @@ def overlap_audit(gallery: DataFrame, queries: DataFrame, threshold: int = 4, ex
         where = reliable if field == "patient_key" else None
         shared = distinct_keys(gallery, field, where).join(distinct_keys(queries, field, where), "k", "left_semi")
         parts.append(shared.select(F.lit(field).alias("field"), "k"))
-    near = near_hash_pairs(gallery.select(F.col("record_id").alias("id"), "hi", "lo"), queries.select(F.col("record_id").alias("id"), "hi", "lo"), threshold)
-    parts.append(near.select(F.lit("image_phash").alias("field"), F.col("id_a").alias("k")).distinct())
+    near = near_rows(gallery.select(F.col("record_id").alias("id"), "hi", "lo"), queries.select(F.col("record_id").alias("id"), "hi", "lo"), threshold)
+    parts.append(near.select(F.lit("image_phash").alias("field"), F.col("id").alias("k")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -86,8 +97,8 @@ def conflicts(gallery: DataFrame, queries: DataFrame, threshold: int = 4, assume
     patient = F.when(F.col("patient_reliable") & F.col("__reliable").isNotNull(), "reliable_patient_overlap")
     if assumed_groups:
         patient = patient.when(F.col("__any").isNotNull(), "assumed_patient_group_overlap")
-    near = near_hash_pairs(gallery.select(F.col("record_id").alias("id"), "hi", "lo"), queries.select(F.col("record_id").alias("id"), "hi", "lo"), threshold)
-    near = near.select(F.col("id_a").alias("__near")).distinct()
+    near = near_rows(gallery.select(F.col("record_id").alias("id"), "hi", "lo"), queries.select(F.col("record_id").alias("id"), "hi", "lo"), threshold)
+    near = near.select(F.col("id").alias("__near"))
     out = out.join(near, F.col("record_id") == F.col("__near"), "left")
     reasons = F.array_sort(F.array_compact(F.array(*found, patient, F.when(F.col("__near").isNotNull(), f"image_phash_distance<={threshold}"))))
     return out.select(*[gallery[c] for c in gallery.columns], reasons.alias("reasons"))

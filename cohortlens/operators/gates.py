@@ -90,6 +90,15 @@ def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
     return parts.agg(F.count(F.lit(1)).alias("n_rows"), F.hex(F.expr("bit_xor(h)")).alias("xor"), F.sum(F.col("g").cast("decimal(38,0)")).cast("string").alias("total"))
 
 
+def group_digest(df: DataFrame, groups: list[str], column: str) -> DataFrame:
+    """(groups..., n_rows, xor, total): a digest of a column's values by group that doesn't depend on their order; partial sums
+    only, however large a group is."""
+    from cohortlens.functions.hashing import draw
+
+    h = draw(F.col(column))
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor"), F.sum(h).alias("total"))
+
+
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], equal: list[str] = ()) -> DataFrame:
     """The inner join of two tables that must match row by row; columns in `equal` must agree and are taken once.
 

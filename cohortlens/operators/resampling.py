@@ -23,8 +23,9 @@ def numbered(stats: DataFrame, strata: list[str], cluster: str) -> DataFrame:
     return stats.withColumn("__i", F.row_number().over(by.orderBy(cluster)) - 1).withColumn("__n", F.count(F.lit(1)).over(by))
 
 
-def replicates(spark, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("b"))
+def replicates(df: DataFrame, n: int) -> DataFrame:
+    """Each row once for each replicate b."""
+    return df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def weights(sizes: DataFrame, n: int, seed: int) -> DataFrame:
@@ -32,7 +33,7 @@ def weights(sizes: DataFrame, n: int, seed: int) -> DataFrame:
 
     Strata of equal size share their draws, so the draws are made once for each distinct size.
     """
-    slots = sizes.select("__n").distinct().crossJoin(replicates(sizes.sparkSession, n)).select("__n", "b", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("slot"))
+    slots = replicates(sizes.select("__n").distinct(), n).select("__n", "b", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("slot"))
     picked = slots.select("__n", "b", F.pmod(draw(seed, F.col("b"), F.col("slot")), F.col("__n")).alias("__i"))
     return picked.groupBy("__n", "b", "__i").agg(F.count(F.lit(1)).alias("w"))
 
@@ -91,7 +92,7 @@ def paired_permutation(arms: DataFrame, strata: list[str], cluster: str, sums: l
     both = [f"{t}_{c}" for t in "ab" for c in sums]
     point = arms.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in both])
     swap = F.pmod(draw(seed, F.col("b"), F.col(cluster)), F.lit(2)) == 1
-    swapped = arms.crossJoin(F.broadcast(replicates(arms.sparkSession, n))).withColumn("__swap", swap)
+    swapped = replicates(arms, n).withColumn("__swap", swap)
     mixed = swapped.groupBy(*strata, "b").agg(*[F.sum(F.when(F.col("__swap"), F.col(f"{o}_{c}")).otherwise(F.col(f"{t}_{c}"))).alias(f"{t}_{c}") for t, o in (("a", "b"), ("b", "a")) for c in sums])
     observed = long(point, strata, differences(F.col), value="difference")
     null = long(mixed, strata, differences(F.col))
@@ -105,7 +106,7 @@ def sign_flip(stats: DataFrame, strata: list[str], cluster: str, nets: list[str]
     """(strata..., metric, net, p_value): the sign of each cluster's net count flips with probability 1/2."""
     point = stats.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in nets])
     sign = F.pmod(draw(seed, F.col("b"), F.col(cluster)), F.lit(2)) * 2 - 1
-    flipped = stats.crossJoin(F.broadcast(replicates(stats.sparkSession, n))).withColumn("__s", sign).groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(c) for c in nets])
+    flipped = replicates(stats, n).withColumn("__s", sign).groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(c) for c in nets])
     observed = long(point, strata, {c: F.col(c) for c in nets}, value="net")
     null = long(flipped, strata, {c: F.col(c) for c in nets})
     counted = null.join(observed, [*strata, "metric"]).groupBy(*strata, "metric", "net").agg(F.count_if(F.abs("value") >= F.abs("net")).alias("e"), F.count(F.lit(1)).alias("n"))

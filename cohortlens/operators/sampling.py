@@ -59,10 +59,12 @@ def proportional_sample(df: DataFrame, strata: list[str], id_col: str, n: int, s
     largest quotients get a seat. Every stratum offers n seats at most, so no stratum is more than n rows in the last step.
     """
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in strata])
-    h = draw(seed, F.col(id_col))
-    seats = df.withColumn("__key", key).withColumn("__size", F.count(F.lit(1)).over(Window.partitionBy(*strata))).withColumn("__seat", F.row_number().over(Window.partitionBy(*strata).orderBy(h, id_col))).where(F.col("__seat") <= n)
+    keyed = df.withColumn("__key", key)
+    # the rank is bounded, so each task sends at most n rows of a stratum
+    seats = keyed.withColumn("__seat", F.row_number().over(Window.partitionBy("__key").orderBy(draw(seed, F.col(id_col)), id_col))).where(F.col("__seat") <= n)
+    sized = seats.join(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__size")), "__key")
     quotient = F.when(F.col("__seat") == 1, F.lit(float("inf"))).otherwise(F.col("__size") / F.col("__seat"))
-    return seats.withColumn("__q", quotient).orderBy(F.desc("__q"), F.desc("__key"), "__seat").limit(n).drop("__key", "__size", "__seat", "__q")
+    return sized.withColumn("__q", quotient).orderBy(F.desc("__q"), F.desc("__key"), "__seat").limit(n).select(*df.columns)
 
 
 def case_sample(cases: DataFrame, id_col: str, tags: str, groups: list[str], n: int = 60, seed: int = 20260831) -> DataFrame:
@@ -75,12 +77,12 @@ def case_sample(cases: DataFrame, id_col: str, tags: str, groups: list[str], n:
     rescue = min((n + 1) // 2, counts.get("rescue", 0))
     harm = min(n - rescue, counts.get("harm", 0))
     order = Window.partitionBy("direction").orderBy("strict", "__rank", *groups, "__h", id_col)
-    placed = work.withColumn("__p", F.row_number().over(order))
+    placed = work.withColumn("__p", F.row_number().over(order)).where(F.col("__p") <= n)
     first = placed.where(((F.col("direction") == "rescue") & (F.col("__p") <= rescue)) | ((F.col("direction") == "harm") & (F.col("__p") <= harm)))
     picked = first
     if rescue + harm < n:
-        rest = placed.join(first.select(id_col), id_col, "left_anti")
-        picked = first.unionByName(rest.orderBy("strict", "__h", id_col).limit(n - rescue - harm).select(*first.columns))
+        rest = work.join(first.select(id_col), id_col, "left_anti").orderBy("strict", "__h", id_col).limit(n - rescue - harm)
+        picked = first.unionByName(rest, allowMissingColumns=True)
     # at most n rows are numbered
     number = F.row_number().over(Window.orderBy("direction", "strict", "__h", id_col))
     return picked.limit(n).withColumn("case_number", F.format_string("QR-%04d", number)).drop("__h", "__rank", "__p")

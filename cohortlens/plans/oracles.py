@@ -151,14 +151,14 @@ def arms(name: str, a: str, b: str, source: str = "cs") -> str:
     return f"{name} AS (SELECT model, cluster, {side} FROM {source} WHERE condition IN ('{a}', '{b}') GROUP BY model, cluster)"
 
 
-def permutation(name: str, source: str) -> str:
-    """CTEs; `name` has (model, metric, difference, p_value, valid)."""
+def permutation(name: str, source: str, by: str = "model") -> str:
+    """CTEs; `name` has (by, metric, difference, p_value, valid)."""
     both = ", ".join(f"sum({t}_{c})::BIGINT AS {t}_{c}" for t in "ab" for c in TOTALS)
     mixed = ", ".join(f"sum(CASE WHEN swap THEN {o}_{c} ELSE {t}_{c} END)::BIGINT AS {t}_{c}" for t, o in (("a", "b"), ("b", "a")) for c in TOTALS)
-    return f"""{name}_o AS ({long('model', differences(primary), f'(SELECT model, {both} FROM {source} GROUP BY model)', 'difference')}),
-{name}_n AS ({long('model, b', differences(primary), f"(SELECT model, b, {mixed} FROM (SELECT *, {draw(str(SEED), 'b', 'cluster')} % 2 = 1 AS swap FROM {source}, range({N}) t(b)) GROUP BY model, b)")}),
-{name} AS (SELECT o.model, o.metric, difference, CASE WHEN difference IS NOT NULL THEN (coalesce(count(*) FILTER (abs(value) >= abs(difference) - 1e-15), 0) + 1) / (count(value) + 1) END AS p_value, count(value) AS valid
-  FROM {name}_o o JOIN {name}_n n USING (model, metric) GROUP BY o.model, o.metric, difference)"""
+    return f"""{name}_o AS ({long(by, differences(primary), f'(SELECT {by}, {both} FROM {source} GROUP BY {by})', 'difference')}),
+{name}_n AS ({long(f'{by}, b', differences(primary), f"(SELECT {by}, b, {mixed} FROM (SELECT *, {draw(str(SEED), 'b', 'cluster')} % 2 = 1 AS swap FROM {source}, range({N}) t(b)) GROUP BY {by}, b)")}),
+{name} AS (SELECT {by}, metric, difference, CASE WHEN difference IS NOT NULL THEN (coalesce(count(*) FILTER (abs(value) >= abs(difference) - 1e-15), 0) + 1) / (count(value) + 1) END AS p_value, count(value) AS valid
+  FROM {name}_o JOIN {name}_n USING ({by}, metric) GROUP BY {by}, metric, difference)"""
 
 
 JOINT = VECTORS + f""",
@@ -262,6 +262,15 @@ o AS ({long('model', {'event_net': 'event_net', 'strict_net': 'strict_net'}, '(S
 n AS ({long('model, b', {'event_net': 'event_net', 'strict_net': 'strict_net'}, f"(SELECT model, b, sum(event_net * f) AS event_net, sum(strict_net * f) AS strict_net FROM (SELECT *, {draw(str(SEED), 'b', 'cluster')} % 2 * 2 - 1 AS f FROM s, range({N}) t(b)) GROUP BY model, b)")})
 SELECT model, metric, round(net, 6) + 0.0 AS net, round((count(*) FILTER (abs(value) >= abs(net)) + 1) / (count(*) + 1), 6) AS p_value FROM n JOIN o USING (model, metric) GROUP BY model, metric, net""",
     "joint_rates_ci": f"WITH {JOINT}, jc AS (SELECT model, cluster, {JOINT_SUMS} FROM j GROUP BY model, cluster), {bootstrap('jc', 'model', list(JOINT_COUNTS), RATES)}",
+    "joint_label_ci": f"""WITH {JOINT}, lc AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS label, cluster, count(*) FILTER (b[{i}] <> reference[{i}] AND c[{i}] <> reference[{i}] AND d[{i}] = reference[{i}]) AS rescue, count(*) FILTER (b[{i}] = reference[{i}] AND c[{i}] = reference[{i}] AND d[{i}] <> reference[{i}]) AS harm, count(*) AS n_records FROM j GROUP BY cluster" for i, x in enumerate(LABELS, 1))
+    + f"""), sf AS (SELECT label, sum(rescue - harm) AS net FROM lc GROUP BY label), sn AS (SELECT label, b, sum((rescue - harm) * ({draw(str(SEED), 'b', 'cluster')} % 2 * 2 - 1)) AS value FROM lc, range({N}) t(b) GROUP BY label, b),
+sp AS (SELECT label, 'labels' AS family, (count(*) FILTER (abs(value) >= abs(net)) + 1) / (count(*) + 1) AS p_value FROM sf JOIN sn USING (label) GROUP BY label, net), sh AS ({holm('sp', 'label', 'family', 'label')}),
+bs AS (WITH {bootstrap('lc', 'label', ['rescue', 'harm', 'n_records'], {'rescue_rate': ratio('rescue', 'n_records'), 'harm_rate': ratio('harm', 'n_records'), 'net_rate': ratio('rescue - harm', 'n_records')})})
+SELECT bs.*, {r6('p_value', 'p_holm')} FROM bs JOIN sh USING (label)""",
+    "between_model_tests": f"WITH {CLUSTERS}, ab AS (SELECT x.model AS first, y.model AS second, x.cluster, " + ", ".join(f"x.{c} AS a_{c}, y.{c} AS b_{c}" for c in TOTALS) + f" FROM cs x JOIN cs y ON x.cluster = y.cluster AND x.model < y.model AND x.condition = 'D' AND y.condition = 'D'), {permutation('pp', 'ab', 'first, second')}, h AS ({holm('pp', 'first, second, metric, difference, valid', 'metric', 'first, second')}) SELECT first, second, metric, round(difference, 6) + 0.0 AS difference, valid, {r6('p_value', 'p_holm')} FROM h",
+    "verifier_records": f"""WITH x AS (SELECT doc_id, source, quality, {draw("'rec'", 'doc_id')} % 4 AS k FROM documents JOIN labels USING (doc_id)),
+y AS (SELECT CASE WHEN k = 2 THEN 'source_report_or_image' ELSE 'patient' END AS grouping_level, ['label', 'ground_truth.answer', 'messages.assistant', 'verdict'][k + 1] AS verdict_source, quality = 1 AS verdict, CASE WHEN k < 2 THEN source WHEN k = 2 THEN 'f' || doc_id ELSE 'u' || doc_id END AS grp FROM x)
+SELECT grouping_level, verdict_source, verdict, count(*) AS n, count(DISTINCT grp) AS n_groups FROM y GROUP BY ALL""",
     "pooled_joint": f"WITH {JOINT}, jc AS (SELECT 'all models' AS scope, cluster, {JOINT_SUMS} FROM j GROUP BY cluster), {bootstrap('jc', 'scope', list(JOINT_COUNTS), RATES)}",
     "holm_within": f"WITH {PV}, h AS ({holm('pv', 'source, lang', 'lang', 'source')}) SELECT source, lang, {r6('p_value', 'p_holm')} FROM h",
     "holm_between": f"WITH {CLUSTERS}, " + ", ".join(f"{arms(f'a{a}{b}', a, b)}, {permutation(f'p{a}{b}', f'a{a}{b}')}" for a, b in ("AB", "AC", "AD", "CD")) + ", t AS (" + " UNION ALL ".join(f"SELECT '{a}-{b}' AS contrast, model, metric, p_value FROM p{a}{b}" for a, b in ("AB", "AC", "AD", "CD")) + f"), h AS ({holm('t', 'contrast, model, metric', 'metric', 'contrast, model')}) SELECT contrast, model, metric, {r6('p_value', 'p_holm')} FROM h",
@@ -288,7 +297,7 @@ SELECT model, condition, CASE WHEN n IS NULL THEN 'missing' WHEN wanted IS NULL
     "pending_ids": f"WITH {LOG} SELECT doc_id, model, condition FROM h WHERE h = 0",
     "record_digest_check": f"SELECT doc_id, 'changed' AS digest FROM documents WHERE {draw(chr(39) + 'tamper' + chr(39), 'doc_id')} % 25 = 0",
     "pairing_audit": f"WITH {LOG}, u AS (SELECT model, doc_id, count(DISTINCT condition) AS a, count(*) AS n FROM log GROUP BY model, doc_id) SELECT model, count(*) AS n_units, count(*) FILTER (a <> 4 OR n <> 4) AS n_bad FROM u GROUP BY model",
-    "stage_digest": "SELECT source, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest FROM documents GROUP BY source",
+    "stage_digest": f"SELECT source, count(*) AS n_rows, bit_xor({draw('text')}) AS xor, sum({draw('text')})::BIGINT AS total FROM documents GROUP BY source",
     "cider": f"""WITH w AS (SELECT doc_id, string_split({normal('text')}, ' ') AS r, list_transform(string_split({normal('text')}, ' '), lambda x, i: CASE WHEN i % 5 = 0 THEN 'x' ELSE x END) AS y FROM documents),
 w2 AS (SELECT doc_id, list_filter(r, lambda x: x <> '') AS r, list_filter(y, lambda x: x <> '') AS y FROM w), rg AS ({_grams('r').replace('FROM w,', 'FROM w2,')}), hg AS ({_grams('y').replace('FROM w,', 'FROM w2,')}),
 f AS (SELECT k, g, count(*) AS df FROM rg GROUP BY k, g), b AS (SELECT coalesce(rg.doc_id, hg.doc_id) AS doc_id, coalesce(rg.k, hg.k) AS k, coalesce(rg.g, hg.g) AS g, coalesce(rg.tf, 0) AS tr, coalesce(hg.tf, 0) AS th FROM rg FULL JOIN hg USING (doc_id, k, g)),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import labels as L
 from cohortlens.functions import text as X
 from cohortlens.functions.hashing import draw
-from cohortlens.operators import annotation, cohort, gates, metrics, multiplicity, resampling, retrieval, revision, sampling, text_metrics, transitions
+from cohortlens.operators import annotation, cohort, gates, metrics, multiplicity, records, resampling, retrieval, revision, sampling, text_metrics, transitions
 from cohortlens.plans.fixtures import CONDITIONS, MODELS, findings, gallery_and_queries, manifest, raw_labels, states, table, vectors
 from cohortlens.streaming import incremental
 
@@ -90,6 +90,24 @@ def stable_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.stable_key(cols).alias("key"))
 
 
+@query
+def verifier_records(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    k, doc = draw("rec", F.col("doc_id")) % 4, F.col("doc_id").cast("string")
+    words = F.when(F.col("quality") == 1, "TRUE").otherwise("answer: false")
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    part = F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 50).alias("text")))
+    shape = [
+        F.to_json(F.struct(F.concat(F.lit("id"), doc).alias("id"), F.substring("text", 1, 50).alias("report"), F.col("source").alias("patient_id"), F.col("quality").alias("label"))),
+        F.to_json(F.struct(F.substring("text", 1, 50).alias("input"), F.struct(F.col("source").alias("subject_id")).alias("meta"), F.struct(words.alias("answer")).alias("ground_truth"))),
+        F.to_json(F.struct(F.concat(F.lit("f"), doc).alias("file_name"), F.array(message("Human", part.cast("string")), message("gpt", words)).alias("messages"))),
+        F.to_json(F.struct(F.concat(F.lit("u"), doc).alias("uid"), F.to_json(F.array(F.struct(F.lit("user").alias("role"), part.alias("content")), )).alias("harmony_prompt"), words.alias("verdict"))),
+    ]
+    raw = F.when(k == 0, shape[0]).when(k == 1, shape[1]).when(k == 2, shape[2]).otherwise(shape[3])
+    found = records.standardize(d.select(raw.alias("raw")))
+    return found.groupBy("grouping_level", "verdict_source", "verdict").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient_or_source_group").alias("n_groups"))
+
+
 # Retrieval: every vector whose id is divisible by 20, against all vectors
 
 
@@ -320,6 +338,25 @@ def joint_rates_ci(spark, sf):
     return rounded(resampling.bootstrap(_joint_clusters(spark, sf, ["model"]), ["model"], "cluster", list(transitions.JOINT_COUNTS), transitions.joint_rates, REPLICATES))
 
 
+@query
+def joint_label_ci(spark, sf):
+    counts = transitions.joint_by_label(_joint(spark, sf), ["cluster"]).groupBy("label", "cluster").agg(F.sum("rescue").alias("rescue"), F.sum("harm").alias("harm"), F.count(F.lit(1)).alias("n_records"))
+    rates = lambda of: {"rescue_rate": metrics.ratio(of("rescue"), of("n_records")), "harm_rate": metrics.ratio(of("harm"), of("n_records")), "net_rate": metrics.ratio(of("rescue") - of("harm"), of("n_records"))}
+    ci = resampling.bootstrap(counts, ["label"], "cluster", ["rescue", "harm", "n_records"], rates, REPLICATES)
+    flips = resampling.sign_flip(counts.withColumn("net", F.col("rescue") - F.col("harm")), ["label"], "cluster", ["net"], REPLICATES)
+    adjusted = multiplicity.holm(flips.withColumn("family", F.lit("labels")), "p_value", ["family"], ["label"])
+    return rounded(ci.join(adjusted.select("label", "p_value", "p_holm"), "label"))
+
+
+@query
+def between_model_tests(spark, sf):
+    stats = _clusters(spark, sf).where("condition = 'D'")
+    a, b = (stats.select(F.col("model").alias(m), "cluster", *[F.col(c).alias(f"{t}_{c}") for c in metrics.TOTALS]) for t, m in (("a", "first"), ("b", "second")))
+    pairs = a.join(b, "cluster").where("first < second")
+    tests = resampling.paired_permutation(pairs, ["first", "second"], "cluster", metrics.TOTALS, primary, REPLICATES)
+    return rounded(multiplicity.holm(tests, "p_value", ["metric"], ["first", "second"]))
+
+
 @query
 def pooled_joint(spark, sf):
     pooled = _joint_clusters(spark, sf, []).withColumn("scope", F.lit("all models"))
@@ -475,7 +512,7 @@ def pairing_audit(spark, sf):
 
 @query
 def stage_digest(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ""), 256).alias("digest"))
+    return gates.group_digest(table(spark, sf, "documents"), ["source"], "text")
 
 
 # Text metrics and hooks
