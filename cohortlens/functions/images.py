@@ -40,9 +40,8 @@ def hash_of(image: np.ndarray) -> str:
     """16 hexadecimal digits: the 8x8 lowest coefficients row by row, 1 where one reaches the median of all but the first."""
     values = resize(image)
     k = np.arange(SIZE)
-    basis = np.cos(np.pi / SIZE * (k[:, None] + 0.5) * k[None, :]) * np.sqrt(2.0 / SIZE)
-    basis[:, 0] /= np.sqrt(2.0)
-    low = (basis.T @ values @ basis)[:LOW, :LOW].ravel()
+    waves = np.cos(np.outer(k[:LOW], 2 * k + 1) * (np.pi / (2 * SIZE))) * np.sqrt(np.where(k[:LOW, None] == 0, 1, 2) / SIZE)
+    low = (waves @ values @ waves.T).ravel()
     bits = low >= np.median(low[1:])
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 

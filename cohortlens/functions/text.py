@@ -83,13 +83,17 @@ def last_content(messages: Column, role: str) -> Column:
     return F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(-1))["content"]
 
 
+# Fixed value: the line above a piece of evidence.
+EVIDENCE_LINE = "REFERENCE %d (similarity=%s):\n"
+
+
 def evidence_block(neighbors: Column, limit: int = 10) -> Column:
     """Numbered evidence from array<struct<report_text, report, caption, score>>, best first: a line with the rank and the
     similarity to six decimals, then the first report text that isn't blank; blocks are a blank line apart."""
 
     def block(n: Column, i: Column) -> Column:
         text = F.trim(F.coalesce(*[F.when(n[k] != "", n[k]) for k in ("report_text", "report", "caption")], F.lit("")))
-        return F.concat(F.format_string("REFERENCE %d (similarity=%s):\n", i + 1, F.format_string("%.6f", F.coalesce(n["score"], F.lit(0.0)))), text)
+        return F.concat(F.format_string(EVIDENCE_LINE, i + 1, F.format_string("%.6f", F.coalesce(n["score"], F.lit(0.0)))), text)
 
     return F.array_join(F.transform(F.slice(neighbors, 1, limit), block), "\n\n")
 
