@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a table on the executors' disks while a function uses it several times; what is lost with one is computed again.
+
+    The function releases it with unpersist() once its own result is written.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def save_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Write one small file to the shared folder; its path."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.bin"

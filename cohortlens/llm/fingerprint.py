@@ -134,7 +134,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int | None = N
     is_head = F.element_at(F.array(*[F.lit(x).cast(kind) for x in head_ids]), F.col("range") + 1).eqNullSafe(F.col("id"))
     guests = F.when(is_head, F.element_at(F.lit(targets), F.col("range") + 1))
     sent = placed.withColumn("to", F.array_compact(F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("guest")), F.when(guests.isNotNull(), F.struct(guests.alias("at"), F.lit(True).alias("guest"))))))
-    dealt = sent.select("id", "text", F.explode("to").alias("to")).select("id", "text", "to.at", "to.guest").repartition(parts, "at")
+    dealt = sent.select("id", "text", F.explode("to").alias("to")).select("id", "text", "to.at", "to.guest").repartitionById(len(cuts) + 2, F.col("at"))
     drawn = dealt.withColumn("sketch", sketch(F.col("text")))
     order = Window.partitionBy("at").orderBy("guest", F.col("id").desc_nulls_last(), "text")
     following = drawn.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where(~F.col("guest"))

@@ -32,16 +32,16 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SIBLING_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 # Words of a class, id or role that name what surrounds an article.
 CLUTTER = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
+    "ad ads adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "sidebar rail widget widgets footer masthead topbar toolbar header cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login "
-    "share sharing social related recommended trending popular comment comments commentlist disqus reply replies respond discussion form search tags copyright disclaimer skip".split()
+    "share sharing social related recommended trending popular comment comments commentlist disqus reply replies respond discussion form search tags copyright disclaimer skip contentinfo complementary dialog".split()
 )
 ARTICLE_WORDS = frozenset("article post entry story content main body text prose".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SPACES = re.compile(r"[\s\x1c-\x1f\x85\xa0​﻿]+")
+SPACES = re.compile(r"\s+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
@@ -67,8 +67,9 @@ def _signs(tag: str, attributes: str, within: bool) -> tuple[int, int, int]:
                 hidden = True
             elif name in ("class", "id", "role"):
                 named = {p.lower() for p in PARTS.findall(value)}
-                clutter |= bool(named & CLUTTER) and tag not in ("body", "html", "article", "main")
-                article |= bool(named & ARTICLE_WORDS) and not named & CLUTTER and tag in ("div", "section", "td")
+                around = named & CLUTTER
+                clutter |= bool(around - {"header"} if within else around) and tag not in ("body", "html", "article", "main")
+                article |= bool(named & ARTICLE_WORDS) and not around and tag in ("div", "section", "td")
     return int(article), int(clutter), int(hidden)
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, map_arrow, save, texts_of
+from .common import drop, hold, map_arrow, save, texts_of
 from .hashing import U, mix, shingles, wrap
 
 BANDS, ROWS = 60, 7
@@ -138,18 +138,21 @@ def _rare_pairs(nodes: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     n - ceil(percent * n / 100) + 1 shingles, and what can still follow that shingle in both bounds their intersection.
     What many documents share stands last in this order, so a common passage makes no pairs.
     """
-    own = save(items.join(nodes, "node").select("node", "root", F.size("items").alias("n"), F.explode("items").alias("item")), "own")
+    own = hold(items.join(nodes, "node").select("node", "root", F.size("items").alias("n"), F.explode("items").alias("item")))
     counted = own.groupBy("item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     common = own.join(counted, "item", "left").select("node", "root", "n", F.struct(F.coalesce("f", F.lit(1)).alias("f"), "item").alias("x"))
     ordered = common.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     prefix = ordered.select("node", "root", "n", F.posexplode(F.slice("xs", F.lit(1), F.expr(f"n - cast(ceil({percent} * n / 100) as int) + 1"))).alias("i", "x"))
-    prefix = save(prefix.where("x.f > 1").select("node", "root", "n", "i", F.col("x.item").alias("item")), "prefix")
+    prefix = hold(prefix.where("x.f > 1").select("node", "root", "n", "i", F.col("x.item").alias("item")))
     left, right = (prefix.select("item", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "i")]) for k in (1, 2))
     follow = F.lit(1) + F.least(F.expr("n1 - i1 - 1"), F.expr("n2 - i2 - 1"))
     can = F.lit(100 + percent) * follow >= F.lit(percent) * (F.col("n1") + F.col("n2"))
     fits = (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2")) & can
     pairs = left.join(right, (left["item"] == right["item"]) & F.expr("node1 < node2 and root1 <> root2") & fits)
-    return save(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
+    done = save(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
+    own.unpersist()
+    prefix.unpersist()
+    return done
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -162,16 +165,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of `docs` are not read. An empty input gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = save(map_arrow(source, _sketched(width, bands, rows), f"id {dict(source.dtypes)['id']}, n long, digest binary, bands array<long>"), "sketches")
+    known = hold(map_arrow(source, _sketched(width, bands, rows), f"id {dict(source.dtypes)['id']}, n long, digest binary, bands array<long>"))
     with_id = known.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     nodes = with_id.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keys = save(nodes.select("node", F.explode("bands").alias("key")), "bands")
+    keys = hold(nodes.select("node", F.explode("bands").alias("key")))
 
     # Round 1: a hub for each bucket.
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
     tested = save(keys.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = keys.join(hubs.select("key"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
-    items = save(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {dict(source.dtypes)['id']}, items array<long>").distinct(), "sets")
+    items = hold(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {dict(source.dtypes)['id']}, items array<long>").distinct())
     edges = save(_confirm(tested, items, percent), "edges")
 
     # A second hub for buckets whose members are still in different components, then a join on rare shingles for the rest.
@@ -188,9 +191,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # An id belongs to each set of its rows, and a set to its smallest id.
     owners = with_id.select("id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     roots = components(edges.union(owners))
-    result = known.select("id", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     component = F.coalesce("root", "id")
-    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    result = known.select("id", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    done = save(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "classes")
+    for held in (known, keys, items):
+        held.unpersist()
+    return done
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

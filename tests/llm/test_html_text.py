@@ -22,6 +22,8 @@ LONG = "This is a sentence of the article that goes on for quite a number of wor
         ("<article><section class='comments'><p>Great post, I agree with it.</p></section><p>Kept.</p></article>", "Kept."),
         ("<article><p hidden>secret</p><p style='display: none'>secret</p><p>seen</p></article>", "seen"),
         ("<article><header><h1>Title</h1></header><p>body</p></article>", "Title body"),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>body</p><div class='post-footer'>Filed under</div></article>", "Title body"),
+        (f"<div role='banner'>Site name and its motto</div><article><p>{LONG}</p></article><div role='contentinfo'>Imprint of the site</div>", LONG),
         ("<ARTICLE><P CLASS=x>Upper</P></ARTICLE>", "Upper"),
         ("<article><p>a\n\t b &nbsp; c</p></article>", "a b c"),
         ("<", "<"),
