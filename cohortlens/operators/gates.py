@@ -113,3 +113,18 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], equal: list[s
     columns = [F.col(f"__l.{c}").alias(c if c in equal else f"{c}_a") for c in left.columns if c not in keys]
     columns += [F.col(f"__r.{c}").alias(f"{c}_b") for c in right.columns if c not in keys and c not in equal]
     return both.where(checked).select(*keys, *columns)
+
+
+def set_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., side): keys that only one table has, each once; empty if the key sets are equal."""
+    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
+    return a.join(b, keys, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("right")))
+
+
+def require_close(left: DataFrame, right: DataFrame, keys: list[str], column: str, tolerance: float = 1e-9) -> None:
+    """Two tables have the same keys, each once, and values that agree within the tolerance (or are both null)."""
+    both = left.select(*keys, F.col(column).alias("__a"), F.lit(1).alias("__l")).join(right.select(*keys, F.col(column).alias("__b"), F.lit(1).alias("__r")), keys, "full_outer")
+    good = F.col("__l").isNotNull() & F.col("__r").isNotNull() & (F.col("__a").eqNullSafe(F.col("__b")) | F.coalesce(F.abs(F.col("__a") - F.col("__b")) <= tolerance, F.lit(False)))
+    require_empty(both.where(~good).select(*keys, "__a", "__b"), f"{column} differs")
+    require_unique(left, keys)
+    require_unique(right, keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.labels import LABELS
-from cohortlens.operators.gates import GateError, require_columns, require_empty, require_unique
+from cohortlens.operators.gates import GateError, require_binary_vectors, require_columns, require_empty, require_unique, set_differences
 
 # Fixed value: fields under which a JSON object may wrap its rows.
 WRAPPERS = ("records", "data", "metadata", "items")
@@ -43,6 +43,20 @@ def read_fields(spark: SparkSession, path: str, schema: str, key: list[str]) ->
     return df
 
 
+STATISTICS = "generation_record_id string, query_record_id string, model_key string, bundle string, source_dataset string, condition string, patient_key string, reference_vector array<int>, prediction_vector array<int>, runtime_seconds double, score string"
+
+
+def read_statistics(spark: SparkSession, path: str, conditions: tuple[str, ...], schema: str = STATISTICS) -> DataFrame:
+    """The pruned frame of paired statistics: `score` as a number or null, exactly the given conditions, whole binary vectors,
+    unique record ids; anything else raises."""
+    df = read_jsonl(spark, path, schema).withColumn("score", F.expr("try_cast(score as double)"))
+    require_unique(df, ["generation_record_id"])
+    require_binary_vectors(df, ["reference_vector", "prediction_vector"], len(LABELS))
+    wanted = spark.createDataFrame([(c,) for c in conditions], "condition string")
+    require_empty(set_differences(df, wanted, ["condition"]), "conditions differ from the plan's")
+    return df
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table by its suffix: .jsonl, .json (an array, or an object that wraps its rows), .csv, .tsv or .txt, .parquet."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()

@@ -99,3 +99,29 @@ def test_append_once(spark, tmp_path):
 def test_windowed_counts(spark):
     df = spark.createDataFrame([("2024-01-01 00:01:00", "a", 1.0), ("2024-01-01 00:04:00", "a", 2.0), ("2024-01-01 00:06:00", "a", 4.0)], "t string, k string, v double").withColumn("t", F.to_timestamp("t"))
     assert sorted(r["total"] for r in incremental.windowed_counts(df, "t", ["k"], "v").collect()) == [3.0, 4.0]
+
+
+def test_statistics_frame(spark, tmp_path):
+    path = tmp_path / "s.jsonl"
+    row = lambda i, c, v=None, score="0.5": json.dumps({"generation_record_id": str(i), "query_record_id": "q", "condition": c, "reference_vector": [0] * 13, "prediction_vector": v or [1] * 13, "score": score})
+    path.write_text("\n".join([row(1, "A"), row(2, "B", score="x")]))
+    assert [r["score"] for r in readers.read_statistics(spark, str(path), ("A", "B")).orderBy("generation_record_id").collect()] == [0.5, None]
+    for lines, conditions in (([row(1, "A")], ("A", "B")), ([row(1, "A"), row(1, "A")], ("A",)), ([row(1, "A", [2] * 13)], ("A",))):
+        path.write_text("\n".join(lines))
+        with pytest.raises(GateError):
+            readers.read_statistics(spark, str(path), conditions)
+
+
+def test_close_and_equal_sets(spark):
+    from cohortlens.functions.sequences import causal_features
+    from cohortlens.operators import gates
+
+    a = spark.createDataFrame([("x", 1.0), ("y", None)], "k string, v double")
+    gates.require_close(a, spark.createDataFrame([("x", 1.0 + 1e-12), ("y", None)], a.schema), ["k"], "v")
+    for other in ([("x", 1.1), ("y", None)], [("x", 1.0)], [("x", 1.0), ("y", 0.0)], [("x", 1.0), ("x", 1.0), ("y", None)]):
+        with pytest.raises(GateError):
+            gates.require_close(a, spark.createDataFrame(other, a.schema), ["k"], "v")
+    assert {tuple(r) for r in gates.set_differences(a, spark.createDataFrame([("x",), ("z",)], "k string"), ["k"]).collect()} == {("y", "left"), ("z", "right")}
+    df = spark.createDataFrame([([1, 2, 3], [7, 8]), (None, [7]), ([1], list(range(9)))], "p array<int>, t array<int>")
+    got = [tuple(r["f"]) for r in df.select(causal_features(F.col("p"), F.col("t"), 4).alias("f")).collect()]
+    assert got == [([2, 3, 7, 8], [-100, -100, 7, 8]), ([7], [7]), ([0, 1, 2, 3], [0, 1, 2, 3])]
