@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
     tested = save(keys.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = keys.join(hubs.select("key"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
-    items = hold(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {dict(source.dtypes)['id']}, items array<long>").distinct())
+    items = save(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {dict(source.dtypes)['id']}, items array<long>").distinct(), "sets")
     edges = save(_confirm(tested, items, percent), "edges")
 
     # A second hub for buckets whose members are still in different components, then a join on rare shingles for the rest.
@@ -194,8 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("root", "id")
     result = known.select("id", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     done = save(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "classes")
-    for held in (known, keys, items):
+    for held in (known, keys):
         held.unpersist()
+    drop(items)
     return done
 
 
