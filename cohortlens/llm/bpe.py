@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import CHUNK, chunks, save_bytes, ship, text_column
+from .common import CHUNK, chunks, hold, save_bytes, ship, text_column
 from .hashing import _BASE, _BASE_INVERSE, _CODES, mix, powers
 from .transducer import Transducer
 
@@ -345,11 +345,21 @@ def _counted(batches):
 
 
 def learn_lexicon(docs: DataFrame, text_col: str, path: str, size: int = LEXICON) -> str:
-    """Compile the `size` most frequent words of all documents; the name under which executors find the file."""
+    """Compile the most frequent words of all documents, `size` at most; the name under which executors find the file."""
     spark = docs.sparkSession
     ship(spark)
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = hold(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    # whole levels of frequency from the top, as many as fit: a list of levels reaches the driver, then `size` words at most
+    level = F.floor(F.log2("n") * 16)
+    lowest, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["level"]):
+        total += r["c"]
+        if total > size:
+            break
+        lowest = r["level"]
+    top = [] if lowest is None else counts.where(level >= lowest).select("word").collect()
+    counts.unpersist()
     vocab = vocabulary(path)
     made = Transducer.build((bytes(r["word"]), vocab.merge(bytes(r["word"]))) for r in top)
     path = save_bytes(spark, made.payload(), "lexicon")
