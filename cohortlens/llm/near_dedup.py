@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = hold(map_arrow(source, _sketched(width, bands, rows), f"id {dict(source.dtypes)['id']}, n long, digest binary, bands array<long>"))
     with_id = known.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     nodes = with_id.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keys = hold(nodes.select("node", F.explode("bands").alias("key")))
+    keys = save(nodes.select("node", F.explode("bands").alias("key")), "bands")
 
     # Round 1: a hub for each bucket.
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("root", "id")
     result = known.select("id", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     done = save(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "classes")
-    for held in (known, keys):
-        held.unpersist()
+    known.unpersist()
+    drop(keys)
     drop(items)
     return done
 
