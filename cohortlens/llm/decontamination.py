@@ -1,18 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and bytes beyond ASCII, in lower case. All runs of WIDTH words of a test item are seed
-candidates; their document frequencies are counted over the whole corpus and each item keeps its rarer ones (the rarest
-SHARE, ties included, so an item that many documents hold keeps seeds too). Where a seed occurs, the document's words
-around the implied place of the item are aligned with the item; the score is the local alignment's, divided by that of a
-perfect copy.
+Words are runs of letters, digits and bytes beyond ASCII, in lower case. All runs of WIDTH words of a test item are seeds,
+however frequent: in an edited copy any of them may be the only one left. Where a seed occurs, the document's words around
+the implied place of the item are aligned with the item; the score is the local alignment's, divided by that of a perfect
+copy. A place that holds too few of the item's words to reach the threshold in any order isn't aligned.
 
 Test items travel to the executors in blocks of at most BLOCK_WORDS words, so what is sent has a bound however many items
-there are; each block is two maps over the corpus (count, then align) without a shuffle of texts.
+there are; each block is a map over the corpus without a shuffle of texts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, text_column
 from .hashing import grams, words
 
-WIDTH, SHARE, BLOCK_WORDS, THRESHOLD = 3, 2 / 3, 250_000, 0.5
+WIDTH, BLOCK_WORDS, THRESHOLD = 3, 250_000, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 SEPARATORS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -57,16 +55,6 @@ class Block:
         order = np.argsort(flat, kind="stable")
         return cls([i for i, _ in rows], items, flat[order], of[order], at[order])
 
-    def rarer(self, frequency: dict[int, int], share: float) -> Block:
-        """Keep the seeds that are among the rarest `share` of their item's."""
-        f = np.array([frequency.get(int(s), 0) for s in self.seeds.view(np.int64)])
-        keep = np.zeros(len(f), dtype=bool)
-        for k in np.unique(self.of):
-            own = np.flatnonzero(self.of == k)
-            cut = np.sort(f[own])[math.ceil(share * len(own)) - 1]
-            keep[own[f[own] <= cut]] = True
-        return Block(self.item_ids, self.items, self.seeds[keep], self.of[keep], self.at[keep])
-
     def found(self, hashes: np.ndarray, owner: np.ndarray, filtered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions of the texts' word runs that are seeds, number of the first equal seed)."""
         g = grams(hashes, WIDTH)
@@ -123,8 +111,10 @@ def _matches(block: Block, filtered: np.ndarray, texts: list[str], threshold: fl
             else:
                 windows.append([low, high])
         for low, high in windows:
+            if np.count_nonzero(np.isin(hashes[low:high], wanted)) / len(wanted) < threshold:
+                continue  # an alignment matches each word of the text once at most
             score, end = align(wanted, hashes[low:high])
-            if score > best:
+            if score > best and score / (MATCH * len(wanted)) >= threshold:
                 back = align(wanted[::-1], hashes[low : low + end][::-1])[1]
                 best, span = score, (low + end - back - a, low + end - a)
             if best == MATCH * len(wanted):
@@ -148,26 +138,6 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
         yield held
 
 
-def _counts(block: Block):
-    filtered = block.filter()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, owner = word_hashes([t or "" for t in batch.column(0).to_pylist()])
-        where, first = block.found(hashes, owner, filtered)
-        once = np.unique(np.stack([owner[where], first]), axis=1)[1] if len(where) else first
-        found, counts = np.unique(once, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(block.seeds[found].view(np.int64)), pa.array(counts, pa.int64())], ["seed", "n"])
-
-    return run
-
-
-def seeded(docs: DataFrame, rows: list[tuple], text_col: str, share: float = SHARE) -> Block:
-    """A block of items with the seeds that are rare in `docs`, by document frequencies over all of them."""
-    block = Block.of_items(rows)
-    counted = map_arrow(docs.select(F.col(text_col).alias("text")), _counts(block), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return block.rarer({r["seed"]: r["n"] for r in counted.collect()}, share)  # a row for each seed of the block at most
-
-
 def _aligned(block: Block, threshold: float):
     filtered = block.filter()
 
@@ -191,19 +161,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = rows.dtypes[0][1]
     result = None
     for items in blocks(benchmark, item_col, item_text_col, block_words):
-        part = map_arrow(rows, _aligned(seeded(docs, items, text_col), threshold), f"doc {kind}, item long, score double, start long, stop long")
+        part = map_arrow(rows, _aligned(Block.of_items(items), threshold), f"doc {kind}, item long, score double, start long, stop long")
         result = part if result is None else result.unionByName(part)
     if result is None:
         result = docs.sparkSession.createDataFrame([], f"doc {kind}, item long, score double, start long, stop long")
     return result.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", F.col("start").alias("first_word"), F.col("stop").alias("after_word"))
 
 
-def contamination(df: DataFrame, text: Column, block: Block) -> Column:
-    """A struct (score): the best score of a text against the items of a block, 0 if no seed occurs in it."""
+def contamination(df: DataFrame, text: Column, block: Block, threshold: float = 0.0) -> Column:
+    """A struct (score): the best score of a text against the items of a block, 0 if no seed occurs in it or none reaches the threshold."""
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         best = np.zeros(len(texts))
-        for doc, _, score, _, _ in _matches(block, block.filter(), [t or "" for t in texts], 0.0):
+        for doc, _, score, _, _ in _matches(block, block.filter(), [t or "" for t in texts], threshold):
             best[doc] = max(best[doc], score)
         return [pa.array(best, pa.float64())]
 
@@ -214,6 +184,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     """The rows of `docs`, all columns, that hold no copy of a test item."""
     kept = docs
     for items in blocks(benchmark, item_col, item_text_col, block_words):
-        block = seeded(docs, items, text_col)
-        kept = kept.where(contamination(docs, F.col(text_col), block)["score"] < threshold)
+        block = Block.of_items(items)
+        kept = kept.where(contamination(docs, F.col(text_col), block, threshold)["score"] < threshold)
     return kept

@@ -74,6 +74,26 @@ def test_a_passage_that_most_documents_hold(spark, docs_of):
     assert D.contaminated(docs_of([f"{item} " * 3000]), benchmark).first()["score"] == 1.0
 
 
+EDITS = {
+    "replaced": lambda k, w: ["other%d" % k] if k % 4 == 3 else [w],
+    "deleted": lambda k, w: [] if k % 4 == 3 else [w],
+    "inserted": lambda k, w: [w, "more%d" % k] if k % 3 == 2 else [w],
+}
+
+
+@pytest.mark.parametrize("beside", [False, True])
+@pytest.mark.parametrize("edit", sorted(EDITS))
+def test_a_copy_with_an_edit_in_most_seeds(spark, docs_of, edit, beside):
+    item = [f"q{i}" for i in range(38)]
+    copy = [x for k, w in enumerate(item) for x in EDITS[edit](k, w)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = docs_of(["clean text of its own", "so " + " ".join(copy) + " end", *([" ".join(item)] if beside else [])])
+    wanted = {1: brute_align(item, copy) / 76} | ({2: 1.0} if beside else {})
+    got = {r["doc_id"]: r["score"] for r in D.contaminated(docs, benchmark).collect()}
+    assert got == pytest.approx(wanted) and min(wanted.values()) > 0.5
+    assert [r["doc_id"] for r in D.remove(docs, benchmark).collect()] == [0]
+
+
 def test_empty_tables(spark, docs_of):
     benchmark = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.contaminated(docs_of(["x"]).limit(0), benchmark).count() == 0
