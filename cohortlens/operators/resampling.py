@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.hashing import draw
 
 SEED = 20260831
+BLOCK, PARTS = 250, 32
 
 
 def numbered(stats: DataFrame, strata: list[str], cluster: str) -> DataFrame:
@@ -24,8 +25,10 @@ def numbered(stats: DataFrame, strata: list[str], cluster: str) -> DataFrame:
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
-    """Each row once for each replicate b."""
-    return df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """Each row once for each replicate b; blocks of replicates are dealt over tasks, as a few small rows become many."""
+    blocks = -(-n // BLOCK)
+    dealt = df.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(min(blocks, PARTS), "__k") if blocks > 1 else df.withColumn("__k", F.lit(0))
+    return dealt.withColumn("b", F.explode(F.sequence(F.col("__k") * BLOCK, F.least(F.col("__k") * BLOCK + BLOCK - 1, F.lit(n - 1))))).drop("__k")
 
 
 def weights(sizes: DataFrame, n: int, seed: int) -> DataFrame:

@@ -16,7 +16,7 @@ from cohortlens.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-REPLICATES = 200
+REPLICATES = 10_000
 STRATUM = ["model", "condition"]
 PRIMARY = ("fer", "fer_abnormal", "omission", "macro_f1", "micro_f1", "hamming_accuracy")
 

@@ -272,3 +272,24 @@ def test_cider(spark):
     rows = [(0, "a b c d e", "a b c d e"), (1, "x y z", "a q"), (2, None, "a"), (3, "k l m n", "k l m n")]
     got = {r["id"]: r["cider"] for r in text_metrics.cider(spark.createDataFrame(rows, "id int, r string, h string"), "id", "r", "h").collect()}
     assert got[0] == pytest.approx(10.0) and got[1] == 0 and got[2] == 0 and math.isclose(got[3], 10.0) and len(LABELS) == 13
+
+
+def test_registered_inference_has_the_production_replicates(spark):
+    import inspect
+
+    from cohortlens.plans import queries
+
+    for f in (resampling.bootstrap, resampling.paired_bootstrap, resampling.paired_permutation, resampling.sign_flip):
+        assert inspect.signature(f).parameters["n"].default == queries.REPLICATES
+    # 13 labels and 12 contrasts can be significant after Holm
+    assert 13 / (queries.REPLICATES + 1) < 0.05
+    nets = spark.createDataFrame([("s", c, 1) for c in range(40)], "s string, c int, net int")
+    assert resampling.sign_flip(nets, ["s"], "c", ["net"], queries.REPLICATES).first()["p_value"] < 1 / 201
+
+
+def test_every_replicate_occurs_once(spark):
+    df = spark.createDataFrame([("x",), (None,)], "k string")
+    for n in (1, 250, 251, 10_000):
+        got = resampling.replicates(df, n)
+        assert got.columns == ["k", "b"]
+        assert sorted(r["b"] for r in got.where("k is null").collect()) == list(range(n)) and got.count() == 2 * n
