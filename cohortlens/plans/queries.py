@@ -96,10 +96,10 @@ def verifier_records(spark, sf):
     k, doc = draw("rec", F.col("doc_id")) % 4, F.col("doc_id").cast("string")
     words = F.when(F.col("quality") == 1, "TRUE").otherwise("answer: false")
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    part = F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 50).alias("text")))
+    part = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
     shape = [
-        F.to_json(F.struct(F.concat(F.lit("id"), doc).alias("id"), F.substring("text", 1, 50).alias("report"), F.col("source").alias("patient_id"), F.col("quality").alias("label"))),
-        F.to_json(F.struct(F.substring("text", 1, 50).alias("input"), F.struct(F.col("source").alias("subject_id")).alias("meta"), F.struct(words.alias("answer")).alias("ground_truth"))),
+        F.to_json(F.struct(F.concat(F.lit("id"), doc).alias("id"), F.col("text").alias("report"), F.col("source").alias("patient_id"), F.col("quality").alias("label"))),
+        F.to_json(F.struct(F.col("text").alias("input"), F.struct(F.col("source").alias("subject_id")).alias("meta"), F.struct(words.alias("answer")).alias("ground_truth"))),
         F.to_json(F.struct(F.concat(F.lit("f"), doc).alias("file_name"), F.array(message("Human", part.cast("string")), message("gpt", words)).alias("messages"))),
         F.to_json(F.struct(F.concat(F.lit("u"), doc).alias("uid"), F.to_json(F.array(F.struct(F.lit("user").alias("role"), part.alias("content")), )).alias("harmony_prompt"), words.alias("verdict"))),
     ]
@@ -140,14 +140,25 @@ def rank1_review(spark, sf):
     return rounded(retrieval.for_review(retrieval.top_k(queries, gallery, 1)))
 
 
-@query
-def evidence_prompt(spark, sf):
-    names = table(spark, sf, "documents").select(F.col("doc_id").alias("gallery_id"), F.substring(X.clean(F.col("text")), 1, 200).alias("report_text"))
-    near = _safe(spark, sf, 3).join(names, "gallery_id", "left")
+def _evidence(spark, sf, k: int, report: Column) -> DataFrame:
+    names = table(spark, sf, "documents").select(F.col("doc_id").alias("gallery_id"), report.alias("report_text"))
+    near = _safe(spark, sf, k).join(names, "gallery_id", "left")
     rows = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.round("score", 3).alias("score"), "report_text", F.lit("").alias("report"), F.lit("").alias("caption")))).alias("n"))
     return rows.select("query_id", F.size("n").alias("n_neighbors"), F.sha2(X.evidence_block(F.col("n")), 256).alias("prompt_hash"))
 
 
+@query
+def evidence_prompt(spark, sf):
+    """Three neighbours and the first 200 characters of each report only, as in its SQL; evidence_prompt_whole cuts nothing."""
+    return _evidence(spark, sf, 3, F.substring(X.clean(F.col("text")), 1, 200))
+
+
+@query
+def evidence_prompt_whole(spark, sf):
+    """The whole reports of ten neighbours."""
+    return _evidence(spark, sf, 10, X.clean(F.col("text")))
+
+
 # Cohorts
 
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,37 @@ def test_every_replicate_occurs_once(spark):
         got = resampling.replicates(df, n)
         assert got.columns == ["k", "b"]
         assert sorted(r["b"] for r in got.where("k is null").collect()) == list(range(n)) and got.count() == 2 * n
+
+
+def test_evidence_and_records_hold_whole_texts(spark, tmp_path, monkeypatch):
+    import hashlib
+    import json
+
+    import numpy as np
+
+    from cohortlens.operators import records
+    from cohortlens.plans import queries
+
+    rng = random.Random(5)
+    texts = {k: f"begin{k} " + "word " * rng.randrange(1, 90) + f'"quoted" \\ end{k}' for k in range(40)} | {3: "long " * 100_000 + "end3"}
+    vectors = {k: [rng.gauss(0, 1) for _ in range(6)] for k in texts}
+    spark.createDataFrame([(k, t, f"s{k % 5}") for k, t in texts.items()], "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, quality int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(k, v, k % 4) for k, v in vectors.items()], "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    got = {r["query_id"]: (r["n_neighbors"], r["prompt_hash"]) for r in queries.QUERIES["evidence_prompt_whole"](spark, str(tmp_path)).collect()}
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in vectors.items()}
+    wanted = {}
+    for q in (0, 20):
+        near = sorted(((float(unit[q] @ unit[g]), g) for g in texts if g % 4 != q % 4), reverse=True)[:10]
+        prompt = "\n\n".join(f"REFERENCE {i} (similarity={round(s, 3):.6f}):\n{texts[g]}" for i, (s, g) in enumerate(near, 1))
+        wanted[q] = (10, hashlib.sha256(prompt.encode()).hexdigest())
+    assert got == wanted
+
+    seen, standardize = [], records.standardize
+    monkeypatch.setattr(records, "standardize", lambda df: seen.append(df) or standardize(df))
+    assert sum(r["n"] for r in queries.QUERIES["verifier_records"](spark, str(tmp_path)).collect()) == len(texts)
+    raw = [r["raw"] for r in seen[0].collect()]
+    assert len(raw) == len(texts)
+    # the mark at the end of each text is in one record
+    assert sorted(int(m) for x in raw for m in re.findall(r"end(\d+)", x)) == sorted(texts)
