@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +25,59 @@ def greedy_split(sizes: list[tuple[str, int]], fractions: tuple[float, ...], see
     return out
 
 
+def level_turns(levels: list[tuple[int, int]], fractions: tuple[float, ...]) -> list[tuple[int, int, int, list[int]]]:
+    """greedy_split over (size, number of groups of that size), a level at a time: (size, begin, end, splits) tells that the
+    groups of that size from rank `begin` to before `end` go to `splits` in turn.
+
+    Whenever a group fits anywhere it fits where the most room is, so the fold always takes that split. Groups of one size
+    lower the rooms by equal steps: the splits within a step of the fullest take turns until the next one is reached.
+    """
+    shares = [Fraction(str(f)) for f in fractions]
+    unit = math.lcm(*[f.denominator for f in shares])
+    total = sum(size * count for size, count in levels)
+    room = [int(f * unit) * total for f in shares]
+    out = []
+    for size, count in sorted(levels, reverse=True):
+        step, begin = size * unit, 0
+        while begin < count:
+            order = sorted(range(len(room)), key=lambda k: (-room[k], k))
+            top, lead = room[order[0]], order[0]
+            turns = [k for k in order if k == lead or (room[k], -k) > (top - step, -lead)]
+            end = count
+            if len(turns) < len(order):
+                following = order[len(turns)]
+                apart = top - room[following]
+                rounds = apart // step if lead < following else (apart - 1) // step
+                end = min(count, begin + rounds * len(turns))
+            out.append((size, begin, end, turns))
+            full, rest = divmod(end - begin, len(turns))
+            for i, k in enumerate(turns):
+                room[k] -= step * (full + (i < rest))
+            begin = end
+    return out
+
+
 def grouped_split(df: DataFrame, group: str, names: tuple[str, ...] = ("train", "validation", "test"), fractions: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 20260831, exact_groups: int = 100_000) -> DataFrame:
     """`df` with `split`: a group lies in one split, and split sizes follow the fractions.
 
-    Up to `exact_groups` groups the assignment is the greedy one on the groups' sizes (a sequential fold over a bounded list
-    on the driver). Beyond, groups go to splits by hash: still disjoint, sizes in expectation.
+    The assignment is greedy_split's at all sizes, equal sizes in the order of their hashes. Only the histogram of group
+    sizes reaches the driver (its levels grow with the square root of the rows); ranks within a level are counted by
+    buckets of the hash. Up to `exact_groups` groups the assignment is broadcast, which doesn't change it.
     """
-    import hashlib
-
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    found = sizes.limit(exact_groups + 1).collect()
-    if len(found) > exact_groups:
-        return df.withColumn("split", hash_split(F.col(group), names, fractions, seed))
-    order = lambda g: hashlib.md5(f"{seed}|{g}".encode()).hexdigest()[:8]
-    assigned = greedy_split([(r[group], r["n"]) for r in found], fractions, order)
     spark = df.sparkSession
-    kind = df.schema[group].dataType.simpleString()
-    table = spark.createDataFrame([(g, names[k]) for g, k in assigned.items()], f"`{group}` {kind}, split string")
-    return df.join(F.broadcast(table), df[group].eqNullSafe(table[group]), "left").select(*[df[c] for c in df.columns], table["split"])
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__group").cast("string"), F.lit("None"))))
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", hashed).withColumn("__bucket", F.substring("__h", 1, 3))
+    levels = [(r["__n"], r["c"]) for r in sizes.groupBy("__n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    turns = spark.createDataFrame([(n, a, b, [names[k] for k in t]) for n, a, b, t in level_turns(levels, fractions)], "__n long, __begin long, __end long, __turns array<string>")
+    before = Window.partitionBy("__n").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.groupBy("__n", "__bucket").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    ranked = sizes.join(offsets, ["__n", "__bucket"]).withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy("__n", "__bucket").orderBy("__h", "__group")) - 1)
+    place = (F.col("__rank") - F.col("__begin")) % F.size("__turns")
+    within = (ranked["__n"] == turns["__n"]) & (F.col("__rank") >= F.col("__begin")) & (F.col("__rank") < F.col("__end"))
+    assigned = ranked.join(F.broadcast(turns), within).select("__group", F.get("__turns", place).alias("split"))
+    if sum(c for _, c in levels) <= exact_groups:
+        assigned = F.broadcast(assigned)
+    return df.join(assigned, df[group].eqNullSafe(assigned["__group"]), "left").select(*[df[c] for c in df.columns], assigned["split"])
 
 
 def hash_split(group: Column, names: tuple[str, ...], fractions: tuple[float, ...], seed: int) -> Column:

@@ -328,3 +328,28 @@ def test_evidence_and_records_hold_whole_texts(spark, tmp_path, monkeypatch):
     assert len(raw) == len(texts)
     # the mark at the end of each text is in one record
     assert sorted(int(m) for x in raw for m in re.findall(r"end(\d+)", x)) == sorted(texts)
+
+
+@pytest.mark.parametrize("fractions", [(0.8, 0.1, 0.1), (0.5, 0.5), (0.1, 0.2, 0.3, 0.4), (1.0,)])
+def test_levels_of_equal_sizes_are_the_greedy_fold(fractions):
+    rng = random.Random(3)
+    for _ in range(300):
+        levels = [(n, rng.choice((1, 2, 7, 40))) for n in rng.sample(range(1, 30), rng.randrange(0, 6))] + [(rng.choice((31, 200, 2000)), 1)]
+        wanted = sampling.greedy_split([((n, i), n) for n, c in levels for i in range(c)], fractions, lambda g: g[1])
+        got = {(n, i): turns[(i - a) % len(turns)] for n, a, b, turns in sampling.level_turns(levels, fractions) for i in range(a, b)}
+        assert got == wanted
+
+
+def test_grouped_split_is_one_rule_at_all_sizes(spark):
+    import hashlib
+
+    sizes = {f"g{k}": 1 + k % 4 for k in range(300)} | {"hot": 375, None: 3, "big": 40}
+    df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, n int").repartition(7)
+    wanted = sampling.greedy_split(list(sizes.items()), (0.8, 0.1, 0.1), lambda g: hashlib.md5(f"20260831|{g}".encode()).hexdigest())
+    for limit in (100_000, 10):
+        done = sampling.grouped_split(df, "g", exact_groups=limit)
+        assert done.columns == ["g", "n", "split"] and done.count() == sum(sizes.values())
+        assert {r["g"]: ("train", "validation", "test").index(r["split"]) for r in done.select("g", "split").distinct().collect()} == wanted
+        n = {r["split"]: r["count"] / sum(sizes.values()) for r in done.groupBy("split").count().collect()}
+        assert all(abs(n[k] - f) < 0.005 for k, f in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+    assert sampling.grouped_split(df.limit(0), "g").count() == 0
