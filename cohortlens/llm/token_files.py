@@ -6,13 +6,15 @@ expands, and the remaining symbols, so any run of ids is decoded without the res
 
 A round counts all neighbouring pairs of the shard and replaces up to PER_ROUND of the most frequent ones at once (in a
 chain of overlapping occurrences every second one), which changes little against replacing one pair at a time and keeps a
-round to a few array passes. It ends when a round would shorten the shard by less than GAIN. Shards are rows of a Parquet table in the shared folder: the table's commit makes the writing
+round to a few array passes. Pairs far rarer than the round's most frequent wait for a later round. Rounds go on until no
+pair repeats or 16-bit symbols are used up. Shards are rows of a Parquet table in the shared folder: the table's commit makes the writing
 safe against lost executors.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .bpe import encoder, gather
 from .common import CHUNK, chunks, save, ship
 
-SHARD, ROUNDS, PER_ROUND, LEAST, GAIN = 1 << 20, 8, 4096, 8, 0.01
+SHARD, PER_ROUND, LEAST = 1 << 20, 4096, 2
 END, BITS = 0, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "part int, offset long, n_ids long, doc_ids array<long>, payload binary"
@@ -38,6 +40,8 @@ def _chosen(pairs: np.ndarray, bucket: np.ndarray, inside: np.ndarray, limit: in
     at_least = np.cumsum(np.bincount(np.minimum(many, 1 << 16))[::-1])[::-1]  # buckets with so many pairs or more
     cut = max(least, int(np.searchsorted(-at_least, -4 * limit)))
     found, counts = np.unique(pairs[(many[bucket] >= cut) & inside], return_counts=True)
+    if counts.max(initial=0) < least < cut:  # the full buckets hold single pairs only
+        found, counts = np.unique(pairs[(many[bucket] >= least) & inside], return_counts=True)
     order = np.argsort(-counts, kind="stable")[:limit]
     order = order[counts[order] >= max(least, int(counts.max(initial=0)) // 256)]
     found = found[order]
@@ -46,7 +50,7 @@ def _chosen(pairs: np.ndarray, bucket: np.ndarray, inside: np.ndarray, limit: in
     return found[first], own[first]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None = None, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
     """Re-Pair: (symbols, rules, rules of each round, symbols of each document).
 
     `ends` marks the last id of each document; nonterminals are numbered from `first` in the order of their rules. With 16-bit
@@ -56,7 +60,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
     rules: list[np.ndarray] = []
     sizes: list[int] = []
     room = (1 << 16) - first if first < 1 << 16 else 1 << 31
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(symbols) < 2 or room < 1:
             break
         pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
@@ -76,8 +80,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, which = at[take], which[take]
-        if len(at) < GAIN * len(symbols):
-            break
+        used = np.bincount(which, minlength=len(chosen)) > 0  # others lost all their places to overlapping pairs
+        chosen, which = chosen[used], (np.cumsum(used) - 1)[which]
         symbols[at] = first + sum(sizes) + which
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), dtype=bool)

@@ -115,6 +115,38 @@ def test_frequent_pairs_become_rules():
     assert len(token_files.pack(ids, ends, 10)) < len(ids)
 
 
+def repeated(symbols, per_doc):
+    """Neighbouring pairs within a document that stand at two places or more that don't overlap."""
+    seen, many, begin = {}, set(), 0
+    for n in per_doc.tolist():
+        for k in range(begin, begin + n - 1):
+            pair = (int(symbols[k]), int(symbols[k + 1]))
+            if pair in seen and k - seen[pair] > 1:
+                many.add(pair)
+            seen.setdefault(pair, k)
+        begin += n
+    return many
+
+
+@pytest.mark.parametrize("kind", ["passage", "rare", "bucket"])
+def test_rounds_go_on_until_no_pair_repeats(kind):
+    rng = np.random.default_rng(4)
+    if kind == "passage":  # copies of thousands of ids
+        docs = [rng.permutation(np.arange(1, 5001))] * 40
+    elif kind == "rare":  # pairs that occur fewer than eight times beside a very frequent one
+        docs = [np.tile([1, 2], 20_000)] + [rng.permutation(np.arange(3, 1003))] * 3
+    else:  # many single pairs
+        docs = [rng.integers(1, 40_000, 200_000)]
+    ids = np.concatenate([np.append(d, 0) for d in docs]).astype(np.uint32)
+    ends = ids == 0
+    first = 70_000 if kind == "bucket" else 50_000
+    symbols, rules, sizes, per_doc = token_files.compress(ids, ends, first)
+    assert not repeated(symbols, per_doc) and len(rules) == sum(sizes)
+    if kind == "passage":
+        assert per_doc.max() <= 2 and len(sizes) > 8
+    assert (token_files.Shard(token_files.pack(ids, ends, first)).ids() == ids).all()
+
+
 def test_token_files(docs_of, library, tokenizer_path):
     rng = random.Random(3)
     texts = ROWS + [" ".join(rng.choice(["the", "sea", "of", "xq"]) for _ in range(rng.randrange(1, 200))) for _ in range(60)]
