@@ -5,9 +5,10 @@ must begin with the earlier one, and what it adds is the span of the new turn. I
 history: the turn and the first changed offset are reported. The place of a turn's text within its span is found by
 rendering the same prefix with a private-use sentinel as the text.
 
-Long conversations are cut into blocks of BLOCK turns, rendered with the turn before the block as context, so work and
-memory don't grow with the square of their length. Rows are dealt by conversation and streamed in order; a task holds one
-block at a time and keeps running digests, not the conversation.
+All prefixes are rendered from the first turn on, so work grows with the square of a conversation's length. A template whose
+output for a turn depends on that turn alone may say so (local_to_turn); its conversations are cut into blocks of BLOCK
+turns, rendered with the turn before the block as context. Rows are dealt by conversation and streamed in order; a task
+holds one block, or one conversation, at a time and keeps running digests.
 """
 
 from __future__ import annotations
@@ -44,6 +45,21 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def local_to_turn(template: Template) -> Template:
+    """Declare that the template's output is that of its turns one after the other, each rendered by itself."""
+    template.local_to_turn = True
+    return template
+
+
+def _block(template: Template, block: int | None) -> int | None:
+    """Turns rendered at once; None for whole conversations."""
+    local = getattr(template, "local_to_turn", False)
+    if block is not None and not local:
+        raise ValueError("blocks need a template declared local_to_turn")
+    return BLOCK if block is None and local else block
+
+
+@local_to_turn
 def turn_template(turns: list[Turn]) -> str:
     """`### Role: text </turn>` and a line end for each turn, control strings inside role and text escaped."""
     return "".join(f"### {escape(_shown(role), _ROLE_ESCAPE)}: {escape(text)} </turn>\n" for role, text in turns)
@@ -131,7 +147,7 @@ class _Digest:
 COLUMNS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean, first_rewritten_turn long"
 
 
-def _formatted(template: Template, read: Callable, learn: frozenset[str], block: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch], text_rows: bool = False):
+def _formatted(template: Template, read: Callable, learn: frozenset[str], block: int | None, kind: pa.DataType, batches: Iterator[pa.RecordBatch], text_rows: bool = False):
     """Stream rows sorted by conversation and turn; yield a row for each conversation (or for each block, with its text)."""
     names = ["conv_id", *[c.split()[0] for c in COLUMNS.split(", ")]]
     current: _Digest | None = None
@@ -168,7 +184,7 @@ def _formatted(template: Template, read: Callable, learn: frozenset[str], block:
                         done.append(current.row())
                 current, before, started = _Digest(conv), [], True
             pending.append((role or "", text or ""))
-            if len(pending) >= block:
+            if block is not None and len(pending) >= block:
                 close_block()
         if len(done) >= 1000:
             yield emit()
@@ -185,24 +201,25 @@ def _dealt(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 
-def format_digests(conversations: DataFrame, template: Template = turn_template, read: Callable[[str], list[Turn]] = parse, learn: frozenset[str] = frozenset({"assistant"}), block: int = BLOCK, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_digests(conversations: DataFrame, template: Template = turn_template, read: Callable[[str], list[Turn]] = parse, learn: frozenset[str] = frozenset({"assistant"}), block: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each conversation with what is read back from its formatted text: see COLUMNS.
 
     Turns are ordered by turn, role and text, so repeated turn numbers have a defined order; null roles and texts are empty,
     rows with a null conversation form one conversation. rewrites_history tells that some prefix's output wasn't kept by the
-    next one, first_rewritten_turn at which turn. Other columns are not read.
+    next one, first_rewritten_turn at which turn. `block` is for templates declared local_to_turn only, which have BLOCK by
+    default; all others see every prefix from its first turn. Other columns are not read.
     """
     ship(conversations.sparkSession)
     dealt = _dealt(conversations, conv_col, turn_col, role_col, text_col)
-    run = functools.partial(_formatted, template, read, learn, block, _arrow(dealt))
+    run = functools.partial(_formatted, template, read, learn, _block(template, block), _arrow(dealt))
     return dealt.mapInArrow(run, f"conv_id {dealt.dtypes[0][1]}, {COLUMNS}")
 
 
-def format_turns(conversations: DataFrame, template: Template = turn_template, read: Callable[[str], list[Turn]] = parse, learn: frozenset[str] = frozenset({"assistant"}), block: int = BLOCK, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = turn_template, read: Callable[[str], list[Turn]] = parse, learn: frozenset[str] = frozenset({"assistant"}), block: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The formatted text itself, in pieces: (conv_id, position, formatted, content_start, content_end), a row for each turn."""
     ship(conversations.sparkSession)
     dealt = _dealt(conversations, conv_col, turn_col, role_col, text_col)
-    run = functools.partial(_formatted, template, read, learn, block, _arrow(dealt), text_rows=True)
+    run = functools.partial(_formatted, template, read, learn, _block(template, block), _arrow(dealt), text_rows=True)
     return dealt.mapInArrow(run, f"conv_id {dealt.dtypes[0][1]}, position long, formatted string, content_start long, content_end long")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -61,3 +62,20 @@ def test_rewriting_templates_are_reported(spark):
     marked = lambda turns: "".join(f"### {r}: {t}{'!' if k == len(turns) - 1 else ''} </turn>\n" for k, (r, t) in enumerate(turns))
     got = {r["conv_id"]: (r["rewrites_history"], r["first_rewritten_turn"]) for r in C.format_digests(df, marked).collect()}
     assert got == {1: (True, 1), 2: (False, None)}
+
+
+def test_templates_that_depend_on_turns_far_back(spark):
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(150)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    line = lambda name, t: f"### {name}: {t} </turn>\n"
+    numbered = lambda turns: "".join(line(f"{k} {r}", t) for k, (r, t) in enumerate(turns))
+    pieces = C.format_turns(df, numbered).orderBy("position").collect()
+    assert "".join(p["formatted"] for p in pieces) == numbered(turns)
+    assert [p["formatted"][p["content_start"] : p["content_end"]] for p in pieces] == [t for _, t in turns]
+    # old turns are dropped once more than 65 exist
+    dropping = lambda turns: "".join(line(r, t) for r, t in turns[-65:])
+    got = C.format_digests(df, dropping).first()
+    assert (got["rewrites_history"], got["first_rewritten_turn"]) == (True, 65)
+    with pytest.raises(ValueError):
+        C.format_digests(df, numbered, block=64)
+    assert C.format_digests(df, block=3).first() == C.format_digests(df).first()
