@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.stemming import rouge_stem
+
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -37,7 +39,9 @@ def rouge_l_f(reference: str | None, hypothesis: str | None, stem: Callable[[str
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
-def rouge_l(reference: Column, hypothesis: Column, stem: Callable[[str], str] | None = None) -> Column:
+def rouge_l(reference: Column, hypothesis: Column, stem: Callable[[str], str] | None = rouge_stem) -> Column:
+    """ROUGE-L's F measure by rows over Porter stems; `stem` None compares the tokens as they are."""
+
     @F.pandas_udf("double")
     def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for refs, hyps in pairs:

@@ -353,3 +353,19 @@ def test_grouped_split_is_one_rule_at_all_sizes(spark):
         n = {r["split"]: r["count"] / sum(sizes.values()) for r in done.groupBy("split").count().collect()}
         assert all(abs(n[k] - f) < 0.005 for k, f in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
     assert sampling.grouped_split(df.limit(0), "g").count() == 0
+
+
+def test_rouge_counts_inflected_forms_as_matches(spark, tmp_path):
+    from cohortlens.functions.stemming import rouge_stem
+    from cohortlens.plans import queries
+
+    df = spark.createDataFrame([("the lungs are cleared", "the lung are clearing")], "r string, h string")
+    assert df.select(text_metrics.rouge_l(F.col("r"), F.col("h"))).first()[0] == 1.0
+    assert df.select(text_metrics.rouge_l(F.col("r"), F.col("h"), None)).first()[0] == 0.5
+    texts = ["lungs lung clear clears cleared lung", "heart hearts enlarging enlarged x1 hearts heart"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["rouge_l"] for r in queries.QUERIES["rouge_l"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        a = [rouge_stem(w) for w in text.split()]
+        b = [rouge_stem("x" if i % 5 == 4 else w) for i, w in enumerate(text.split())]
+        assert got[k] == round(2 * lcs(a, b) / (len(a) + len(b)), 6)
