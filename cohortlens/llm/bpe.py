@@ -205,12 +205,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(_BASE_INVERSE, max(len(data), 1))[starts] + (ends - starts).astype(np.uint64))
 
 
+def differing(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of the words data[start : start + length] and other[other start : other start + length] differ, eight bytes at a time."""
+    eights = [np.ndarray(len(x) + 1, dtype="<u8", buffer=np.concatenate([x, np.zeros(8, dtype=np.uint8)]), strides=(1,)) for x in ((data, other) if other is not data else (data,))]
+    out, left = np.zeros(len(starts), dtype=bool), np.arange(len(starts))
+    at = 0
+    while len(left):
+        drop = (8 * np.maximum(8 + at - lengths[left], 0)).astype(np.uint64)  # bits beyond the word's end
+        out[left] |= (eights[0][starts[left] + at] ^ eights[-1][others[left] + at]) << drop != 0
+        at += 8
+        left = left[lengths[left] > at]
+    return out
+
+
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of distinct words, number among them of each word, their counts and hashes); words of one hash are compared byte by byte."""
+    """(rows of distinct words, number among them of each word, their counts and hashes); words of one hash are compared in full."""
     hashes, one, same, counts = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
     lengths = ends - starts
     other = one[same]
-    if (lengths != lengths[other]).any() or (gather(data, starts, lengths) != gather(data, starts[other], lengths)).any():
+    if (lengths != lengths[other]).any() or differing(data, starts, data, starts[other], lengths).any():
         return np.arange(len(starts)), np.arange(len(starts)), np.ones(len(starts), dtype=np.int64), word_hashes(data, starts, ends)
     return one, same, counts, hashes
 
@@ -233,9 +246,7 @@ class SeenWords:
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = np.flatnonzero((self.hashes[at] == hashes) & (self.lengths[at] == lengths))
-            differs = np.flatnonzero(gather(data, a[hit], lengths[hit]) != gather(self.data, self.starts[at[hit]], lengths[hit]))
-            if len(differs):  # two words of one hash
-                hit = np.delete(hit, np.unique(np.searchsorted(np.cumsum(lengths[hit]), differs, side="right")))
+            hit = hit[~differing(data, a[hit], self.data, self.starts[at[hit]], lengths[hit])]  # two words may have one hash
             new[hit] = False
             first[hit], size[hit] = self.first[at[hit]], self.size[at[hit]]
         fresh = np.flatnonzero(new)

@@ -164,3 +164,23 @@ def test_token_files(docs_of, library, tokenizer_path):
     back = {r["doc_id"]: r["ids"] for r in token_files.documents(shards).collect()}
     assert back[ids[0]] == [0] and back[ids[2]][:-1] == library.encode(texts[2], add_special_tokens=False).ids
     assert token_files.read(token_files.write(docs_of(["x"]).limit(0), tokenizer_path)).count() == 0
+
+
+def test_rules_beyond_16_bits_and_small_reads():
+    rng = np.random.default_rng(5)
+    phrases = [rng.integers(1, 50_000, 6) for _ in range(9000)]
+    docs = [np.concatenate([phrases[k] for k in rng.integers(0, 9000, 50)]) for _ in range(600)]
+    ids = np.concatenate([np.append(d, 0) for d in docs]).astype(np.uint32)
+    shard = token_files.Shard(token_files.pack(ids, ids == 0, 50_257))
+    assert len(shard.rules) > 1 << 15 and (shard.ids() == ids).all()
+    assert (shard.ids(777, 1234) == ids[777:1234]).all() and "grammar" in shard.__dict__
+    again = token_files.Shard(token_files.pack(ids, ids == 0, 50_257))
+    assert (again.ids(777, 1234) == ids[777:1234]).all() and "grammar" not in again.__dict__  # other rules aren't expanded
+
+
+def test_token_files_of_text_ids(docs_of, tokenizer_path):
+    docs = docs_of(["b", None, "a a", ""]).withColumn("doc_id", F.concat(F.lit("k"), 9 - F.col("doc_id")))
+    shards = token_files.write(docs, tokenizer_path)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.read(shards).collect())
+    assert got == [(0, "k6", 1), (1, "k7", 3), (4, "k8", 1), (5, "k9", 2)]
+    assert {r["doc_id"]: len(r["ids"]) for r in token_files.documents(shards).collect()} == {"k6": 1, "k7": 3, "k8": 1, "k9": 2}
