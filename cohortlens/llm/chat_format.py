@@ -123,21 +123,24 @@ class _Digest:
     """Running results of one conversation, read back from the formatted blocks."""
 
     def __init__(self, conv_id):
-        self.conv_id, self.turns, self.loss_chars, self.chars, self.rewritten, self.first = conv_id, 0, 0, 0, 0, None
+        self.conv_id, self.rendered, self.turns, self.loss_chars, self.chars, self.rewritten, self.first = conv_id, 0, 0, 0, 0, 0, None
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, rendered: Rendered, read: Callable[[str], list[Turn]], roles: list[str], learn: frozenset[str]) -> None:
-        for role, text in read(rendered.text):
+    def add(self, rendered: Rendered, read: Callable[[str], list[Turn]], learn: frozenset[str]) -> None:
+        """Count and digest what `read` finds in a block; the loss mask holds the text spans of the turns whose role it reads as learnt."""
+        turns = read(rendered.text)
+        for role, text in turns:
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        for role, (a, b) in zip(roles, rendered.content, strict=True):
+        for (role, _), (a, b) in zip(turns, rendered.content, strict=False):
             if role in learn:
                 text = unescape(rendered.text[a:b])
                 self.loss_chars += len(text)
                 self.loss.update(text.encode("utf-8", "surrogatepass"))
         if rendered.rewrites and self.first is None:
-            self.first = self.turns + rendered.rewrites[0][0]
+            self.first = self.rendered + rendered.rewrites[0][0]
         self.rewritten += len(rendered.rewrites)
-        self.turns += len(roles)
+        self.rendered += len(rendered.spans)
+        self.turns += len(turns)
         self.chars += len(rendered.text)
 
     def row(self) -> tuple:
@@ -160,8 +163,8 @@ def _formatted(template: Template, read: Callable, learn: frozenset[str], block:
         if pending:
             rendered = incremental(template, [*before, *pending], len(before))
             if text_rows:
-                done.extend((current.conv_id, current.turns + k, rendered.text[a:b], x, y) for k, ((a, b), (x, y)) in enumerate(zip(rendered.spans, [(p - s, q - s) for (s, _), (p, q) in zip(rendered.spans, rendered.content, strict=True)], strict=True)))
-            current.add(rendered, read, [r for r, _ in pending], learn)
+                done.extend((current.conv_id, current.rendered + k, rendered.text[a:b], x, y) for k, ((a, b), (x, y)) in enumerate(zip(rendered.spans, [(p - s, q - s) for (s, _), (p, q) in zip(rendered.spans, rendered.content, strict=True)], strict=True)))
+            current.add(rendered, read, learn)
             before = [pending[-1]]
             pending.clear()
 
@@ -206,7 +209,8 @@ def format_digests(conversations: DataFrame, template: Template = turn_template,
 
     Turns are ordered by turn, role and text, so repeated turn numbers have a defined order; null roles and texts are empty,
     rows with a null conversation form one conversation. rewrites_history tells that some prefix's output wasn't kept by the
-    next one, first_rewritten_turn at which turn. `block` is for templates declared local_to_turn only, which have BLOCK by
+    next one, first_rewritten_turn at which turn. Turns and their roles are counted and masked as `read` finds them in the
+    output; a turn that it doesn't find isn't counted. `block` is for templates declared local_to_turn only, which have BLOCK by
     default; all others see every prefix from its first turn. Other columns are not read.
     """
     ship(conversations.sparkSession)
@@ -216,7 +220,10 @@ def format_digests(conversations: DataFrame, template: Template = turn_template,
 
 
 def format_turns(conversations: DataFrame, template: Template = turn_template, read: Callable[[str], list[Turn]] = parse, learn: frozenset[str] = frozenset({"assistant"}), block: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """The formatted text itself, in pieces: (conv_id, position, formatted, content_start, content_end), a row for each turn."""
+    """The formatted text itself, in pieces: (conv_id, position, formatted, content_start, content_end), a row for each turn.
+
+    Order, nulls, repeated turns and other columns are treated as in format_digests; an empty input gives no rows.
+    """
     ship(conversations.sparkSession)
     dealt = _dealt(conversations, conv_col, turn_col, role_col, text_col)
     run = functools.partial(_formatted, template, read, learn, _block(template, block), _arrow(dealt), text_rows=True)
