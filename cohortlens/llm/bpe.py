@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 from .common import CHUNK, chunks, hold, save_bytes, ship, text_column
-from .hashing import _BASE, _BASE_INVERSE, _CODES, mix, powers
+from .hashing import _BASE, _BASE_INVERSE, _CODES, gather, mix, powers
 from .transducer import Transducer
 
 LEXICON, TRACKED = 100_000, 400_000
@@ -192,13 +192,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """values[start : start + length] of all ranges, one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_CODES[data] * powers(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
@@ -361,15 +354,16 @@ def learn_lexicon(docs: DataFrame, text_col: str, path: str, size: int = LEXICON
     ship(spark)
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "word binary, n long")
     counts = hold(counted.groupBy("word").agg(F.sum("n").alias("n")))
-    # whole levels of frequency from the top, as many as fit: a list of levels reaches the driver, then `size` words at most
-    level = F.floor(F.log2("n") * 16)
-    lowest, total = None, 0
+    # whole levels of frequency from the top, as many as fit, then the next level's words by hash: a list of levels reaches
+    # the driver, then about `size` words
+    level, place = F.floor(F.log2("n") * 16), F.xxhash64("word")
+    lowest, total, share = None, 0, 0.0
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["level"]):
+        lowest, share = r["level"], min(1.0, (size - total) / r["c"])
         total += r["c"]
-        if total > size:
+        if total >= size:
             break
-        lowest = r["level"]
-    top = [] if lowest is None else counts.where(level >= lowest).select("word").collect()
+    top = [] if lowest is None else counts.where((level > lowest) | ((level == lowest) & (place <= min(int(share * 2**64) - 2**63, 2**63 - 1)))).select("word").collect()
     counts.unpersist()
     vocab = vocabulary(path)
     made = Transducer.build((bytes(r["word"]), vocab.merge(bytes(r["word"]))) for r in top)
@@ -429,7 +423,10 @@ def decode(df: DataFrame, ids: Column, path: str) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded; null is the empty text."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded, a row for each row, repeated ids too.
+
+    A null text is the empty one, with no ids; an empty input gives no rows; other columns are not read.
+    """
     lexicon = learn_lexicon(docs, text_col, path, size)
     coded = text_column(docs.sparkSession, _round_trip(path, lexicon), "n_tokens long, ids_sha256 string, decoded_sha256 string", 2 * CHUNK)(F.col(text_col))
     return docs.select(F.col(id_col), coded.alias("found")).select(id_col, "found.*")

@@ -1,28 +1,34 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and bytes beyond ASCII, in lower case. All runs of WIDTH words of a test item are seeds,
-however frequent: in an edited copy any of them may be the only one left. Where a seed occurs, the document's words around
-the implied place of the item are aligned with the item; the score is the local alignment's, divided by that of a perfect
-copy. A place that holds too few of the item's words to reach the threshold in any order isn't aligned.
+however frequent: in an edited copy any of them may be the only one left. An item of fewer words is its own only seed. Where
+a seed occurs, the document's words around the implied place of the item are aligned with the item; the score is the local
+alignment's, divided by that of a perfect copy. A place that holds too few of the item's words to reach the threshold in any
+order isn't aligned, which is what rarer seeds alone would save.
 
-Test items travel to the executors in blocks of at most BLOCK_WORDS words, so what is sent has a bound however many items
-there are; each block is a map over the corpus without a shuffle of texts.
+Test items are compiled in blocks of at most BLOCK_WORDS words into index files in the shared folder, which executors fetch
+and memory-map, one copy for all their workers. Each block is a map over the corpus without a shuffle of texts.
 """
 
 from __future__ import annotations
 
+import functools
+import io
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow, text_column
+from .common import map_arrow, save_bytes, text_column
 from .hashing import grams, words
 
-WIDTH, BLOCK_WORDS, THRESHOLD = 3, 250_000, 0.5
+WIDTH, BLOCK_WORDS, THRESHOLD = 3, 4_000_000, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 SEPARATORS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -34,43 +40,86 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Block:
-    """Test items and their seeds, sorted by hash: of which item and at which of its words."""
+    """Test items and their seeds of WIDTH words, sorted by hash: of which item and at which of its words.
 
-    item_ids: list
-    items: list[np.ndarray]
+    Items of fewer words are seeds themselves; `short` are the numbers of words that such items have.
+    """
+
+    bounds: np.ndarray  # first word of each item, and the end
+    words: np.ndarray
     seeds: np.ndarray
     of: np.ndarray
     at: np.ndarray
+    short: np.ndarray
 
     @classmethod
-    def of_items(cls, rows: list[tuple[int, str]]) -> Block:
-        """Items of fewer than WIDTH words can't be located and get no seeds."""
-        hashes, owner = word_hashes([t for _, t in rows])
-        bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
-        items = [hashes[bounds[k] : bounds[k + 1]] for k in range(len(rows))]
-        seeds = [grams(x, WIDTH) for x in items]
-        of = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])
-        at = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, dtype=np.int64)
-        flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(flat, kind="stable")
-        return cls([i for i, _ in rows], items, flat[order], of[order], at[order])
-
-    def found(self, hashes: np.ndarray, owner: np.ndarray, filtered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of the texts' word runs that are seeds, number of the first equal seed)."""
-        g = grams(hashes, WIDTH)
-        if not len(g) or not len(self.seeds):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        where = np.flatnonzero(filtered[(g >> np.uint64(44)).astype(np.int64)] & (owner[: len(g)] == owner[WIDTH - 1 :]))
-        first = np.minimum(np.searchsorted(self.seeds, g[where]), len(self.seeds) - 1)
-        ok = self.seeds[first] == g[where]
-        return where[ok], first[ok]
-
+    def of_items(cls, texts: list[str]) -> Block:
+        """Items without a word get no seeds."""
+        words_, owner = word_hashes(texts)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        lengths = np.diff(bounds)
+        parts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for width in (WIDTH, *range(1, WIDTH)):
+            start = np.flatnonzero(lengths[owner] == width if width < WIDTH else lengths[owner] >= WIDTH)
+            start = start[start + width <= bounds[owner[start] + 1]]
+            parts[0].append(grams(words_, width)[start])
+            parts[1].append(owner[start])
+            parts[2].append(start - bounds[owner[start]])
+        seeds, of, at = (np.concatenate(x) for x in parts)
+        order = np.argsort(seeds, kind="stable")
+        return cls(bounds, words_, seeds[order], of[order], at[order], np.unique(lengths[(lengths > 0) & (lengths < WIDTH)]))
+
+    def item(self, k: int) -> np.ndarray:
+        return self.words[self.bounds[k] : self.bounds[k + 1]]
+
+    @functools.cached_property
     def filter(self) -> np.ndarray:
         """A table that tells by 20 bits of a hash that it isn't a seed."""
         out = np.zeros(1 << 20, dtype=bool)
         out[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
         return out
 
+    def found(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the texts' word runs that are seeds, number of the first equal seed)."""
+        places, numbers = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for width in (*self.short.tolist(), WIDTH) if len(self.seeds) else ():
+            g = grams(hashes, width)
+            where = np.flatnonzero(self.filter[(g >> np.uint64(44)).astype(np.int64)] & (owner[: len(g)] == owner[width - 1 :]))
+            first = np.minimum(np.searchsorted(self.seeds, g[where]), len(self.seeds) - 1)
+            ok = self.seeds[first] == g[where]
+            places.append(where[ok])
+            numbers.append(first[ok])
+        return np.concatenate(places), np.concatenate(numbers)
+
+    def payload(self) -> bytes:
+        out = io.BytesIO()
+        for x in (self.bounds, self.words, self.seeds, self.of, self.at, self.short):
+            out.write(struct.pack("<q", len(x)) + x.astype("<u8").tobytes())
+        return out.getvalue()
+
+    @classmethod
+    def map(cls, path: str) -> Block:
+        """The block of an index file, memory-mapped."""
+        flat, at, parts = np.memmap(path, dtype="<u8", mode="r"), 0, []
+        for k in range(6):
+            n = int(flat[at])
+            part = flat[at + 1 : at + 1 + n]
+            parts.append(part if k in (1, 2) else part.view(np.int64))
+            at += n + 1
+        return cls(*parts)
+
+
+@functools.lru_cache(16)
+def _mapped(name: str) -> Block:
+    return Block.map(SparkFiles.get(name))
+
+
+def shipped(spark, block: Block) -> str:
+    """Write a block to the shared folder; the name under which executors find their copy."""
+    path = save_bytes(spark, block.payload(), "items")
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(score, end) of the best local alignment; the first of equal ones. A row of the matrix is one pass over `text`."""
@@ -87,10 +136,10 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _matches(block: Block, filtered: np.ndarray, texts: list[str], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+def _matches(block: Block, texts: list[str], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, word after the last) of each text and item at or above the threshold."""
     hashes, owner = word_hashes(texts)
-    where, first = block.found(hashes, owner, filtered)
+    where, first = block.found(hashes, owner)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     places: dict[tuple[int, int], set[int]] = {}
     for position, k in zip(where.tolist(), first.tolist(), strict=True):
@@ -99,7 +148,7 @@ def _matches(block: Block, filtered: np.ndarray, texts: list[str], threshold: fl
             places.setdefault((int(owner[position]), int(block.of[k])), set()).add(position - int(block.at[k]))
             k += 1
     for (doc, item), begins in sorted(places.items()):
-        wanted = block.items[item]
+        wanted = block.item(item)
         slack = max(4, len(wanted) // 2)
         a, b = int(bounds[doc]), int(bounds[doc + 1])
         best, span = -1, (0, 0)
@@ -138,13 +187,11 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
         yield held
 
 
-def _aligned(block: Block, threshold: float):
-    filtered = block.filter()
-
+def _aligned(name: str, item_ids: pa.Array, threshold: float):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = list(_matches(block, filtered, [t or "" for t in batch.column(1).to_pylist()], threshold))
+        found = list(_matches(_mapped(name), [t or "" for t in batch.column(1).to_pylist()], threshold))
         ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-        columns = [ids, pa.array([block.item_ids[f[1]] for f in found]).cast(pa.int64()), *[pa.array([f[k] for f in found], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]]
+        columns = [ids, item_ids.take(pa.array([f[1] for f in found], pa.int64())), *[pa.array([f[k] for f in found], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]]
         return pa.RecordBatch.from_arrays(columns, ["doc", "item", "score", "start", "stop"])
 
     return run
@@ -154,26 +201,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, score, first_word, after_word): documents that hold a copy of a test item, exact or edited.
 
     A row for each document row and item whose best alignment scores `threshold` of a perfect copy or more, with the place
-    of the alignment in the document's words. Null texts hold nothing, null or very short items match nothing, repeated
-    rows give repeated results, and a null doc_id is carried along. Other columns are not read.
+    of the alignment in the document's words, the first of equal ones. Null texts hold nothing, null and wordless items match
+    nothing, items of one or two words match where they stand as a whole, repeated rows give repeated results, and a null
+    doc_id is carried along. Other columns are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    kind = rows.dtypes[0][1]
+    schema = f"doc {rows.dtypes[0][1]}, item {dict(benchmark.dtypes)[item_col]}, score double, start long, stop long"
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
     result = None
     for items in blocks(benchmark, item_col, item_text_col, block_words):
-        part = map_arrow(rows, _aligned(Block.of_items(items), threshold), f"doc {kind}, item long, score double, start long, stop long")
+        name = shipped(spark, Block.of_items([t for _, t in items]))
+        part = map_arrow(rows, _aligned(name, pa.array([k for k, _ in items], kind), threshold), schema)
         result = part if result is None else result.unionByName(part)
     if result is None:
-        result = docs.sparkSession.createDataFrame([], f"doc {kind}, item long, score double, start long, stop long")
+        result = spark.createDataFrame([], schema)
     return result.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", F.col("start").alias("first_word"), F.col("stop").alias("after_word"))
 
 
-def contamination(df: DataFrame, text: Column, block: Block, threshold: float = 0.0) -> Column:
-    """A struct (score): the best score of a text against the items of a block, 0 if no seed occurs in it or none reaches the threshold."""
+def contamination(df: DataFrame, text: Column, block: str, threshold: float = 0.0) -> Column:
+    """A struct (score): the best score of a text against the items of a shipped() block, 0 if no seed occurs in it or none reaches the threshold."""
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         best = np.zeros(len(texts))
-        for doc, _, score, _, _ in _matches(block, block.filter(), [t or "" for t in texts], threshold):
+        for doc, _, score, _, _ in _matches(_mapped(block), [t or "" for t in texts], threshold):
             best[doc] = max(best[doc], score)
         return [pa.array(best, pa.float64())]
 
@@ -181,9 +232,12 @@ def contamination(df: DataFrame, text: Column, block: Block, threshold: float =
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no copy of a test item."""
+    """The rows of `docs`, all columns, that hold no copy of a test item: null texts stay, repeated rows go or stay together.
+
+    Null and wordless items match nothing; without items all rows stay.
+    """
     kept = docs
     for items in blocks(benchmark, item_col, item_text_col, block_words):
-        block = Block.of_items(items)
-        kept = kept.where(contamination(docs, F.col(text_col), block, threshold)["score"] < threshold)
+        name = shipped(docs.sparkSession, Block.of_items([t for _, t in items]))
+        kept = kept.where(contamination(docs, F.col(text_col), name, threshold)["score"] < threshold)
     return kept

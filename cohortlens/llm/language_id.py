@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK, map_arrow, text_column
+from .hashing import gather
 from .sampling import bounded
 
-PROFILE, DOCUMENT, PER_LANGUAGE, MAX_LANGUAGES = 400, 300, 4000, 1000
+PROFILE, DOCUMENT, PER_LANGUAGE = 400, 300, 4000
 UNKNOWN = "und"
 
 
@@ -73,25 +74,30 @@ def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, np.ndarray]:
-    """Profiles of the languages in `rows` (null texts and languages are skipped): n-gram keys by rank."""
+    """Profiles of the languages in `rows`: n-gram keys by rank, ties by key.
+
+    Null texts and languages are skipped; a language has the `per_language` rows of the smallest id hashes, repeated ids with
+    all their rows. No rows give no profiles. What reaches the driver is `profile` keys for each language.
+    """
     usable = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = map_arrow(bounded(usable, "id", "lang", per_language).select("lang", "text"), _counted, "lang string, gram long, n long", CHUNK // 2)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("r", rank).where(F.col("r") <= profile)
-    found = top.select("lang", "r", "gram").collect()
-    langs = sorted({x["lang"] for x in found})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; profiles are made for {MAX_LANGUAGES} at most")
-    return {lang: np.array([x["gram"] for x in sorted((y for y in found if y["lang"] == lang), key=lambda y: y["r"])], dtype=np.int64) for lang in langs}
+    found: dict[str, list[int]] = {}
+    for x in sorted(top.select("lang", "r", "gram").collect()):
+        found.setdefault(x["lang"], []).append(x["gram"])
+    return {lang: np.array(keys, dtype=np.int64) for lang, keys in found.items()}
 
 
 def predictor(profiles: dict[str, np.ndarray], size: int = PROFILE, limit: int = DOCUMENT):
     langs = sorted(profiles)
-    known = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.zeros(0, dtype=np.int64)
-    ranks = np.full((len(known) + 1, len(langs)), -1, dtype=np.int64)
-    for j, lang in enumerate(langs):
-        ranks[np.searchsorted(known, profiles[lang]), j] = np.arange(len(profiles[lang]))
-
+    # the ranks of each known n-gram, one after the other, with their languages
+    grams = np.concatenate([profiles[x] for x in langs]) if langs else np.zeros(0, dtype=np.int64)
+    order = np.argsort(grams, kind="stable")
+    rank = np.concatenate([np.arange(len(profiles[x])) for x in langs])[order] if langs else grams
+    lang = np.repeat(np.arange(len(langs)), [len(profiles[x]) for x in langs])[order]
+    known, first, count = np.unique(grams[order], return_index=True, return_counts=True)
+    first, count = np.append(first, 0), np.append(count, 0)  # the last entry: an n-gram of no profile
     def predict(texts: list[str | None]) -> list[pa.Array]:
         names, scores = [], []
         for keys in _per_text([t or "" for t in texts]):
@@ -102,11 +108,12 @@ def predictor(profiles: dict[str, np.ndarray], size: int = PROFILE, limit: int =
             top = ranked(keys, limit)
             at = np.searchsorted(known, top)
             at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != top)] = len(known)
-            found = ranks[at]
-            cost = np.where(found < 0, size, np.abs(found - np.arange(len(top))[:, None])).sum(axis=0)
-            order = np.argsort(cost, kind="stable")
-            best, rest = cost[order[0]], cost[order[1]] if len(langs) > 1 else size * len(top)
-            names.append(langs[order[0]])
+            place = np.repeat(np.arange(len(top)), count[at])
+            use = gather(np.arange(len(rank)), first[at], count[at])
+            cost = size * len(top) + np.bincount(lang[use], weights=np.abs(rank[use] - place) - size, minlength=len(langs))
+            nearest = np.argsort(cost, kind="stable")
+            best, rest = cost[nearest[0]], cost[nearest[1]] if len(langs) > 1 else size * len(top)
+            names.append(langs[nearest[0]])
             scores.append(float((rest - best) / max(rest, 1)))
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 

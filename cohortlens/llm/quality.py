@@ -147,6 +147,10 @@ def quality(df: DataFrame, text: Column, model: Discriminant) -> Column:
 
 
 def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted), a row for each input row; other columns are not read."""
+    """(doc_id, score, predicted), a row for each input row, repeated ones too; other columns are not read.
+
+    Null and empty texts have the score of the empty text's statistics; a score equal to the threshold predicts 1. An empty
+    input gives no rows.
+    """
     found = docs.select(F.col(id_col), quality(docs, F.col(text_col), model).alias("found"))
     return found.select(id_col, "found.score", (F.col("found.score") >= threshold).cast("int").alias("predicted"))

@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 
 
 def bounded(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """The rows of each class with the `per_class` smallest id hashes (a few more if an id repeats).
+    """The rows of each class with the `per_class` smallest id hashes (more if an id repeats); none without a class.
 
-    Only (class, hash) is ranked, each task keeping its own smallest; the rows themselves are then filtered in place.
+    Rows are counted by class and magnitude of their hash, 64 numbers a class. So a bound of the hash is known that few more
+    than `per_class` rows of each class lie below, and only these are ranked: no task ranks a whole class.
     """
-    hashed = F.xxhash64(F.col(id_col))
+    hashed = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(2**63 - 1))
+    size = F.length(F.bin(hashed))
+    known = rows.select(F.col(class_col).alias("c"), hashed.alias("h"), size.alias("size")).where("c is not null")
+    counts: dict = {}
+    for r in known.groupBy("c", "size").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["c"], []).append((r["size"], r["n"]))
+    wanted = []
+    for c, sizes in counts.items():
+        total = 0
+        for magnitude, n in sorted(sizes):
+            total += n
+            if total >= per_class:
+                break
+        wanted.append((c, magnitude))
+    if not wanted:
+        return rows.where(F.lit(False))
+    spark = rows.sparkSession
+    kind = known.schema["c"].dataType.simpleString()
+    near = known.join(spark.createDataFrame(wanted, f"k {kind}, largest int"), F.expr("c = k and size <= largest"), "left_semi")
     rank = F.row_number().over(Window.partitionBy("c").orderBy("h"))
-    cuts = rows.select(F.col(class_col).alias("c"), hashed.alias("h")).where("c is not null").withColumn("r", rank).where(F.col("r") <= per_class).groupBy("c").agg(F.max("h").alias("h")).collect()
-    keep = F.lit(False)
-    for cut in cuts:
-        keep = keep | ((F.col(class_col) == F.lit(cut["c"])) & (hashed <= F.lit(cut["h"])))
-    return rows.where(keep)
+    cuts = [(r["c"], r["h"]) for r in near.withColumn("r", rank).where(F.col("r") <= per_class).groupBy("c").agg(F.max("h").alias("h")).collect()]
+    cut = spark.createDataFrame(cuts, f"__class {kind}, __cut long")
+    return rows.join(cut, (F.col(class_col) == F.col("__class")) & (hashed <= F.col("__cut")), "left_semi")

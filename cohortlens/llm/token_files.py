@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encoder, gather
+from .bpe import encoder
 from .common import CHUNK, chunks, save, ship
+from .hashing import gather
 
 SHARD, STEP, LEAST = 1 << 20, 64, 2
 END, BITS = 0, 20

@@ -75,6 +75,34 @@ def test_bounded_sample(spark):
     assert sampling.bounded(df, "id", "c", 1000).count() == df.where("c is not null").count()
 
 
+def test_bounded_sample_takes_the_smallest_hashes(spark):
+    df = spark.range(20_000).selectExpr("id", "if(id % 3 = 0, 'a', 'b') as c").union(spark.sql("select cast(null as long), 'a'"))
+    hashes = df.selectExpr("c", "xxhash64(id) & 9223372036854775807 as h").collect()
+    want = {c: sorted(r["h"] for r in hashes if r["c"] == c)[:500] for c in "ab"}
+    got = sampling.bounded(df, "id", "c", 500).selectExpr("c", "xxhash64(id) & 9223372036854775807 as h").collect()
+    assert {c: sorted(r["h"] for r in got if r["c"] == c) for c in "ab"} == want
+    assert sampling.bounded(df.limit(0), "id", "c", 5).count() == 0
+
+
+def test_terms_are_taken_while_they_gain():
+    terms = [f"{k:03d}x" for k in range(700)]
+    rows = [[k] for k in range(700) for _ in range(5)]
+    assert len(toxicity.select(terms, rows, np.zeros(700))) == 0  # each in fewer than 0.4 % of the rows
+    rows = [[k] for k in range(200) for _ in range(5)]
+    assert sorted(toxicity.select(terms, rows, np.zeros(700))) == list(range(200))
+
+
+def test_exception_phrases_are_learned(spark, docs_of):
+    rng = random.Random(6)
+    rows, labels = toxic_corpus(rng)
+    rows = [t + " pond scum here" if not y and k % 20 == 0 else t for t, (k, y) in zip(rows, labels, strict=True)]
+    lexicon = toxicity.fit(docs_of(rows), spark.createDataFrame([(k, y) for k, y in labels], "doc_id long, toxic int"))
+    assert toxicity.phrases("Pond  scum, pond scum here", toxicity.automaton([("scu", True)])) == {"pond scum", "scum here"}
+    assert "scum" in {t[0] for t in lexicon.terms} and {"pond scum", "scum here"} <= set(lexicon.exceptions)
+    got = [r["hits"] for r in toxicity.score(docs_of(["a pond scum here", "you scum"]), lexicon).orderBy("doc_id").collect()]
+    assert got == [0, 1]
+
+
 def test_folding():
     lexicon = [("idiot", False), ("moron", False), ("bad", True)]
     made = toxicity.automaton(lexicon, ("moron bird",))

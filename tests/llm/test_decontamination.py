@@ -54,9 +54,14 @@ def planted():
 def test_planted_copies_are_found(spark, docs_of, planted, limit):
     items, texts, truth = planted
     benchmark = spark.createDataFrame([*[(k, t, "x") for k, t in enumerate(items)], (90, None, "x"), (91, "", "x"), (92, "the of", "x")], "item_id long, text string, score string")
-    got = D.contaminated(docs_of([*texts, None, "", "the of and"]), benchmark, block_words=limit).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == truth
+    rows = [*texts, None, "", "The, of and"]
+    short = {(k, 92) for k, t in enumerate(rows) if " the of " in " " + (t or "").lower().replace(",", "") + " "}
+    got = D.contaminated(docs_of(rows), benchmark, block_words=limit).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == truth | short and {r["score"] for r in got if r["item_id"] == 92} == {1.0}
+    benchmark = benchmark.where("item_id <> 92")
     for r in got:
+        if r["item_id"] == 92:
+            continue
         run = D.word_hashes([texts[r["doc_id"]]])[0][r["first_word"] : r["after_word"]]
         item = D.word_hashes([items[r["item_id"]]])[0]
         assert abs(brute_align(item.tolist(), run.tolist()) / (2 * len(item)) - r["score"]) < 1e-12
@@ -94,6 +99,24 @@ def test_a_copy_with_an_edit_in_most_seeds(spark, docs_of, edit, beside):
     assert [r["doc_id"] for r in D.remove(docs, benchmark).collect()] == [0]
 
 
+def test_short_items_and_text_ids(spark, docs_of):
+    benchmark = spark.createDataFrame([("p", "a b"), ("q", "zulu"), (None, "c d e")], "item_id string, text string")
+    docs = docs_of(["x A, b c d", "b a", "zulu zulus", "c d x e", "a c d e"])
+    got = {(r["doc_id"], r["item_id"], r["score"], r["first_word"], r["after_word"]) for r in D.contaminated(docs, benchmark).collect()}
+    assert got == {(0, "p", 1.0, 1, 3), (2, "q", 1.0, 0, 1), (4, None, 1.0, 1, 4)}
+    assert sorted(r["doc_id"] for r in D.remove(docs, benchmark).collect()) == [1, 3]
+
+
+def test_a_block_is_mapped_as_built(tmp_path):
+    block = D.Block.of_items(["a b c d", "", "x", "a b c"])
+    (tmp_path / "x").write_bytes(block.payload())
+    back = D.Block.map(str(tmp_path / "x"))
+    assert [back.item(k).tolist() for k in range(4)] == [D.word_hashes([t])[0].tolist() for t in ("a b c d", "", "x", "a b c")]
+    assert (back.seeds == block.seeds).all() and (back.of == block.of).all() and (back.at == block.at).all() and back.short.tolist() == [1]
+    empty = D.Block.of_items([])
+    assert len(empty.found(*D.word_hashes(["a b c"]))[0]) == 0
+
+
 def test_empty_tables(spark, docs_of):
     benchmark = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.contaminated(docs_of(["x"]).limit(0), benchmark).count() == 0
