@@ -25,6 +25,8 @@ from .common import drop, hold, map_arrow, save, texts_of
 from .hashing import U, mix, shingles, wrap
 
 BANDS, ROWS = 60, 7
+#: Pairs of one hub that a task compares; the hub's set is sent to as many tasks as that takes.
+SLICE = 4096
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -113,14 +115,22 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def _confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) for which 100 * intersection >= percent * union on the full sets."""
-    first = items.select(F.col("node").alias("a"), F.col("items").alias("x"))
+def _confirm(pairs: DataFrame, items: DataFrame, percent: int, name: str = "edges") -> DataFrame:
+    """The distinct pairs (a, b) for which 100 * intersection >= percent * union on the full sets, written as a table.
+
+    The pairs of a hub `a` that has many are dealt to several tasks, each with a copy of the hub's set.
+    """
+    many = save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    first = items.select(F.col("node").alias("a"), F.col("items").alias("x")).join(many, "a", "left").select("a", "x", copies.alias("part"))
     second = items.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(first, "a").join(second, "b")
+    both = dealt.join(first, ["a", "part"]).join(second, "b")
     common = F.size(F.array_intersect("x", "y"))
     shared = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    return shared.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("s") - F.col("c"))).select("a", "b").distinct()
+    found = save(shared.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("s") - F.col("c"))).select("a", "b").distinct(), name)
+    drop(many)
+    return found
 
 
 def _undecided(keys: DataFrame, roots: DataFrame) -> DataFrame:
@@ -175,28 +185,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = save(keys.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = keys.join(hubs.select("key"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
     items = save(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {dict(source.dtypes)['id']}, items array<long>").distinct(), "sets")
-    edges = save(_confirm(tested, items, percent), "edges")
+    edges = _confirm(tested, items, percent)
 
     # A second hub for buckets whose members are still in different components, then a join on rare shingles for the rest.
     roots = components(edges)
     members = _undecided(keys, roots)
+    drop(roots)
     second = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("hub"))
     new = members.join(second, "key").where("root <> hub.root").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
     new = save(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    edges = save(edges.union(_confirm(new, items, percent)), "edges")
-    roots = components(edges)
-    rest = _undecided(keys, roots).select("node", "root").distinct()
-    edges = edges.union(_confirm(_rare_pairs(save(rest, "undecided"), items, percent), items, percent))
+    drop(members)
+    drop(tested)
+    more = _confirm(new, items, percent)
+    drop(new)
+    roots = components(edges.union(more))
+    members = _undecided(keys, roots)
+    drop(keys)
+    drop(roots)
+    rest = save(members.select("node", "root").distinct(), "undecided")
+    drop(members)
+    rare = _rare_pairs(rest, items, percent)
+    last = _confirm(rare, items, percent)
+    for table in (rest, rare, items):
+        drop(table)
 
     # An id belongs to each set of its rows, and a set to its smallest id.
     owners = with_id.select("id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    roots = components(edges.union(owners))
+    roots = components(edges.union(more).union(last).union(owners))
     component = F.coalesce("root", "id")
     result = known.select("id", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     done = save(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "classes")
     known.unpersist()
-    drop(keys)
-    drop(items)
+    for table in (roots, edges, more, last):
+        drop(table)
     return done
 
 

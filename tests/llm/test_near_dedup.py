@@ -63,6 +63,15 @@ def test_undecided_members_are_joined_exactly(docs_of, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(list(enumerate(texts)), 2, 80)
 
 
+def test_pairs_of_a_large_hub_are_dealt_to_several_tasks(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLICE", 5)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(base) if rng.random() < 0.02 else w for w in base) for _ in range(60)] + corpus(12, 40)
+    got = near_dedup.near_duplicates(docs_of(texts), width=2).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(list(enumerate(texts)), 2, 80)
+
+
 def test_null_empty_repeated_and_long_rows(docs_of):
     long = " ".join(f"x{i}" for i in range(30000))
     rows = [(5, None), (6, ""), (7, " \t\n"), (None, "a b c"), (8, "a b c"), (9, "A B  c"), (9, "A B  c"), (9, "other words here"), (4, "other words here"), (1, long), (2, long + " end"), (3, "a")]
