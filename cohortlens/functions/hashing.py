@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,17 +25,39 @@ def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
     return F.bit_count(hi_a.bitwiseXOR(hi_b)) + F.bit_count(lo_a.bitwiseXOR(lo_b))
 
 
-def bands(hi: Column, lo: Column, threshold: int) -> Column:
-    """An array of (band, bits): two hashes within `threshold` bits of one another agree in one band at least.
+def blocks(hi: Column, lo: Column, threshold: int, extra: int = 4) -> Column:
+    """An array of 64-bit keys: two hashes within `threshold` bits of one another have one in common at least.
 
-    The 64 bits are cut into threshold + 1 bands, each within the 64-bit number made of both halves.
+    The 64 bits are cut into threshold + extra blocks; at most `threshold` of them differ, so some `extra` blocks are equal. A
+    key hashes the number of such a choice of blocks with their bits, about 64 * extra / (threshold + extra) of them: 32 for
+    a threshold of 4. So few hashes share a key by chance, however many there are.
     """
-    count = threshold + 1
+    count = min(threshold + extra, 64)
     edges = [64 * k // count for k in range(count + 1)]
     whole = F.shiftleft(hi, 32).bitwiseOR(lo)
-    parts = []
-    for k in range(count):
-        low, width = 64 - edges[k + 1], edges[k + 1] - edges[k]
-        bits = F.shiftrightunsigned(whole, low).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else whole
-        parts.append(F.struct(F.lit(k).alias("band"), bits.alias("bits")))
-    return F.when(hi.isNotNull() & lo.isNotNull(), F.array(*parts))
+    keys = []
+    for number, chosen in enumerate(itertools.combinations(range(count), max(count - threshold, 1))):
+        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << (64 - edges[k + 1]) for k in chosen)
+        keys.append(F.xxhash64(F.lit(number), whole.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    return F.when(hi.isNotNull() & lo.isNotNull(), F.array(*keys))
+
+
+def spread(*parts: Column) -> Column:
+    """An integer in [0, 2**32) from integers: each is added to the state, which xor-shifts and odd multipliers then mix.
+
+    Plain arithmetic on longs: cheap enough for a draw in each replicate, and the same in any SQL engine.
+    """
+    state = F.lit(0).cast("bigint")
+    for part in parts:
+        state = _mixed((state + part.cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return state
+
+
+# Multipliers of the mixing steps of spread(); products stay below 2**63.
+MIXERS = (0x21F0AAAD, 0x735A2D97)
+
+
+def _mixed(x: Column) -> Column:
+    for shift, factor in ((16, MIXERS[0]), (15, MIXERS[1])):
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return x.bitwiseXOR(F.shiftright(x, 15))

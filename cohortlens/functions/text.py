@@ -18,9 +18,10 @@ def normalize(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(value.cast("string"), F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def text_hash(value: Column) -> Column:
-    """SHA-256 of the normalized text; null if nothing is left, so that empty texts never match."""
-    return F.sha2(F.nullif(normalize(value), F.lit("")), 256)
+def text_hash(value: Column, blank: bool = False) -> Column:
+    """SHA-256 of the normalized text; null if nothing is left, so that empty texts never match. With `blank` the empty text
+    has its hash as well."""
+    return F.sha2(normalize(value) if blank else F.nullif(normalize(value), F.lit("")), 256)
 
 
 def blank_to_null(value: Column) -> Column:

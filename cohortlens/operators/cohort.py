@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import bands, hamming
+from cohortlens.functions.hashing import blocks, hamming
 from cohortlens.operators.gates import GateError, require_empty
 
 EXACT_FIELDS = ("study_id", "image_id", "image_sha256", "report_sha256")
@@ -24,16 +24,16 @@ def near_hashes(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFr
     """(hi_a, lo_a, hi_b, lo_b, distance): all pairs of distinct hashes of two tables (id, hi, lo) that differ in `threshold`
     bits or fewer, exactly.
 
-    The join is on bands of bits: two near hashes agree in one band at least. It is over distinct hashes, so a hash that many
-    rows share counts once.
+    The join is on combinations of blocks of bits (see blocks()): two near hashes agree in one of them at least. It is over
+    distinct hashes, so a hash that many rows share counts once.
     """
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         hashes = df.where("hi is not null and lo is not null").select(F.col("hi").alias(f"hi_{tag}"), F.col("lo").alias(f"lo_{tag}")).distinct()
-        return hashes.select("*", F.explode(bands(F.col(f"hi_{tag}"), F.col(f"lo_{tag}"), threshold)).alias("b")).select(f"hi_{tag}", f"lo_{tag}", "b.band", "b.bits")
+        return hashes.select("*", F.explode(blocks(F.col(f"hi_{tag}"), F.col(f"lo_{tag}"), threshold)).alias("key"))
 
     distance = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    both = side(left, "a").join(side(right, "b"), ["band", "bits"])
+    both = side(left, "a").join(side(right, "b"), "key")
     return both.where(distance <= threshold).select("hi_a", "lo_a", "hi_b", "lo_b", distance.alias("distance")).distinct()
 
 
@@ -50,19 +50,18 @@ def near_rows(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFram
     return left.join(near, ["hi", "lo"], "left_semi").select("id").distinct()
 
 
+def _keys(df: DataFrame, tag: str) -> DataFrame:
+    """(field, k, reliable): the manifest's keys, one row for each distinct one, in one pass over it."""
+    fields = [F.struct(F.lit(f).alias("field"), present(f).alias("k"), (F.col("patient_reliable") if f == "patient_key" else F.lit(True)).alias("r")) for f in (*EXACT_FIELDS, "patient_key")]
+    rows = df.select(F.explode(F.array(*fields)).alias("x")).select("x.*").where("k is not null")
+    return rows.groupBy("field", "k").agg(F.max(F.coalesce("r", F.lit(False))).alias(f"reliable_{tag}"))
+
+
 def overlap_audit(gallery: DataFrame, queries: DataFrame, threshold: int = 4, examples: int = 20) -> DataFrame:
     """(field, n_overlap, examples): shared keys of two manifests by field, and gallery rows with a near query hash."""
-    parts = []
-    reliable = F.col("patient_reliable")
-    for field in (*EXACT_FIELDS, "patient_key"):
-        where = reliable if field == "patient_key" else None
-        shared = distinct_keys(gallery, field, where).join(distinct_keys(queries, field, where), "k", "left_semi")
-        parts.append(shared.select(F.lit(field).alias("field"), "k"))
+    shared = _keys(gallery, "a").join(_keys(queries, "b"), ["field", "k"]).where("field <> 'patient_key' or (reliable_a and reliable_b)").select("field", "k")
     near = near_rows(gallery.select(F.col("record_id").alias("id"), "hi", "lo"), queries.select(F.col("record_id").alias("id"), "hi", "lo"), threshold)
-    parts.append(near.select(F.lit("image_phash").alias("field"), F.col("id").alias("k")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = shared.unionByName(near.select(F.lit("image_phash").alias("field"), F.col("id").alias("k")))
     fields = gallery.sparkSession.createDataFrame([(f,) for f in (*EXACT_FIELDS, "patient_key", "image_phash")], "field string")
     # a bounded number of examples: the smallest ones, by rank
     ranked = found.withColumn("r", F.row_number().over(_by("field", "k")))
@@ -73,35 +72,28 @@ def overlap_audit(gallery: DataFrame, queries: DataFrame, threshold: int = 4, ex
 
 
 def _by(partition: str, *order: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(partition).orderBy(*order)
 
 
 def conflicts(gallery: DataFrame, queries: DataFrame, threshold: int = 4, assumed_groups: bool = True) -> DataFrame:
     """The gallery with `reasons`: a sorted array of why a row must not be used with these queries, empty if it may.
 
-    One join for each key against the queries' distinct keys, never a join on alternatives. A reliable patient key that
-    reliable query keys hold gives `reliable_patient_overlap`; otherwise a key that any query holds gives
-    `assumed_patient_group_overlap`.
+    All keys of both sides meet in one join on (field, key), near hashes in another; a row's reasons are then gathered by
+    its record id. A reliable patient key that reliable query keys hold gives `reliable_patient_overlap`; otherwise a key
+    that any query holds gives `assumed_patient_group_overlap`.
     """
-    out = gallery
-    found = []
-    for field in EXACT_FIELDS:
-        keys = distinct_keys(queries, field).select(F.col("k").alias(f"__{field}"))
-        out = out.join(keys, present(field) == F.col(f"__{field}"), "left")
-        found.append(F.when(F.col(f"__{field}").isNotNull(), f"{field}_overlap"))
-    reliable = distinct_keys(queries, "patient_key", F.col("patient_reliable")).select(F.col("k").alias("__reliable"))
-    anyone = distinct_keys(queries, "patient_key").select(F.col("k").alias("__any"))
-    out = out.join(reliable, present("patient_key") == F.col("__reliable"), "left").join(anyone, present("patient_key") == F.col("__any"), "left")
-    patient = F.when(F.col("patient_reliable") & F.col("__reliable").isNotNull(), "reliable_patient_overlap")
+    fields = [F.struct(F.lit(f).alias("field"), present(f).alias("k")) for f in (*EXACT_FIELDS, "patient_key")]
+    own = gallery.select("record_id", F.coalesce("patient_reliable", F.lit(False)).alias("own"), F.explode(F.array(*fields)).alias("x")).select("record_id", "own", "x.*").where("k is not null")
+    met = own.join(_keys(queries, "b"), ["field", "k"])
+    patient = F.when(F.col("own") & F.col("reliable_b"), "reliable_patient_overlap")
     if assumed_groups:
-        patient = patient.when(F.col("__any").isNotNull(), "assumed_patient_group_overlap")
+        patient = patient.otherwise("assumed_patient_group_overlap")
+    marks = met.select("record_id", F.when(F.col("field") == "patient_key", patient).otherwise(F.concat("field", F.lit("_overlap"))).alias("reason")).where("reason is not null")
     near = near_rows(gallery.select(F.col("record_id").alias("id"), "hi", "lo"), queries.select(F.col("record_id").alias("id"), "hi", "lo"), threshold)
-    near = near.select(F.col("id").alias("__near"))
-    out = out.join(near, F.col("record_id") == F.col("__near"), "left")
-    reasons = F.array_sort(F.array_compact(F.array(*found, patient, F.when(F.col("__near").isNotNull(), f"image_phash_distance<={threshold}"))))
-    return out.select(*[gallery[c] for c in gallery.columns], reasons.alias("reasons"))
+    marks = marks.unionByName(near.select(F.col("id").alias("record_id"), F.lit(f"image_phash_distance<={threshold}").alias("reason")))
+    found = marks.groupBy(F.col("record_id").alias("__id")).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))  # six reasons at most
+    out = gallery.join(found, gallery["record_id"] == F.col("__id"), "left")
+    return out.select(*[gallery[c] for c in gallery.columns], F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
 def clean_gallery(gallery: DataFrame, queries: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -122,17 +114,52 @@ def require_leakage_free(gallery: DataFrame, queries: DataFrame, threshold: int
 def evaluation_overlap(rows: DataFrame, evaluation: DataFrame) -> DataFrame:
     """`rows` with `reasons` for exclusion: its group or patient, its source id, or its report occurs in the evaluation set.
 
-    An evaluation patient key counts with and without its dataset prefix.
+    An evaluation patient's key and id count with and without a dataset prefix. Columns that the evaluation set lacks count
+    as empty.
     """
-    groups = evaluation.select(F.explode(F.array(present("patient_key"), F.nullif(F.regexp_extract(F.col("patient_key"), r"^[^:]*:(.+)$", 1), F.lit("")))).alias("g")).where("g is not null").distinct()
-    sources = evaluation.select(F.explode(F.array(*[present(c) for c in ("record_id", "study_id", "image_id")])).alias("s")).where("s is not null").distinct()
-    hashes = distinct_keys(evaluation, "report_sha256")
-    marks = []
-    out = rows
-    for n, (keys, of, reason) in enumerate(((groups, "patient_or_source_group", "evaluation_group"), (groups, "patient_id", "evaluation_group"), (sources, "source_record_id", "evaluation_source"), (hashes, "report_sha256", "evaluation_report"))):
-        out = out.join(keys.toDF(f"__k{n}"), present(of) == F.col(f"__k{n}"), "left")
+
+    def keys(columns: tuple[str, ...], prefixed: bool = False) -> DataFrame:
+        values = [present(c) for c in columns if c in evaluation.columns]
+        values += [F.nullif(F.trim(F.regexp_extract(v, r"^[^:]*:(.*)$", 1)), F.lit("")) for v in values if prefixed]
+        return evaluation.select(F.explode(F.array(*values) if values else F.array().cast("array<string>")).alias("k")).where("k is not null").distinct()
+
+    people = keys(("patient_key", "patient_id"), prefixed=True)
+    rules = (
+        (people, "patient_or_source_group", "evaluation_patient_or_group"), (people, "patient_id", "evaluation_patient_or_group"),
+        (keys(("record_id", "study_id", "image_id")), "source_record_id", "evaluation_source_id"), (keys(("report_sha256",)), "report_sha256", "evaluation_report_hash"),
+    )
+    marks, out = [], rows
+    for n, (found, of, reason) in enumerate(rules):
+        out = out.join(found.toDF(f"__k{n}"), present(of) == F.col(f"__k{n}"), "left")
         marks.append(F.when(F.col(f"__k{n}").isNotNull(), reason))
-    return out.select(*[rows[c] for c in rows.columns], F.array_sort(F.array_distinct(F.array_compact(F.array(*marks)))).alias("reasons"))
+    return out.select(*[rows[c] for c in rows.columns], F.array_distinct(F.array_compact(F.array(*marks))).alias("reasons"))
+
+
+def align_by_position(manifest: DataFrame, vectors: DataFrame, order: str, position: str) -> DataFrame:
+    """(record_id, vector_id): the i-th manifest row by `order` with the i-th vector by `position`, for tables without a common
+    key; tables of different lengths raise when the result is read. To be asked for: positions prove nothing.
+
+    Rows are numbered by ranges: each partition counts from the number of rows before it.
+    """
+
+    def numbered(df: DataFrame, key: str, by: str) -> DataFrame:
+        sorted_ = df.select(key, by).repartitionByRange(by, key).sortWithinPartitions(by, key).withColumn("__p", F.spark_partition_id())
+        inside = sorted_.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(by, key)))
+        before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+        counts = sorted_.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).select("__p", before.alias("__before"))
+        return inside.join(counts, "__p").select((F.col("__before") + F.col("__r")).alias("__at"), key)
+
+    both = numbered(manifest, "record_id", order).join(numbered(vectors, "vector_id", position), "__at", "full_outer")
+    whole = F.when(F.col("record_id").isNotNull() & F.col("vector_id").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("manifest and vectors have different lengths")).cast("boolean"))
+    return both.where(whole).select("record_id", "vector_id")
+
+
+def reordered(df: DataFrame, key: str, positions: DataFrame) -> DataFrame:
+    """`df` with `position`, for each (key, position) of an expected list; a missing or repeated key raises when the result is read."""
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*[c for c in df.columns if c != key])).alias("__row"))
+    both = positions.select(key, "position").join(counted, key, "left")
+    one = F.when(F.coalesce("__n", F.lit(0)) == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not exactly one row for "), F.col(key).cast("string"))).cast("boolean"))
+    return both.where(one).select(key, "position", "__row.*")
 
 
 def align_unique(manifest: DataFrame, vectors: DataFrame, tokens: list[str], paths: list[str]) -> DataFrame:

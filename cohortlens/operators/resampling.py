@@ -12,16 +12,24 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import draw
+from cohortlens.functions.hashing import draw, spread
 
 SEED = 20260831
 BLOCK, PARTS = 250, 32
 
 
 def numbered(stats: DataFrame, strata: list[str], cluster: str) -> DataFrame:
-    """Clusters numbered from 0 within their stratum, with the stratum's number of clusters."""
-    by = Window.partitionBy(*strata)
-    return stats.withColumn("__i", F.row_number().over(by.orderBy(cluster)) - 1).withColumn("__n", F.count(F.lit(1)).over(by))
+    """Clusters numbered from 0 within their stratum (by the first ten bits of their hash, then by name), with the stratum's
+    number of clusters.
+
+    Clusters are counted by those bits and then numbered within each value of them, so no task holds a whole stratum.
+    """
+    keyed = stats.withColumn("__bits", F.shiftright(draw(F.col(cluster)), 22))
+    whole = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("__c").over(whole.orderBy("__bits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = keyed.groupBy(*strata, "__bits").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", before).withColumn("__n", F.sum("__c").over(whole)).drop("__c")
+    place = F.row_number().over(Window.partitionBy(*strata, "__bits").orderBy(cluster)) - 1
+    return keyed.withColumn("__r", place).join(counts, [*strata, "__bits"]).withColumn("__i", F.col("__before") + F.col("__r")).drop("__bits", "__before", "__r")
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
@@ -37,7 +45,7 @@ def weights(sizes: DataFrame, n: int, seed: int) -> DataFrame:
     Strata of equal size share their draws, so the draws are made once for each distinct size.
     """
     slots = replicates(sizes.select("__n").distinct(), n).select("__n", "b", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("slot"))
-    picked = slots.select("__n", "b", F.pmod(draw(seed, F.col("b"), F.col("slot")), F.col("__n")).alias("__i"))
+    picked = slots.select("__n", "b", (spread(F.lit(seed), F.col("b"), F.col("slot")) % F.col("__n")).alias("__i"))
     return picked.groupBy("__n", "b", "__i").agg(F.count(F.lit(1)).alias("w"))
 
 
@@ -94,9 +102,12 @@ def paired_permutation(arms: DataFrame, strata: list[str], cluster: str, sums: l
 
     both = [f"{t}_{c}" for t in "ab" for c in sums]
     point = arms.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in both])
-    swap = F.pmod(draw(seed, F.col("b"), F.col(cluster)), F.lit(2)) == 1
-    swapped = replicates(arms, n).withColumn("__swap", swap)
-    mixed = swapped.groupBy(*strata, "b").agg(*[F.sum(F.when(F.col("__swap"), F.col(f"{o}_{c}")).otherwise(F.col(f"{t}_{c}"))).alias(f"{t}_{c}") for t, o in (("a", "b"), ("b", "a")) for c in sums])
+    # a swap adds what the arms differ by to one arm and takes it from the other, so that is all a replicate adds up
+    apart = arms.select(*strata, draw(F.col(cluster)).alias("__h"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in sums])
+    swapped = replicates(apart, n).where(spread(F.lit(seed), F.col("b"), F.col("__h")) % 2 == 1)
+    moved = swapped.groupBy(*strata, "b").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    every = replicates(point, n).join(moved, [*strata, "b"], "left")
+    mixed = every.select(*strata, "b", *[(F.col(f"{t}_{c}") + sign * F.coalesce(F.col(f"__{c}"), F.lit(0))).alias(f"{t}_{c}") for t, sign in (("a", 1), ("b", -1)) for c in sums])
     observed = long(point, strata, differences(F.col), value="difference")
     null = long(mixed, strata, differences(F.col))
     joined = null.join(observed, [*strata, "metric"])
@@ -108,8 +119,8 @@ def paired_permutation(arms: DataFrame, strata: list[str], cluster: str, sums: l
 def sign_flip(stats: DataFrame, strata: list[str], cluster: str, nets: list[str], n: int = 10_000, seed: int = SEED) -> DataFrame:
     """(strata..., metric, net, p_value): the sign of each cluster's net count flips with probability 1/2."""
     point = stats.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in nets])
-    sign = F.pmod(draw(seed, F.col("b"), F.col(cluster)), F.lit(2)) * 2 - 1
-    flipped = replicates(stats, n).withColumn("__s", sign).groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(c) for c in nets])
+    sign = spread(F.lit(seed), F.col("b"), F.col("__h")) % 2 * 2 - 1
+    flipped = replicates(stats.select(*strata, *nets, draw(F.col(cluster)).alias("__h")), n).withColumn("__s", sign).groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(c) for c in nets])
     observed = long(point, strata, {c: F.col(c) for c in nets}, value="net")
     null = long(flipped, strata, {c: F.col(c) for c in nets})
     counted = null.join(observed, [*strata, "metric"]).groupBy(*strata, "metric", "net").agg(F.count_if(F.abs("value") >= F.abs("net")).alias("e"), F.count(F.lit(1)).alias("n"))

@@ -13,13 +13,13 @@ from cohortlens.functions.hashing import draw
 
 def greedy_split(sizes: list[tuple[str, int]], fractions: tuple[float, ...], seed_order) -> dict[str, int]:
     """Assign groups to splits: largest first (equal sizes in seeded order), each to the split with the most room left among
-    those it fits in, or else to the one with the most room."""
+    those it fits in, or else to the one with the most room; of equal rooms to the split that holds less so far."""
     total = sum(n for _, n in sizes)
     room = [f * total for f in fractions]
     out = {}
     for group, n in sorted(sizes, key=lambda x: (-x[1], seed_order(x[0]))):
         fits = [k for k in range(len(room)) if room[k] >= n] or range(len(room))
-        best = max(fits, key=lambda k: (room[k], -k))
+        best = max(fits, key=lambda k: (room[k], -fractions[k], -k))
         out[group] = best
         room[best] -= n
     return out
@@ -30,9 +30,11 @@ def level_turns(levels: list[tuple[int, int]], fractions: tuple[float, ...]) ->
     groups of that size from rank `begin` to before `end` go to `splits` in turn.
 
     Whenever a group fits anywhere it fits where the most room is, so the fold always takes that split. Groups of one size
-    lower the rooms by equal steps: the splits within a step of the fullest take turns until the next one is reached.
+    lower the rooms by equal steps: the splits within a step of the fullest take turns until the next one is reached. Splits are
+    numbered by their fraction here, as of equal rooms that of the smaller fraction holds less.
     """
-    shares = [Fraction(str(f)) for f in fractions]
+    names = sorted(range(len(fractions)), key=lambda k: (fractions[k], k))
+    shares = [Fraction(str(fractions[k])) for k in names]
     unit = math.lcm(*[f.denominator for f in shares])
     total = sum(size * count for size, count in levels)
     room = [int(f * unit) * total for f in shares]
@@ -49,7 +51,7 @@ def level_turns(levels: list[tuple[int, int]], fractions: tuple[float, ...]) ->
                 apart = top - room[following]
                 rounds = apart // step if lead < following else (apart - 1) // step
                 end = min(count, begin + rounds * len(turns))
-            out.append((size, begin, end, turns))
+            out.append((size, begin, end, [names[k] for k in turns]))
             full, rest = divmod(end - begin, len(turns))
             for i, k in enumerate(turns):
                 room[k] -= step * (full + (i < rest))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cohortlens.functions.hashing import MIXERS
 from cohortlens.functions.labels import LABELS, UNCERTAIN_POLICY
 from cohortlens.operators.metrics import NAMES, TOTALS
 from cohortlens.operators.transitions import JOINT_COUNTS
@@ -15,6 +16,27 @@ def draw(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
+def mixed(x: str) -> str:
+    """A step of the draws of resampling; `x` is an expression for an integer in [0, 2**32)."""
+    for shift, factor in ((16, MIXERS[0]), (15, MIXERS[1])):
+        x = f"((xor({x}, {x} >> {shift}) * {factor}) & 4294967295)"
+    return f"xor({x}, {x} >> 15)"
+
+
+def _mixed(x: int) -> int:
+    for shift, factor in ((16, MIXERS[0]), (15, MIXERS[1])):
+        x = (x ^ x >> shift) * factor & 0xFFFFFFFF
+    return x ^ x >> 15
+
+
+#: The replicates with the state of their draws; drawn() goes on from it with an integer.
+REPLICATE = f"(SELECT b, {mixed(f'(({_mixed(SEED)} + b) & 4294967295)')} AS hb FROM range({N}) r(b))"
+
+
+def drawn(part: str) -> str:
+    return mixed(f"((hb + {part}) & 4294967295)")
+
+
 def ratio(a: str, b: str) -> str:
     return f"(({a})::DOUBLE / nullif(({b})::DOUBLE, 0))"
 
@@ -133,13 +155,13 @@ def differences(values) -> dict[str, str]:
 def bootstrap(stats: str, strata: str, sums: list[str], values: dict[str, str]) -> str:
     """CTEs that end in the result, from the relation `stats`."""
     total = ", ".join(f"sum({c})::BIGINT AS {c}" for c in sums)
-    drawn = ", ".join(f"sum({c} * w)::BIGINT AS {c}" for c in sums)
+    weighted = ", ".join(f"sum({c} * w)::BIGINT AS {c}" for c in sums)
     using = ", ".join(strata.split(", "))
     return f"""
-nb AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY {strata}) AS n FROM {stats}),
-slots AS (SELECT n, b, unnest(range(n)) AS slot FROM (SELECT DISTINCT n FROM nb), range({N}) t(b)),
-w AS (SELECT n, b, {draw(str(SEED), 'b', 'slot')} % n AS i, count(*) AS w FROM slots GROUP BY ALL),
-drawn AS (SELECT {strata}, b, {drawn} FROM nb JOIN w USING (n, i) GROUP BY {strata}, b),
+nb AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {draw('cluster')} >> 22, cluster) - 1 AS i, count(*) OVER (PARTITION BY {strata}) AS n FROM {stats}),
+slots AS (SELECT n, b, hb, unnest(range(n)) AS slot FROM (SELECT DISTINCT n FROM nb), {REPLICATE}),
+w AS (SELECT n, b, {drawn('slot')} % n AS i, count(*) AS w FROM slots GROUP BY ALL),
+drawn AS (SELECT {strata}, b, {weighted} FROM nb JOIN w USING (n, i) GROUP BY {strata}, b),
 point AS (SELECT {strata}, {total} FROM {stats} GROUP BY {strata}),
 pl AS ({long(strata, values, 'point')}), dl AS ({long(strata, values, 'drawn')}),
 ci AS (SELECT {strata}, metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, count(value) AS n_valid FROM dl GROUP BY {strata}, metric)
@@ -154,9 +176,9 @@ def arms(name: str, a: str, b: str, source: str = "cs") -> str:
 def permutation(name: str, source: str, by: str = "model") -> str:
     """CTEs; `name` has (by, metric, difference, p_value, valid)."""
     both = ", ".join(f"sum({t}_{c})::BIGINT AS {t}_{c}" for t in "ab" for c in TOTALS)
-    mixed = ", ".join(f"sum(CASE WHEN swap THEN {o}_{c} ELSE {t}_{c} END)::BIGINT AS {t}_{c}" for t, o in (("a", "b"), ("b", "a")) for c in TOTALS)
+    swapped = ", ".join(f"sum(CASE WHEN swap THEN {o}_{c} ELSE {t}_{c} END)::BIGINT AS {t}_{c}" for t, o in (("a", "b"), ("b", "a")) for c in TOTALS)
     return f"""{name}_o AS ({long(by, differences(primary), f'(SELECT {by}, {both} FROM {source} GROUP BY {by})', 'difference')}),
-{name}_n AS ({long(f'{by}, b', differences(primary), f"(SELECT {by}, b, {mixed} FROM (SELECT *, {draw(str(SEED), 'b', 'cluster')} % 2 = 1 AS swap FROM {source}, range({N}) t(b)) GROUP BY {by}, b)")}),
+{name}_n AS ({long(f'{by}, b', differences(primary), f"(SELECT {by}, b, {swapped} FROM (SELECT *, {drawn('h')} % 2 = 1 AS swap FROM (SELECT *, {draw('cluster')} AS h FROM {source}), {REPLICATE}) GROUP BY {by}, b)")}),
 {name} AS (SELECT {by}, metric, difference, CASE WHEN difference IS NOT NULL THEN (coalesce(count(*) FILTER (abs(value) >= abs(difference) - 1e-15), 0) + 1) / (count(value) + 1) END AS p_value, count(value) AS valid
   FROM {name}_o JOIN {name}_n USING ({by}, metric) GROUP BY {by}, metric, difference)"""
 
@@ -232,8 +254,8 @@ FROM ({top_k(3, SAFE)}) t LEFT JOIN documents d ON d.doc_id = t.gallery_id GROUP
     "near_hash_pairs": f"WITH {MANIFEST} SELECT a.doc_id AS id_a, b.doc_id AS id_b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM m a JOIN m b ON a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 4",
     "cohort_summary": f"WITH {MANIFEST} SELECT count(*) AS n_images, count(DISTINCT image_id) AS n_unique_image_ids, count(DISTINCT study_id) AS n_unique_studies, count(DISTINCT patient_id) AS n_patients_or_groups, count(DISTINCT patient_id) FILTER (patient_reliable) AS n_unique_reliable_patients, count(*) FILTER (patient_id IS NULL) AS n_missing_patient_id, count(*) FILTER (patient_reliable) AS n_reliable, count(*) FILTER (len(labels) = 0) AS n_normal, count(*) FILTER (len(labels) > 0) AS n_abnormal, count(*) FILTER (len(negated_flags) > 0) AS n_label_quality_flags, (SELECT string_agg(l || '=' || n, ',' ORDER BY l) FROM (SELECT l, count(*) AS n FROM (SELECT unnest(labels) AS l FROM m) GROUP BY l)) AS label_counts FROM m",
     "eval_overlap": f"""WITH {MANIFEST}, t AS (SELECT record_id, coalesce(patient_id, study_id) AS grp, patient_id, study_id AS src, report_sha256 FROM g),
-ek AS (SELECT patient_key AS k FROM q UNION SELECT regexp_extract(patient_key, '^[^:]*:(.+)$', 1) FROM q WHERE patient_key IS NOT NULL), es AS (SELECT record_id AS k FROM q UNION SELECT study_id FROM q UNION SELECT image_id FROM q),
-x AS (SELECT record_id, list_filter([CASE WHEN grp IN (SELECT k FROM ek WHERE k IS NOT NULL) OR patient_id IN (SELECT k FROM ek WHERE k IS NOT NULL) THEN 'evaluation_group' END, CASE WHEN report_sha256 IN (SELECT report_sha256 FROM q WHERE report_sha256 IS NOT NULL) THEN 'evaluation_report' END, CASE WHEN src IN (SELECT k FROM es) THEN 'evaluation_source' END], lambda r: r IS NOT NULL) AS r FROM t)
+ek AS (SELECT patient_key AS k FROM q UNION SELECT patient_id FROM q UNION SELECT regexp_extract(patient_key, '^[^:]*:(.+)$', 1) FROM q WHERE patient_key IS NOT NULL), es AS (SELECT record_id AS k FROM q UNION SELECT study_id FROM q UNION SELECT image_id FROM q),
+x AS (SELECT record_id, list_filter([CASE WHEN grp IN (SELECT k FROM ek WHERE k IS NOT NULL) OR patient_id IN (SELECT k FROM ek WHERE k IS NOT NULL) THEN 'evaluation_patient_or_group' END, CASE WHEN src IN (SELECT k FROM es) THEN 'evaluation_source_id' END, CASE WHEN report_sha256 IN (SELECT report_sha256 FROM q WHERE report_sha256 IS NOT NULL) THEN 'evaluation_report_hash' END], lambda r: r IS NOT NULL) AS r FROM t)
 SELECT record_id, array_to_string(r, ',') AS reasons FROM x WHERE len(r) > 0""",
     "align_unique": "SELECT 'r' || doc_id AS record_id, doc_id AS vector_id FROM documents",
     "combined_gallery": f"WITH {CLEANED} SELECT dataset, count(*) AS n, count(DISTINCT study_id) AS n_studies FROM c WHERE len(reasons) = 0 GROUP BY dataset",
@@ -259,11 +281,11 @@ SELECT *, round({ratio('tp + tn', 'tp + fp + fn + tn')}, 6) AS accuracy, round({
     "paired_permutation_p": f"WITH {CLUSTERS}, {arms('ar', 'A', 'D')}, {permutation('pp', 'ar')} SELECT model, metric, round(difference, 6) + 0.0 AS difference, round(p_value, 6) AS p_value, valid FROM pp",
     "sign_flip_p": f"""WITH {JOINT}, s AS (SELECT model, cluster, sum(event_rescue - event_harm) AS event_net, sum(strict_rescue - strict_harm) AS strict_net FROM j GROUP BY model, cluster),
 o AS ({long('model', {'event_net': 'event_net', 'strict_net': 'strict_net'}, '(SELECT model, sum(event_net) AS event_net, sum(strict_net) AS strict_net FROM s GROUP BY model)', 'net')}),
-n AS ({long('model, b', {'event_net': 'event_net', 'strict_net': 'strict_net'}, f"(SELECT model, b, sum(event_net * f) AS event_net, sum(strict_net * f) AS strict_net FROM (SELECT *, {draw(str(SEED), 'b', 'cluster')} % 2 * 2 - 1 AS f FROM s, range({N}) t(b)) GROUP BY model, b)")})
+n AS ({long('model, b', {'event_net': 'event_net', 'strict_net': 'strict_net'}, f"(SELECT model, b, sum(event_net * f) AS event_net, sum(strict_net * f) AS strict_net FROM (SELECT *, {drawn('h')} % 2 * 2 - 1 AS f FROM (SELECT *, {draw('cluster')} AS h FROM s), {REPLICATE}) GROUP BY model, b)")})
 SELECT model, metric, round(net, 6) + 0.0 AS net, round((count(*) FILTER (abs(value) >= abs(net)) + 1) / (count(*) + 1), 6) AS p_value FROM n JOIN o USING (model, metric) GROUP BY model, metric, net""",
     "joint_rates_ci": f"WITH {JOINT}, jc AS (SELECT model, cluster, {JOINT_SUMS} FROM j GROUP BY model, cluster), {bootstrap('jc', 'model', list(JOINT_COUNTS), RATES)}",
     "joint_label_ci": f"""WITH {JOINT}, lc AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS label, cluster, count(*) FILTER (b[{i}] <> reference[{i}] AND c[{i}] <> reference[{i}] AND d[{i}] = reference[{i}]) AS rescue, count(*) FILTER (b[{i}] = reference[{i}] AND c[{i}] = reference[{i}] AND d[{i}] <> reference[{i}]) AS harm, count(*) AS n_records FROM j GROUP BY cluster" for i, x in enumerate(LABELS, 1))
-    + f"""), sf AS (SELECT label, sum(rescue - harm) AS net FROM lc GROUP BY label), sn AS (SELECT label, b, sum((rescue - harm) * ({draw(str(SEED), 'b', 'cluster')} % 2 * 2 - 1)) AS value FROM lc, range({N}) t(b) GROUP BY label, b),
+    + f"""), sf AS (SELECT label, sum(rescue - harm) AS net FROM lc GROUP BY label), sn AS (SELECT label, b, sum((rescue - harm) * ({drawn('h')} % 2 * 2 - 1)) AS value FROM (SELECT *, {draw('cluster')} AS h FROM lc), {REPLICATE} GROUP BY label, b),
 sp AS (SELECT label, 'labels' AS family, (count(*) FILTER (abs(value) >= abs(net)) + 1) / (count(*) + 1) AS p_value FROM sf JOIN sn USING (label) GROUP BY label, net), sh AS ({holm('sp', 'label', 'family', 'label')}),
 bs AS (WITH {bootstrap('lc', 'label', ['rescue', 'harm', 'n_records'], {'rescue_rate': ratio('rescue', 'n_records'), 'harm_rate': ratio('harm', 'n_records'), 'net_rate': ratio('rescue - harm', 'n_records')})})
 SELECT bs.*, {r6('p_value', 'p_holm')} FROM bs JOIN sh USING (label)""",

@@ -57,7 +57,7 @@ def test_alignment(spark):
 def test_evaluation_overlap(spark):
     rows = spark.createDataFrame([("r1", "p1", "p1", "s1", "h1"), ("r2", "g2", None, "s2", "h2")], "record_id string, patient_or_source_group string, patient_id string, source_record_id string, report_sha256 string")
     evaluation = spark.createDataFrame([("d:p1", "x", None, None, "h1")], "patient_key string, record_id string, study_id string, image_id string, report_sha256 string")
-    assert {r["record_id"]: r["reasons"] for r in cohort.evaluation_overlap(rows, evaluation).collect()} == {"r1": ["evaluation_group", "evaluation_report"], "r2": []}
+    assert {r["record_id"]: r["reasons"] for r in cohort.evaluation_overlap(rows, evaluation).collect()} == {"r1": ["evaluation_patient_or_group", "evaluation_report_hash"], "r2": []}
 
 
 def test_top_k_matches_brute_force_in_blocks(spark):
