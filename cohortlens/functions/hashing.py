@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,22 +42,22 @@ def blocks(hi: Column, lo: Column, threshold: int, extra: int = 4) -> Column:
     return F.when(hi.isNotNull() & lo.isNotNull(), F.array(*keys))
 
 
-def spread(*parts: Column) -> Column:
-    """An integer in [0, 2**32) from integers: each is added to the state, which xor-shifts and odd multipliers then mix.
-
-    Plain arithmetic on longs: cheap enough for a draw in each replicate, and the same in any SQL engine.
-    """
-    state = F.lit(0).cast("bigint")
-    for part in parts:
-        state = _mixed((state + part.cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return state
-
-
 # Multipliers of the mixing steps of spread(); products stay below 2**63.
 MIXERS = (0x21F0AAAD, 0x735A2D97)
 
 
-def _mixed(x: Column) -> Column:
-    for shift, factor in ((16, MIXERS[0]), (15, MIXERS[1])):
-        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return x.bitwiseXOR(F.shiftright(x, 15))
+def spread(df: DataFrame, name: str, *parts: Column) -> DataFrame:
+    """`df` with an integer in [0, 2**32) drawn from integers: each is added to the state, which xor-shifts and odd multipliers
+    then mix.
+
+    Plain arithmetic on longs: cheap enough for a draw in each replicate, and the same in any SQL engine. Every step is a
+    projection of its own, as a step uses the one before twice and nested expressions would grow with powers of two.
+    """
+    low, x = F.lit(0xFFFFFFFF), F.col(name)
+    for k, part in enumerate(parts):
+        part = part.cast("bigint")
+        df = df.withColumn(name, (x + part if k else part).bitwiseAND(low))
+        for shift, factor in ((16, MIXERS[0]), (15, MIXERS[1])):
+            df = df.withColumn(name, (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(low))
+        df = df.withColumn(name, x.bitwiseXOR(F.shiftright(x, 15)))
+    return df

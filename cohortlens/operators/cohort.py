@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import blocks, hamming
 from cohortlens.operators.gates import GateError, require_empty
+from cohortlens.operators.ordering import numbered
 
 EXACT_FIELDS = ("study_id", "image_id", "image_sha256", "report_sha256")
 
@@ -138,18 +139,10 @@ def evaluation_overlap(rows: DataFrame, evaluation: DataFrame) -> DataFrame:
 def align_by_position(manifest: DataFrame, vectors: DataFrame, order: str, position: str) -> DataFrame:
     """(record_id, vector_id): the i-th manifest row by `order` with the i-th vector by `position`, for tables without a common
     key; tables of different lengths raise when the result is read. To be asked for: positions prove nothing.
-
-    Rows are numbered by ranges: each partition counts from the number of rows before it.
     """
-
-    def numbered(df: DataFrame, key: str, by: str) -> DataFrame:
-        sorted_ = df.select(key, by).repartitionByRange(by, key).sortWithinPartitions(by, key).withColumn("__p", F.spark_partition_id())
-        inside = sorted_.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(by, key)))
-        before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-        counts = sorted_.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).select("__p", before.alias("__before"))
-        return inside.join(counts, "__p").select((F.col("__before") + F.col("__r")).alias("__at"), key)
-
-    both = numbered(manifest, "record_id", order).join(numbered(vectors, "vector_id", position), "__at", "full_outer")
+    left = numbered(manifest.select("record_id", order), [order, "record_id"] if order != "record_id" else [order], "__at")
+    right = numbered(vectors.select("vector_id", position), [position, "vector_id"] if position != "vector_id" else [position], "__at")
+    both = left.select("__at", "record_id").join(right.select("__at", "vector_id"), "__at", "full_outer")
     whole = F.when(F.col("record_id").isNotNull() & F.col("vector_id").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("manifest and vectors have different lengths")).cast("boolean"))
     return both.where(whole).select("record_id", "vector_id")
 

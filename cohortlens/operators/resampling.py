@@ -45,7 +45,7 @@ def weights(sizes: DataFrame, n: int, seed: int) -> DataFrame:
     Strata of equal size share their draws, so the draws are made once for each distinct size.
     """
     slots = replicates(sizes.select("__n").distinct(), n).select("__n", "b", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("slot"))
-    picked = slots.select("__n", "b", (spread(F.lit(seed), F.col("b"), F.col("slot")) % F.col("__n")).alias("__i"))
+    picked = spread(slots, "__x", F.lit(seed), F.col("b"), F.col("slot")).select("__n", "b", (F.col("__x") % F.col("__n")).alias("__i"))
     return picked.groupBy("__n", "b", "__i").agg(F.count(F.lit(1)).alias("w"))
 
 
@@ -104,8 +104,9 @@ def paired_permutation(arms: DataFrame, strata: list[str], cluster: str, sums: l
     point = arms.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in both])
     # a swap adds what the arms differ by to one arm and takes it from the other, so that is all a replicate adds up
     apart = arms.select(*strata, draw(F.col(cluster)).alias("__h"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in sums])
-    swapped = replicates(apart, n).where(spread(F.lit(seed), F.col("b"), F.col("__h")) % 2 == 1)
-    moved = swapped.groupBy(*strata, "b").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    # (a product, not a filter: the optimizer would write the draw's steps out into a filter's condition)
+    drawn = spread(replicates(apart, n), "__x", F.lit(seed), F.col("b"), F.col("__h")).withColumn("__s", F.col("__x") % 2)
+    moved = drawn.groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(f"__{c}") for c in sums])
     every = replicates(point, n).join(moved, [*strata, "b"], "left")
     mixed = every.select(*strata, "b", *[(F.col(f"{t}_{c}") + sign * F.coalesce(F.col(f"__{c}"), F.lit(0))).alias(f"{t}_{c}") for t, sign in (("a", 1), ("b", -1)) for c in sums])
     observed = long(point, strata, differences(F.col), value="difference")
@@ -119,8 +120,8 @@ def paired_permutation(arms: DataFrame, strata: list[str], cluster: str, sums: l
 def sign_flip(stats: DataFrame, strata: list[str], cluster: str, nets: list[str], n: int = 10_000, seed: int = SEED) -> DataFrame:
     """(strata..., metric, net, p_value): the sign of each cluster's net count flips with probability 1/2."""
     point = stats.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in nets])
-    sign = spread(F.lit(seed), F.col("b"), F.col("__h")) % 2 * 2 - 1
-    flipped = replicates(stats.select(*strata, *nets, draw(F.col(cluster)).alias("__h")), n).withColumn("__s", sign).groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(c) for c in nets])
+    drawn = spread(replicates(stats.select(*strata, *nets, draw(F.col(cluster)).alias("__h")), n), "__x", F.lit(seed), F.col("b"), F.col("__h"))
+    flipped = drawn.withColumn("__s", F.col("__x") % 2 * 2 - 1).groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(c) for c in nets])
     observed = long(point, strata, {c: F.col(c) for c in nets}, value="net")
     null = long(flipped, strata, {c: F.col(c) for c in nets})
     counted = null.join(observed, [*strata, "metric"]).groupBy(*strata, "metric", "net").agg(F.count_if(F.abs("value") >= F.abs("net")).alias("e"), F.count(F.lit(1)).alias("n"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.hashing import hamming
 from cohortlens.operators.gates import GateError, require_empty
 
 BROADCAST_QUERIES = 64 << 20  # bytes of query vectors that may be sent to every executor at once
@@ -20,20 +23,43 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
-def ineligible_reasons(query: dict[str, Column], other: dict[str, Column], distance: Column | None = None, threshold: int = 4) -> Column:
-    """Why a neighbour may not serve a query: equal non-null fields, the patient (by id if neither side has a key), a near
-    image hash. An empty array means that it may."""
-    marks = [F.when(query[f] == other[f], f"same_{f}") for f in ("record_id", "study_id", "image_id", "image_sha256", "report_sha256") if f in query and f in other]
-    if "patient_key" in query:
-        patient = query["patient_key"] == other["patient_key"]
-        if "patient_id" in query:
-            patient = F.coalesce(patient, query["patient_key"].isNull() & other["patient_key"].isNull() & (query["patient_id"] == other["patient_id"]))
-        marks.append(F.when(patient, "same_patient"))
-    if distance is not None:
-        marks.append(F.when(distance <= threshold, "near_image"))
+# The fields that a query and its neighbour must not share.
+SHARED = ("record_id", "study_id", "image_id", "image_sha256", "report_sha256")
+
+
+def _rules(query: dict[str, Column], other: dict[str, Column], threshold: int) -> dict[str, Column]:
+    """Why a neighbour may not serve a query, by reason. Blank and missing fields are never equal; the patient's key counts
+    if either side has one, else the id."""
+    value = lambda side, f: F.nullif(F.trim(side[f].cast("string")), F.lit(""))
+    both = lambda f: f in query and f in other
+    rules = {f"same_{f}": value(query, f) == value(other, f) for f in SHARED if both(f)}
+    patient = [value(query, f) == value(other, f) for f in ("patient_key", "patient_id") if both(f)]
+    if both("patient_key") and both("patient_id"):
+        keyed = value(query, "patient_key").isNotNull() | value(other, "patient_key").isNotNull()
+        rules["same_patient_or_group"] = F.when(keyed, patient[0]).otherwise(patient[1])
+    elif patient:
+        rules["same_patient_or_group"] = patient[0]
+    if both("hi") and both("lo"):
+        rules[f"image_phash_distance<={threshold}"] = hamming(query["hi"], query["lo"], other["hi"], other["lo"]) <= threshold
+    return {reason: F.coalesce(met, F.lit(False)) for reason, met in rules.items()}
+
+
+def ineligible_reasons(query: dict[str, Column], other: dict[str, Column], threshold: int = 4) -> Column:
+    """The reasons for which a neighbour may not serve a query, in a fixed order; an empty array means that it may."""
+    marks = [F.when(met, reason) for reason, met in _rules(query, other, threshold).items()]
     return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
 
 
+def eligible(query: dict[str, Column], other: dict[str, Column], threshold: int = 4) -> Column:
+    """True where there is no reason: one condition for a join."""
+    return ~reduce(lambda a, b: a | b, _rules(query, other, threshold).values(), F.lit(False))
+
+
+def fields(df: DataFrame, prefix: str) -> dict[str, Column]:
+    """The columns `prefix`name of a table by name, for the rules above."""
+    return {c[len(prefix) :]: F.col(c) for c in df.columns if c.startswith(prefix)}
+
+
 def top_k(queries: DataFrame, gallery: DataFrame, k: int, eligible: Column | None = None, block_bytes: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, rank, gallery_id, score): the k best gallery rows of each query, ties by gallery id.
 
@@ -57,6 +83,52 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, eligible: Column | Non
     return found.select("query_id", "rank", "gallery_id", "score")
 
 
+def safe_top_k(queries: DataFrame, gallery: DataFrame, k: int = 10, threshold: int = 4, within: str | None = None, block_bytes: int = BROADCAST_QUERIES) -> DataFrame:
+    """top_k over the gallery rows that may serve a query: no shared record, study, image, report or patient, no near image.
+
+    Metadata stand in columns query_* and gallery_* beside the vectors. `within` names a column (query_x, gallery_x) that must
+    be equal: a batch of bundles is one search. A k below 1 or a gallery of fewer than k rows raises at once, a query with
+    fewer than k eligible rows when the result is read.
+    """
+    if k < 1:
+        raise GateError("k must be positive")
+    if len(gallery.select("gallery_id").limit(k).collect()) < k:
+        raise GateError(f"the gallery has fewer than {k} rows")
+    sides = [{n: c for n, c in fields(df, p).items() if n != "id"} for df, p in ((queries, "query_"), (gallery, "gallery_"))]
+    may = eligible(*sides, threshold)
+    if within:
+        may = may & (F.col(f"query_{within}") == F.col(f"gallery_{within}"))
+    found = top_k(queries, gallery, k, may, block_bytes)
+    every = queries.select("query_id").join(found, "query_id", "left").withColumn("__n", F.count("gallery_id").over(Window.partitionBy("query_id")))
+    enough = F.when(F.col("__n") == k, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {k} eligible neighbours for "), F.col("query_id").cast("string"))).cast("boolean"))
+    return every.where(enough).select("query_id", "rank", "gallery_id", "score")
+
+
+def neighbor_audit(queries: DataFrame, neighbors: DataFrame, gallery: DataFrame, k: int, threshold: int = 4) -> DataFrame:
+    """(query_id, n_neighbors, reasons) of the queries whose saved neighbours aren't k, or aren't all eligible or known.
+
+    Queries and gallery carry their metadata as query_* and gallery_*; the neighbours are looked up by id.
+    """
+    sides = [{n: c for n, c in fields(df, p).items() if n != "id"} for df, p in ((queries, "query_"), (gallery, "gallery_"))]
+    both = neighbors.select("query_id", "gallery_id").join(queries, "query_id").join(gallery.withColumn("__known", F.lit(True)), "gallery_id", "left")
+    why = F.when(F.col("__known").isNull(), F.array(F.lit("unknown_neighbor"))).otherwise(ineligible_reasons(*sides, threshold))
+    found = both.select("query_id", why.alias("why")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("why")))).alias("reasons"))
+    every = queries.select("query_id").join(found, "query_id", "left")
+    rows = every.select("query_id", F.coalesce("n", F.lit(0)).alias("n_neighbors"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+    return rows.where((F.col("n_neighbors") != k) | (F.size("reasons") > 0))
+
+
+def content_differences(neighbors: DataFrame, gallery: DataFrame, key: str, ignored: tuple[str, ...] = ("query_id", "rank", "score")) -> DataFrame:
+    """(key, differing): saved copies of gallery rows that aren't the gallery's, with the fields that differ; a row that the
+    gallery lacks differs in its key."""
+    compared = [c for c in neighbors.columns if c != key and c not in ignored and c in gallery.columns]
+    own = gallery.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in compared])
+    both = neighbors.join(own, F.col(key) == F.col("__key"), "left")
+    marks = [F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in compared]
+    found = F.when(F.col("__key").isNull(), F.array(F.lit(key))).otherwise(F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>"))
+    return both.select(key, found.alias("differing")).where(F.size("differing") > 0)
+
+
 def require_full(neighbors: DataFrame, queries: DataFrame, k: int) -> None:
     """Every query has exactly k neighbours."""
     counted = neighbors.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,29 +55,33 @@ def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int =
     """(id, cider): consensus of TF-IDF n-grams (1 to n words) of a hypothesis with its reference, times 10.
 
     Document frequencies come from all references. Counts are clipped to the reference's, and a difference in length is
-    damped by a Gaussian. N-grams are rows: counts, frequencies and dot products are three aggregations.
+    damped by a Gaussian. Texts are dealt by id once; an n-gram is a 64-bit hash with its counts on both sides, made where the
+    texts are. What is shuffled then is a row for each n-gram and text, for the frequencies and the sums.
     """
 
-    def runs(k: int) -> Column:
-        """All runs of k words of the column `w`."""
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
-        found = F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.array_join(F.slice("w", i, F.lit(k)), " ").alias("g")))
-        return F.when(F.size("w") >= k, found).otherwise(F.array().cast("array<struct<k:int,g:string>>"))
-
-    def grams(text: str, tag: str) -> DataFrame:
-        words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-        split = df.select(F.col(id_col).alias("id"), words.alias("w"))
-        each = F.flatten(F.array(*[runs(k) for k in range(1, n + 1)]))
-        return split.select("id", F.explode(each).alias("x")).groupBy("id", "x.k", "x.g").agg(F.count(F.lit(1)).alias(f"tf_{tag}"))
-
-    ref, hyp = grams(reference, "r"), grams(hypothesis, "h")
-    size = df.count()
-    frequency = ref.groupBy("k", "g").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.lit(math.log(max(size, 1))) - F.log(F.greatest(F.coalesce(F.col("df"), F.lit(1)), F.lit(1)).cast("double"))
-    both = ref.join(hyp, ["id", "k", "g"], "full_outer").join(frequency, ["k", "g"], "left")
-    r, h = (F.coalesce(F.col(f"tf_{t}"), F.lit(0)) * idf for t in "rh")
+    def grams(words: str, r: int) -> list[Column]:
+        """Arrays of (k, hash, r) of all runs of k words, for each k. The words are a column, not an expression: each run would
+        split the text again."""
+
+        def runs(k: int) -> Column:
+            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.slice(words, i, F.lit(k))).alias("g"), F.lit(r).alias("r")))
+
+        return [runs(k) for k in range(1, n + 1)]
+
+    split = lambda text: F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    dealt = df.select(F.col(id_col).alias("id"), split(reference).alias("wr"), split(hypothesis).alias("wh")).repartition("id")
+    rows = dealt.select("id", F.explode(F.flatten(F.array(*grams("wr", 1), *grams("wh", 0)))).alias("x"))
+    counts = rows.groupBy("id", "x.k", "x.g").agg(F.sum("x.r").alias("r"), (F.count(F.lit(1)) - F.sum("x.r")).alias("h"))
+    frequency = counts.where("r > 0").groupBy("k", "g").agg(F.count(F.lit(1)).alias("df"))
+    both = counts.join(frequency, ["k", "g"], "left")
+    idf = F.lit(math.log(max(df.count(), 1))) - F.log(F.coalesce(F.col("df"), F.lit(1)).cast("double"))
+    weighed = both.select("id", "k", "r", "h", (F.col("r") * idf).alias("wr"), (F.col("h") * idf).alias("wh"))
     # a sentence's length is its number of bigrams, as in the usual implementation
-    sums = both.groupBy("id", "k").agg(F.sum(F.least(h, r) * r).alias("dot"), F.sqrt(F.sum(r * r)).alias("nr"), F.sqrt(F.sum(h * h)).alias("nh"), F.sum(F.coalesce("tf_r", F.lit(0))).alias("cr"), F.sum(F.coalesce("tf_h", F.lit(0))).alias("ch"))
-    per = sums.groupBy("id").agg(F.sum(F.when((F.col("nr") > 0) & (F.col("nh") > 0), F.col("dot") / (F.col("nr") * F.col("nh"))).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("k") == 2, F.col("ch") - F.col("cr")).otherwise(0)).alias("delta"))
-    scored = per.select(F.col("id"), (10.0 * F.col("s") / n * F.exp(-(F.col("delta") * F.col("delta")) / (2 * sigma * sigma))).alias("cider"))
+    own = lambda k, c: F.sum(F.when(F.col("k") == k, c))
+    wr, wh = F.col("wr"), F.col("wh")
+    sums = weighed.groupBy("id").agg(own(2, F.col("h") - F.col("r")).alias("delta"), *[x for k in range(1, n + 1) for x in (own(k, F.least(wh, wr) * wr).alias(f"dot{k}"), own(k, wr * wr).alias(f"r{k}"), own(k, wh * wh).alias(f"h{k}"))])
+    parts = [F.when((F.col(f"r{k}") > 0) & (F.col(f"h{k}") > 0), F.col(f"dot{k}") / (F.sqrt(f"r{k}") * F.sqrt(f"h{k}"))).otherwise(0.0) for k in range(1, n + 1)]
+    delta = F.coalesce("delta", F.lit(0))
+    scored = sums.select("id", (10.0 * reduce(lambda a, b: a + b, parts) / n * F.exp(-(delta * delta) / (2 * sigma * sigma))).alias("cider"))
     return df.select(F.col(id_col).alias("id")).join(scored, "id", "left").select(F.col("id").alias(id_col), F.coalesce("cider", F.lit(0.0)).alias("cider"))

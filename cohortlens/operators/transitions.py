@@ -45,16 +45,20 @@ def error_transitions(df: DataFrame, strata: list[str], unit: str, condition: st
     return both.groupBy(*strata, condition).agg(F.count_if(F.col("e") < F.col("e0")).alias("rescued"), F.count_if(F.col("e") > F.col("e0")).alias("harmed"), F.count_if(F.col("e") == F.col("e0")).alias("unchanged"))
 
 
-def resolved_introduced(pairs: DataFrame, strata: list[str]) -> DataFrame:
-    """Label errors that the second arm resolves or introduces, and what becomes of each study."""
+def case_changes(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """Each pair's label errors in both arms, those that the second arm resolves and introduces, and whether it changes anything."""
     r, a, b = F.col("reference"), F.col("prediction_a"), F.col("prediction_b")
-    ea, eb = errors(r, a), errors(r, b)
     three = lambda f: F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), r, f), F.lit(0), lambda s, x: s + x.cast("int"))
-    rows = pairs.select(*strata, ea.alias("ea"), eb.alias("eb"), three(lambda p, t: (p["a"] != t) & (p["b"] == t)).alias("res"), three(lambda p, t: (p["a"] == t) & (p["b"] != t)).alias("intro"), (a != b).alias("changed"))
-    return rows.groupBy(*strata).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("eb") < F.col("ea")).alias("rescued"), F.count_if(F.col("eb") > F.col("ea")).alias("harmed"), F.count_if(F.col("eb") == F.col("ea")).alias("unchanged"),
-        F.count_if("changed").alias("changed"), F.sum("res").alias("errors_resolved"), F.sum("intro").alias("errors_introduced"),
-    )
+    rows = pairs.select(*keep, errors(r, a).alias("errors_a"), errors(r, b).alias("errors_b"), three(lambda p, t: (p["a"] != t) & (p["b"] == t)).alias("errors_resolved"), three(lambda p, t: (p["a"] == t) & (p["b"] != t)).alias("errors_introduced"), (a != b).alias("changed"))
+    ea, eb = F.col("errors_a"), F.col("errors_b")
+    return rows.withColumns({"rescued": eb < ea, "harmed": eb > ea, "unchanged": eb == ea})
+
+
+def resolved_introduced(pairs: DataFrame, strata: list[str]) -> DataFrame:
+    """Label errors that the second arm resolves or introduces, and what becomes of each study."""
+    rows = case_changes(pairs, strata)
+    counts = [F.count_if(c).alias(c) for c in ("rescued", "harmed", "unchanged", "changed")]
+    return rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_pairs"), *counts, F.sum("errors_resolved").alias("errors_resolved"), F.sum("errors_introduced").alias("errors_introduced"))
 
 
 def majority_vote(df: DataFrame, keys: list[str], model: str, models: list[str]) -> DataFrame:

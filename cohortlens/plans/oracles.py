@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from cohortlens.functions import prompts as P
 from cohortlens.functions.hashing import MIXERS
 from cohortlens.functions.labels import LABELS, UNCERTAIN_POLICY
+from cohortlens.operators.audits import LABEL_SOURCE
+from cohortlens.operators.inference import ADDED, CONTRASTS, LESS_IS_BETTER
 from cohortlens.operators.metrics import NAMES, TOTALS
+from cohortlens.operators.revision import ARMS, CONDITIONS
 from cohortlens.operators.transitions import JOINT_COUNTS
 from cohortlens.plans.queries import PRIMARY, REPLICATES
 
@@ -215,12 +219,23 @@ UNIT = "list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(l
 SIDES = f"e AS (SELECT vec_id, label, {UNIT} AS x FROM embeddings)"
 
 
-def top_k(k: int, where: str) -> str:
-    return f"""WITH {SIDES}, s AS (SELECT q.vec_id AS query_id, g.vec_id AS gallery_id, list_inner_product(q.x, g.x) AS score FROM e q JOIN e g ON {where} WHERE q.vec_id % 20 = 0)
+def top_k(k: int, where: str = "true", source: str = "e", with_: str = SIDES) -> str:
+    return f"""WITH {with_}, s AS (SELECT q.vec_id AS query_id, g.vec_id AS gallery_id, list_inner_product(q.x, g.x) AS score FROM {source} q JOIN {source} g ON {where} WHERE q.vec_id % 20 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gallery_id) AS rank, gallery_id, score FROM s QUALIFY rank <= {k}"""
 
 
-SAFE = "q.vec_id <> g.vec_id AND q.label <> g.label"
+DESCRIBED = f"{MANIFEST}, {SIDES}, ex AS (SELECT e.vec_id, e.x, m.* FROM e LEFT JOIN m ON e.vec_id = m.doc_id)"
+RULES = {f"same_{f}": f"q.{f} = g.{f}" for f in ("record_id", "study_id", "image_id", "image_sha256", "report_sha256")} | {
+    "same_patient_or_group": "CASE WHEN q.patient_key IS NOT NULL OR g.patient_key IS NOT NULL THEN q.patient_key = g.patient_key ELSE q.patient_id = g.patient_id END",
+    "image_phash_distance<=4": "bit_count(xor(q.hi, g.hi)) + bit_count(xor(q.lo, g.lo)) <= 4",
+}
+SAFE = " AND ".join(f"NOT coalesce({r}, false)" for r in RULES.values())
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 HEX = "['TRUE', 'answer: false', 'Supported', '0', 'label = true', 'false, then true', 'untrue']"
 LOG = VECTORS + f""", h AS (SELECT doc_id, model, condition, {draw("'log'", 'doc_id', 'model', 'condition')} % 50 AS h FROM v),
 log AS (SELECT doc_id, model, condition FROM h WHERE h <> 0 UNION ALL SELECT doc_id, model, condition FROM h WHERE h = 1)"""
@@ -234,6 +249,88 @@ def _grams(column: str) -> str:
     return f"SELECT doc_id, k, array_to_string({column}[i:i + k - 1], ' ') AS g, count(*) AS tf FROM w, (VALUES (1), (2), (3), (4)) t(k), LATERAL (SELECT unnest(range(1, len({column}) - k + 2)) AS i) GROUP BY ALL"
 
 
+EVIDENCE = f"string_agg('REFERENCE ' || rank || ' (similarity=' || printf('%.6f', round(score, 3)) || '):' || chr(10) || trim({clean('text')}), chr(10) || chr(10) ORDER BY rank)"
+ROOM = 1200 - len(P.RECOVERY)
+PAYLOAD = ROOM - len(P.OMISSION)
+
+
+def contrasts(pairs) -> str:
+    """CTE `ar`: (contrast, model, cluster, a_*, b_*) of every contrast, from `cs`."""
+    one = lambda a, b: f"SELECT '{a}-{b}' AS contrast, model, cluster, " + ", ".join(f"max({c}) FILTER (condition = '{x}') AS {t}_{c}" for t, x in (("a", a), ("b", b)) for c in TOTALS) + f" FROM cs WHERE condition IN ('{a}', '{b}') GROUP BY model, cluster"
+    return "ar AS (" + " UNION ALL ".join(one(a, b) for a, b in pairs) + ")"
+
+
+def adjusted(source: str, p: str, out: str, family: str, order: str, missing: bool = False) -> str:
+    """`source` with Holm's adjustment of the column `p`."""
+    q = f"coalesce({p}, 1)" if missing else p
+    work = f"(SELECT *, {q} AS q_, count({q}) OVER (PARTITION BY {family}) AS m_, row_number() OVER (PARTITION BY {family} ORDER BY {q} ASC NULLS LAST, {order}) AS k_ FROM {source})"
+    return f"SELECT * EXCLUDE (q_, m_, k_), CASE WHEN {p} IS NOT NULL THEN least(1.0, max((m_ - k_ + 1) * q_) OVER (PARTITION BY {family} ORDER BY k_ ROWS UNBOUNDED PRECEDING)) END AS {out} FROM {work}"
+
+
+BETTER = f"CASE WHEN metric IN ({', '.join(quoted(x) for x in LESS_IS_BETTER)}) THEN -difference ELSE difference END"
+DIRECTION = f"CASE WHEN {BETTER} > 0 THEN 'better' WHEN {BETTER} < 0 THEN 'worse' WHEN {BETTER} = 0 THEN 'tie' END"
+FIVE = f"""{CLUSTERS}, {contrasts((*CONTRASTS, ADDED))}, {permutation('pp', 'ar', 'contrast, model')}, h AS ({adjusted('pp', 'p_value', 'p_holm', 'model, metric', 'contrast')}),
+ad AS (SELECT * FROM ar WHERE contrast = '{"-".join(ADDED)}'), iv AS (WITH {bootstrap('ad', 'contrast, model', [f'{t}_{c}' for t in 'ab' for c in TOTALS], differences(primary))}),
+five AS (SELECT h.*, iv.ci_low, iv.ci_high, {DIRECTION} AS direction FROM h LEFT JOIN iv USING (contrast, model, metric))"""
+
+
+def joint_summary(clusters: str, strata: str, family: str) -> str:
+    """CTEs that end in `js`, from the relation `clusters`."""
+    nets = {"event_net": "event_rescue - event_harm", "strict_net": "strict_rescue - strict_harm"}
+    flips = ", ".join(f"sum(({x}) * f) AS {k}" for k, x in nets.items())
+    total = ", ".join(f"sum({x}) AS {k}" for k, x in nets.items())
+    p = ", ".join(f"(count(*) FILTER (abs(n.{k}) >= abs(o.{k})) + 1) / (count(*) + 1) AS {k}_p" for k in nets)
+    return f"""bs AS (WITH {bootstrap(clusters, strata, list(JOINT_COUNTS), RATES)}), jn AS (SELECT {strata}, count(*) AS n_clusters, {JOINT_SUMS} FROM {clusters} GROUP BY {strata}),
+fo AS (SELECT {strata}, {total} FROM {clusters} GROUP BY {strata}), fn AS (SELECT {strata}, b, {flips} FROM (SELECT *, {drawn('h')} % 2 * 2 - 1 AS f FROM (SELECT *, {draw('cluster')} AS h FROM {clusters}), {REPLICATE}) GROUP BY {strata}, b),
+fp AS (SELECT {strata}, {p} FROM fn n JOIN fo o USING ({strata}) GROUP BY {strata}, o.event_net, o.strict_net),
+f1 AS ({adjusted('fp', 'event_net_p', 'event_net_p_holm', family, strata)}), f2 AS ({adjusted('f1', 'strict_net_p', 'strict_net_p_holm', family, strata)}),
+js AS (SELECT bs.*, jn.* EXCLUDE ({strata}), {r6('event_net_p', 'strict_net_p', 'event_net_p_holm', 'strict_net_p_holm')} FROM bs JOIN jn USING ({strata}) JOIN f2 USING ({strata}))"""
+
+
+STRATEGY = VECTORS + """, av AS (SELECT model, CASE WHEN condition IN ('A', 'C') THEN 'single' ELSE 'revised' END AS strategy, CASE WHEN condition IN ('A', 'B') THEN 'text' ELSE 'image' END AS arm, doc_id, cluster, reference, prediction FROM v)"""
+ARM_TOTALS = STRATEGY + f", ac AS ({totals('model, strategy, arm, cluster', 'av')})"
+ARM_PAIRS = STRATEGY + ", ap AS (SELECT a.model, a.strategy, a.doc_id, a.cluster, a.reference, a.prediction AS pa, b.prediction AS pb FROM av a JOIN av b USING (model, strategy, doc_id) WHERE a.arm = 'text' AND b.arm = 'image')"
+CASES = f"SELECT model, strategy, doc_id, {wrong('pa')} AS errors_a, {wrong('pb')} AS errors_b, " + ", ".join(" + ".join(f"(pa[{i}] {x} reference[{i}] AND pb[{i}] {y} reference[{i}])::INT" for i in range(1, SIZE + 1)) + f" AS {n}" for n, x, y in (("errors_resolved", "<>", "="), ("errors_introduced", "=", "<>"))) + ", pa <> pb AS changed, errors_b < errors_a AS rescued, errors_b > errors_a AS harmed, errors_b = errors_a AS unchanged FROM ap"
+GENERATIONS = f"""gl AS (SELECT doc_id, lang, model, condition, {KNOWN} AS known, model || '|' || CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END || '|' || doc_id || '|' || condition AS id, {draw(quoted('gen'), 'doc_id', 'model', 'condition')} % 200 AS h
+  FROM documents, (VALUES ('m1'), ('m2'), ('m3')) a(model), (VALUES ('A'), ('B')) b(condition))"""
+PEOPLE = VECTORS + f""", f AS (SELECT a.doc_id, a.reference, a.prediction AS x, d.prediction AS y, c.prediction AS p FROM v a JOIN v d USING (doc_id) JOIN v c USING (doc_id) WHERE a.model = 'm1' AND d.model = 'm1' AND c.model = 'm1' AND a.condition = 'A' AND d.condition = 'D' AND c.condition = 'C'),
+fc AS (SELECT *, list_transform(range(1, {SIZE + 1}), lambda i: CASE WHEN x[i] = y[i] THEN x[i] ELSE reference[i] END) AS truth FROM f)"""
+
+
+def validated(truth: str, name: str) -> str:
+    """CTE of per-label counts and rates of the predictions `p` against `truth`, with the annotators' agreement."""
+    rows = " UNION ALL ".join(f"""SELECT '{x}' AS label, count(*) FILTER ({truth}[{i}] = 1 AND p[{i}] = 1) AS tp, count(*) FILTER ({truth}[{i}] = 0 AND p[{i}] = 1) AS fp, count(*) FILTER ({truth}[{i}] = 1 AND p[{i}] = 0) AS fn, count(*) FILTER ({truth}[{i}] = 0 AND p[{i}] = 0) AS tn,
+  count(*) AS n, sum(x[{i}] * y[{i}]) AS yes, sum(x[{i}]) AS a, sum(y[{i}]) AS b, sum((1 - x[{i}]) * (1 - y[{i}])) AS neither FROM fc""" for i, x in enumerate(LABELS, 1))
+    return f"""{name} AS (SELECT *, {ratio('tp', 'tp + fn')} AS sensitivity, {ratio('tn', 'tn + fp')} AS specificity, {ratio('tp', 'tp + fp')} AS precision, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1, (yes + neither) / n AS agreement,
+  ((yes + neither) / n - ch) / {KAPPA} AS kappa FROM (SELECT *, (a / n) * (b / n) + (1 - a / n) * (1 - b / n) AS ch FROM ({rows})))"""
+
+
+def revision_passes() -> str:
+    """CTEs s0 to s4 of the deterministic models' runs: prompts and reports by their lengths."""
+    report = lambda n: f"CASE WHEN {n} % 11 = 6 THEN '' WHEN {n} % 11 = 0 THEN 'report ' || ({n} + 5) ELSE 'report ' || {n} END"
+    gate = ", ".join(quoted(c) for c in CONDITIONS[2:])
+    out = [f"""s0 AS (SELECT doc_id, condition, ev, {report('(ev + 16)')} AS r, 1 AS n_reports, 0 AS n_verdicts, ((ev + 16) % 11 IN (0, 6))::INT AS n_recovered,
+  CASE WHEN (ev + 16) % 11 = 6 THEN 'empty_initial_after_recovery' WHEN condition = '{CONDITIONS[0]}' THEN 'single_pass' END AS stop
+  FROM (SELECT doc_id, length({clean('text')}) AS ev FROM documents), (VALUES {', '.join(f"('{c}')" for c in CONDITIONS)}) t(condition))"""]
+    for k in range(1, 5):
+        out.append(f"""g{k} AS (SELECT *, stop IS NULL AND condition IN ({gate}) AS judged, stop IS NULL AND condition IN ({gate}) AND (length(r) + ev + CASE WHEN condition = '{CONDITIONS[3]}' THEN 2 ELSE 0 END) % 3 = 0 AS accepted, 16 + length(r) + ev AS n FROM s{k - 1}),
+s{k} AS (SELECT doc_id, condition, ev, CASE WHEN stop IS NULL AND NOT accepted AND n % 11 <> 6 THEN {report('n')} ELSE r END AS r, n_reports + (stop IS NULL AND NOT accepted)::INT AS n_reports, n_verdicts + judged::INT AS n_verdicts,
+  n_recovered + (stop IS NULL AND NOT accepted AND n % 11 IN (0, 6))::INT AS n_recovered, CASE WHEN stop IS NOT NULL THEN stop WHEN accepted THEN 'verifier_true' WHEN n % 11 = 6 THEN 'empty_revision_fallback' {"WHEN true THEN 'max_passes'" if k == 4 else ''} END AS stop FROM g{k})""")
+    return ", ".join(out)
+
+
+def matched_passes() -> str:
+    gate = ", ".join(quoted(c) for c in CONDITIONS[2:])
+    report = lambda n: f"'report ' || {n} || CASE WHEN arm = '{ARMS[1]}' THEN '+' ELSE '' END"
+    out = [f"""s0 AS (SELECT condition, arm, ev, {report('(ev + 16)')} AS r, 1 AS n_reports, (ev + 16) % 13 = 0 AS failed, CASE WHEN condition = '{CONDITIONS[0]}' THEN 'single_pass' END AS stop
+  FROM (SELECT length({clean('text')}) AS ev FROM documents), (VALUES {', '.join(f"('{c}')" for c in CONDITIONS)}) t(condition), (VALUES {', '.join(f"('{a}')" for a in ARMS)}) u(arm))"""]
+    for k in range(1, 5):
+        out.append(f"""g{k} AS (SELECT *, NOT failed AND stop IS NULL AND condition IN ({gate}) AS judged, 16 + length(r) + ev AS n FROM s{k - 1}), w{k} AS (SELECT *, judged AND length(r) % 11 = 10 AS unread, judged AND length(r) % 11 <> 10 AND (length(r) + ev) % 3 = 0 AS accepted FROM g{k}),
+s{k} AS (SELECT condition, arm, ev, CASE WHEN stop IS NULL AND NOT accepted THEN {report('n')} ELSE r END AS r, n_reports + (stop IS NULL AND NOT accepted)::INT AS n_reports, failed OR unread OR (stop IS NULL AND NOT accepted AND n % 13 = 0) AS failed,
+  CASE WHEN stop IS NOT NULL THEN stop WHEN accepted THEN 'verifier_true' {"WHEN true THEN 'max_passes'" if k == 4 else ''} END AS stop FROM w{k})""")
+    return ", ".join(out)
+
+
 ORACLES: dict[str, str] = {
     "norm_text_hash": f"SELECT doc_id, length({normal('text')}) AS n_normal, {text_hash('text')} AS report_hash, sha256(text) AS raw_hash FROM documents",
     "label_vector": f"SELECT doc_id, array_to_string({KNOWN}, ',') AS known, {bits(f'list_transform({LIST}, lambda x: list_contains({KNOWN}, x)::INT)')} AS vector FROM documents",
@@ -242,11 +339,22 @@ ORACLES: dict[str, str] = {
     "chat_normalize": "WITH m AS (SELECT conv_id, turn, role, trim(coalesce(text, '')) AS t FROM conversations WHERE trim(coalesce(text, '')) <> '' AND role <> '') SELECT conv_id, coalesce(count(t), 0) AS n, count(*) FILTER (role = 'user' AND t IS NOT NULL) AS n_user, count(*) FILTER (role = 'assistant' AND t IS NOT NULL) AS n_assistant, md5(arg_max(t, turn) FILTER (role = 'assistant')) AS last_answer FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN m USING (conv_id) GROUP BY conv_id",
     "verdict_words": f"SELECT doc_id, [true, false, true, false, true, NULL, NULL][k] AS target, [true, false, NULL, NULL, true, false, NULL][k] AS verdict FROM (SELECT doc_id, {draw(chr(39) + 'v' + chr(39), 'doc_id')} % 7 + 1 AS k FROM documents)",
     "stable_key": f"SELECT doc_id, CASE k WHEN 0 THEN 'record_id:r' || doc_id WHEN 1 THEN 'image_path:/x/' || doc_id ELSE 'study_id:' || source END AS key FROM (SELECT *, {draw(chr(39) + 'k' + chr(39), 'doc_id')} % 3 AS k FROM documents)",
-    "safe_topk_retrieval": f"SELECT query_id, rank, gallery_id, round(score, 6) AS score FROM ({top_k(10, SAFE)})",
+    "safe_topk_retrieval": f"SELECT query_id, rank, gallery_id, round(score, 6) AS score FROM ({top_k(10, SAFE, 'ex', DESCRIBED)})",
     "raw_topk": f"SELECT query_id, rank, gallery_id, round(score, 6) AS score FROM ({top_k(10, 'true')})",
     "rank1_review": f"SELECT query_id, rank, gallery_id, round(score, 6) AS score FROM ({top_k(1, 'true')}) WHERE score >= 0.9999",
-    "evidence_prompt": f"""SELECT query_id, count(*) AS n_neighbors, sha256(string_agg('REFERENCE ' || rank || ' (similarity=' || printf('%.6f', round(score, 3)) || '):' || chr(10) || trim(substr({clean('text')}, 1, 200)), chr(10) || chr(10) ORDER BY rank)) AS prompt_hash
-FROM ({top_k(3, SAFE)}) t LEFT JOIN documents d ON d.doc_id = t.gallery_id GROUP BY query_id""",
+    "evidence_prompt": f"""SELECT query_id, count(*) AS n_neighbors, sha256({EVIDENCE}) AS prompt_hash
+FROM ({top_k(10, SAFE, 'ex', DESCRIBED)}) t LEFT JOIN documents d ON d.doc_id = t.gallery_id GROUP BY query_id""",
+    "retrieval_bundles": f"""WITH {DESCRIBED}, s AS (SELECT b || '|' || q.vec_id AS query_id, g.vec_id AS gallery_id, list_inner_product(q.x, g.x) AS score
+  FROM ex q JOIN (VALUES ('even'), ('odd'), ('all')) t(b) ON true JOIN ex g ON (b = 'all' OR (b = 'even') = (g.vec_id % 2 = 0)) AND {SAFE} WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gallery_id) AS rank, gallery_id, round(score, 6) AS score FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "neighbor_audit": f"""WITH {DESCRIBED}, t AS ({top_k(10)}), x AS (SELECT t.query_id, unnest([{', '.join(f"CASE WHEN {r} THEN '{k}' END" for k, r in RULES.items())}, '']) AS reason FROM t JOIN ex q ON q.vec_id = t.query_id JOIN ex g ON g.vec_id = t.gallery_id)
+SELECT query_id, count(*) FILTER (reason = '') AS n_neighbors, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (reason <> ''), '') AS reasons FROM x GROUP BY query_id HAVING n_neighbors <> 10 OR reasons <> ''""",
+    "neighbor_content": f"WITH {MANIFEST} SELECT record_id, CASE WHEN doc_id % 50 = 0 THEN 'record_id' ELSE 'study_id' END AS differing FROM m WHERE doc_id % 3 = 0 AND (doc_id % 50 = 0 OR {draw(quoted('nc'), 'doc_id')} % 10 = 0)",
+    "prompts": f"""WITH x AS (SELECT doc_id, {clean('text')} AS t, source AS r, doc_id % 4 + 1 AS k FROM documents), y AS (SELECT *, {quoted(P.FIRST)} || t || {quoted(P.FIRST_END)} AS p FROM x)
+SELECT doc_id, md5(p) AS first, md5({quoted(P.FIRST_NEUTRAL)} || t || {quoted(P.FIRST_END)}) AS first_neutral,
+  {', '.join(f"md5({quoted(P.PASS)} || k || {quoted(v + P.CANDIDATE)} || r || chr(10) || chr(10) || t || {quoted(P.REVISION_END)}) AS {n}" for n, v in (('revision', P.REVISION), ('revision_neutral', P.REVISION_NEUTRAL)))},
+  md5({quoted(P.VERIFIER)} || CASE WHEN doc_id % 2 = 0 THEN {quoted(P.EVIDENCE)} || t || chr(10) || chr(10) || {quoted(P.STATEMENT)} || r ELSE {quoted(P.STATEMENT)} || r END || {quoted(P.VERIFIER_END)}) AS verifier,
+  md5(CASE WHEN length(p) > {ROOM} THEN substr(p, 1, {PAYLOAD // 3}) || {quoted(P.OMISSION)} || right(p, {PAYLOAD - PAYLOAD // 3}) ELSE p END || {quoted(P.RECOVERY)}) AS recovery FROM y""",
     "overlap_audit_counts": f"WITH {MANIFEST}, o AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, k FROM (SELECT {f} AS k FROM g WHERE {f} IS NOT NULL{w} INTERSECT SELECT {f} FROM q WHERE true{w})" for f, w in (("study_id", ""), ("image_id", ""), ("image_sha256", ""), ("report_sha256", ""), ("patient_key", " AND patient_reliable"))) + " UNION ALL SELECT 'image_phash', record_id FROM nearg) SELECT f.field, count(k) AS n_overlap, coalesce(array_to_string(list_sort(list(k) FILTER (k IS NOT NULL))[1:20], ','), '') AS examples FROM (VALUES ('study_id'), ('image_id'), ('image_sha256'), ('report_sha256'), ('patient_key'), ('image_phash')) f(field) LEFT JOIN o USING (field) GROUP BY f.field",
     "gallery_clean": f"WITH {CLEANED} SELECT record_id, report_sha256 FROM c WHERE len(reasons) = 0",
     "gallery_removed": f"WITH {CLEANED} SELECT record_id, array_to_string(reasons, ',') AS reasons FROM c WHERE len(reasons) > 0",
@@ -295,7 +403,56 @@ y AS (SELECT CASE WHEN k = 2 THEN 'source_report_or_image' ELSE 'patient' END AS
 SELECT grouping_level, verdict_source, verdict, count(*) AS n, count(DISTINCT grp) AS n_groups FROM y GROUP BY ALL""",
     "pooled_joint": f"WITH {JOINT}, jc AS (SELECT 'all models' AS scope, cluster, {JOINT_SUMS} FROM j GROUP BY cluster), {bootstrap('jc', 'scope', list(JOINT_COUNTS), RATES)}",
     "holm_within": f"WITH {PV}, h AS ({holm('pv', 'source, lang', 'lang', 'source')}) SELECT source, lang, {r6('p_value', 'p_holm')} FROM h",
-    "holm_between": f"WITH {CLUSTERS}, " + ", ".join(f"{arms(f'a{a}{b}', a, b)}, {permutation(f'p{a}{b}', f'a{a}{b}')}" for a, b in ("AB", "AC", "AD", "CD")) + ", t AS (" + " UNION ALL ".join(f"SELECT '{a}-{b}' AS contrast, model, metric, p_value FROM p{a}{b}" for a, b in ("AB", "AC", "AD", "CD")) + f"), h AS ({holm('t', 'contrast, model, metric', 'metric', 'contrast, model')}) SELECT contrast, model, metric, {r6('p_value', 'p_holm')} FROM h",
+    "holm_between": f"WITH {CLUSTERS}, {contrasts(CONTRASTS)}, {permutation('pp', 'ar', 'contrast, model')}, h AS ({adjusted('pp', 'p_value', 'p_holm', 'metric', 'contrast, model')}) SELECT contrast, model, metric, {r6('p_value', 'p_holm')} FROM h",
+    "within_model_tests": f"WITH {CLUSTERS}, {contrasts(CONTRASTS)}, {permutation('pp', 'ar', 'contrast, model')}, h AS ({adjusted('pp', 'p_value', 'p_holm', 'model, metric', 'contrast')}) SELECT contrast, model, metric, valid, round(difference, 6) + 0.0 AS difference, {r6('p_value', 'p_holm')} FROM h",
+    "five_contrast_family": f"WITH {FIVE} SELECT contrast, model, metric, valid, round(difference, 6) + 0.0 AS difference, {r6('p_value', 'p_holm')}, ci_low, ci_high, direction FROM five",
+    "added_contrast_summary": f"""WITH {FIVE} SELECT metric, count(*) AS n_strata, count(*) FILTER (p_holm < 0.05) AS n_significant, count(*) FILTER (p_holm < 0.05 AND direction = 'better') AS n_better, count(*) FILTER (p_holm < 0.05 AND direction = 'worse') AS n_worse,
+  round(median(difference), 6) + 0.0 AS median_difference, round(min(difference), 6) + 0.0 AS min_difference, round(max(difference), 6) + 0.0 AS max_difference FROM five WHERE contrast = '{"-".join(ADDED)}' GROUP BY metric""",
+    "ensemble_tests": f"WITH {CLUSTERS}, ev AS (SELECT doc_id, condition, cluster, any_value(reference) AS reference, [" + ", ".join(f"(sum(prediction[{i}]) * 2 > 3)::INT" for i in range(1, SIZE + 1)) + f"] AS prediction FROM v GROUP BY doc_id, condition, cluster HAVING count(DISTINCT model) = 3), ec AS ({totals('condition, cluster', 'ev')}), "
+    + "ar AS (SELECT cs.condition, cs.model, cs.cluster, " + ", ".join([f"cs.{c} AS a_{c}" for c in TOTALS] + [f"ec.{c} AS b_{c}" for c in TOTALS]) + f" FROM cs JOIN ec USING (condition, cluster)), {permutation('pp', 'ar', 'condition, model')}, h AS ({adjusted('pp', 'p_value', 'p_holm', 'condition, metric', 'model')}), "
+    + f"bm AS (SELECT model, condition, {metrics()['macro_f1']} AS macro_f1 FROM ({totals('model, condition')}) QUALIFY row_number() OVER (PARTITION BY condition ORDER BY macro_f1 DESC NULLS LAST, model) = 1) SELECT condition, model, metric, valid, round(difference, 6) + 0.0 AS difference, {r6('p_value', 'p_holm')}, bm.model IS NOT NULL AS is_best FROM h LEFT JOIN bm USING (condition, model)",
+    "joint_stratum_summary": f"WITH {JOINT}, jc AS (SELECT model, lang, cluster, {JOINT_SUMS} FROM j GROUP BY model, lang, cluster), {joint_summary('jc', 'model, lang', 'true')} SELECT * FROM js",
+    "pooled_joint_summary": f"WITH {JOINT}, jc AS (SELECT 'all models' AS scope, 0 AS fam, cluster, {JOINT_SUMS} FROM j GROUP BY cluster UNION ALL SELECT model, 1, cluster, {JOINT_SUMS} FROM j GROUP BY model, cluster), {joint_summary('jc', 'scope, fam', 'fam')} SELECT * EXCLUDE (fam, event_net_p_holm, strict_net_p_holm), CASE WHEN fam = 1 THEN event_net_p_holm END AS event_net_p_holm, CASE WHEN fam = 1 THEN strict_net_p_holm END AS strict_net_p_holm FROM js",
+    "analysis_estimates": f"WITH {ARM_TOTALS}, bs AS (WITH {bootstrap('ac', 'model, strategy, arm', TOTALS, primary())}), w AS (SELECT model, strategy, arm, {', '.join(f'sum({c})::BIGINT AS {c}' for c in TOTALS)} FROM ac GROUP BY ALL), d AS (SELECT model, strategy, arm, n_records, {' + '.join(f'(2 * tp_{i} + fp_{i} + fn_{i} > 0)::INT' for i in range(SIZE))} AS n_defined_labels, {metrics()['macro_f1']} AS f FROM w) "
+    + f"SELECT bs.*, n_records, n_defined_labels, CASE WHEN n_defined_labels = {SIZE} THEN round(f, 6) END AS strict_macro_f1 FROM bs JOIN d USING (model, strategy, arm)",
+    "analysis_effects": f"WITH {ARM_TOTALS}, ar AS (SELECT model, strategy, cluster, " + ", ".join(f"max({c}) FILTER (arm = '{x}') AS {t}_{c}" for t, x in (("a", "text"), ("b", "image")) for c in TOTALS) + f" FROM ac GROUP BY model, strategy, cluster), {permutation('pp', 'ar', 'model, strategy')}, iv AS (WITH {bootstrap('ar', 'model, strategy', [f'{t}_{c}' for t in 'ab' for c in TOTALS], differences(primary))}), "
+    + f"x AS (SELECT *, CASE WHEN strategy = 'single' THEN 'primary' ELSE 'secondary' END AS family FROM pp), h AS ({adjusted('x', 'p_value', 'p_holm', 'family, metric', 'model, strategy', True)}) SELECT model, strategy, metric, valid, family, round(difference, 6) + 0.0 AS difference, {r6('p_value', 'p_holm')}, round(100 * difference, 6) + 0.0 AS percentage_points, {DIRECTION} AS direction, ci_low, ci_high, n_valid FROM h JOIN iv USING (model, strategy, metric)",
+    "analysis_transitions": f"WITH {ARM_PAIRS}, x AS ({CASES}) SELECT model, strategy, count(*) AS n_pairs, {', '.join(f'count(*) FILTER ({c}) AS {c}' for c in ('rescued', 'harmed', 'unchanged', 'changed'))}, sum(errors_resolved)::BIGINT AS errors_resolved, sum(errors_introduced)::BIGINT AS errors_introduced FROM x GROUP BY model, strategy",
+    "analysis_cases": f"WITH {ARM_PAIRS} {CASES}",
+    "generation_audit": f"""WITH {GENERATIONS}, p AS (SELECT id AS k, 'missing' AS problem FROM gl WHERE h IN (0, 1) UNION ALL SELECT DISTINCT 'x', unnest(['unexpected', 'id_mismatch']) FROM gl WHERE h = 1 UNION ALL SELECT 'x', 'conflicting' FROM gl WHERE h = 1 HAVING count(*) > 1
+  UNION ALL SELECT id, CASE h WHEN 2 THEN 'run_mismatch' WHEN 3 THEN 'dataset_mismatch' WHEN 4 THEN 'empty_report' WHEN 5 THEN 'empty_report' WHEN 6 THEN 'label_source' WHEN 7 THEN 'labels_missing' WHEN 9 THEN 'conflicting' END FROM gl WHERE h IN (2, 3, 4, 5, 6, 7, 9)
+  UNION ALL SELECT id, 'labels_differ' FROM gl WHERE h = 8 AND list_sort(known) <> ['edema', 'fracture']) SELECT problem, count(*) AS n, count(DISTINCT k) AS n_ids FROM p GROUP BY problem""",
+    "resume_audit": f"WITH {GENERATIONS} SELECT id AS generation_record_id, CASE h WHEN 4 THEN 'empty_final_report' WHEN 5 THEN 'empty_output_flag' ELSE 'done' END AS state FROM gl WHERE model = 'm1' AND doc_id % 2 = 0 AND h > 2",
+    "prediction_audit": f"""WITH x AS (SELECT doc_id::VARCHAR AS id, {draw(quoted('pa'), 'doc_id')} % 20 AS h FROM labels) SELECT CASE WHEN h = 0 THEN 'u' || id ELSE id END AS verifier_record_id, ['unknown', 'truth', 'group', 'unparseable', 'repeated'][h + 1] AS problem FROM x WHERE h < 5""",
+    "frame_audit": f"""WITH x AS (SELECT model || '|' || doc_id AS id FROM documents, (VALUES ('m1'), ('m2'), ('m3')) t(model)), y AS (SELECT id, {draw(quoted('fa'), 'id')} % 40 AS h FROM x)
+SELECT CASE WHEN h = 3 THEN 'new|' || id ELSE id END AS generation_record_id, ['missing', 'reference_vector_differs', 'runtime_sha256_differs', 'unexpected', 'repeated'][h + 1] AS problem FROM y WHERE h < 5""",
+    "recovery_summary": f"WITH {VECTORS}, x AS (SELECT model, condition, CASE WHEN {draw(quoted('rs'), 'doc_id', 'model', 'condition')} % 10 = 0 THEN doc_id % 3 + 1 ELSE 0 END AS n FROM v) SELECT model, condition, count(*) AS n_records, count(*) FILTER (n > 0) AS records_retried, sum(n)::BIGINT AS passes_retried FROM x GROUP BY model, condition",
+    "selected_cases": f"WITH {VECTORS} SELECT 'm1|' || doc_id AS case_key, array_to_string(prediction, ',') AS prediction FROM v WHERE model = 'm1' AND condition = 'A' AND doc_id % 20 = 0",
+    "value_counts": 'SELECT \'lang\' AS "column", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT \'source\', source, count(*) FROM documents GROUP BY source',
+    "split_summary": f"""WITH x AS (SELECT source, lang, quality = 1 AS verdict, {draw(str(SEED), 'source')} % 10000 AS k FROM labels JOIN documents USING (doc_id)), y AS (SELECT *, CASE WHEN k < 8000 THEN 'train' WHEN k < 9000 THEN 'validation' ELSE 'test' END AS split FROM x),
+l AS (SELECT split, string_agg(lang || '=' || n, ',' ORDER BY lang) AS grouping_levels FROM (SELECT split, lang, count(*) AS n FROM y GROUP BY ALL) GROUP BY split) SELECT split, count(*) AS n_examples, count(DISTINCT source) AS n_groups, count(*) FILTER (verdict) AS positive, count(*) FILTER (NOT verdict) AS negative, any_value(grouping_levels) AS grouping_levels FROM y JOIN l USING (split) GROUP BY split""",
+    "smoke_subset": "SELECT doc_id, lang FROM documents ORDER BY sha256('7|' || doc_id), doc_id LIMIT 25",
+    "work_list": f"""WITH x AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS bundle, doc_id::VARCHAR AS query_record_id, model_key, 'A' AS condition, arm, k FROM documents, (VALUES ('m1'), ('m2')) t(model_key), (VALUES ('text', 0), ('image', 1)) u(arm, k)),
+y AS (SELECT *, {draw('7', 'model_key', 'bundle', 'query_record_id', 'condition')} AS pair_seed FROM x) SELECT concat_ws('|', model_key, bundle, query_record_id, condition, arm) AS generation_record_id, model_key, bundle, query_record_id, condition, arm, pair_seed, CASE WHEN pair_seed % 2 = 1 THEN k ELSE 1 - k END AS turn FROM y""",
+    "qualitative_means": f"""WITH r AS (SELECT doc_id, letter, f, {draw(quoted('q'), 'f', 'doc_id', 'letter')} % 5 AS base, ({draw(quoted('q'), 'f', quoted('r1'), 'doc_id')} % 4 = 0)::INT AS x, ({draw(quoted('q'), 'f', quoted('r2'), 'doc_id')} % 4 = 0)::INT AS y FROM documents, (VALUES ('X'), ('Y')) t(letter), (VALUES ('accuracy'), ('harm')) u(f)),
+m AS (SELECT CASE WHEN (doc_id % 2 = 0) = (letter = 'X') THEN 'B' ELSE 'C' END AS condition, f, CASE WHEN x = y THEN base + x ELSE 2 END AS value FROM r) SELECT condition, round(avg(value) FILTER (f = 'accuracy'), 6) AS accuracy, round(avg(value) FILTER (f = 'harm'), 6) AS harm FROM m GROUP BY condition""",
+    "annotator_validation": f"WITH {PEOPLE}, {validated('truth', 'k')} SELECT round(sum(agreement * n) / sum(n), 6) AS cell_agreement, round(avg(kappa), 6) AS macro_kappa, sum(n - yes - neither)::BIGINT AS n_disagreements, max(n) AS n, round(avg(f1), 6) AS macro_f1, round(avg(sensitivity), 6) AS macro_sensitivity, round(avg(specificity), 6) AS macro_specificity, count(f1) AS n_defined_f1 FROM k",
+    "annotator_validation_by_label": f"WITH {PEOPLE}, {validated('truth', 'k')} SELECT label, tp, fp, fn, tn, {r6('sensitivity', 'specificity', 'precision', 'f1', 'agreement', 'kappa')} FROM k",
+    "single_validation": f"WITH {PEOPLE}, {validated('x', 'k')} SELECT label, tp, fp, fn, tn, {r6('sensitivity', 'specificity', 'precision', 'f1')} FROM k",
+    "labeled_export": f"WITH {PEOPLE} SELECT 'b' || doc_id AS blinded_id, doc_id::VARCHAR AS generation_record_id, {', '.join(f'p[{i}] AS {n}' for i, n in enumerate(NAMES, 1))} FROM f",
+    "end_to_end_timing": "WITH x AS (SELECT event_id % 3 AS repeat, unnest([3 * value, 3 * value + 1]) AS t FROM events) SELECT repeat, round(quantile_cont(t, 0.25), 6) AS q1, round(quantile_cont(t, 0.5), 6) AS median, round(quantile_cont(t, 0.75), 6) AS q3, round(quantile_cont(t, 0.75) - quantile_cont(t, 0.25), 6) AS iqr, round(avg(t), 6) AS mean, round(quantile_cont(t, 0.95), 6) AS p95 FROM x GROUP BY repeat",
+    "hook_scores": f"SELECT doc_id, CASE WHEN {normal('text')} = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM documents",
+    "revision_state_machine": f"WITH {revision_passes()} SELECT doc_id::VARCHAR AS record_id, condition, r AS final_report, n_reports, n_verdicts, n_recovered, stop AS stop_reason, n_reports - 1 AS stopping_pass FROM s4",
+    "matched_runs": f"WITH {matched_passes()}, x AS (SELECT condition, arm, CASE WHEN NOT failed THEN stop END AS stop_reason, failed, CASE WHEN NOT failed THEN n_reports END AS n_reports FROM s4) SELECT condition, arm, stop_reason, failed, count(*) AS n, coalesce(sum(n_reports), 0)::BIGINT AS n_reports FROM x GROUP BY ALL",
+    "align_by_position": "SELECT 'r' || doc_id AS record_id, -doc_id AS vector_id FROM documents",
+    "reordered_gallery": f"WITH {MANIFEST} SELECT record_id, 1000000000 - doc_id AS position, study_id FROM m WHERE doc_id % 3 = 0",
+    "annotation_strata": f"""WITH {VECTORS}, x AS (SELECT concat_ws('|', model, condition, doc_id) AS id, lang, model, condition, concat_ws('|', lang, model, condition) AS key, count(*) OVER (PARTITION BY lang, model, condition) AS size FROM v), y AS (SELECT *, row_number() OVER (PARTITION BY lang, model, condition ORDER BY {draw(str(SEED), 'id')}, id) AS seat FROM x)
+SELECT lang, model, condition, count(*) AS n FROM (SELECT * FROM y ORDER BY CASE WHEN seat = 1 THEN 'infinity'::DOUBLE ELSE size / seat END DESC, key DESC, seat LIMIT 200) GROUP BY ALL""",
+    "grouped_split": f"""WITH RECURSIVE {MANIFEST}, sizes AS (SELECT study_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5('{SEED}|' || study_id)) AS k FROM m GROUP BY study_id),
+fold AS (SELECT 0::BIGINT AS k, 8 * (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM documents) AS b, (SELECT count(*) FROM documents) AS c, 0::BIGINT AS n, '' AS split UNION ALL
+  SELECT s.k, a - CASE pick WHEN 'train' THEN 10 * s.n ELSE 0 END, b - CASE pick WHEN 'validation' THEN 10 * s.n ELSE 0 END, c - CASE pick WHEN 'test' THEN 10 * s.n ELSE 0 END, s.n, pick
+  FROM (SELECT *, CASE WHEN b >= a AND b >= c THEN 'validation' WHEN c >= a THEN 'test' ELSE 'train' END AS pick FROM fold) f JOIN sizes s ON s.k = f.k + 1)
+SELECT split, sum(n)::BIGINT AS n, count(*) AS n_groups FROM fold WHERE k > 0 GROUP BY split""",
     "holm_with_missing": f"WITH {PV}, h AS ({holm('pv', 'source, lang', 'lang', 'source', True)}) SELECT source, lang, {r6('p_value', 'p_holm')} FROM h",
     "contrast_summary": f"""WITH {PV}, h AS ({holm('pv', 'source, lang', 'lang', 'source')}), d AS (SELECT *, round({draw("'df'", 'source', 'lang')} % 2001 / 1000.0::DOUBLE - 1, 3) AS difference FROM h)
 SELECT lang, count(*) AS n_strata, count(*) FILTER (p_holm < 0.05) AS n_significant, count(*) FILTER (difference > 0) AS n_better, count(*) FILTER (difference < 0) AS n_worse, round(median(difference), 6) AS median_difference, round(min(difference), 6) AS min_difference, round(max(difference), 6) AS max_difference FROM d GROUP BY lang""",

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import labels as L
+from cohortlens.functions import prompts as P
 from cohortlens.functions import text as X
 from cohortlens.functions.hashing import draw
-from cohortlens.operators import annotation, cohort, gates, metrics, multiplicity, records, resampling, retrieval, revision, sampling, text_metrics, transitions
+from cohortlens.operators import annotation, audits, cohort, experiment, gates, inference, manifest as M, metrics, multiplicity, records, resampling, retrieval, revision, sampling, scoring, text_metrics, transitions
 from cohortlens.plans.fixtures import CONDITIONS, MODELS, findings, gallery_and_queries, manifest, raw_labels, states, table, vectors
 from cohortlens.streaming import incremental
 
@@ -111,21 +112,26 @@ def verifier_records(spark, sf):
 # Retrieval: every vector whose id is divisible by 20, against all vectors
 
 
+METADATA = ("record_id", "study_id", "image_id", "image_sha256", "report_sha256", "patient_id", "patient_key", "hi", "lo")
+
+
 def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf, "embeddings")
     v = retrieval.l2_normalize(F.col("embedding"))
-    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), v.alias("q")), e.select(F.col("vec_id").alias("gallery_id"), F.col("label").alias("gallery_label"), v.alias("g"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), v.alias("q")), e.select(F.col("vec_id").alias("gallery_id"), v.alias("g"))
 
 
-def _safe(spark, sf, k: int = 10) -> DataFrame:
+def _described(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the manifest's fields of the document of the same number."""
+    named = manifest(spark, sf).select("doc_id", *METADATA)
+    of = lambda df, t: df.join(named.toDF(f"{t}_id", *[f"{t}_{c}" for c in METADATA]), f"{t}_id", "left")
     queries, gallery = _sides(spark, sf)
-    eligible = (F.col("query_id") != F.col("gallery_id")) & (F.col("query_label") != F.col("gallery_label"))
-    return retrieval.top_k(queries, gallery, k, eligible)
+    return of(queries, "query"), of(gallery, "gallery")
 
 
 @query
 def safe_topk_retrieval(spark, sf):
-    return rounded(_safe(spark, sf))
+    return rounded(retrieval.safe_top_k(*_described(spark, sf), 10))
 
 
 @query
@@ -140,23 +146,53 @@ def rank1_review(spark, sf):
     return rounded(retrieval.for_review(retrieval.top_k(queries, gallery, 1)))
 
 
-def _evidence(spark, sf, k: int, report: Column) -> DataFrame:
-    names = table(spark, sf, "documents").select(F.col("doc_id").alias("gallery_id"), report.alias("report_text"))
-    near = _safe(spark, sf, k).join(names, "gallery_id", "left")
+@query
+def retrieval_bundles(spark, sf):
+    """Three galleries in one search: the vectors of even and of odd numbers, and all of them."""
+    queries, gallery = _described(spark, sf)
+    bundle = lambda k: F.explode(F.array(F.when(F.col(k) % 2 == 0, "even").otherwise("odd"), F.lit("all")))
+    queries = queries.withColumn("query_bundle", F.explode(F.array(F.lit("even"), F.lit("odd"), F.lit("all")))).withColumn("query_id", F.concat_ws("|", "query_bundle", "query_id"))
+    return rounded(retrieval.safe_top_k(queries, gallery.withColumn("gallery_bundle", bundle("gallery_id")), 5, within="bundle"))
+
+
+@query
+def neighbor_audit(spark, sf):
+    """The unfiltered neighbours, one of which is the query itself, against the rules."""
+    queries, gallery = _described(spark, sf)
+    found = retrieval.top_k(queries, gallery, 10)
+    return retrieval.neighbor_audit(queries, found, gallery, 10).select("query_id", "n_neighbors", joined("reasons").alias("reasons"))
+
+
+@query
+def neighbor_content(spark, sf):
+    d = manifest(spark, sf).select("record_id", "doc_id", "study_id", "report_sha256")
+    saved = d.where("doc_id % 3 = 0").withColumn("study_id", F.when(draw("nc", F.col("doc_id")) % 10 == 0, F.lit("s")).otherwise(F.col("study_id")))
+    found = retrieval.content_differences(saved, d.where("doc_id % 50 <> 0"), "record_id")
+    return found.select("record_id", joined("differing").alias("differing"))
+
+
+def _evidence(spark, sf) -> DataFrame:
+    """(query_id, n_neighbors, evidence): the whole reports of ten neighbours."""
+    names = table(spark, sf, "documents").select(F.col("doc_id").alias("gallery_id"), X.clean(F.col("text")).alias("report_text"))
+    near = retrieval.safe_top_k(*_described(spark, sf), 10).join(names, "gallery_id", "left")
     rows = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.round("score", 3).alias("score"), "report_text", F.lit("").alias("report"), F.lit("").alias("caption")))).alias("n"))
-    return rows.select("query_id", F.size("n").alias("n_neighbors"), F.sha2(X.evidence_block(F.col("n")), 256).alias("prompt_hash"))
+    return rows.select("query_id", F.size("n").alias("n_neighbors"), X.evidence_block(F.col("n")).alias("evidence"))
 
 
 @query
 def evidence_prompt(spark, sf):
-    """Three neighbours and the first 200 characters of each report only, as in its SQL; evidence_prompt_whole cuts nothing."""
-    return _evidence(spark, sf, 3, F.substring(X.clean(F.col("text")), 1, 200))
+    return _evidence(spark, sf).select("query_id", "n_neighbors", F.sha2("evidence", 256).alias("prompt_hash"))
 
 
 @query
-def evidence_prompt_whole(spark, sf):
-    """The whole reports of ten neighbours."""
-    return _evidence(spark, sf, 10, X.clean(F.col("text")))
+def prompts(spark, sf):
+    """The six prompts over each document's text as evidence and its source as the report."""
+    text, report, k = X.clean(F.col("text")), F.col("source"), (F.col("doc_id") % 4 + 1)
+    made = {
+        "first": P.first_prompt(text), "first_neutral": P.first_prompt(text, True), "revision": P.revision_prompt(report, text, k), "revision_neutral": P.revision_prompt(report, text, k, True),
+        "verifier": P.verifier_prompt(report, F.when(F.col("doc_id") % 2 == 0, text)), "recovery": X.shortened(P.first_prompt(text), 1200, P.RECOVERY, P.OMISSION),
+    }
+    return table(spark, sf, "documents").select("doc_id", *[F.md5(c).alias(n) for n, c in made.items()])
 
 
 # Cohorts
@@ -210,6 +246,20 @@ def align_unique(spark, sf):
     return cohort.align_unique(left, right, [], ["path"])
 
 
+@query
+def align_by_position(spark, sf):
+    d = table(spark, sf, "documents")
+    left = d.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("record_id"), "doc_id")
+    right = d.select((-F.col("doc_id")).alias("vector_id"), "doc_id")
+    return cohort.align_by_position(left, right, "doc_id", "doc_id")
+
+
+@query
+def reordered_gallery(spark, sf):
+    rows = manifest(spark, sf).select("record_id", "doc_id", "study_id")
+    return cohort.reordered(rows.select("record_id", "study_id"), "record_id", rows.where("doc_id % 3 = 0").select("record_id", (F.lit(10**9) - F.col("doc_id")).alias("position")))
+
+
 @query
 def combined_gallery(spark, sf):
     g, q = gallery_and_queries(spark, sf)
@@ -388,11 +438,73 @@ def holm_within(spark, sf):
 
 @query
 def holm_between(spark, sf):
-    tests = [resampling.paired_permutation(_arms(spark, sf, a, b), ["model"], "cluster", metrics.TOTALS, primary, REPLICATES).withColumn("contrast", F.lit(f"{a}-{b}")) for a, b in (("A", "B"), ("A", "C"), ("A", "D"), ("C", "D"))]
-    every = tests[0]
-    for t in tests[1:]:
-        every = every.unionByName(t)
-    return rounded(multiplicity.holm(every.select("contrast", "model", "metric", "p_value"), "p_value", ["metric"], ["contrast", "model"]))
+    """Holm over contrasts and models together, by metric."""
+    arms = inference.contrast_arms(_clusters(spark, sf), ["model"], "cluster", "condition", inference.CONTRASTS)
+    tests = resampling.paired_permutation(arms, ["contrast", "model"], "cluster", metrics.TOTALS, primary, REPLICATES)
+    return rounded(multiplicity.holm(tests.select("contrast", "model", "metric", "p_value"), "p_value", ["metric"], ["contrast", "model"]))
+
+
+@query
+def within_model_tests(spark, sf):
+    return rounded(inference.within_model(_clusters(spark, sf), ["model"], "cluster", "condition", primary, n=REPLICATES))
+
+
+@query
+def five_contrast_family(spark, sf):
+    return rounded(inference.five_contrasts(_clusters(spark, sf), ["model"], "cluster", "condition", primary, REPLICATES))
+
+
+@query
+def added_contrast_summary(spark, sf):
+    return rounded(inference.contrast_summary(inference.five_contrasts(_clusters(spark, sf), ["model"], "cluster", "condition", primary, REPLICATES), "B-C", ["metric"]))
+
+
+@query
+def ensemble_tests(spark, sf):
+    v = vectors(spark, sf)
+    voted = transitions.majority_vote(v, ["doc_id", "condition", "cluster"], "model", list(MODELS))
+    singles = metrics.totals(v, ["condition", "model", "cluster"])
+    return rounded(inference.ensemble_tests(singles, metrics.totals(voted, ["condition", "cluster"]), ["condition"], "model", "cluster", primary, REPLICATES))
+
+
+@query
+def joint_stratum_summary(spark, sf):
+    counts = transitions.joint_counts(_joint(spark, sf), ["model", "lang", "cluster"])
+    clusters = transitions.cluster_counts(counts, ["model", "lang"], "cluster").withColumn("family", F.lit("strata"))
+    return rounded(inference.joint_summary(clusters, ["family", "model", "lang"], "cluster", ["family"], REPLICATES).drop("family"))
+
+
+@query
+def pooled_joint_summary(spark, sf):
+    counts = transitions.joint_counts(_joint(spark, sf), ["model", "cluster"])
+    return rounded(inference.pooled_summary(counts, "model", "cluster", REPLICATES))
+
+
+def _analysis(spark, sf) -> inference.Analysis:
+    """Arms: conditions A and B without, C and D with the image; strategies: A and C in one pass, B and D revised."""
+    arm, strategy = F.when(F.col("condition").isin("A", "B"), "text").otherwise("image"), F.when(F.col("condition").isin("A", "C"), "single").otherwise("revised")
+    rows = vectors(spark, sf).select("model", strategy.alias("strategy"), arm.alias("arm"), "doc_id", "cluster", "reference", "prediction")
+    return inference.analyze(rows, ["model", "strategy"], "arm", "text", "image", "doc_id", "cluster", primary, F.col("strategy") == "single", REPLICATES)
+
+
+@query
+def analysis_estimates(spark, sf):
+    return rounded(_analysis(spark, sf).estimates)
+
+
+@query
+def analysis_effects(spark, sf):
+    return rounded(_analysis(spark, sf).effects)
+
+
+@query
+def analysis_transitions(spark, sf):
+    return _analysis(spark, sf).transitions
+
+
+@query
+def analysis_cases(spark, sf):
+    return _analysis(spark, sf).cases
 
 
 @query
@@ -526,6 +638,174 @@ def stage_digest(spark, sf):
     return gates.group_digest(table(spark, sf, "documents"), ["source"], "text")
 
 
+def _generations(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(log, queries, models, runs, conditions): a generation log with faults of every kind, drawn by hash."""
+    d = F.col("doc_id")
+    queries = table(spark, sf, "documents").select(F.when(d % 2 == 0, "even").otherwise("odd").alias("bundle"), d.cast("string").alias("query_record_id"), F.col("lang").alias("dataset"), L.normalize_labels(raw_labels(d)).alias("labels"), F.col("source"))
+    lists = lambda name, values: spark.createDataFrame([(x,) for x in values], f"{name} string")
+    models, conditions = lists("model_key", MODELS), lists("condition", CONDITIONS[:2])
+    runs = models.crossJoin(lists("bundle", ("even", "odd"))).withColumn("run_id", F.concat_ws("-", F.lit("run"), "model_key", "bundle"))
+    rows = queries.crossJoin(F.broadcast(runs.withColumnRenamed("bundle", "b"))).where("bundle = b").drop("b").crossJoin(F.broadcast(conditions))
+    h = draw("gen", F.col("query_record_id"), F.col("model_key"), F.col("condition")) % 200
+    rows = rows.withColumn("h", h).where("h <> 0")
+    fault = lambda k, wrong, right: F.when(F.col("h") == k, wrong).otherwise(right)
+    log = rows.select(
+        "model_key", "bundle", "query_record_id", "condition", fault(1, F.lit("x"), audits.generation_id(*audits.IDENTITY)).alias("generation_record_id"), fault(2, F.lit("old"), F.col("run_id")).alias("run_id"),
+        fault(3, F.lit("xx"), F.col("dataset")).alias("source_dataset"), fault(4, F.lit(" "), F.concat(F.lit(" report of "), "source")).alias("final_report"), (F.col("h") == 5).alias("empty_output"),
+        fault(6, F.lit("other"), F.lit(audits.LABEL_SOURCE)).alias("ground_truth_source"), F.when(F.col("h") != 7, fault(8, F.array(F.lit("fracture"), F.lit("edema")), F.col("labels"))).alias("reference_labels_json"),
+        F.rand(7).alias("total_generation_seconds"), F.col("h"),
+    )
+    again = log.where("h in (9, 10)").withColumn("final_report", F.when(F.col("h") == 9, F.lit("another")).otherwise(F.col("final_report")))
+    return log.unionByName(again).drop("h"), queries, models, runs, conditions
+
+
+@query
+def generation_audit(spark, sf):
+    log, queries, models, runs, conditions = _generations(spark, sf)
+    return audits.generation_problems(log, queries, models, runs, conditions).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("generation_record_id").alias("n_ids"))
+
+
+@query
+def resume_audit(spark, sf):
+    log, queries, _, _, conditions = _generations(spark, sf)
+    good = "model_key = 'm1' and bundle = 'even' and generation_record_id <> 'x' and run_id <> 'old'"
+    done, lost = audits.resumable(log.where(good).dropDuplicates(["generation_record_id"]), "m1", "even", "run-m1-even", queries.where("bundle = 'even'"), conditions, repair=True)
+    return done.select("generation_record_id", F.lit("done").alias("state")).unionByName(lost.select("generation_record_id", F.col("reason").alias("state")))
+
+
+@query
+def prediction_audit(spark, sf):
+    d = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("verifier_record_id"), (F.col("quality") == 1).alias("verdict"), F.concat(F.lit("g"), F.col("doc_id") % 7).alias("patient_or_source_group"))
+    h = draw("pa", F.col("verifier_record_id")) % 20
+    saved = d.select(F.when(h == 0, F.concat(F.lit("u"), "verifier_record_id")).otherwise(F.col("verifier_record_id")).alias("verifier_record_id"), F.when(h == 1, ~F.col("verdict")).otherwise(F.col("verdict")).alias("truth"), F.when(h == 2, "g9").otherwise(F.col("patient_or_source_group")).alias("patient_or_source_group"), F.when(h != 3, True).alias("verdict"), h.alias("h"))
+    return audits.prediction_problems(saved.unionByName(saved.where("h = 4")).drop("h"), d)
+
+
+@query
+def frame_audit(spark, sf):
+    v = vectors(spark, sf).where("condition = 'A'").select(F.concat_ws("|", "model", "doc_id").alias("generation_record_id"), joined("reference").alias("reference_vector"), F.md5("cluster").alias("evidence_sha256"), F.lit("r").alias("runtime_sha256"))
+    h = draw("fa", F.col("generation_record_id")) % 40
+    rows = v.withColumn("h", h).where("h <> 0").withColumn("reference_vector", F.when(F.col("h") == 1, "changed").otherwise(F.col("reference_vector"))).withColumn("runtime_sha256", F.when(F.col("h") == 2, "s").otherwise("r"))
+    extra = rows.where("h = 3").withColumn("generation_record_id", F.concat(F.lit("new|"), "generation_record_id"))
+    return audits.frame_problems(rows.unionByName(rows.where("h = 4")).unionByName(extra).drop("h"), v)
+
+
+@query
+def recovery_summary(spark, sf):
+    retried = F.when(draw("rs", F.col("doc_id"), F.col("model"), F.col("condition")) % 10 == 0, F.col("doc_id") % 3 + 1)
+    return audits.recovery_counts(vectors(spark, sf), STRATUM, retried)
+
+
+@query
+def selected_cases(spark, sf):
+    cases = table(spark, sf, "documents").where("doc_id % 20 = 0").select(F.concat(F.lit("m1|"), "doc_id").alias("case_key"))
+    rows = vectors(spark, sf).where("condition = 'A'").select(F.concat_ws("|", "model", "doc_id").alias("case_key"), joined("prediction").alias("prediction"))
+    return audits.selected_cases(rows, cases, "case_key")
+
+
+@query
+def value_counts(spark, sf):
+    return audits.value_counts(table(spark, sf, "documents"), ["lang", "source"])
+
+
+@query
+def split_summary(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
+    split = sampling.hash_split(F.col("source"), ("train", "validation", "test"), (0.8, 0.1, 0.1), 20260831)
+    found = M.split_summary(d.select("source", split.alias("split"), (F.col("quality") == 1).alias("verdict"), "lang"), "split", "source", "verdict", "lang")
+    text = F.array_join(F.transform(F.map_entries("grouping_levels"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.withColumn("grouping_levels", text)
+
+
+@query
+def smoke_subset(spark, sf):
+    return M.smoke_subset(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 25, 7)
+
+
+@query
+def annotation_strata(spark, sf):
+    strata = ["lang", "model", "condition"]
+    rows = vectors(spark, sf).select("doc_id", *strata).withColumn("id", F.concat_ws("|", "model", "condition", "doc_id"))
+    return sampling.proportional_sample(rows, strata, "id", 200).groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def work_list(spark, sf):
+    queries = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("bundle"), F.col("doc_id").cast("string").alias("query_record_id"))
+    return experiment.work_list(queries, ["m1", "m2"], ["A"], ["text", "image"], 7)
+
+
+def _ratings(spark, sf, model: str) -> DataFrame:
+    d = F.col("doc_id")
+    return table(spark, sf, "documents").select(d, F.explode(F.array(F.lit("X"), F.lit("Y"))).alias("letter")).select("doc_id", "letter", *[(draw("q", F.lit(f), d, F.col("letter")) % 5 + F.when(draw("q", F.lit(f), F.lit(model), d) % 4 == 0, 1).otherwise(0)).alias(f) for f in ("accuracy", "harm")])
+
+
+@query
+def qualitative_means(spark, sf):
+    keys, fields = ["doc_id", "letter"], ["accuracy", "harm"]
+    first, second = _ratings(spark, sf, "r1"), _ratings(spark, sf, "r2")
+    final = annotation.merged_ratings(first, second, keys, fields, first.select(*keys, *[F.lit(2).cast("bigint").alias(f) for f in fields]))
+    crosswalk = first.select(*keys, F.when((F.col("doc_id") % 2 == 0) == (F.col("letter") == "X"), "B").otherwise("C").alias("condition"))
+    return rounded(annotation.rating_means(final, crosswalk, keys, "condition", fields))
+
+
+def _annotators(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    v = vectors(spark, sf).where("model = 'm1'")
+    blinded = F.concat(F.lit("b"), "doc_id").alias("blinded_id")
+    form = lambda c, who: v.where(F.col("condition") == c).select(blinded, F.lit(who).alias("annotator_id"), F.col("prediction").alias("ratings"))
+    truth = v.where("condition = 'A'").select(blinded, "reference")
+    both = annotation.joined_forms(form("A", "p"), form("D", "q"), "blinded_id").join(truth, "blinded_id")
+    decided = F.zip_with(F.zip_with("ratings_a", "ratings_b", lambda a, b: F.when(a == b, a)), "reference", lambda agreed, r: F.coalesce(agreed, r))
+    adjudicated = both.select("blinded_id", F.lit("r").alias("annotator_id"), decided.alias("ratings"))
+    crosswalk = v.where("condition = 'A'").select(blinded, F.col("doc_id").cast("string").alias("generation_record_id"))
+    predicted = v.where("condition = 'C'").select(F.col("doc_id").cast("string").alias("generation_record_id"), "prediction")
+    return form("A", "p"), form("D", "q"), crosswalk, predicted, adjudicated
+
+
+@query
+def annotator_validation(spark, sf):
+    first, second, crosswalk, predicted, adjudicated = _annotators(spark, sf)
+    return rounded(annotation.validate_annotators(first, second, crosswalk, predicted, adjudicated)[0])
+
+
+@query
+def annotator_validation_by_label(spark, sf):
+    first, second, crosswalk, predicted, adjudicated = _annotators(spark, sf)
+    return rounded(annotation.validate_annotators(first, second, crosswalk, predicted, adjudicated)[1])
+
+
+@query
+def single_validation(spark, sf):
+    first, _, crosswalk, predicted, _ = _annotators(spark, sf)
+    human = first.join(crosswalk, "blinded_id").select("generation_record_id", "ratings")
+    return rounded(annotation.validate_single(human, predicted))
+
+
+@query
+def labeled_export(spark, sf):
+    _, _, crosswalk, predicted, _ = _annotators(spark, sf)
+    return annotation.labeled_export(crosswalk, predicted, ["blinded_id"], "generation_record_id")
+
+
+@query
+def end_to_end_timing(spark, sf):
+    e = table(spark, sf, "events").select("event_id", (F.col("event_id") % 3).alias("repeat"), F.col("value").alias("search_ms"))
+    encoding = e.select("event_id", "repeat", (F.col("search_ms") * 2).alias("encoding_ms"))
+    timed = scoring.end_to_end(e.unionByName(e.withColumn("search_ms", F.col("search_ms") + 1)), encoding, ["event_id", "repeat"], "search_ms", "encoding_ms", "total_ms")
+    return rounded(metrics.timing_quantiles(timed, "total_ms", ["repeat"]))
+
+
+@query
+def hook_scores(spark, sf):
+    """A score from a plain callable, as model metrics are plugged in: the share of common first letters."""
+    found = scoring.scored(_edited(spark, sf), _first_letters, "reference", "hypothesis", "score")
+    return rounded(found.select("doc_id", "score"))
+
+
+def _first_letters(refs: list[str], hyps: list[str]) -> list[float]:
+    return [len(set(r[:1]) & set(h[:1])) / max(len(set(r[:1] + h[:1])), 1) for r, h in zip(refs, hyps, strict=True)]
+
+
 # Text metrics and hooks
 
 
@@ -546,17 +826,41 @@ def cider(spark, sf):
 
 
 def _fake_generate(prompt: str) -> str:
-    return "" if len(prompt) % 11 == 0 else f"report {len(prompt)}"
+    return "" if len(prompt) % 11 in (0, 6) else f"report {len(prompt)}"
+
+
+def _fake_verify(report: str, evidence: str, condition: str) -> bool | None:
+    return (len(report) + len(evidence) + 2 * (condition == revision.CONDITIONS[3])) % 3 == 0
+
+
+def _first(evidence: str) -> str:
+    return f"evidence {evidence} report"
 
 
-def _fake_verify(report: str, evidence: str) -> bool | None:
-    return (len(report) + len(evidence)) % 3 == 0
+def _revise(report: str, evidence: str, k: int) -> str:
+    return f"pass {k} of {report} with {evidence}"
 
 
 @query
 def revision_state_machine(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.explode(F.array(*[F.lit(c) for c in revision.CONDITIONS])).alias("condition"), X.clean(F.col("text")).alias("evidence"))
-    return revision.run_all(rows, _fake_generate, _fake_verify, lambda e: f"evidence {e} report", lambda r, e, k: f"pass {k} of {r} with {e}", lambda p: p + " again")
+    return revision.run_all(rows, revision.Models(_fake_generate, _fake_verify, _first, _revise, lambda p: p + "again"))
+
+
+def _image_generate(prompt: str, image: str | None) -> str:
+    return "" if len(prompt) % 13 == 0 else f"report {len(prompt)}{'+' if image else ''}"
+
+
+def _image_verify(report: str, evidence: str, condition: str, image: str | None) -> bool | None:
+    return None if len(report) % 11 == 10 else (len(report) + len(evidence)) % 3 == 0
+
+
+@query
+def matched_runs(spark, sf):
+    arms = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(a).alias("arm")) for c in revision.CONDITIONS for a in revision.ARMS]))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("record_id"), arms.alias("x"), X.clean(F.col("text")).alias("evidence"), F.lit("i.png").alias("image_path")).select("record_id", "x.*", "evidence", "image_path")
+    found = revision.run_matched_all(rows, _image_generate, _image_verify, _first, _revise)
+    return found.groupBy("condition", "arm", "stop_reason", F.col("error").isNotNull().alias("failed")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_reports"), F.lit(0)).alias("n_reports"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.labels import LABELS
 from cohortlens.operators.gates import GateError, require_binary_vectors, require_columns, require_empty, require_unique, set_differences
+from cohortlens.operators.ordering import numbered
 
 # Fixed value: fields under which a JSON object may wrap its rows.
 WRAPPERS = ("records", "data", "metadata", "items")
@@ -28,7 +29,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None
     lines = spark.read.text(path).where("trim(value) <> ''")
     parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]), {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}).alias("r"))
     bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | ~F.ltrim("value").startswith("{")
-    require_empty(parsed.where(bad).select("value"), "not a JSON object")
+    first = parsed.where(bad).select("value", F.input_file_name().alias("file")).limit(1).collect()
+    if first:  # only now are lines counted, in the file at fault
+        numbered = spark.sparkContext.textFile(first[0]["file"]).zipWithIndex()
+        line = min((k for _, k in numbered.filter(lambda x, text=first[0]["value"]: x[0] == text).take(1)), default=-1) + 1
+        raise GateError(f"not a JSON object: {first[0]['file']}:{line}: {first[0]['value'][:200]}")
     return parsed.select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields])
 
 
@@ -92,6 +97,39 @@ def read_embeddings(spark: SparkSession, path: str, key: str, vector: str = "emb
     return df
 
 
+def ingest_vectors(spark: SparkSession, vectors: str, metadata: DataFrame, order: str, key: str, block: int = 100_000) -> DataFrame:
+    """(key, embedding) of a two-dimensional .npy file whose i-th row belongs to the i-th metadata row by `order`, for writing a
+    vector table once. Other shapes and numbers of rows raise; the file is read block by block, through a memory map."""
+    import numpy as np
+
+    if "text" in os.path.basename(vectors).lower():
+        raise GateError(f"{vectors} looks like text embeddings")
+    array = np.load(vectors, mmap_mode="r")
+    if array.ndim != 2 or len(array) != metadata.count():
+        raise GateError(f"{vectors} has the shape {array.shape}, the metadata {metadata.count()} rows")
+    starts = spark.createDataFrame([(k,) for k in range(0, len(array), block)], "start long").repartition(max(1, -(-len(array) // block)))
+
+    def rows(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for start in batch["start"]:
+                some = np.load(vectors, mmap_mode="r")[start : start + block]
+                yield pd.DataFrame({"__at": np.arange(start, start + len(some)), "embedding": list(np.asarray(some, dtype="float32"))})
+
+    read = starts.mapInPandas(rows, "__at long, embedding array<float>")
+    return numbered(metadata.select(key, order), [order, key], "__at").join(read, "__at").select(key, "embedding")
+
+
+def read_bundle(spark: SparkSession, gallery: str, queries: str, key: str = "record_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The vector tables of a gallery and its queries: vectors of one length in both."""
+    both = read_embeddings(spark, gallery, key, vector), read_embeddings(spark, queries, key, vector)
+    sizes = [df.select(F.size(vector).alias("d")).limit(1).collect() for df in both]
+    if not all(sizes) or sizes[0] != sizes[1]:
+        raise GateError("gallery and queries have no vectors or vectors of different lengths")
+    return both
+
+
 def read_form(spark: SparkSession, path: str, key: str, prefix: str, annotator: str = "annotator_id") -> DataFrame:
     """(key, annotator, ratings) of an annotation CSV: unique keys, one annotator, all 13 cells 0 or 1."""
     df = spark.read.option("header", True).csv(path)
@@ -103,10 +141,14 @@ def read_form(spark: SparkSession, path: str, key: str, prefix: str, annotator:
     return df.select(key, annotator, F.array(*[F.trim(c).cast("int") for c in cells]).alias("ratings"))
 
 
-def inventory(spark: SparkSession, path: str, name_pattern: str = ".*", hash_limit: int = 50 << 20) -> DataFrame:
-    """(path, length, modified, sha256) of the files below a folder; files above `hash_limit` bytes get no hash."""
+def inventory(spark: SparkSession, path: str, name_pattern: str = ".*", hash_limit: int = 50 << 20, depth: int | None = None) -> DataFrame:
+    """(path, length, modified, sha256) of the files below a folder, at most `depth` folders down, hidden folders left out; files
+    above `hash_limit` bytes get no hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    named = files.where(F.element_at(F.split("path", "/"), -1).rlike(name_pattern))
+    below = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), os.path.abspath(path).rstrip("/") + "/", -1)
+    named = files.where(F.element_at(F.split("path", "/"), -1).rlike(name_pattern) & ~below.rlike(r"(^|/)\.[^/]+/"))
+    if depth is not None:
+        named = named.where(F.size(F.split(below, "/")) <= depth + 1)
     return named.select("path", "length", F.col("modificationTime").alias("modified"), F.when(F.col("length") <= hash_limit, F.sha2("content", 256)).alias("sha256"))
 
 

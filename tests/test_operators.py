@@ -237,21 +237,53 @@ def test_gates(spark):
 
 
 def test_revision():
-    first, revise = (lambda e: f"write {e}"), (lambda r, e, k: f"{k} {r}")
-    run = lambda condition, generate, verify=lambda r, e: None: revision.run_condition(condition, "ev", generate, verify, first, revise)
+    def run(condition, generate, verify=lambda r, e, c: None, passes=4):
+        models = revision.Models(generate, verify, lambda e: f"write {e}", lambda r, e, k: f"{k} {r}", lambda p: p + " again", passes)
+        return revision.run_condition(condition, "ev", models)
+
     a, b, c, d = revision.CONDITIONS
     assert run(a, lambda p: "r").stop_reason == "single_pass"
     assert (len(run(b, lambda p: "r").reports), run(b, lambda p: "r").stop_reason) == (5, "max_passes")
-    accepted = run(c, lambda p: "r", lambda r, e: True)
+    assert run(b, lambda p: "r", passes=0).stop_reason == "max_passes" and run(a, lambda p: "r", passes=0).stop_reason == "single_pass"
+    accepted = run(c, lambda p: "r", lambda r, e, k: True)
     assert (len(accepted.reports), accepted.stop_reason) == (1, "verifier_true")
     assert len(run(d, lambda p: "r").verdicts) == 4
-    assert run(b, lambda p: " ").stop_reason == "empty_initial"
+    assert run(c, lambda p: "r", lambda r, e, k: k == d).stop_reason == "max_passes" and run(d, lambda p: "r", lambda r, e, k: k == d).stop_reason == "verifier_true"
+    assert run(b, lambda p: " ").stop_reason == "empty_initial_after_recovery"
     empty = run(b, lambda p: "r" if p.startswith("write") else "")
-    assert empty.stop_reason == "empty_revision" and revision.final_report(empty) == "r" and empty.recovered == 1
+    assert empty.stop_reason == "empty_revision_fallback" and empty.report == "r" and empty.recovered == 1
+    again = run(a, lambda p: "r" if p.endswith("again") else "")
+    assert again.stop_reason == "single_pass" and again.recovered == 1
     with pytest.raises(ValueError):
         run("Z", lambda p: "r")
 
 
+def test_matched_runs():
+    seen = []
+
+    def generate(prompt, image):
+        seen.append((prompt, image))
+        return "" if len(seen) == 1 else f"r{len(seen)}"
+
+    def run(condition, arm, verify=lambda r, e, c, i: False, generate=generate):
+        seen.clear()
+        return revision.run_matched(condition, arm, {"evidence": "ev", "image_path": "x.png"}, generate, verify, lambda e: f"write {e}", lambda r, e, k: f"{k} {r} {e}")
+
+    a, b, c, d = revision.CONDITIONS
+    text, image = revision.ARMS
+    first = run(b, text)
+    prompts = [p for p, _ in seen]
+    assert first.recovered == 1 and prompts[0] == prompts[1] and {i for _, i in seen} == {None}  # the retry has the same prompt
+    run(b, image)
+    assert [p for p, _ in seen] == prompts and {i for _, i in seen} == {"x.png"}
+    assert run(c, image, lambda r, e, k, i: i == "x.png").stop_reason == "verifier_true" and run(c, text, lambda r, e, k, i: i == "x.png").stop_reason == "max_passes"
+    for bad in (dict(verify=lambda r, e, k, i: None), dict(generate=lambda p, i: " ")):
+        with pytest.raises(revision.Unusable):
+            run(d, text, **bad)
+    with pytest.raises(ValueError):
+        run(a, "other")
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -296,6 +328,42 @@ def test_every_replicate_occurs_once(spark):
         assert sorted(r["b"] for r in got.where("k is null").collect()) == list(range(n)) and got.count() == 2 * n
 
 
+def brute_reasons(q, g, threshold=4):
+    out = [f"same_{f}" for f in ("record_id", "study_id", "image_id", "image_sha256", "report_sha256") if q[f] and q[f] == g[f]]
+    f = "patient_key" if q["patient_key"] or g["patient_key"] else "patient_id"
+    out += ["same_patient_or_group"] if q[f] and q[f] == g[f] else []
+    near = None not in (q["hi"], q["lo"], g["hi"], g["lo"]) and (q["hi"] ^ g["hi"]).bit_count() + (q["lo"] ^ g["lo"]).bit_count() <= threshold
+    return out + ([f"image_phash_distance<={threshold}"] if near else [])
+
+
+def test_neighbours_are_eligible_and_full(spark):
+    rng = random.Random(9)
+    pick = lambda *xs: rng.choice([None, "", *xs])
+    names = [c.split()[0] for c in MANIFEST.split(", ") if c != "patient_reliable boolean"]
+    made = [dict(record_id=f"r{k}", patient_id=pick("1", "2", "3"), patient_key=pick("d:1", "d:2"), study_id=pick("s", "t", "u"), image_id=f"i{k}", image_sha256=pick("x", "y"), report_sha256=pick("a", "b", "c", "d"), hi=rng.choice([None, 0, 5]), lo=rng.choice([None, 0, 7, 255])) for k in range(60)]
+    vector = [[rng.gauss(0, 1) for _ in range(4)] for _ in made]
+    ddl = ", ".join(f"{{0}}_{n} {'long' if n in ('hi', 'lo') else 'string'}" for n in names)
+    side = lambda t, v, some: spark.createDataFrame([(k, vector[k], *[made[k][n] for n in names]) for k in some], f"{t}_id long, {v} array<double>, {ddl.format(t)}")
+    queries, gallery = side("query", "q", range(6)), side("gallery", "g", range(60))
+    got = {}
+    for r in retrieval.safe_top_k(queries, gallery, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["gallery_id"]))
+    score = lambda a, b: sum(x * y for x, y in zip(vector[a], vector[b], strict=True))
+    for q in range(6):
+        best = sorted((g for g in range(60) if not brute_reasons(made[q], made[g])), key=lambda g: (-score(q, g), g))[:3]
+        assert [g for _, g in sorted(got[q])] == best
+    for bad, message in (((queries, gallery, 0), "positive"), ((queries, gallery.limit(2), 3), "fewer than 3 rows"), ((queries, gallery, 59), "fewer than 59 eligible")):
+        with pytest.raises(Exception, match=message):
+            retrieval.safe_top_k(*bad).collect()
+    raw = retrieval.top_k(queries, gallery, 3)
+    audit = {r["query_id"]: r["reasons"] for r in retrieval.neighbor_audit(queries, raw, gallery, 3).collect()}
+    for q in range(6):
+        near = [r["gallery_id"] for r in raw.collect() if r["query_id"] == q]
+        assert audit.get(q, []) == sorted({x for g in near for x in brute_reasons(made[q], made[g])})
+    assert retrieval.neighbor_audit(queries, retrieval.safe_top_k(queries, gallery, 3), gallery, 3).count() == 0
+    assert retrieval.neighbor_audit(queries, raw.where("query_id <> 2 or rank < 3"), gallery, 3).where("query_id = 2").first()["n_neighbors"] == 2
+
+
 def test_evidence_and_records_hold_whole_texts(spark, tmp_path, monkeypatch):
     import hashlib
     import json
@@ -303,20 +371,20 @@ def test_evidence_and_records_hold_whole_texts(spark, tmp_path, monkeypatch):
     import numpy as np
 
     from cohortlens.operators import records
-    from cohortlens.plans import queries
+    from cohortlens.plans import fixtures, queries
 
     rng = random.Random(5)
     texts = {k: f"begin{k} " + "word " * rng.randrange(1, 90) + f'"quoted" \\ end{k}' for k in range(40)} | {3: "long " * 100_000 + "end3"}
     vectors = {k: [rng.gauss(0, 1) for _ in range(6)] for k in texts}
-    spark.createDataFrame([(k, t, f"s{k % 5}") for k, t in texts.items()], "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, t, f"s{k % 5}", "en") for k, t in texts.items()], "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, quality int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(k, v, k % 4) for k, v in vectors.items()], "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
 
-    got = {r["query_id"]: (r["n_neighbors"], r["prompt_hash"]) for r in queries.QUERIES["evidence_prompt_whole"](spark, str(tmp_path)).collect()}
+    got = {r["query_id"]: (r["n_neighbors"], r["prompt_hash"]) for r in queries.QUERIES["evidence_prompt"](spark, str(tmp_path)).collect()}
     unit = {k: np.array(v) / np.linalg.norm(v) for k, v in vectors.items()}
-    wanted = {}
+    wanted, named = {}, {r["doc_id"]: r for r in fixtures.manifest(spark, str(tmp_path)).collect()}
     for q in (0, 20):
-        near = sorted(((float(unit[q] @ unit[g]), g) for g in texts if g % 4 != q % 4), reverse=True)[:10]
+        near = sorted(((float(unit[q] @ unit[g]), g) for g in texts if not brute_reasons(named[q], named[g])), reverse=True)[:10]
         prompt = "\n\n".join(f"REFERENCE {i} (similarity={round(s, 3):.6f}):\n{texts[g]}" for i, (s, g) in enumerate(near, 1))
         wanted[q] = (10, hashlib.sha256(prompt.encode()).hexdigest())
     assert got == wanted
