@@ -55,13 +55,13 @@ def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int =
     """(id, cider): consensus of TF-IDF n-grams (1 to n words) of a hypothesis with its reference, times 10.
 
     Document frequencies come from all references. Counts are clipped to the reference's, and a difference in length is
-    damped by a Gaussian. Texts are dealt by id once; an n-gram is a 64-bit hash with its counts on both sides, made where the
-    texts are. What is shuffled then is a row for each n-gram and text, for the frequencies and the sums.
+    damped by a Gaussian. Hashes of words are dealt by id once; an n-gram is a 64-bit hash with its counts on both sides, made
+    where these are. What is shuffled then is a row for each n-gram and text, for the frequencies and the sums.
     """
 
     def grams(words: str, r: int) -> list[Column]:
-        """Arrays of (k, hash, r) of all runs of k words, for each k. The words are a column, not an expression: each run would
-        split the text again."""
+        """Arrays of (k, hash, r) of all runs of k words, for each k. The words' hashes are a column, not an expression: each run
+        would split the text again."""
 
         def runs(k: int) -> Column:
             starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
@@ -69,7 +69,7 @@ def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int =
 
         return [runs(k) for k in range(1, n + 1)]
 
-    split = lambda text: F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    split = lambda text: F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     dealt = df.select(F.col(id_col).alias("id"), split(reference).alias("wr"), split(hypothesis).alias("wh")).repartition("id")
     rows = dealt.select("id", F.explode(F.flatten(F.array(*grams("wr", 1), *grams("wh", 0)))).alias("x"))
     counts = rows.groupBy("id", "x.k", "x.g").agg(F.sum("x.r").alias("r"), (F.count(F.lit(1)) - F.sum("x.r")).alias("h"))
