@@ -1,0 +1,29 @@
+"""Joins that stay balanced when one key holds a large part of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
+SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, n: str) -> DataFrame:
+    """The rows of `counts` (one for each key, `n` rows each) of keys that have more than 1 / SHARE of all rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) * SHARE > total)
+
+
+def one_for_each(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """`rows` with the other columns of `facts`, which has one row for each key (null is one) and its number of rows in `n`.
+
+    The facts of hot keys, fewer than SHARE by their definition, are broadcast to where their rows are; all other rows are
+    shuffled, and of these no key has more than 1 / SHARE. Keys without facts are left out.
+    """
+    many = F.broadcast(hot_keys(facts, n).withColumnRenamed(key, "__key"))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    hot = rows.join(many, same).drop("__key", n)
+    rest = rows.join(many.select("__key"), same, "left_anti")
+    cold = rest.join(facts.withColumnRenamed(key, "__key"), same).drop("__key", n)
+    return hot.unionByName(cold)
