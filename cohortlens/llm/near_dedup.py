@@ -15,14 +15,19 @@ on prefixes of rare shingles, without any cap.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, hold, map_arrow, save, texts_of
+from cohortlens.operators.skew import one_for_each
+
+from .common import drop, map_arrow, save, texts_of
 from .hashing import U, mix, shingles, wrap
+from .pairs import one_by_one
 
 BANDS, ROWS = 60, 7
 #: Pairs of one hub that a task compares; the hub's set is sent to as many tasks as that takes.
@@ -89,32 +94,44 @@ def _sets(width: int):
     return run
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link at most, and none to a node that has one."""
+    ends = links.select("v", F.lit(1).alias("has"), F.lit(0).alias("of")).union(links.select("u", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("has").alias("has"), F.max("of").alias("of")).where("has > 1 or has + of > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node with a link (a, b) reaches.
 
-    Alternating large-star and small-star steps until nothing changes; each step is two aggregations or joins on the
-    links, written to the shared folder, so lineage stays short and no driver memory is used.
+    Alternating large-star and small-star steps until every node is linked with its root alone; each step is two
+    aggregations or joins on the links, written to the shared folder, so lineage stays short and no driver memory is used.
     """
     links = save(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "links")
-    size = None
-    while True:
+    while not _are_stars(links):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select("v", F.col("m").alias("u")).distinct()
-        large = save(large, "large")
+        large = save(both.join(least, "u").where("v > u").select("v", F.col("m").alias("u")).distinct(), "large")
         lower = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lower, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
         following = save(small.select("x.v", "x.u").where("u <> v").distinct(), "links")
         drop(large)
-        mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        before, size = size or mark(links), mark(following)
         drop(links)
         links = following
-        if before == size:
-            break
     return links.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def contracted(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """`roots` after more links (a, b) between nodes: the links join the roots so far, which is a smaller graph."""
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    more = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = more.select(F.col("node").alias("root"), F.col("root").alias("__root"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("__root", "root").alias("root"))
+    done = save(old.union(more.join(roots, "node", "left_anti")), "roots")
+    drop(more)
+    return done
+
+
 def _confirm(pairs: DataFrame, items: DataFrame, percent: int, name: str = "edges") -> DataFrame:
     """The distinct pairs (a, b) for which 100 * intersection >= percent * union on the full sets, written as a table.
 
@@ -133,36 +150,35 @@ def _confirm(pairs: DataFrame, items: DataFrame, percent: int, name: str = "edge
     return found
 
 
-def _undecided(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of the buckets of three members or more that still hold different components."""
-    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("key")
-    placed = keys.join(crowded, "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return save(placed.join(mixed, "key", "left_semi"), "members")
+def _undecided(keys: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the buckets of three members or more that still hold different components; none without buckets."""
+    crowded = one_for_each(keys, hubs.where("size > 2").select("key", "size"), "key", "size")
+    placed = save(crowded.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    counted = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    mixed = save(counted.select("key", "size"), "mixed")
+    found = save(one_for_each(placed, mixed, "key", "size"), "members")
+    drop(placed)
+    drop(mixed)
+    return found
 
 
 def _rare_pairs(nodes: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different roots that can reach the threshold, by an exact join on prefixes.
+    """The pairs of nodes of different roots that may reach the threshold, by an exact join on prefixes; none without nodes.
 
-    With each set's shingles ordered from rare to frequent, two sets that reach the threshold share one of their first
-    n - ceil(percent * n / 100) + 1 shingles, and what can still follow that shingle in both bounds their intersection.
-    What many documents share stands last in this order, so a common passage makes no pairs.
+    With each set's shingles ordered from rare to frequent, two sets that reach the threshold share some of their first
+    n - ceil(percent * n / 100) + 1 shingles, and what stands behind these bounds how many at least. What many documents share
+    stands last in this order, so a common passage makes no pairs; a shingle of many prefixes is dealt in blocks.
     """
-    own = hold(items.join(nodes, "node").select("node", "root", F.size("items").alias("n"), F.explode("items").alias("item")))
+    own = save(items.join(nodes, "node").select("node", "root", F.size("items").alias("n"), F.explode("items").alias("item")), "own")
     counted = own.groupBy("item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     common = own.join(counted, "item", "left").select("node", "root", "n", F.struct(F.coalesce("f", F.lit(1)).alias("f"), "item").alias("x"))
     ordered = common.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    prefix = ordered.select("node", "root", "n", F.posexplode(F.slice("xs", F.lit(1), F.expr(f"n - cast(ceil({percent} * n / 100) as int) + 1"))).alias("i", "x"))
-    prefix = hold(prefix.where("x.f > 1").select("node", "root", "n", "i", F.col("x.item").alias("item")))
-    left, right = (prefix.select("item", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "i")]) for k in (1, 2))
-    follow = F.lit(1) + F.least(F.expr("n1 - i1 - 1"), F.expr("n2 - i2 - 1"))
-    can = F.lit(100 + percent) * follow >= F.lit(percent) * (F.col("n1") + F.col("n2"))
-    fits = (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2")) & can
-    pairs = left.join(right, (left["item"] == right["item"]) & F.expr("node1 < node2 and root1 <> root2") & fits)
-    done = save(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
-    own.unpersist()
-    prefix.unpersist()
-    return done
+    prefix = ordered.select("node", "root", F.col("n").cast("long").alias("n"), F.explode(F.slice("xs", F.lit(1), F.expr(f"n - cast(ceil({percent} * n / 100) as int) + 1"))).alias("x"))
+    members = save(prefix.where("x.f > 1").select(F.shiftleft("x.item", 1).alias("key"), "node", "n", "root"), "members")
+    drop(own)
+    found = one_by_one(members, percent)
+    drop(members)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -175,52 +191,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of `docs` are not read. An empty input gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = hold(map_arrow(source, _sketched(width, bands, rows), f"id {dict(source.dtypes)['id']}, n long, digest binary, bands array<long>"))
+    kind = dict(source.dtypes)["id"]
+    sketched = save(map_arrow(source, _sketched(width, bands, rows), f"id {kind}, n long, digest binary, bands array<long>"), "sketches")
+    with_id = sketched.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
+    nodes = with_id.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("__n"), F.first("bands").alias("bands"))
+    nodes = save(nodes, "nodes")
+    known = save(sketched.select("id", "n", "digest"), "known")
+    drop(sketched)
     with_id = known.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    nodes = with_id.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keys = save(nodes.select("node", F.explode("bands").alias("key")), "bands")
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    again = not with_id.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
 
     # Round 1: a hub for each bucket.
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    tested = save(keys.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = keys.join(hubs.select("key"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
-    items = save(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {dict(source.dtypes)['id']}, items array<long>").distinct(), "sets")
-    edges = _confirm(tested, items, percent)
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("size")).where("hub <> top")
+    hubs = save(hubs.select("key", "hub", "size"), "hubs")
+    shared = save(one_for_each(keys, hubs, "key", "size"), "shared")
+    tested = save(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    keys = shared.select("key", "node")
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    items = map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {kind}, items array<long>")
+    items = save(items.distinct() if again else items, "sets")
+    edges = [_confirm(tested, items, percent)]
+    several = with_id.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
+    owners = with_id.join(several, "id").join(nodes.select("digest", "node"), "digest")
+    edges.append(save(owners.select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "owners"))
 
     # A second hub for buckets whose members are still in different components, then a join on rare shingles for the rest.
-    roots = components(edges)
-    members = _undecided(keys, roots)
-    drop(roots)
-    second = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("hub"))
-    new = members.join(second, "key").where("root <> hub.root").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
+    roots = components(all_of(edges))
+    members = _undecided(keys, hubs, roots)
+    second = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("hub"), F.count(F.lit(1)).alias("size"))
+    placed = one_for_each(members, second, "key", "size").where("root <> hub.root")
+    new = placed.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
     new = save(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     drop(members)
     drop(tested)
-    more = _confirm(new, items, percent)
+    edges.append(_confirm(new, items, percent))
     drop(new)
-    roots = components(edges.union(more))
-    members = _undecided(keys, roots)
-    drop(keys)
-    drop(roots)
+    roots = contracted(roots, edges[-1])
+    members = _undecided(keys, hubs, roots)
+    for table in (shared, hubs):
+        drop(table)
     rest = save(members.select("node", "root").distinct(), "undecided")
     drop(members)
     rare = _rare_pairs(rest, items, percent)
-    last = _confirm(rare, items, percent)
+    edges.append(_confirm(rare, items, percent))
     for table in (rest, rare, items):
         drop(table)
 
-    # An id belongs to each set of its rows, and a set to its smallest id.
-    owners = with_id.select("id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    roots = components(edges.union(more).union(last).union(owners))
-    component = F.coalesce("root", "id")
-    result = known.select("id", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    done = save(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "classes")
-    known.unpersist()
-    for table in (roots, edges, more, last):
+    roots = contracted(roots, edges[-1])
+    done = save(by_document(known, nodes, roots).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept")), "classes")
+    for table in (roots, nodes, known, *edges):
         drop(table)
     return done
 
 
+def all_of(edges: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, edges)
+
+
+def by_document(known: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, n, component_id) of each row of `known`: the root of its set's node; alone without an id (null) or a set (its own id,
+    or the component of the id's other rows). nodes: (digest, node, __n), the rows of each set; roots: (node, root)."""
+    with_set = F.col("id").isNotNull() & F.col("digest").isNotNull()
+    facts = save(nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"), "__n"), "facts")
+    linked = one_for_each(known.where(with_set).select("id", "n", "digest"), facts, "digest", "__n").select("id", "n", "component_id")
+    alone = known.where(~with_set).select("id", "n")
+    placed = linked.join(alone.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("root"))
+    return linked.unionByName(alone.join(placed, "id", "left").select("id", "n", F.coalesce("root", "id").alias("component_id")))
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, whose document is the smallest id of its class; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col, width, percent)

@@ -12,9 +12,11 @@ The order is from rare to common, shingles that no task saw repeated often stand
 share comes last and hardly ever becomes a key. The boundary has the least cost: subsets written for the sets below it, list
 entries written and scanned for the others (lists are counted on a sixty-fourth of all shingles, whatever the table).
 
-Equal sets are one node. No pairs are listed within a list or bucket: a hub of each is compared with its members, on full sets.
-Where a bucket then still holds different classes, another hub is taken, and what a few hubs leave open is compared pair by
-pair, in blocks, unless size or class settle it; no link is lost. A list of a common shingle is dealt to as many tasks as it needs.
+Equal sets are one node. No pairs are listed within a list or bucket: its members are held against a hub of it. A pair is
+compared on full sets if it shares a subset, or enough list entries: what a set has behind its entries is no more than t - 1,
+so the entries must hold the rest of the least intersection. Where a bucket then still holds different classes, another hub is
+taken, and what a few hubs leave open is counted pair by pair, in blocks, unless size or class settle it; no link is lost. A
+list of a common shingle is dealt to as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -28,19 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.skew import one_for_each
+
 from .common import chunks, drop, map_arrow, save, ship, texts_of
 from .hashing import mix, shingles, wrap
-from .joins import one_for_each
-from .near_dedup import _confirm, _sets, components
+from .near_dedup import _confirm, _sets, all_of, by_document, components, contracted
+from .pairs import SLICE, can_link, likely, one_by_one
 
 #: Shingles that a task counts at once, and how often one must occur among them to be reported.
 UNIT, REPEATS = 1 << 22, 4
 #: Shingles whose counts are known to every task, 16 bytes each: the most frequent ones.
 COMMON = 1 << 18
-#: Members of a list or bucket that a task compares with one hub, or with as many others.
-SLICE = 4096
 #: Sets of more shingles than this are heavy in any case, and rounds of hubs.
-LARGEST, HUBS = 1000, 3
+LARGEST, HUBS = 1000, 1
 #: One in so many shingles is looked at to estimate the lists' lengths.
 PROBE = 64
 
@@ -105,27 +107,34 @@ def common_order(texts: DataFrame, width: int) -> Order:
     return Order(top["item"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
 
 
-def _prefixes(width: int, percent: int, subset: int, order):
+def _first(sets: list[np.ndarray], order: Order, percent: int, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the first n - t(n) + more shingles of each set, one set after the other; how many each has)."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    flat = flat[np.lexsort((order.seen(flat), owner))]
+    lengths = np.array([min(n, n - least_overlap(n, percent) + more) for n in sizes.tolist()], dtype=np.int64)
+    return flat[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(lengths, sizes)], lengths
+
+
+def _described(width: int, percent: int, order):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingles(texts_of(batch), width)
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
         digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        flat = flat[np.lexsort((order.value.seen(flat), owner))]
-        lengths = np.array([min(n, n - least_overlap(n, percent) + subset) for n in sizes.tolist()], dtype=np.int64)
-        first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(lengths, sizes)
-        offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[first].view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digest, pa.binary()), lists], ["id", "n", "digest", "first"])
+        items, lengths = _first(sets, order.value, percent, 1)
+        some = items % np.uint64(PROBE) == 0
+        ends = np.append(0, np.cumsum(lengths))
+        offsets = np.append(0, np.cumsum(some))[ends].astype(np.int32)
+        probe = pa.ListArray.from_arrays(pa.array(offsets), pa.array(items[some].view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), probe], ["id", "n", "digest", "probe"])
 
     return run
 
 
 def boundary(nodes: DataFrame, percent: int, subset: int) -> int:
-    """The number of shingles from which sets are heavy: the one of least cost, in rows written and list entries scanned."""
+    """The number of shingles from which sets are heavy: the one of least cost, in rows written and list entries scanned. `probe` are
+    the entries of a set that are looked at."""
     small = nodes.where(F.col("n") <= LARGEST)
-    alone = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    entries = nodes.select("n", F.explode(F.slice("first", F.lit(1), alone.cast("int"))).alias("item")).where(F.pmod("item", F.lit(PROBE)) == 0)
+    entries = nodes.select("n", F.explode("probe").alias("item"))
     lists = entries.groupBy("item", "n").agg(F.count(F.lit(1)).alias("k")).groupBy("item").agg(F.sum("k").alias("f"), F.map_from_entries(F.collect_list(F.when(F.col("n") <= LARGEST, F.struct("n", "k")))).alias("by"))
     scans = lists.where("f > 1").select("f", F.explode("by").alias("n", "k")).groupBy("n").agg(F.sum(F.col("k") * (F.col("f") - 1)).alias("s"))
     scanned = {r["n"]: PROBE * r["s"] for r in scans.collect()}
@@ -143,14 +152,18 @@ def boundary(nodes: DataFrame, percent: int, subset: int) -> int:
     return at
 
 
-def _keys(percent: int, subset: int, heavy: int, order):
+def _keys(width: int, percent: int, subset: int, heavy: int, order):
     chosen: dict[int, np.ndarray] = {}
+    list_key, subset_key = ~np.uint64(1), np.uint64(1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, parts = [], []
-        for n, first in zip(batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), strict=True):
-            items = np.asarray(first, dtype=np.int64).view(np.uint64)
-            seen = order.value.seen(items)
+        sets = shingles(texts_of(batch), width)
+        digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        first, lengths = _first(sets, order.value, percent, subset)
+        known = order.value.seen(first)
+        ends, keys, parts = np.cumsum(lengths), [], []
+        for n, end, length in zip([len(s) for s in sets], ends.tolist(), lengths.tolist(), strict=True):
+            items, seen = first[end - length : end], known[end - length : end]
             mine, often = [], []
             if n < heavy and len(items) >= subset:
                 if len(items) not in chosen:
@@ -159,52 +172,42 @@ def _keys(percent: int, subset: int, heavy: int, order):
                 key = np.zeros(len(some), dtype=np.uint64)
                 for k in range(subset):
                     key = mix(key + items[some[:, k]] * wrap(2 * k + 0x9E3779B97F4A7C15))
-                mine.append(key)
+                mine.append(key | subset_key)
                 often.append(seen[some].min(axis=1))
             # lists of single shingles: heavy sets, light ones that may link with one, and sets that can link without c in common
-            if n >= heavy or 100 * n >= percent * heavy or least_overlap(n, percent) < subset:
+            if n and (n >= heavy or 100 * n >= percent * heavy or least_overlap(n, percent) < subset):
                 alone = n - least_overlap(n, percent) + 1
-                mine.append(items[:alone])
+                mine.append(items[:alone] & list_key)
                 often.append(seen[:alone])
             keys.append(np.concatenate(mine).view(np.int64) if mine else None)
             parts.append((1 + np.concatenate(often) // SLICE).astype(np.int32) if mine else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], ["node", "n", "keys", "parts"])
+        columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "keys", "parts"])
 
     return run
 
 
-def _can_link(percent: int, a: str, b: str):
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-
-
-def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, n, root) of the buckets that still hold different classes, written as a table."""
-    roots = components(edges)
     sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("__n"))
     facts = sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "__n")
     placed = save(one_for_each(members.select("key", "node", "n"), facts, "node", "__n"), "placed")
-    drop(roots)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("__n")).where("low <> high").select("key", "__n")
+    counted = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("__n")).where("low <> high")
+    mixed = save(counted.select("key", "__n"), "mixed")
     found = save(one_for_each(placed, mixed, "key", "__n"), "members")
     drop(placed)
+    drop(mixed)
     return found
 
 
 def _by_hub(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each open bucket's hub of this turn with the members of other classes."""
+    """(a, b): each open bucket's hub of this turn with the members of other classes that may link with it."""
     hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn)))
     facts = members.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("__n"))
-    both = one_for_each(members, facts, "key", "__n").where((F.col("root") != F.col("hub.root")) & _can_link(percent, "n", "hub.n"))
-    return both.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
-
-
-def _one_by_one(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the members of different classes of each open bucket that can link by their sizes, in blocks of at most SLICE."""
-    facts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("blocks"), F.count(F.lit(1)).alias("__n"))
-    dealt = save(one_for_each(members, facts, "key", "__n").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "dealt")
-    left = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("n").alias("n1"), F.col("root").alias("r1"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-    return left.join(right, ["key", "i", "j"]).where(F.expr("a < b and r1 <> r2") & _can_link(percent, "n1", "n2")).select("a", "b").distinct()
+    both = one_for_each(members, facts, "key", "__n").where((F.col("root") != F.col("hub.root")) & can_link(percent, "n", "hub.n"))
+    low = F.col("node") < F.col("hub.node")
+    pick = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
+    return likely(both.select("key", pick("node", "hub.node", "a"), pick("n", "hub.n", "n1"), pick("hub.node", "node", "b"), pick("hub.n", "n", "n2")), percent)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, subset: int = 2) -> DataFrame:
@@ -219,56 +222,51 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
     order = source.sparkSession.sparkContext.broadcast(common_order(source.select("text"), width))
-    known = save(map_arrow(source, _prefixes(width, percent, subset, order), f"id {kind}, n long, digest binary, first array<long>"), "prefixes")
+    known = save(map_arrow(source, _described(width, percent, order), f"id {kind}, n long, digest binary, probe array<long>"), "sets")
     with_id = known.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    nodes = save(with_id.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("first").alias("first"), F.count(F.lit(1)).alias("__n")), "nodes")
+    nodes = save(with_id.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("probe").alias("probe"), F.count(F.lit(1)).alias("__n")), "nodes")
+    again = not with_id.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, on their full sets, which are made anew for the documents in question."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        some = map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {kind}, items array<long>")
+        items = save(some.distinct() if again else some, "items")
+        found = _confirm(pairs, items, percent)
+        drop(items)
+        return found
 
     heavy = boundary(nodes, percent, subset)
-    listed = map_arrow(nodes.select("node", "n", "first"), _keys(percent, subset, heavy, order), f"node {kind}, n long, keys array<long>, parts array<int>")
-    each = listed.select("node", "n", F.explode(F.arrays_zip("keys", "parts")).alias("x"))
+    listed = map_arrow(source, _keys(width, percent, subset, heavy, order), f"id {kind}, digest binary, n long, keys array<long>, parts array<int>")
+    once = listed.dropDuplicates(["id", "digest"]) if again else listed
+    own = once.join(nodes.select(F.col("node").alias("id"), "digest"), ["id", "digest"], "left_semi")
+    each = own.select(F.col("id").alias("node"), "n", F.explode(F.arrays_zip("keys", "parts")).alias("x"))
     entries = each.select("node", "n", F.col("x.keys").alias("key"), F.pmod(F.xxhash64("node"), F.col("x.parts")).cast("int").alias("part"))
     bucket = Window.partitionBy("key", "part")
     # parts of a list that are alone in theirs still belong to the list
     shared = entries.withColumn("hub", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1 or part > 0")
     shared = save(shared.select("key", "node", "n", "hub", "size", "part"), "lists")
-    tested = save(shared.where((F.col("node") != F.col("hub.node")) & _can_link(percent, "n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    members = shared.where("size > 2 or part > 0").select("key", "node", "n")
-
-    wanted = shared.select(F.col("node").alias("id")).distinct()
-    items = save(map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {kind}, items array<long>").distinct(), "sets")
-    edges = [_confirm(tested, items, percent)]
+    both = shared.where((F.col("node") != F.col("hub.node")) & can_link(percent, "n", "hub.n"))
+    tested = save(likely(both.select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("n1"), F.col("node").alias("b"), F.col("n").alias("n2")), percent), "pairs")
+    edges = [compared(tested)]
     several = with_id.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
     edges.append(save(with_id.join(several, "id").join(nodes, "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "owners"))
-    left = _open(members, _all(edges))
-    for turn in range(HUBS):
+    roots = components(all_of(edges))
+    left = _open(shared, roots)
+    drop(shared)
+    for turn in range(HUBS + 1):
         if left.isEmpty():
             break
-        pairs = save(_by_hub(left, turn, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges.append(_confirm(pairs, items, percent))
-        before, tested = tested, save(tested.union(pairs), "pairs")
-        following = _open(left, _all(edges))
-        for table in (before, pairs, left):
+        likely_pairs = _by_hub(left, turn, percent) if turn < HUBS else one_by_one(left, percent)
+        pairs = save(likely_pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        edges.append(compared(pairs))
+        before = roots, tested, left
+        roots, tested = contracted(roots, edges[-1]), save(tested.union(pairs), "pairs")
+        if turn < HUBS:
+            left = _open(left, roots)
+        for table in (*before, pairs):
             drop(table)
-        left = following
-    if not left.isEmpty():
-        pairs = save(_one_by_one(left, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges.append(_confirm(pairs, items, percent))
-        drop(pairs)
-    for table in (left, tested, items, shared):
+    for table in (tested, *edges):
         drop(table)
 
-    roots = components(_all(edges))
-    facts = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "__n")
-    linked = one_for_each(with_id.select("id", "n", "digest"), facts, "digest", "__n").select("id", "n", F.col("root").alias("component_id"))
-    alone = known.where(F.col("id").isNull() | F.col("digest").isNull()).select("id", "n")
-    # a blank row of an id that also has a set is of that set's document
-    placed = linked.join(alone.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("root"))
-    blank = alone.join(placed, "id", "left").select("id", "n", F.coalesce("root", "id").alias("component_id"))
-    return linked.unionByName(blank).withColumnsRenamed({"id": id_col, "n": "n_shingles"})
-
-
-def _all(edges: list[DataFrame]) -> DataFrame:
-    whole = edges[0]
-    for more in edges[1:]:
-        whole = whole.union(more)
-    return whole
+    return by_document(known, nodes, roots).withColumnsRenamed({"id": id_col, "n": "n_shingles"})

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.skew import one_for_each
+
 from .common import map_arrow, save
-from .joins import one_for_each
 
 SCALE = 256
 #: Vectors that a worker codes at once.
@@ -76,7 +77,7 @@ def whole_numbers(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dims)
 
 
 def _sums(books: Codebooks):
