@@ -1,10 +1,11 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and bytes beyond ASCII, in lower case. All runs of WIDTH words of a test item are seeds,
-however frequent: in an edited copy any of them may be the only one left. An item of fewer words is its own only seed. Where
-a seed occurs, the document's words around the implied place of the item are aligned with the item; the score is the local
-alignment's, divided by that of a perfect copy. A place that holds too few of the item's words to reach the threshold in any
-order isn't aligned, which is what rarer seeds alone would save.
+Words are runs of letters, digits and bytes beyond ASCII, in lower case. The runs of WIDTH words of a test item are its seeds;
+an item of fewer words is its own only seed. A rare seed, one of RARE items at most, joins a document to its items one by one.
+A seed of more items can't be left out, as in an edited copy it may be the only one that stands, but it is not worth a
+comparison with each of them either: the words around it are looked up in all its items at once, and only items of which
+enough words stand there to reach the threshold in any order go on. The document's words around an item's implied place are
+then aligned with the item; the score is the local alignment's, divided by that of a perfect copy.
 
 Test items are compiled in blocks of at most BLOCK_WORDS words into index files in the shared folder, which executors fetch
 and memory-map, one copy for all their workers. Each block is a map over the corpus without a shuffle of texts.
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_arrow, save_bytes, text_column
-from .hashing import grams, words
+from .hashing import gather, grams, words
 
 WIDTH, BLOCK_WORDS, THRESHOLD = 3, 4_000_000, 0.5
+#: Items of one seed up to which they are looked at one by one.
+RARE = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 SEPARATORS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -91,6 +94,24 @@ class Block:
             numbers.append(first[ok])
         return np.concatenate(places), np.concatenate(numbers)
 
+    @functools.cached_property
+    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the distinct words of all items, each item's words by their numbers in it)."""
+        distinct, numbers = np.unique(self.words, return_inverse=True)
+        return distinct, numbers.astype(np.int32)
+
+    def around(self, hashes: np.ndarray, items: np.ndarray, begin: int, threshold: float) -> np.ndarray:
+        """Those of the items of which enough words to reach the threshold stand about the place where they would begin."""
+        distinct, numbers = self.vocabulary
+        lengths = self.bounds[items + 1] - self.bounds[items]
+        slack = slack_of(int(lengths.max()))
+        some = hashes[max(0, begin - slack) : max(0, begin + int(lengths.max()) + slack)]
+        at = np.minimum(np.searchsorted(distinct, some), len(distinct) - 1)
+        there = np.zeros(len(distinct), dtype=np.int32)
+        there[at[distinct[at] == some]] = 1
+        standing = np.add.reduceat(there[gather(numbers, self.bounds[items], lengths)], np.cumsum(lengths) - lengths)
+        return items[standing >= threshold * lengths]
+
     def payload(self) -> bytes:
         out = io.BytesIO()
         for x in (self.bounds, self.words, self.seeds, self.of, self.at, self.short):
@@ -136,20 +157,42 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def slack_of(length: int) -> int:
+    """How many words before and after its implied place an edited copy of an item is looked for."""
+    return max(4, length // 2)
+
+
+def _places(block: Block, hashes: np.ndarray, owner: np.ndarray, bounds: np.ndarray, threshold: float) -> dict[tuple[int, int], set[int]]:
+    """{(text, item): where the item would begin} as its seeds say, as places among all words of the texts."""
+    where, first = block.found(hashes, owner)
+    many = np.searchsorted(block.seeds, block.seeds[first], side="right") - first
+    places: dict[tuple[int, int], set[int]] = {}
+    rare = many <= RARE
+    for position, k, n in zip(where[rare].tolist(), first[rare].tolist(), many[rare].tolist(), strict=True):
+        for j in range(k, k + n):
+            places.setdefault((int(owner[position]), int(block.of[j])), set()).add(position - int(block.at[j]))
+    common: dict[tuple[int, int], list[np.ndarray]] = {}
+    for position, k, n in zip(where[~rare].tolist(), first[~rare].tolist(), many[~rare].tolist(), strict=True):
+        begins = position - block.at[k : k + n]
+        by = np.argsort(begins, kind="stable")
+        cuts = np.flatnonzero(np.diff(begins[by])) + 1
+        for group in np.split(by, cuts):
+            common.setdefault((int(owner[position]), int(begins[group[0]])), []).append(block.of[k + group])
+    for (doc, begin), items in common.items():
+        a, b = int(bounds[doc]), int(bounds[doc + 1])
+        for item in block.around(hashes[a:b], np.unique(np.concatenate(items)), begin - a, threshold).tolist():
+            places.setdefault((doc, item), set()).add(begin)
+    return places
+
+
 def _matches(block: Block, texts: list[str], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, word after the last) of each text and item at or above the threshold."""
     hashes, owner = word_hashes(texts)
-    where, first = block.found(hashes, owner)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    places: dict[tuple[int, int], set[int]] = {}
-    for position, k in zip(where.tolist(), first.tolist(), strict=True):
-        seed = block.seeds[k]
-        while k < len(block.seeds) and block.seeds[k] == seed:
-            places.setdefault((int(owner[position]), int(block.of[k])), set()).add(position - int(block.at[k]))
-            k += 1
+    places = _places(block, hashes, owner, bounds, threshold)
     for (doc, item), begins in sorted(places.items()):
         wanted = block.item(item)
-        slack = max(4, len(wanted) // 2)
+        slack = slack_of(len(wanted))
         a, b = int(bounds[doc]), int(bounds[doc + 1])
         best, span = -1, (0, 0)
         windows: list[list[int]] = []

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -122,3 +123,44 @@ def test_empty_tables(spark, docs_of):
     assert D.contaminated(docs_of(["x"]).limit(0), benchmark).count() == 0
     assert D.contaminated(docs_of(["x"]), benchmark.limit(0)).count() == 0
     assert D.remove(docs_of(["x"]), benchmark.limit(0)).count() == 1
+
+
+def test_a_seed_of_many_items():
+    """Items that begin alike are looked up at once: the result is that of each by itself, at a fraction of its time."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    opening = "which of the following statements about".split()
+    items = [" ".join(opening + [rng.choice(vocabulary) for _ in range(rng.choice((20, 32, 40)))]) for _ in range(20_000)]
+    own = [" ".join(rng.choice(vocabulary) for _ in range(38)) for _ in range(20_000)]
+    copy = [w for k, w in enumerate(items[77].split()) if k % 5]
+    texts = [" ".join([*opening, *(rng.choice(vocabulary) for _ in range(60))]) for _ in range(30)] + [" ".join(["so", *copy, "end"]), items[5], " ".join(opening)]
+    seconds = []
+    for some in (own, items):
+        block = D.Block.of_items(some)
+        assert len(block.vocabulary[0]) <= 5006 and block.filter.any()
+        start = time.process_time()
+        found = list(D._matches(block, texts, D.THRESHOLD))
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 2 * seconds[0] + 2  # 20 s a text when each pair was looked at by itself
+    assert {(d, k) for d, k, *_ in found} >= {(30, 77), (31, 5)}
+    few = sorted({k for _, k, *_ in found} | set(range(0, 20_000, 400)))
+    hashes = [D.word_hashes([t])[0].tolist() for t in texts]
+    whole = {(d, k) for k in few for d, h in enumerate(hashes) for w in [D.word_hashes([items[k]])[0].tolist()] if brute_align(w, h) >= D.THRESHOLD * 2 * len(w)}
+    assert whole == {(d, k) for d, k, *_ in found}
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.25])
+def test_recall_of_edited_copies(rate):
+    rng = random.Random(int(100 * rate))
+    vocabulary = [f"w{k}" for k in range(3000)] + ["the", "of", "a"] * 300
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(20, 60))] for _ in range(200)]
+    block, hit = D.Block.of_items([" ".join(x) for x in items]), 0
+    for k, item in enumerate(items):
+        copy = []
+        for word in item:
+            edit = rng.choice(("replace", "delete", "insert")) if rng.random() < rate else ""
+            copy += {"": [word], "replace": [rng.choice(vocabulary)], "delete": [], "insert": [word, rng.choice(vocabulary)]}[edit]
+        text = [rng.choice(vocabulary) for _ in range(30)]
+        text[15:15] = copy
+        hit += any(i == k for _, i, *_ in D._matches(block, [" ".join(text)], D.THRESHOLD))
+    assert hit >= 0.9 * len(items)
