@@ -1,8 +1,9 @@
 """Main text of web pages by shallow text features.
 
 A page is cut into flat blocks of text at block-level tags. A block is described by its word count and link density, those
-of its neighbours, and where it stands: inside an article, inside something that isn't one for sure or by an ambiguous name.
-A decision tree trained on the small labelled table below says which blocks are main text. Everything is a map over the
+of its neighbours, and where it stands: inside an article, or inside something that by its tag or whole name isn't one, or by
+a part of its name may not be. A decision tree trained on the small labelled table below says which blocks are main text: a
+list of links is none wherever it stands, and what a name leaves open its words and links decide. Everything is a map over the
 pages; the work is proportional to a page's length whatever its markup.
 """
 
@@ -38,6 +39,12 @@ CLUTTER = frozenset(
     "sidebar footer masthead topbar cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login share sharing social "
     "comment comments commentlist disqus reply replies".split()
 )
+#: Words that say nothing beside one of CLUTTER: with any other word (`ad-hoc`, `share-prices`) a name is ambiguous.
+LAYOUT = frozenset(
+    "a area article aside bar block bottom box btn button buttons card center col column container content entry fixed footer form global group header icon icons id inline inner "
+    "item items left link links list main mobile module outer page panel post primary region right row secondary section sidebar site slot small sticky story text title tools top "
+    "unit widget wrap wrapper".split()
+)
 AMBIGUOUS = frozenset("header form search related recommended trending popular tags discussion respond widget rail toolbar overlay copyright disclaimer promotion skip dialog".split())
 ROLES = frozenset("banner complementary contentinfo form navigation search dialog alert alertdialog menu menubar".split())
 ARTICLE_WORDS = frozenset("article post entry story content main body text prose".split())
@@ -70,11 +77,13 @@ def _signs(tag: str, attributes: str, within: bool) -> tuple[int, float]:
             value = value.strip("\"'")
             if name.lower() == "role":
                 clutter = max(clutter, float(value.strip().lower() in ROLES))
-            else:
-                named.update(p.lower() for p in PARTS.findall(value))
-        if named & CLUTTER:
-            clutter = 1.0
-        elif named & AMBIGUOUS and not (within and named & AMBIGUOUS == {"header"}):
+                continue
+            for whole in value.split():
+                parts = {p.lower() for p in PARTS.findall(whole)}
+                named |= parts
+                if parts & CLUTTER:
+                    clutter = max(clutter, 1.0 if parts <= CLUTTER | LAYOUT | AMBIGUOUS else 0.5)
+        if named & AMBIGUOUS and not (within and named & AMBIGUOUS == {"header"}):
             clutter = max(clutter, 0.5)
         article |= bool(named & ARTICLE_WORDS) and not clutter and tag in ("div", "section", "td")
     return int(article), clutter
@@ -245,6 +254,19 @@ LABELLED = (
     (65, 0.0, 77, 0.0, 0, 0.0, 0, 0, 0.0, 0, 1), (89, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0.0, 0, 1), (189, 0.0, 36, 0.0, 0, 0.0, 0, 0, 0.0, 0, 1),
     (195, 0.0, 83, 0.0, 190, 0.0, 0, 0, 0.0, 0, 1), (198, 0.0, 83, 0.0, 4, 1.0, 0, 0, 0.0, 0, 1), (1, 0.0, 92, 0.1, 9, 1.0, 1, 0, 0.5, 0, 0),
     (1, 1.0, 3, 1.0, 1, 0.0, 0, 0, 1.0, 0, 0), (30, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1.0, 0, 0),
+    # lists of links in an article
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0.0, 0, 0), (1, 1.0, 1, 1.0, 3, 1.0, 0, 1, 0.0, 0, 0), (4, 1.0, 6, 1.0, 5, 1.0, 0, 1, 0.0, 0, 0),
+    (2, 1.0, 60, 0.0, 3, 1.0, 0, 1, 0.0, 0, 0), (3, 1.0, 8, 0.0, 1, 1.0, 0, 1, 0.0, 0, 0), (5, 1.0, 2, 0.0, 4, 1.0, 0, 1, 0.0, 0, 0),
+    (3, 1.0, 2, 1.0, 40, 0.0, 0, 1, 0.0, 0, 0), (2, 1.0, 4, 1.0, 5, 0.0, 0, 1, 0.0, 0, 0), (6, 1.0, 3, 1.0, 12, 0.1, 0, 1, 0.0, 0, 0),
+    # short items without links under an ambiguous name in an article
+    (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0.5, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0.5, 0, 1), (3, 0.0, 18, 0.0, 2, 0.0, 0, 1, 0.5, 0, 1),
+    (2, 0.0, 4, 0.0, 22, 0.0, 0, 1, 0.5, 0, 1), (8, 0.0, 12, 0.0, 9, 0.0, 0, 1, 0.5, 0, 1), (5, 0.0, 40, 0.0, 60, 0.0, 0, 1, 0.5, 0, 1),
+    # pages that mark no article: short lines at either end, and a page of one line
+    (1, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0.0, 0, 0), (2, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0.0, 0, 0), (2, 0.0, 1, 0.0, 18, 0.0, 0, 0, 0.0, 0, 0),
+    (1, 0.0, 2, 0.0, 40, 0.0, 0, 0, 0.0, 0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0.0, 0, 0), (3, 0.0, 18, 0.0, 0, 0.0, 0, 0, 0.0, 0, 0),
+    (5, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0.0, 0, 0), (4, 0.0, 19, 0.0, 2, 0.0, 0, 0, 0.0, 0, 0), (2, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0.0, 0, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0.0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0.0, 0, 1), (1, 0.0, 18, 0.0, 18, 0.0, 0, 0, 0.0, 0, 1),
+    (3, 0.0, 44, 0.0, 61, 0.0, 0, 0, 0.0, 0, 1), (18, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0.0, 0, 1), (18, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0.0, 0, 1),
 )
 
 

@@ -1,5 +1,7 @@
+import os
 import random
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -36,6 +38,11 @@ LONG = "This is a sentence of the article that goes on for quite a number of wor
         ("<ARTICLE><P CLASS=x>Upper</P></ARTICLE>", "Upper"),
         ("<article><p>a\n\t b &nbsp; c</p></article>", "a b c"),
         ("<", "<"),
+        (f"<article><div class='ad-hoc'><p>{LONG}</p></div><section id='share-prices'><h2>Prices</h2><p>{LONG}</p></section><section class='menu-of-the-day'><ul><li>Soup<li>Fish and chips</ul></section></article>", f"{LONG} Prices {LONG} Soup Fish and chips"),
+        (f"<article><p>{LONG}</p><div class='ad-slot'>{LONG}</div><div class='cookie-banner'>{LONG}</div><ul class='share-buttons'><li>Mail</ul></article>", LONG),
+        (f"<div>Home</div><div>About us</div><p>{LONG}</p><p>{LONG}</p><div>(c) 2020 All rights reserved</div>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a>One</a><li><a>Two more</a><li><a>Three</a></ul><p>{LONG} <a>x</a></p></article>", f"{LONG} {LONG} x"),
+        (f"<article><p>{LONG}</p><p><a>One</a></p><p>{LONG}</p></article>", f"{LONG} One {LONG}"),
     ],
 )
 def test_pages(page, text):
@@ -54,6 +61,54 @@ def test_the_tree_fits_its_table():
     assert {"words", "link", "words_after", "link_after"} <= used(tree)  # densities decide, not names alone
 
 
+SF = "/root/testdata/sf0.001"
+
+
+class Article(HTMLParser):
+    """The text of the given pages' articles by their one layout: what stands in `article`, but not in a division."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.parts = 0, []
+
+    def handle_starttag(self, tag, attributes):
+        self.inside += tag == "article"
+        self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.parts.append("" if tag in ("b", "i", "a") else " ")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_given_pages_by_another_parser(spark):
+    from cohortlens.llm import common, queries
+
+    pages = {r["page_id"]: r["html"] for r in common.table(spark, SF, "pages", "page_id", "html").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.op9_html_text(spark, SF).collect()}
+    assert set(got) == set(pages)
+    for k, page in pages.items():
+        parser = Article()
+        parser.feed(page or "")
+        assert got[k].split() == "".join(parser.parts).split()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_words_and_links_decide_on_given_pages(spark):
+    from cohortlens.llm import common
+
+    rng, tree, changed, total = random.Random(4), H.default_tree(), 0, 0
+    for r in common.table(spark, SF, "pages", "html").limit(200).collect():
+        for x in H.features(H.blocks(r["html"] or "")):
+            other = tuple(rng.choice((rng.randrange(200), rng.randrange(6))) if name.startswith("words") else rng.choice((0.0, rng.random(), 1.0)) if name.startswith("link") else v for name, v in zip(H.FEATURES, x, strict=True))
+            changed, total = changed + (H.classify(tree, x) != H.classify(tree, other)), total + 1
+    assert changed > 0.05 * total
+
+
 def test_the_tree_is_the_brute_force_one():
     rng = random.Random(8)
     table = tuple((*[rng.randrange(4) for _ in range(10)], rng.randrange(2)) for _ in range(40))
