@@ -16,8 +16,10 @@ import functools
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -26,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import logistic
-from .common import map_arrow, save, text_column
+from .common import drop, map_arrow, save, text_column
 from .sampling import bounded
 
 PER_CLASS, STEMS = 4000, range(3, 8)
+#: Sampled rows from which a term or phrase is told from chance.
+LEAST = 4
 
 # Letters that look like Latin ones, digits and signs that stand for letters, characters without width.
 LOOK_ALIKES = {
@@ -44,7 +48,6 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pathetic fallacy")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _WIDTHLESS = re.compile(f"[{WIDTHLESS}]")
-_BEFORE, _AFTER = re.compile(r"(?<!\w)(\w{1,64}) $"), re.compile(r" (\w{1,64})(?!\w)")
 
 
 @functools.cache
@@ -114,10 +117,13 @@ def hits(text: str, made: ahocorasick.Automaton, least: list[int]) -> dict[int,
     found = _spans(plain, substituted, made)
     if not plain.isascii():
         found |= _spans(plain, substituted.translate(_accents()), made)
-    excepted = [(a, b) for k, a, b in found if k < 0]
+    # of the exception phrases that begin at a place or before it, the farthest end
+    excepted = sorted((a, b) for k, a, b in found if k < 0)
+    begins, ends = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
     counts: dict[int, int] = {}
     for k, a, b in found:
-        if k >= 0 and not any(x <= a and b <= y for x, y in excepted):
+        before = bisect_right(begins, a)
+        if k >= 0 and not (before and b <= ends[before - 1]):
             counts[k] = counts.get(k, 0) + 1
     return {k: c for k, c in counts.items() if c >= least[k]}
 
@@ -182,18 +188,26 @@ def _presence(terms: list[str]):
 def phrases(text: str, made: ahocorasick.Automaton) -> set[str]:
     """Each matched term with the word before it and with the word after it, one blank between."""
     plain, folded = fold(text)
-    out = set()
+    size, out = len(folded), set()
     for _, start, end in _spans(plain, folded, made):
-        while end < len(folded) and folded[end].isalnum():  # a stem's whole word
+        while end < size and folded[end].isalnum():  # a stem's whole word
             end += 1
-        before, after = _BEFORE.search(folded, 0, start), _AFTER.match(folded, end)
-        if before:
-            out.add(f"{before[1]} {folded[start:end]}")
-        if after:
-            out.add(f"{folded[start:end]} {after[1]}")
+        first, last = start - 1, end + 1
+        while first > 0 and _is_word(folded[first - 1]):
+            first -= 1
+        while last < size and _is_word(folded[last]):
+            last += 1
+        if start and folded[start - 1] == " " and first < start - 1:
+            out.add(f"{folded[first : start - 1]} {folded[start:end]}")
+        if end < size and folded[end] == " " and last > end + 1:
+            out.add(f"{folded[start:end]} {folded[end + 1 : last]}")
     return out
 
 
+def _is_word(c: str) -> bool:
+    return c == "_" or c.isalnum()
+
+
 def _phrases(terms: list[tuple[str, bool]]):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made, counts = automaton(terms), {}
@@ -220,21 +234,20 @@ def _counts(terms: list[tuple[str, bool, int]], exceptions: tuple[str, ...]):
 
 def select(terms: list[str], rows: list[list[int]], against: np.ndarray, cover: int = 3) -> list[int]:
     """Greedy choice of terms: each for the toxic rows that have fewer than `cover` terms so far, three times less for every
-    clean row that it hits (`against`). Of nested terms only one is taken, a whole word or a longer stem before others that
+    clean row that it hits (`against`), which must be LEAST at least. Of nested terms only one is taken, a whole word or a longer stem before others that
     gain as much. `rows` are the terms of each toxic row; terms are taken until none gains."""
     if not terms:
         return []
     at_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at_term = np.fromiter((t for r in rows for t in r), dtype=np.int64, count=len(at_row))
     needed = np.full(len(rows), cover)
-    least = max(4, math.ceil(0.004 * len(rows)))
     parsed = [_parsed(t) for t in terms]
     specific = np.array([(0 if stem else 100) + len(base) for base, stem, _ in parsed])
     usable = np.ones(len(terms), dtype=bool)
     chosen: list[int] = []
     while True:
         new = np.bincount(at_term, weights=needed[at_row] > 0, minlength=len(terms))
-        gain = np.where(usable & (new >= least) & (new > 3 * against), new - 3 * against, 0)
+        gain = np.where(usable & (new >= LEAST) & (new > 3 * against), new - 3 * against, 0)
         best = int(np.lexsort((specific, gain))[-1])
         if gain[best] <= 0:
             return chosen
@@ -263,14 +276,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id").select("y", "text"), "toxic-sample")
 
     counted = map_arrow(sample, _candidates, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    top = sorted((r["term"], r["n0"]) for r in counted.where("n1 >= 4 and n1 > 3 * n0").collect())
+    top = sorted((r["term"], r["n0"]) for r in counted.where(f"n1 >= {LEAST} and n1 > 3 * n0").collect())
     names = [term for term, _ in top]
     rows = [r["terms"] for r in map_arrow(sample.where("y = 1").select("text"), _presence(names), "terms array<int>").collect()]
     terms = [_parsed(names[k]) for k in select(names, rows, np.array([n0 for _, n0 in top]))]
     around = map_arrow(sample, _phrases([t[:2] for t in terms]), "phrase string, n0 long, n1 long").groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    learned = [r["phrase"] for r in around.where("n0 >= 4 and n0 > 3 * n1").select("phrase").collect()]
+    learned = [r["phrase"] for r in around.where(f"n0 >= {LEAST} and n0 > 3 * n1").select("phrase").collect()]
     exceptions = tuple(sorted({*exceptions, *learned}))
     found = map_arrow(sample, _counts(terms, exceptions), "y int, words long, terms array<int>, counts array<int>").collect()
+    drop(sample)
 
     y = np.array([r["y"] for r in found])
     if len(set(y.tolist())) < 2:  # the labelled rows of one class have no texts

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def test_bounded_sample_takes_the_smallest_hashes(spark):
 def test_terms_are_taken_while_they_gain():
     terms = [f"{k:03d}x" for k in range(700)]
     rows = [[k] for k in range(700) for _ in range(5)]
-    assert len(toxicity.select(terms, rows, np.zeros(700))) == 0  # each in fewer than 0.4 % of the rows
+    assert len(toxicity.select(terms, rows, np.zeros(700))) == 700  # each stands in four rows or more
     rows = [[k] for k in range(200) for _ in range(5)]
     assert sorted(toxicity.select(terms, rows, np.zeros(700))) == list(range(200))
 
@@ -103,6 +104,24 @@ def test_exception_phrases_are_learned(spark, docs_of):
     assert got == [0, 1]
 
 
+def test_phrases_and_hits_of_very_long_texts():
+    made = toxicity.automaton([("scu", True), ("pond", False)])
+    long = "x" * 200_000
+    start = time.process_time()
+    assert toxicity.phrases(f"{long} scum {long}", made) == {f"{long} scum", f"scum {long}"}
+    many = "pond scum, scum " * 20_000
+    assert toxicity.phrases(many, made) == {"pond scum", "scum pond"}
+    assert toxicity.hits(many, toxicity.automaton([("scu", True), ("pond", False)], ("pond scum",)), [1, 1]) == {0: 20_000}
+    assert time.process_time() - start < 10
+    assert toxicity.phrases("scum", made) == set() and toxicity.phrases(" scum_x scum ", made) == {"scum_x scum"}
+
+
+def test_rare_terms_are_learned():
+    """A term of four toxic rows counts however many rows there are."""
+    rows = [[0]] * 3990 + [[1]] * 4 + [[2]] * 3
+    assert sorted(toxicity.select(["vermin", "scumbag", "seldom"], rows, np.zeros(3))) == [0, 1]
+
+
 def test_folding():
     lexicon = [("idiot", False), ("moron", False), ("bad", True)]
     made = toxicity.automaton(lexicon, ("moron bird",))
