@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K, WIDTH = 64, 5
 SPACES = r"[\x20\x09-\x0D]+"
@@ -102,6 +103,18 @@ def encode(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
+def _cuts(rows: DataFrame, parts: int) -> list:
+    """Ids that cut all ids into ranges of about equal size: approximate quantiles of numbers, and of other ids those that stand
+    first by a hash in each of `parts` samples."""
+    if isinstance(rows.schema["id"].dataType, T.NumericType):
+        found = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10000).alias("c")).first()["c"] or []
+        return sorted(set(found))
+    hashed = rows.where("id is not null").select("id", F.xxhash64("id").alias("h"))
+    drawn = hashed.groupBy(F.pmod("h", F.lit(64 * parts)).alias("of")).agg(F.min_by("id", "h").alias("id")).select("id").distinct()
+    some = sorted(r["id"] for r in drawn.collect())
+    return sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
     """(id, text, sketch, next_text, next_sketch): each document with the one that follows it by descending id.
 
@@ -112,8 +125,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int | None = N
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
+    cuts = _cuts(rows, parts)
     # A range's number: how many cut points lie at or above the id, found block by block; nulls come after all others.
     block = max(1, int(len(cuts) ** 0.5))
     array = lambda xs, kind: F.lit(xs) if xs else F.array().cast(f"array<{kind}>")

@@ -87,3 +87,15 @@ def test_small_tables(docs_of):
     assert P.fingerprints(docs_of(["x"]).limit(0)).count() == 0
     one = P.fingerprints(docs_of(["abc def"])).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abc dab").hexdigest()
+
+
+def test_text_ids(docs_of, spark):
+    texts = [*corpus(6, 60), None]
+    ids = [None if k == 7 else f"id{k * 37 % 61:02d}" for k in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string").repartition(3)
+    got = {r["doc_id"]: r["edited_sha256"] for r in P.fingerprints(df).collect()}
+    order = sorted(zip(ids, [t or "" for t in texts], strict=True), key=lambda x: (x[0] is None, [-ord(c) for c in x[0] or ""]))
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + following[: len(t) // 3]).encode()).hexdigest()
+    assert P.fingerprints(df.limit(0)).count() == 0
