@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -39,18 +40,18 @@ def contrast_arms(stats: DataFrame, strata: list[str], cluster: str, condition:
     return both.where("__n = 2").drop("__n")
 
 
-def within_model(stats: DataFrame, strata: list[str], cluster: str, condition: str, values, contrasts=CONTRASTS, n: int = 10_000, seed: int = SEED) -> DataFrame:
+def within_model(stats: DataFrame, strata: list[str], cluster: str, condition: str, values, contrasts=CONTRASTS, n: int = 10_000, seed: int = SEED, sums: list[str] = metrics.TOTALS) -> DataFrame:
     """Tests of all contrasts with Holm's adjustment over the contrasts of each stratum and metric."""
-    arms = contrast_arms(stats, strata, cluster, condition, contrasts)
-    tests = resampling.paired_permutation(arms, ["contrast", *strata], cluster, metrics.TOTALS, values, n, seed)
+    arms = contrast_arms(stats, strata, cluster, condition, contrasts, sums)
+    tests = resampling.paired_permutation(arms, ["contrast", *strata], cluster, sums, values, n, seed)
     return multiplicity.holm(tests, "p_value", [*strata, "metric"], ["contrast"])
 
 
-def five_contrasts(stats: DataFrame, strata: list[str], cluster: str, condition: str, values, n: int = 10_000, seed: int = SEED) -> DataFrame:
+def five_contrasts(stats: DataFrame, strata: list[str], cluster: str, condition: str, values, n: int = 10_000, seed: int = SEED, sums: list[str] = metrics.TOTALS) -> DataFrame:
     """within_model with the added contrast, its interval and direction: the family is adjusted anew over all five."""
-    tests = within_model(stats, strata, cluster, condition, values, (*CONTRASTS, ADDED), n, seed)
-    added = contrast_arms(stats, strata, cluster, condition, (ADDED,))
-    spread = resampling.paired_bootstrap(added, ["contrast", *strata], cluster, metrics.TOTALS, values, n, seed).drop("estimate", "n_valid")
+    tests = within_model(stats, strata, cluster, condition, values, (*CONTRASTS, ADDED), n, seed, sums)
+    added = contrast_arms(stats, strata, cluster, condition, (ADDED,), sums)
+    spread = resampling.paired_bootstrap(added, ["contrast", *strata], cluster, sums, values, n, seed).drop("estimate", "n_valid")
     return tests.join(spread, ["contrast", *strata, "metric"], "left").withColumn("direction", direction(F.col("metric"), F.col("difference")))
 
 
@@ -108,25 +109,27 @@ class Analysis:
     cases: DataFrame
 
 
-def analyze(df: DataFrame, strata: list[str], arm: str, first: str, second: str, unit: str, cluster: str, values, primary: Column, n: int = 10_000, seed: int = SEED) -> Analysis:
+def analyze(df: DataFrame, strata: list[str], arm: str, first: str, second: str, unit: str, cluster: str, values, primary: Column, n: int = 10_000, seed: int = SEED, means: Iterable[str] = ()) -> Analysis:
     """Two paired arms in every stratum: estimates of each arm with intervals, paired effects (second less first) with tests and
     intervals, counts of errors resolved and introduced, and these by case.
 
     Units must be the same in both arms, with equal references and clusters. Effects are adjusted over the strata of each
-    metric, in two families: strata for which `primary` holds, and the others; undefined tests count in their family.
+    metric, in two families: strata for which `primary` holds, and the others; undefined tests count in their family. `means` are
+    the optional metrics' columns, which `values` may use.
     """
-    stats = metrics.totals(df, [*strata, arm, cluster])
-    estimates = resampling.bootstrap(stats, [*strata, arm], cluster, metrics.TOTALS, values, n, seed)
+    sums = metrics.sums(means)
+    stats = metrics.totals(df, [*strata, arm, cluster], means=means)
+    estimates = resampling.bootstrap(stats, [*strata, arm], cluster, sums, values, n, seed)
     sizes = df.groupBy(*strata, arm).agg(F.count(F.lit(1)).alias("n_records"))
     wide = stats.groupBy(*strata, arm).agg(*[F.sum(c).alias(c) for c in metrics.TOTALS])
     defined = wide.select(*strata, arm, metrics.defined_labels().alias("n_defined_labels"), F.when(metrics.defined_labels() == metrics.SIZE, metrics.metrics()["macro_f1"]).alias("strict_macro_f1"))
-    arms = contrast_arms(stats, strata, cluster, arm, ((first, second),)).drop("contrast")
-    tests = resampling.paired_permutation(arms, strata, cluster, metrics.TOTALS, values, n, seed)
-    spread = resampling.paired_bootstrap(arms, strata, cluster, metrics.TOTALS, values, n, seed).drop("estimate")
+    arms = contrast_arms(stats, strata, cluster, arm, ((first, second),), sums).drop("contrast")
+    tests = resampling.paired_permutation(arms, strata, cluster, sums, values, n, seed)
+    spread = resampling.paired_bootstrap(arms, strata, cluster, sums, values, n, seed).drop("estimate")
     effects = tests.join(spread, [*strata, "metric"]).withColumn("family", F.when(primary, "primary").otherwise("secondary"))
     effects = multiplicity.holm(effects, "p_value", ["family", "metric"], strata, count_missing=True)
     effects = effects.withColumn("percentage_points", percentage_points(F.col("difference"))).withColumn("direction", direction(F.col("metric"), F.col("difference")))
-    pairs = transitions.paired(df, arm, first, second, [*strata, unit], ["reference", cluster])
+    pairs = transitions.paired(df.drop(*means), arm, first, second, [*strata, unit], ["reference", cluster])
     return Analysis(estimates.join(sizes, [*strata, arm]).join(defined, [*strata, arm]), effects, transitions.resolved_introduced(pairs, strata), transitions.case_changes(pairs, [*strata, unit]))
 
 

@@ -2,20 +2,28 @@
 
 Rows are reduced to one wide row per stratum and cluster first; a replicate then weighs, swaps or flips whole clusters.
 Draws depend on the seed, the replicate and the slot alone, so results don't depend on partitioning and any SQL engine
-can repeat them. Replicates are rows of the plan: they spread over executors and stream through partial sums.
+can repeat them.
+
+No row is made for a draw. Clusters meet blocks of replicates in Arrow tables: a matrix of weights, swaps or signs
+(replicates x clusters) times the clusters' totals gives the totals of all replicates of the block, and partial sums by
+(stratum, replicate) are what is shuffled. Totals are whole numbers, which stay exact, or doubles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import draw, spread
+from cohortlens.functions.hashing import MIXERS, draw
 
 SEED = 20260831
-BLOCK, PARTS = 250, 32
+#: Replicates in a block, clusters that a task weighs at once, cells of one matrix.
+BLOCK, CLUSTERS, CELLS = 250, 1 << 16, 1 << 21
 
 
 def numbered(stats: DataFrame, strata: list[str], cluster: str) -> DataFrame:
@@ -24,36 +32,91 @@ def numbered(stats: DataFrame, strata: list[str], cluster: str) -> DataFrame:
 
     Clusters are counted by those bits and then numbered within each value of them, so no task holds a whole stratum.
     """
-    keyed = stats.withColumn("__bits", F.shiftright(draw(F.col(cluster)), 22))
+    keyed = stats.withColumn("__h", draw(F.col(cluster))).withColumn("__bits", F.shiftright("__h", 22))
     whole = Window.partitionBy(*strata)
     before = F.coalesce(F.sum("__c").over(whole.orderBy("__bits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = keyed.groupBy(*strata, "__bits").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", before).withColumn("__n", F.sum("__c").over(whole)).drop("__c")
     place = F.row_number().over(Window.partitionBy(*strata, "__bits").orderBy(cluster)) - 1
-    return keyed.withColumn("__r", place).join(counts, [*strata, "__bits"]).withColumn("__i", F.col("__before") + F.col("__r")).drop("__bits", "__before", "__r")
+    keys = [*strata, "__bits"]
+    other = counts.withColumnsRenamed({c: f"__of_{c}" for c in keys})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys])
+    return keyed.withColumn("__r", place).join(other, same).withColumn("__i", F.col("__before") + F.col("__r")).drop("__bits", "__before", "__r", *[f"__of_{c}" for c in keys])
+
+
+def draws(seed: int) -> tuple[Callable, Callable]:
+    """(weights, odd), the arithmetic of functions.hashing.spread on a block of replicates that begins with `first`.
+
+    weights(first, count, n): how often n draws with replacement hit each of n clusters, replicates x n.
+    odd(first, count, hashes): 1 where a cluster's draw is odd, replicates x clusters.
+    They are closures, so that tasks bring them along.
+    """
+    mixers, low = MIXERS, np.uint64(0xFFFFFFFF)
+
+    def mixed(x):
+        for shift, factor in ((16, mixers[0]), (15, mixers[1])):
+            x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & low
+        return x ^ (x >> np.uint64(15))
+
+    def states(first, count):
+        start = mixed(np.array([seed], dtype=np.uint64) & low)
+        return mixed((start + np.arange(first, first + count, dtype=np.uint64)) & low)[:, None]
 
+    def weights(first, count, n):
+        hit = mixed((states(first, count) + np.arange(n, dtype=np.uint64)) & low) % np.uint64(n)
+        cell = hit + np.arange(count, dtype=np.uint64)[:, None] * np.uint64(n)
+        return np.bincount(cell.astype(np.int64).reshape(-1), minlength=count * n).reshape(count, n)
 
-def replicates(df: DataFrame, n: int) -> DataFrame:
-    """Each row once for each replicate b; blocks of replicates are dealt over tasks, as a few small rows become many."""
-    blocks = -(-n // BLOCK)
-    dealt = df.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(min(blocks, PARTS), "__k") if blocks > 1 else df.withColumn("__k", F.lit(0))
-    return dealt.withColumn("b", F.explode(F.sequence(F.col("__k") * BLOCK, F.least(F.col("__k") * BLOCK + BLOCK - 1, F.lit(n - 1))))).drop("__k")
+    def odd(first, count, hashes):
+        return (mixed((states(first, count) + hashes.astype(np.uint64)) & low) & np.uint64(1)).astype(np.int64)
 
+    return weights, odd
 
-def weights(sizes: DataFrame, n: int, seed: int) -> DataFrame:
-    """(__n, b, __i, w): how often cluster i of n is drawn in replicate b, n draws with replacement.
 
-    Strata of equal size share their draws, so the draws are made once for each distinct size.
+def replicated(stats: DataFrame, strata: list[str], cluster: str, sums: list[str], n: int, matrix: Callable) -> DataFrame:
+    """(strata..., b, sums...): for each replicate the sum over clusters of what `matrix` says times their totals.
+
+    matrix(first, count, size, numbers, hashes) is a matrix of `count` replicates from `first` on by the clusters of a task:
+    `size` is the stratum's number of clusters, `numbers` and `hashes` are those of the task's clusters, CLUSTERS at most. As few
+    rows become many sums, a cluster's row goes to a task for each block of replicates. Missing totals count as 0.
     """
-    slots = replicates(sizes.select("__n").distinct(), n).select("__n", "b", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("slot"))
-    picked = spread(slots, "__x", F.lit(seed), F.col("b"), F.col("slot")).select("__n", "b", (F.col("__x") % F.col("__n")).alias("__i"))
-    return picked.groupBy("__n", "b", "__i").agg(F.count(F.lit(1)).alias("w"))
+    kinds = dict(stats.dtypes)
+    fractional = [c for c in sums if kinds[c] in ("double", "float")]
+    whole = [c for c in sums if c not in fractional]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in strata] + ["b long"] + [f"`{c}` {'double' if c in fractional else 'long'}" for c in sums])
+    block, cells = BLOCK, CELLS
+
+    def values(table, names):
+        columns = [table[c].fill_null(0).to_numpy() for c in names]
+        return np.stack(columns, axis=1) if names else np.zeros((table.num_rows, 0))
+
+    def run(table: pa.Table) -> pa.Table:
+        size, first = table["__n"][0].as_py(), table["__k"][0].as_py() * block
+        numbers, hashes = table["__i"].to_numpy(), table["__h"].to_numpy()
+        counts, parts = values(table, whole).astype(np.int64), values(table, fractional)
+        # doubles hold every whole number that a product can reach, or the product is made of whole numbers
+        if float(np.abs(counts).max(initial=0)) * size < 2.0**53:
+            counts = counts.astype(np.float64)
+        step, out = max(1, cells // size), []
+        for begin in range(first, min(first + block, n), step):
+            cell = matrix(begin, min(step, first + block - begin, n - begin), size, numbers, hashes)
+            out.append((np.rint(cell.astype(counts.dtype) @ counts).astype(np.int64), cell.astype(np.float64) @ parts))
+        sums_whole, sums_parts = (np.concatenate(x) for x in zip(*out, strict=True))
+        columns = {c: pa.array([table[c][0].as_py()] * len(sums_whole), table.schema.field(c).type) for c in strata} | {"b": pa.array(np.arange(first, first + len(sums_whole)))}
+        columns |= {c: pa.array(sums_whole[:, i]) for i, c in enumerate(whole)} | {c: pa.array(sums_parts[:, i]) for i, c in enumerate(fractional)}
+        return pa.table({c: columns[c] for c in [*strata, "b", *sums]})
+
+    marked = numbered(stats, strata, cluster).select(*strata, *sums, "__n", "__i", "__h", F.floor(F.col("__i") / CLUSTERS).alias("__part"))
+    dealt = marked.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(-(-n // BLOCK) - 1))))
+    return dealt.groupBy(*strata, "__part", "__k").applyInArrow(run, schema).groupBy(*strata, "b").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def weighted_totals(stats: DataFrame, strata: list[str], cluster: str, sums: list[str], n: int, seed: int = SEED) -> DataFrame:
-    """(strata..., b, sums...): the totals of every bootstrap replicate."""
-    marked = numbered(stats, strata, cluster)
-    drawn = marked.join(weights(marked, n, seed), ["__n", "__i"])
-    return drawn.groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in sums])
+    """(strata..., b, sums...): the totals of every bootstrap replicate, as many clusters drawn with replacement as there are.
+
+    Strata of equal size share their draws. A task makes the draws of all slots of its stratum and keeps those of its clusters.
+    """
+    weights, _ = draws(seed)
+    return replicated(stats, strata, cluster, sums, n, lambda first, count, size, numbers, hashes: weights(first, count, size)[:, numbers])
 
 
 def long(df: DataFrame, keys: list[str], values: Mapping[str, Column], name: str = "metric", value: str = "value") -> DataFrame:
@@ -61,19 +124,30 @@ def long(df: DataFrame, keys: list[str], values: Mapping[str, Column], name: str
     return df.select(*keys, F.explode(rows).alias("x")).select(*keys, f"x.{name}", f"x.{value}")
 
 
-def intervals(point: DataFrame, drawn: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
-    """(keys..., metric, estimate, ci_low, ci_high, n_valid): percentile intervals over the defined replicates."""
+def intervals(point: DataFrame, drawn: DataFrame, keys: list[str], values: Mapping[str, Column], level: float = 0.95) -> DataFrame:
+    """(keys..., metric, estimate, ci_low, ci_high, n_valid): percentile intervals of `values` over the replicates in which they are
+    defined; `point` and `drawn` hold the totals, one row and a row for each replicate of a stratum."""
     tail = (1 - level) / 2
-    spread = drawn.groupBy(*keys, "metric").agg(F.percentile("value", [tail, 1 - tail]).alias("q"), F.count("value").alias("n_valid"))
-    both = point.join(spread, [*keys, "metric"], "left")
+    wide = drawn.select(*keys, *[c.cast("double").alias(k) for k, c in values.items()])
+    found = wide.groupBy(*keys).agg(*[F.struct(F.percentile(k, [tail, 1 - tail]).alias("q"), F.count(k).alias("n")).alias(k) for k in values])
+    each = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"{k}.q").alias("q"), F.col(f"{k}.n").alias("n_valid")) for k in values])
+    spread = found.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    both = long(point, keys, values).join(spread, [*keys, "metric"], "left")
     return both.select(*keys, "metric", F.col("value").alias("estimate"), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
 
 
 def bootstrap(stats: DataFrame, strata: list[str], cluster: str, sums: list[str], values, n: int = 10_000, seed: int = SEED, level: float = 0.95) -> DataFrame:
     """Cluster bootstrap intervals of `values` (a function from a column getter to named metrics)."""
     point = stats.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in sums])
-    drawn = weighted_totals(stats, strata, cluster, sums, n, seed)
-    return intervals(long(point, strata, values(F.col)), long(drawn, strata, values(F.col)), strata, level)
+    return intervals(point, weighted_totals(stats, strata, cluster, sums, n, seed), strata, values(F.col), level)
+
+
+def _differences(values) -> Callable:
+    def differences(of) -> dict[str, Column]:
+        first, second = values(lambda c: of(f"a_{c}")), values(lambda c: of(f"b_{c}"))
+        return {k: second[k] - first[k] for k in first}
+
+    return differences
 
 
 def paired_bootstrap(arms: DataFrame, strata: list[str], cluster: str, sums: list[str], values, n: int = 10_000, seed: int = SEED, level: float = 0.95) -> DataFrame:
@@ -81,13 +155,7 @@ def paired_bootstrap(arms: DataFrame, strata: list[str], cluster: str, sums: lis
 
     `arms` holds one row for each stratum and cluster with sums a_* and b_*.
     """
-    both = [f"{t}_{c}" for t in "ab" for c in sums]
-
-    def differences(of) -> dict[str, Column]:
-        first, second = values(lambda c: of(f"a_{c}")), values(lambda c: of(f"b_{c}"))
-        return {k: second[k] - first[k] for k in first}
-
-    return bootstrap(arms, strata, cluster, both, differences, n, seed, level)
+    return bootstrap(arms, strata, cluster, [f"{t}_{c}" for t in "ab" for c in sums], _differences(values), n, seed, level)
 
 
 def paired_permutation(arms: DataFrame, strata: list[str], cluster: str, sums: list[str], values, n: int = 10_000, seed: int = SEED) -> DataFrame:
@@ -95,33 +163,31 @@ def paired_permutation(arms: DataFrame, strata: list[str], cluster: str, sums: l
 
     p = (replicates whose difference is as large or larger in size + 1) / (defined replicates + 1).
     """
-
-    def differences(of) -> dict[str, Column]:
-        first, second = values(lambda c: of(f"a_{c}")), values(lambda c: of(f"b_{c}"))
-        return {k: second[k] - first[k] for k in first}
-
     both = [f"{t}_{c}" for t in "ab" for c in sums]
     point = arms.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in both])
     # a swap adds what the arms differ by to one arm and takes it from the other, so that is all a replicate adds up
-    apart = arms.select(*strata, draw(F.col(cluster)).alias("__h"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in sums])
-    # (a product, not a filter: the optimizer would write the draw's steps out into a filter's condition)
-    drawn = spread(replicates(apart, n), "__x", F.lit(seed), F.col("b"), F.col("__h")).withColumn("__s", F.col("__x") % 2)
-    moved = drawn.groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(f"__{c}") for c in sums])
-    every = replicates(point, n).join(moved, [*strata, "b"], "left")
-    mixed = every.select(*strata, "b", *[(F.col(f"{t}_{c}") + sign * F.coalesce(F.col(f"__{c}"), F.lit(0))).alias(f"{t}_{c}") for t, sign in (("a", 1), ("b", -1)) for c in sums])
-    observed = long(point, strata, differences(F.col), value="difference")
-    null = long(mixed, strata, differences(F.col))
-    joined = null.join(observed, [*strata, "metric"])
-    counted = joined.groupBy(*strata, "metric").agg(F.count_if(F.abs("value") >= F.abs("difference") - 1e-15).alias("e"), F.count("value").alias("valid"))
+    apart = arms.select(*strata, cluster, *[(F.coalesce(f"b_{c}", F.lit(0)) - F.coalesce(f"a_{c}", F.lit(0))).alias(f"__{c}") for c in sums])
+    _, odd = draws(seed)
+    moved = replicated(apart, strata, cluster, [f"__{c}" for c in sums], n, lambda first, count, size, numbers, hashes: odd(first, count, hashes))
+    differences = _differences(values)
+    observed = point.select(*strata, *both, F.struct(*[c.cast("double").alias(k) for k, c in differences(F.col).items()]).alias("__seen"))
+    mixed = moved.join(observed, strata).select(*strata, "__seen", *[(F.col(f"{t}_{c}") + sign * F.col(f"__{c}")).alias(f"{t}_{c}") for t, sign in (("a", 1), ("b", -1)) for c in sums])
+    null = mixed.select(*strata, "__seen", *[c.cast("double").alias(k) for k, c in differences(F.col).items()])
+    names = list(differences(F.col))
+    reached = [F.struct(F.count_if(F.abs(k) >= F.abs(F.col(f"__seen.{k}")) - 1e-15).alias("e"), F.count(k).alias("valid")).alias(k) for k in names]
+    found = null.groupBy(*strata).agg(*reached)
+    each = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"{k}.e").alias("e"), F.col(f"{k}.valid").alias("valid")) for k in names])
+    counted = found.select(*strata, F.explode(each).alias("x")).select(*strata, "x.*")
     p = F.when(F.col("difference").isNotNull(), (F.coalesce("e", F.lit(0)) + 1) / (F.coalesce("valid", F.lit(0)) + 1))
-    return observed.join(counted, [*strata, "metric"], "left").select(*strata, "metric", "difference", p.alias("p_value"), F.coalesce("valid", F.lit(0)).alias("valid"))
+    whole = long(point, strata, differences(F.col), value="difference").join(counted, [*strata, "metric"], "left")
+    return whole.select(*strata, "metric", "difference", p.alias("p_value"), F.coalesce("valid", F.lit(0)).alias("valid"))
 
 
 def sign_flip(stats: DataFrame, strata: list[str], cluster: str, nets: list[str], n: int = 10_000, seed: int = SEED) -> DataFrame:
     """(strata..., metric, net, p_value): the sign of each cluster's net count flips with probability 1/2."""
     point = stats.groupBy(*strata).agg(*[F.sum(c).alias(c) for c in nets])
-    drawn = spread(replicates(stats.select(*strata, *nets, draw(F.col(cluster)).alias("__h")), n), "__x", F.lit(seed), F.col("b"), F.col("__h"))
-    flipped = drawn.withColumn("__s", F.col("__x") % 2 * 2 - 1).groupBy(*strata, "b").agg(*[F.sum(F.col(c) * F.col("__s")).alias(c) for c in nets])
+    _, odd = draws(seed)
+    flipped = replicated(stats, strata, cluster, nets, n, lambda first, count, size, numbers, hashes: 2 * odd(first, count, hashes) - 1)
     observed = long(point, strata, {c: F.col(c) for c in nets}, value="net")
     null = long(flipped, strata, {c: F.col(c) for c in nets})
     counted = null.join(observed, [*strata, "metric"]).groupBy(*strata, "metric", "net").agg(F.count_if(F.abs("value") >= F.abs("net")).alias("e"), F.count(F.lit(1)).alias("n"))

@@ -72,6 +72,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(d, "cluster", "lang", "g.model", "g.condition", "reference", prediction.alias("prediction"))
 
 
+#: Optional metrics of a record: some have no value, a NaN or an infinite one, and whole clusters have none.
+MEANS = ("overlap", "similarity")
+
+
+def scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors() with optional metrics: shares of 1024, which any engine adds up alike."""
+    value = lambda seed: draw(seed, F.col("model"), F.col("condition"), F.col("doc_id"))
+    overlap = F.when(value("ov") % 10 > 0, value("ov") % 1024 / F.lit(1024.0))
+    odd = F.when(value("sx") % 9 == 0, F.lit(float("nan"))).when(value("sx") % 9 == 1, F.lit(float("-inf"))).otherwise(value("sx") % 1024 / F.lit(1024.0))
+    return vectors(spark, sf_dir).withColumns({"overlap": overlap, "similarity": F.when(draw("sc", F.col("cluster")) % 3 == 0, odd)})
+
+
 def reference(doc: Column) -> Column:
     return F.array(*[(draw("r", doc, F.lit(i)) % 100 < 25).cast("int") for i in range(len(LABELS))])
 

@@ -10,7 +10,8 @@ from cohortlens.operators.inference import ADDED, CONTRASTS, LESS_IS_BETTER
 from cohortlens.operators.metrics import NAMES, TOTALS
 from cohortlens.operators.revision import ARMS, CONDITIONS
 from cohortlens.operators.transitions import JOINT_COUNTS
-from cohortlens.plans.queries import PRIMARY, REPLICATES
+from cohortlens.plans.fixtures import MEANS
+from cohortlens.plans.queries import REPLICATES, SUMS
 
 N, SEED, SIZE = REPLICATES, 20260831, len(LABELS)
 LIST = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
@@ -109,7 +110,17 @@ def listed(v: str) -> str:
     return "(" + " + ".join(f"{v}[{i}]" for i in range(1, SIZE + 1)) + ")"
 
 
-def totals(groups: str, source: str = "v") -> str:
+_SCORE = lambda seed: draw(f"'{seed}'", "model", "condition", "doc_id")
+SCORED = f"""
+vs AS (SELECT *, CASE WHEN {_SCORE('ov')} % 10 > 0 THEN {_SCORE('ov')} % 1024 / 1024.0::DOUBLE END AS overlap,
+  CASE WHEN {draw("'sc'", 'cluster')} % 3 = 0 THEN CASE {_SCORE('sx')} % 9 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE ELSE {_SCORE('sx')} % 1024 / 1024.0::DOUBLE END END AS similarity FROM v)"""
+
+
+def kind(total: str) -> str:
+    return "DOUBLE" if "sum_" in total else "BIGINT"
+
+
+def totals(groups: str, source: str = "v", means=()) -> str:
     r, p = "reference", "prediction"
     sums = [f"sum({r}[{i}] * {p}[{i}])::BIGINT AS tp_{i - 1}" for i in range(1, SIZE + 1)]
     sums += [f"sum((1 - {r}[{i}]) * {p}[{i}])::BIGINT AS fp_{i - 1}" for i in range(1, SIZE + 1)]
@@ -119,10 +130,11 @@ def totals(groups: str, source: str = "v") -> str:
         "count(*)::BIGINT AS n_records", f"sum({SIZE} - {wrong(p)})::BIGINT AS matching_labels", f"sum((({listed(r)} = 0) = ({listed(p)} = 0))::INT)::BIGINT AS normal_abnormal_correct",
         f"sum(({listed(r)} > 0)::INT * ({false}))::BIGINT AS fp_abnormal", f"sum(({listed(r)} > 0)::INT * {listed(p)})::BIGINT AS predicted_positive_abnormal",
     ]
+    sums += [x for c in means for x in (f"coalesce(sum({c}) FILTER (isfinite({c})), 0)::DOUBLE AS sum_{c}", f"count(*) FILTER (isfinite({c})) AS finite_{c}")]
     return f"SELECT {groups}, {', '.join(sums)} FROM {source} GROUP BY {groups}"
 
 
-def metrics(of=lambda c: c) -> dict[str, str]:
+def metrics(of=lambda c: c, means=()) -> dict[str, str]:
     tp, fp, fn = ([of(f"{k}_{i}") for i in range(SIZE)] for k in ("tp", "fp", "fn"))
     add = lambda xs: "(" + " + ".join(xs) + ")"
     f1 = [ratio(f"2 * {t}", f"2 * {t} + {p} + {n}") for t, p, n in zip(tp, fp, fn, strict=True)]
@@ -133,17 +145,16 @@ def metrics(of=lambda c: c) -> dict[str, str]:
         "hamming_accuracy": ratio(of("matching_labels"), f"{of('n_records')} * {SIZE}"), "normal_abnormal_accuracy": ratio(of("normal_abnormal_correct"), of("n_records")),
         "false_positive_events": f"{add(fp)}::DOUBLE", "predicted_positive_events": f"({add(tp)} + {add(fp)})::DOUBLE",
         "false_negative_events": f"{add(fn)}::DOUBLE", "reference_positive_events": f"({add(tp)} + {add(fn)})::DOUBLE",
-    } | {f"f1_{n}": x for n, x in zip(NAMES, f1, strict=True)}
+    } | {f"f1_{n}": x for n, x in zip(NAMES, f1, strict=True)} | {c: ratio(of(f"sum_{c}"), of(f"finite_{c}")) for c in means}
 
 
-def primary(of=lambda c: c) -> dict[str, str]:
-    every = metrics(of)
-    return {k: every[k] for k in PRIMARY}
+def every(of=lambda c: c) -> dict[str, str]:
+    return metrics(of, MEANS)
 
 
-def grouped(groups: str, source: str = "v") -> str:
+def grouped(groups: str, source: str = "v", means=()) -> str:
     defined = " + ".join(f"(2 * tp_{i} + fp_{i} + fn_{i} > 0)::INT" for i in range(SIZE))
-    return f"SELECT {groups}, n_records, ({defined}) AS n_defined_labels, {', '.join(f'round({x}, 6) AS {k}' for k, x in metrics().items())} FROM ({totals(groups, source)})"
+    return f"SELECT {groups}, n_records, ({defined}) AS n_defined_labels, {', '.join(f'round({x}, 6) AS {k}' for k, x in metrics(means=means).items())} FROM ({totals(groups, source, means)})"
 
 
 def long(select: str, values: dict[str, str], source: str, value: str = "value") -> str:
@@ -158,8 +169,8 @@ def differences(values) -> dict[str, str]:
 
 def bootstrap(stats: str, strata: str, sums: list[str], values: dict[str, str]) -> str:
     """CTEs that end in the result, from the relation `stats`."""
-    total = ", ".join(f"sum({c})::BIGINT AS {c}" for c in sums)
-    weighted = ", ".join(f"sum({c} * w)::BIGINT AS {c}" for c in sums)
+    total = ", ".join(f"sum({c})::{kind(c)} AS {c}" for c in sums)
+    weighted = ", ".join(f"sum({c} * w)::{kind(c)} AS {c}" for c in sums)
     using = ", ".join(strata.split(", "))
     return f"""
 nb AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {draw('cluster')} >> 22, cluster) - 1 AS i, count(*) OVER (PARTITION BY {strata}) AS n FROM {stats}),
@@ -173,16 +184,16 @@ SELECT {strata}, metric, round(value, 6) + 0.0 AS estimate, round(lo, 6) + 0.0 A
 
 
 def arms(name: str, a: str, b: str, source: str = "cs") -> str:
-    side = ", ".join(f"max({c}) FILTER (condition = '{x}') AS {t}_{c}" for t, x in (("a", a), ("b", b)) for c in TOTALS)
+    side = ", ".join(f"max({c}) FILTER (condition = '{x}') AS {t}_{c}" for t, x in (("a", a), ("b", b)) for c in SUMS)
     return f"{name} AS (SELECT model, cluster, {side} FROM {source} WHERE condition IN ('{a}', '{b}') GROUP BY model, cluster)"
 
 
-def permutation(name: str, source: str, by: str = "model") -> str:
+def permutation(name: str, source: str, by: str = "model", values=every, sums=SUMS) -> str:
     """CTEs; `name` has (by, metric, difference, p_value, valid)."""
-    both = ", ".join(f"sum({t}_{c})::BIGINT AS {t}_{c}" for t in "ab" for c in TOTALS)
-    swapped = ", ".join(f"sum(CASE WHEN swap THEN {o}_{c} ELSE {t}_{c} END)::BIGINT AS {t}_{c}" for t, o in (("a", "b"), ("b", "a")) for c in TOTALS)
-    return f"""{name}_o AS ({long(by, differences(primary), f'(SELECT {by}, {both} FROM {source} GROUP BY {by})', 'difference')}),
-{name}_n AS ({long(f'{by}, b', differences(primary), f"(SELECT {by}, b, {swapped} FROM (SELECT *, {drawn('h')} % 2 = 1 AS swap FROM (SELECT *, {draw('cluster')} AS h FROM {source}), {REPLICATE}) GROUP BY {by}, b)")}),
+    both = ", ".join(f"sum({t}_{c})::{kind(c)} AS {t}_{c}" for t in "ab" for c in sums)
+    swapped = ", ".join(f"sum(CASE WHEN swap THEN {o}_{c} ELSE {t}_{c} END)::{kind(c)} AS {t}_{c}" for t, o in (("a", "b"), ("b", "a")) for c in sums)
+    return f"""{name}_o AS ({long(by, differences(values), f'(SELECT {by}, {both} FROM {source} GROUP BY {by})', 'difference')}),
+{name}_n AS ({long(f'{by}, b', differences(values), f"(SELECT {by}, b, {swapped} FROM (SELECT *, {drawn('h')} % 2 = 1 AS swap FROM (SELECT *, {draw('cluster')} AS h FROM {source}), {REPLICATE}) GROUP BY {by}, b)")}),
 {name} AS (SELECT {by}, metric, difference, CASE WHEN difference IS NOT NULL THEN (coalesce(count(*) FILTER (abs(value) >= abs(difference) - 1e-15), 0) + 1) / (count(value) + 1) END AS p_value, count(value) AS valid
   FROM {name}_o JOIN {name}_n USING ({by}, metric) GROUP BY {by}, metric, difference)"""
 
@@ -204,7 +215,7 @@ RATES = {
     "strict_net_all": ratio("strict_rescue - strict_harm", "n_records"), "dominant_rescue_all": ratio("dominant_rescue", "n_records"), "dominant_harm_all": ratio("dominant_harm", "n_records"),
 }
 JOINT_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in JOINT_COUNTS)
-CLUSTERS = VECTORS + f", cs AS ({totals('model, condition, cluster')})"
+CLUSTERS = VECTORS + f", {SCORED}, cs AS ({totals('model, condition, cluster', 'vs', MEANS)})"
 PAIRS = VECTORS + ", p AS (SELECT a.model, a.doc_id, a.lang, a.cluster, a.reference, a.prediction AS pa, b.prediction AS pb FROM v a JOIN v b USING (model, doc_id) WHERE a.condition = 'A' AND b.condition = 'D')"
 PV = f"""pv AS (SELECT source, lang, CASE WHEN {draw("'pm'", 'source', 'lang')} % 10 > 0 THEN round(pow(({draw("'pv'", 'source', 'lang')} % 10000 + 1) / 10000.0::DOUBLE, 3), 6) END AS p_value FROM (SELECT DISTINCT source, lang FROM documents))"""
 
@@ -256,7 +267,7 @@ PAYLOAD = ROOM - len(P.OMISSION)
 
 def contrasts(pairs) -> str:
     """CTE `ar`: (contrast, model, cluster, a_*, b_*) of every contrast, from `cs`."""
-    one = lambda a, b: f"SELECT '{a}-{b}' AS contrast, model, cluster, " + ", ".join(f"max({c}) FILTER (condition = '{x}') AS {t}_{c}" for t, x in (("a", a), ("b", b)) for c in TOTALS) + f" FROM cs WHERE condition IN ('{a}', '{b}') GROUP BY model, cluster"
+    one = lambda a, b: f"SELECT '{a}-{b}' AS contrast, model, cluster, " + ", ".join(f"max({c}) FILTER (condition = '{x}') AS {t}_{c}" for t, x in (("a", a), ("b", b)) for c in SUMS) + f" FROM cs WHERE condition IN ('{a}', '{b}') GROUP BY model, cluster"
     return "ar AS (" + " UNION ALL ".join(one(a, b) for a, b in pairs) + ")"
 
 
@@ -270,7 +281,7 @@ def adjusted(source: str, p: str, out: str, family: str, order: str, missing: bo
 BETTER = f"CASE WHEN metric IN ({', '.join(quoted(x) for x in LESS_IS_BETTER)}) THEN -difference ELSE difference END"
 DIRECTION = f"CASE WHEN {BETTER} > 0 THEN 'better' WHEN {BETTER} < 0 THEN 'worse' WHEN {BETTER} = 0 THEN 'tie' END"
 FIVE = f"""{CLUSTERS}, {contrasts((*CONTRASTS, ADDED))}, {permutation('pp', 'ar', 'contrast, model')}, h AS ({adjusted('pp', 'p_value', 'p_holm', 'model, metric', 'contrast')}),
-ad AS (SELECT * FROM ar WHERE contrast = '{"-".join(ADDED)}'), iv AS (WITH {bootstrap('ad', 'contrast, model', [f'{t}_{c}' for t in 'ab' for c in TOTALS], differences(primary))}),
+ad AS (SELECT * FROM ar WHERE contrast = '{"-".join(ADDED)}'), iv AS (WITH {bootstrap('ad', 'contrast, model', [f'{t}_{c}' for t in 'ab' for c in SUMS], differences(every))}),
 five AS (SELECT h.*, iv.ci_low, iv.ci_high, {DIRECTION} AS direction FROM h LEFT JOIN iv USING (contrast, model, metric))"""
 
 
@@ -287,8 +298,8 @@ f1 AS ({adjusted('fp', 'event_net_p', 'event_net_p_holm', family, strata)}), f2
 js AS (SELECT bs.*, jn.* EXCLUDE ({strata}), {r6('event_net_p', 'strict_net_p', 'event_net_p_holm', 'strict_net_p_holm')} FROM bs JOIN jn USING ({strata}) JOIN f2 USING ({strata}))"""
 
 
-STRATEGY = VECTORS + """, av AS (SELECT model, CASE WHEN condition IN ('A', 'C') THEN 'single' ELSE 'revised' END AS strategy, CASE WHEN condition IN ('A', 'B') THEN 'text' ELSE 'image' END AS arm, doc_id, cluster, reference, prediction FROM v)"""
-ARM_TOTALS = STRATEGY + f", ac AS ({totals('model, strategy, arm, cluster', 'av')})"
+STRATEGY = VECTORS + ", " + SCORED + """, av AS (SELECT model, CASE WHEN condition IN ('A', 'C') THEN 'single' ELSE 'revised' END AS strategy, CASE WHEN condition IN ('A', 'B') THEN 'text' ELSE 'image' END AS arm, doc_id, cluster, reference, prediction, overlap, similarity FROM vs)"""
+ARM_TOTALS = STRATEGY + f", ac AS ({totals('model, strategy, arm, cluster', 'av', MEANS)})"
 ARM_PAIRS = STRATEGY + ", ap AS (SELECT a.model, a.strategy, a.doc_id, a.cluster, a.reference, a.prediction AS pa, b.prediction AS pb FROM av a JOIN av b USING (model, strategy, doc_id) WHERE a.arm = 'text' AND b.arm = 'image')"
 CASES = f"SELECT model, strategy, doc_id, {wrong('pa')} AS errors_a, {wrong('pb')} AS errors_b, " + ", ".join(" + ".join(f"(pa[{i}] {x} reference[{i}] AND pb[{i}] {y} reference[{i}])::INT" for i in range(1, SIZE + 1)) + f" AS {n}" for n, x, y in (("errors_resolved", "<>", "="), ("errors_introduced", "=", "<>"))) + ", pa <> pb AS changed, errors_b < errors_a AS rescued, errors_b > errors_a AS harmed, errors_b = errors_a AS unchanged FROM ap"
 GENERATIONS = f"""gl AS (SELECT doc_id, lang, model, condition, {KNOWN} AS known, model || '|' || CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END || '|' || doc_id || '|' || condition AS id, {draw(quoted('gen'), 'doc_id', 'model', 'condition')} % 200 AS h
@@ -367,7 +378,7 @@ x AS (SELECT record_id, list_filter([CASE WHEN grp IN (SELECT k FROM ek WHERE k
 SELECT record_id, array_to_string(r, ',') AS reasons FROM x WHERE len(r) > 0""",
     "align_unique": "SELECT 'r' || doc_id AS record_id, doc_id AS vector_id FROM documents",
     "combined_gallery": f"WITH {CLEANED} SELECT dataset, count(*) AS n, count(DISTINCT study_id) AS n_studies FROM c WHERE len(reasons) = 0 GROUP BY dataset",
-    "label_metrics_by_group": f"WITH {VECTORS} {grouped('model, condition')}",
+    "label_metrics_by_group": f"WITH {VECTORS}, {SCORED} {grouped('model, condition', 'vs', MEANS)}",
     "per_label_confusion": f"WITH {VECTORS}, t AS ({totals('model')}), x AS (" + " UNION ALL ".join(f"SELECT model, '{x}' AS label, tp_{i} AS tp, fp_{i} AS fp, fn_{i} AS fn, n_records - tp_{i} - fp_{i} - fn_{i} AS tn FROM t" for i, x in enumerate(LABELS)) + f") SELECT *, round({ratio('tp', 'tp + fn')}, 6) AS sensitivity, round({ratio('tn', 'tn + fp')}, 6) AS specificity, round({ratio('tp', 'tp + fp')}, 6) AS precision, round({ratio('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM x",
     "verifier_confusion": f"""WITH x AS (SELECT lang, quality = 1 AS t, CASE WHEN {draw("'vm'", 'doc_id')} % 20 > 0 THEN ({draw("'v'", 'doc_id')} % 10 < 8) = (quality = 1) END AS p FROM labels JOIN documents USING (doc_id)),
 y AS (SELECT lang, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn, count(*) FILTER (t IS NULL OR p IS NULL) AS n_missing FROM x GROUP BY lang)
@@ -384,8 +395,8 @@ SELECT *, round({ratio('tp + tn', 'tp + fp + fn + tn')}, 6) AS accuracy, round({
     "joint_rescue_counts": f"WITH {JOINT}, s AS (SELECT model, lang, {JOINT_SUMS} FROM j GROUP BY model, lang) SELECT *, " + ", ".join(f"round({x}, 6) AS {k}" for k, x in RATES.items()) + " FROM s",
     "joint_rescue_by_label": f"WITH {JOINT} " + " UNION ALL ".join(f"SELECT model, '{x}' AS label, count(*) FILTER (b[{i}] <> reference[{i}] AND c[{i}] <> reference[{i}] AND d[{i}] = reference[{i}]) AS rescue, count(*) FILTER (b[{i}] = reference[{i}] AND c[{i}] = reference[{i}] AND d[{i}] <> reference[{i}]) AS harm FROM j GROUP BY model" for i, x in enumerate(LABELS, 1)),
     "cluster_stats": f"WITH {CLUSTERS} SELECT * FROM cs",
-    "cluster_bootstrap_ci": f"WITH {CLUSTERS}, {bootstrap('cs', 'model, condition', TOTALS, primary())}",
-    "paired_bootstrap_diff": f"WITH {CLUSTERS}, {arms('ar', 'A', 'D')}, {bootstrap('ar', 'model', [f'{t}_{c}' for t in 'ab' for c in TOTALS], differences(primary))}",
+    "cluster_bootstrap_ci": f"WITH {CLUSTERS}, {bootstrap('cs', 'model, condition', SUMS, every())}",
+    "paired_bootstrap_diff": f"WITH {CLUSTERS}, {arms('ar', 'A', 'D')}, {bootstrap('ar', 'model', [f'{t}_{c}' for t in 'ab' for c in SUMS], differences(every))}",
     "paired_permutation_p": f"WITH {CLUSTERS}, {arms('ar', 'A', 'D')}, {permutation('pp', 'ar')} SELECT model, metric, round(difference, 6) + 0.0 AS difference, round(p_value, 6) AS p_value, valid FROM pp",
     "sign_flip_p": f"""WITH {JOINT}, s AS (SELECT model, cluster, sum(event_rescue - event_harm) AS event_net, sum(strict_rescue - strict_harm) AS strict_net FROM j GROUP BY model, cluster),
 o AS ({long('model', {'event_net': 'event_net', 'strict_net': 'strict_net'}, '(SELECT model, sum(event_net) AS event_net, sum(strict_net) AS strict_net FROM s GROUP BY model)', 'net')}),
@@ -397,7 +408,7 @@ SELECT model, metric, round(net, 6) + 0.0 AS net, round((count(*) FILTER (abs(va
 sp AS (SELECT label, 'labels' AS family, (count(*) FILTER (abs(value) >= abs(net)) + 1) / (count(*) + 1) AS p_value FROM sf JOIN sn USING (label) GROUP BY label, net), sh AS ({holm('sp', 'label', 'family', 'label')}),
 bs AS (WITH {bootstrap('lc', 'label', ['rescue', 'harm', 'n_records'], {'rescue_rate': ratio('rescue', 'n_records'), 'harm_rate': ratio('harm', 'n_records'), 'net_rate': ratio('rescue - harm', 'n_records')})})
 SELECT bs.*, {r6('p_value', 'p_holm')} FROM bs JOIN sh USING (label)""",
-    "between_model_tests": f"WITH {CLUSTERS}, ab AS (SELECT x.model AS first, y.model AS second, x.cluster, " + ", ".join(f"x.{c} AS a_{c}, y.{c} AS b_{c}" for c in TOTALS) + f" FROM cs x JOIN cs y ON x.cluster = y.cluster AND x.model < y.model AND x.condition = 'D' AND y.condition = 'D'), {permutation('pp', 'ab', 'first, second')}, h AS ({holm('pp', 'first, second, metric, difference, valid', 'metric', 'first, second')}) SELECT first, second, metric, round(difference, 6) + 0.0 AS difference, valid, {r6('p_value', 'p_holm')} FROM h",
+    "between_model_tests": f"WITH {CLUSTERS}, ab AS (SELECT x.model AS first, y.model AS second, x.cluster, " + ", ".join(f"x.{c} AS a_{c}, y.{c} AS b_{c}" for c in SUMS) + f" FROM cs x JOIN cs y ON x.cluster = y.cluster AND x.model < y.model AND x.condition = 'D' AND y.condition = 'D'), {permutation('pp', 'ab', 'first, second')}, h AS ({holm('pp', 'first, second, metric, difference, valid', 'metric', 'first, second')}) SELECT first, second, metric, round(difference, 6) + 0.0 AS difference, valid, {r6('p_value', 'p_holm')} FROM h",
     "verifier_records": f"""WITH x AS (SELECT doc_id, source, quality, {draw("'rec'", 'doc_id')} % 4 AS k FROM documents JOIN labels USING (doc_id)),
 y AS (SELECT CASE WHEN k = 2 THEN 'source_report_or_image' ELSE 'patient' END AS grouping_level, ['label', 'ground_truth.answer', 'messages.assistant', 'verdict'][k + 1] AS verdict_source, quality = 1 AS verdict, CASE WHEN k < 2 THEN source WHEN k = 2 THEN 'f' || doc_id ELSE 'u' || doc_id END AS grp FROM x)
 SELECT grouping_level, verdict_source, verdict, count(*) AS n, count(DISTINCT grp) AS n_groups FROM y GROUP BY ALL""",
@@ -409,13 +420,13 @@ SELECT grouping_level, verdict_source, verdict, count(*) AS n, count(DISTINCT gr
     "added_contrast_summary": f"""WITH {FIVE} SELECT metric, count(*) AS n_strata, count(*) FILTER (p_holm < 0.05) AS n_significant, count(*) FILTER (p_holm < 0.05 AND direction = 'better') AS n_better, count(*) FILTER (p_holm < 0.05 AND direction = 'worse') AS n_worse,
   round(median(difference), 6) + 0.0 AS median_difference, round(min(difference), 6) + 0.0 AS min_difference, round(max(difference), 6) + 0.0 AS max_difference FROM five WHERE contrast = '{"-".join(ADDED)}' GROUP BY metric""",
     "ensemble_tests": f"WITH {CLUSTERS}, ev AS (SELECT doc_id, condition, cluster, any_value(reference) AS reference, [" + ", ".join(f"(sum(prediction[{i}]) * 2 > 3)::INT" for i in range(1, SIZE + 1)) + f"] AS prediction FROM v GROUP BY doc_id, condition, cluster HAVING count(DISTINCT model) = 3), ec AS ({totals('condition, cluster', 'ev')}), "
-    + "ar AS (SELECT cs.condition, cs.model, cs.cluster, " + ", ".join([f"cs.{c} AS a_{c}" for c in TOTALS] + [f"ec.{c} AS b_{c}" for c in TOTALS]) + f" FROM cs JOIN ec USING (condition, cluster)), {permutation('pp', 'ar', 'condition, model')}, h AS ({adjusted('pp', 'p_value', 'p_holm', 'condition, metric', 'model')}), "
+    + "ar AS (SELECT cs.condition, cs.model, cs.cluster, " + ", ".join([f"cs.{c} AS a_{c}" for c in TOTALS] + [f"ec.{c} AS b_{c}" for c in TOTALS]) + f" FROM cs JOIN ec USING (condition, cluster)), {permutation('pp', 'ar', 'condition, model', metrics, TOTALS)}, h AS ({adjusted('pp', 'p_value', 'p_holm', 'condition, metric', 'model')}), "
     + f"bm AS (SELECT model, condition, {metrics()['macro_f1']} AS macro_f1 FROM ({totals('model, condition')}) QUALIFY row_number() OVER (PARTITION BY condition ORDER BY macro_f1 DESC NULLS LAST, model) = 1) SELECT condition, model, metric, valid, round(difference, 6) + 0.0 AS difference, {r6('p_value', 'p_holm')}, bm.model IS NOT NULL AS is_best FROM h LEFT JOIN bm USING (condition, model)",
     "joint_stratum_summary": f"WITH {JOINT}, jc AS (SELECT model, lang, cluster, {JOINT_SUMS} FROM j GROUP BY model, lang, cluster), {joint_summary('jc', 'model, lang', 'true')} SELECT * FROM js",
     "pooled_joint_summary": f"WITH {JOINT}, jc AS (SELECT 'all models' AS scope, 0 AS fam, cluster, {JOINT_SUMS} FROM j GROUP BY cluster UNION ALL SELECT model, 1, cluster, {JOINT_SUMS} FROM j GROUP BY model, cluster), {joint_summary('jc', 'scope, fam', 'fam')} SELECT * EXCLUDE (fam, event_net_p_holm, strict_net_p_holm), CASE WHEN fam = 1 THEN event_net_p_holm END AS event_net_p_holm, CASE WHEN fam = 1 THEN strict_net_p_holm END AS strict_net_p_holm FROM js",
-    "analysis_estimates": f"WITH {ARM_TOTALS}, bs AS (WITH {bootstrap('ac', 'model, strategy, arm', TOTALS, primary())}), w AS (SELECT model, strategy, arm, {', '.join(f'sum({c})::BIGINT AS {c}' for c in TOTALS)} FROM ac GROUP BY ALL), d AS (SELECT model, strategy, arm, n_records, {' + '.join(f'(2 * tp_{i} + fp_{i} + fn_{i} > 0)::INT' for i in range(SIZE))} AS n_defined_labels, {metrics()['macro_f1']} AS f FROM w) "
+    "analysis_estimates": f"WITH {ARM_TOTALS}, bs AS (WITH {bootstrap('ac', 'model, strategy, arm', SUMS, every())}), w AS (SELECT model, strategy, arm, {', '.join(f'sum({c})::{kind(c)} AS {c}' for c in SUMS)} FROM ac GROUP BY ALL), d AS (SELECT model, strategy, arm, n_records, {' + '.join(f'(2 * tp_{i} + fp_{i} + fn_{i} > 0)::INT' for i in range(SIZE))} AS n_defined_labels, {metrics()['macro_f1']} AS f FROM w) "
     + f"SELECT bs.*, n_records, n_defined_labels, CASE WHEN n_defined_labels = {SIZE} THEN round(f, 6) END AS strict_macro_f1 FROM bs JOIN d USING (model, strategy, arm)",
-    "analysis_effects": f"WITH {ARM_TOTALS}, ar AS (SELECT model, strategy, cluster, " + ", ".join(f"max({c}) FILTER (arm = '{x}') AS {t}_{c}" for t, x in (("a", "text"), ("b", "image")) for c in TOTALS) + f" FROM ac GROUP BY model, strategy, cluster), {permutation('pp', 'ar', 'model, strategy')}, iv AS (WITH {bootstrap('ar', 'model, strategy', [f'{t}_{c}' for t in 'ab' for c in TOTALS], differences(primary))}), "
+    "analysis_effects": f"WITH {ARM_TOTALS}, ar AS (SELECT model, strategy, cluster, " + ", ".join(f"max({c}) FILTER (arm = '{x}') AS {t}_{c}" for t, x in (("a", "text"), ("b", "image")) for c in SUMS) + f" FROM ac GROUP BY model, strategy, cluster), {permutation('pp', 'ar', 'model, strategy')}, iv AS (WITH {bootstrap('ar', 'model, strategy', [f'{t}_{c}' for t in 'ab' for c in SUMS], differences(every))}), "
     + f"x AS (SELECT *, CASE WHEN strategy = 'single' THEN 'primary' ELSE 'secondary' END AS family FROM pp), h AS ({adjusted('x', 'p_value', 'p_holm', 'family, metric', 'model, strategy', True)}) SELECT model, strategy, metric, valid, family, round(difference, 6) + 0.0 AS difference, {r6('p_value', 'p_holm')}, round(100 * difference, 6) + 0.0 AS percentage_points, {DIRECTION} AS direction, ci_low, ci_high, n_valid FROM h JOIN iv USING (model, strategy, metric)",
     "analysis_transitions": f"WITH {ARM_PAIRS}, x AS ({CASES}) SELECT model, strategy, count(*) AS n_pairs, {', '.join(f'count(*) FILTER ({c}) AS {c}' for c in ('rescued', 'harmed', 'unchanged', 'changed'))}, sum(errors_resolved)::BIGINT AS errors_resolved, sum(errors_introduced)::BIGINT AS errors_introduced FROM x GROUP BY model, strategy",
     "analysis_cases": f"WITH {ARM_PAIRS} {CASES}",

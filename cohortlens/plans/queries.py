@@ -12,14 +12,14 @@ from cohortlens.functions import prompts as P
 from cohortlens.functions import text as X
 from cohortlens.functions.hashing import draw
 from cohortlens.operators import annotation, audits, cohort, experiment, gates, inference, manifest as M, metrics, multiplicity, records, resampling, retrieval, revision, sampling, scoring, text_metrics, transitions
-from cohortlens.plans.fixtures import CONDITIONS, MODELS, findings, gallery_and_queries, manifest, raw_labels, states, table, vectors
+from cohortlens.plans.fixtures import CONDITIONS, MEANS, MODELS, findings, gallery_and_queries, manifest, raw_labels, scored_vectors, states, table, vectors
 from cohortlens.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 REPLICATES = 10_000
 STRATUM = ["model", "condition"]
-PRIMARY = ("fer", "fer_abnormal", "omission", "macro_f1", "micro_f1", "hamming_accuracy")
+SUMS = metrics.sums(MEANS)
 
 
 def query(f: Query) -> Query:
@@ -36,9 +36,9 @@ def joined(column: str) -> Column:
     return F.array_join(column, ",")
 
 
-def primary(of) -> dict[str, Column]:
-    every = metrics.metrics(of)
-    return {k: every[k] for k in PRIMARY}
+def every(of) -> dict[str, Column]:
+    """All metrics, the optional ones included."""
+    return metrics.metrics(of, MEANS)
 
 
 # Scalar functions
@@ -271,7 +271,7 @@ def combined_gallery(spark, sf):
 
 @query
 def label_metrics_by_group(spark, sf):
-    return rounded(metrics.grouped_metrics(vectors(spark, sf), STRATUM))
+    return rounded(metrics.grouped_metrics(scored_vectors(spark, sf), STRATUM, MEANS))
 
 
 @query
@@ -354,13 +354,13 @@ def joint_rescue_by_label(spark, sf):
 
 
 def _clusters(spark, sf) -> DataFrame:
-    return metrics.totals(vectors(spark, sf), [*STRATUM, "cluster"])
+    return metrics.totals(scored_vectors(spark, sf), [*STRATUM, "cluster"], means=MEANS)
 
 
 def _arms(spark, sf, first: str = "A", second: str = "D") -> DataFrame:
     """Cluster totals of two conditions side by side: a_* and b_*."""
     stats = _clusters(spark, sf).where(F.col("condition").isin(first, second))
-    side = [F.max(F.when(F.col("condition") == c, F.col(n))).alias(f"{t}_{n}") for t, c in (("a", first), ("b", second)) for n in metrics.TOTALS]
+    side = [F.max(F.when(F.col("condition") == c, F.col(n))).alias(f"{t}_{n}") for t, c in (("a", first), ("b", second)) for n in SUMS]
     return stats.groupBy("model", "cluster").agg(*side)
 
 
@@ -375,17 +375,17 @@ def cluster_stats(spark, sf):
 
 @query
 def cluster_bootstrap_ci(spark, sf):
-    return rounded(resampling.bootstrap(_clusters(spark, sf), STRATUM, "cluster", metrics.TOTALS, primary, REPLICATES))
+    return rounded(resampling.bootstrap(_clusters(spark, sf), STRATUM, "cluster", SUMS, every, REPLICATES))
 
 
 @query
 def paired_bootstrap_diff(spark, sf):
-    return rounded(resampling.paired_bootstrap(_arms(spark, sf), ["model"], "cluster", metrics.TOTALS, primary, REPLICATES))
+    return rounded(resampling.paired_bootstrap(_arms(spark, sf), ["model"], "cluster", SUMS, every, REPLICATES))
 
 
 @query
 def paired_permutation_p(spark, sf):
-    return rounded(resampling.paired_permutation(_arms(spark, sf), ["model"], "cluster", metrics.TOTALS, primary, REPLICATES))
+    return rounded(resampling.paired_permutation(_arms(spark, sf), ["model"], "cluster", SUMS, every, REPLICATES))
 
 
 @query
@@ -412,9 +412,9 @@ def joint_label_ci(spark, sf):
 @query
 def between_model_tests(spark, sf):
     stats = _clusters(spark, sf).where("condition = 'D'")
-    a, b = (stats.select(F.col("model").alias(m), "cluster", *[F.col(c).alias(f"{t}_{c}") for c in metrics.TOTALS]) for t, m in (("a", "first"), ("b", "second")))
+    a, b = (stats.select(F.col("model").alias(m), "cluster", *[F.col(c).alias(f"{t}_{c}") for c in SUMS]) for t, m in (("a", "first"), ("b", "second")))
     pairs = a.join(b, "cluster").where("first < second")
-    tests = resampling.paired_permutation(pairs, ["first", "second"], "cluster", metrics.TOTALS, primary, REPLICATES)
+    tests = resampling.paired_permutation(pairs, ["first", "second"], "cluster", SUMS, every, REPLICATES)
     return rounded(multiplicity.holm(tests, "p_value", ["metric"], ["first", "second"]))
 
 
@@ -439,24 +439,24 @@ def holm_within(spark, sf):
 @query
 def holm_between(spark, sf):
     """Holm over contrasts and models together, by metric."""
-    arms = inference.contrast_arms(_clusters(spark, sf), ["model"], "cluster", "condition", inference.CONTRASTS)
-    tests = resampling.paired_permutation(arms, ["contrast", "model"], "cluster", metrics.TOTALS, primary, REPLICATES)
+    arms = inference.contrast_arms(_clusters(spark, sf), ["model"], "cluster", "condition", inference.CONTRASTS, SUMS)
+    tests = resampling.paired_permutation(arms, ["contrast", "model"], "cluster", SUMS, every, REPLICATES)
     return rounded(multiplicity.holm(tests.select("contrast", "model", "metric", "p_value"), "p_value", ["metric"], ["contrast", "model"]))
 
 
 @query
 def within_model_tests(spark, sf):
-    return rounded(inference.within_model(_clusters(spark, sf), ["model"], "cluster", "condition", primary, n=REPLICATES))
+    return rounded(inference.within_model(_clusters(spark, sf), ["model"], "cluster", "condition", every, n=REPLICATES, sums=SUMS))
 
 
 @query
 def five_contrast_family(spark, sf):
-    return rounded(inference.five_contrasts(_clusters(spark, sf), ["model"], "cluster", "condition", primary, REPLICATES))
+    return rounded(inference.five_contrasts(_clusters(spark, sf), ["model"], "cluster", "condition", every, REPLICATES, sums=SUMS))
 
 
 @query
 def added_contrast_summary(spark, sf):
-    return rounded(inference.contrast_summary(inference.five_contrasts(_clusters(spark, sf), ["model"], "cluster", "condition", primary, REPLICATES), "B-C", ["metric"]))
+    return rounded(inference.contrast_summary(inference.five_contrasts(_clusters(spark, sf), ["model"], "cluster", "condition", every, REPLICATES, sums=SUMS), "B-C", ["metric"]))
 
 
 @query
@@ -464,7 +464,7 @@ def ensemble_tests(spark, sf):
     v = vectors(spark, sf)
     voted = transitions.majority_vote(v, ["doc_id", "condition", "cluster"], "model", list(MODELS))
     singles = metrics.totals(v, ["condition", "model", "cluster"])
-    return rounded(inference.ensemble_tests(singles, metrics.totals(voted, ["condition", "cluster"]), ["condition"], "model", "cluster", primary, REPLICATES))
+    return rounded(inference.ensemble_tests(singles, metrics.totals(voted, ["condition", "cluster"]), ["condition"], "model", "cluster", metrics.metrics, REPLICATES))
 
 
 @query
@@ -483,8 +483,8 @@ def pooled_joint_summary(spark, sf):
 def _analysis(spark, sf) -> inference.Analysis:
     """Arms: conditions A and B without, C and D with the image; strategies: A and C in one pass, B and D revised."""
     arm, strategy = F.when(F.col("condition").isin("A", "B"), "text").otherwise("image"), F.when(F.col("condition").isin("A", "C"), "single").otherwise("revised")
-    rows = vectors(spark, sf).select("model", strategy.alias("strategy"), arm.alias("arm"), "doc_id", "cluster", "reference", "prediction")
-    return inference.analyze(rows, ["model", "strategy"], "arm", "text", "image", "doc_id", "cluster", primary, F.col("strategy") == "single", REPLICATES)
+    rows = scored_vectors(spark, sf).select("model", strategy.alias("strategy"), arm.alias("arm"), "doc_id", "cluster", "reference", "prediction", *MEANS)
+    return inference.analyze(rows, ["model", "strategy"], "arm", "text", "image", "doc_id", "cluster", every, F.col("strategy") == "single", REPLICATES, means=MEANS)
 
 
 @query
