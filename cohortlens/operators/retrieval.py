@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import hamming
 from cohortlens.operators.gates import GateError, require_empty
+from cohortlens.sources.shared import written
 
 BROADCAST_QUERIES = 64 << 20  # bytes of query vectors that may be sent to every executor at once
 
@@ -60,27 +64,145 @@ def fields(df: DataFrame, prefix: str) -> dict[str, Column]:
     return {c[len(prefix) :]: F.col(c) for c in df.columns if c.startswith(prefix)}
 
 
-def top_k(queries: DataFrame, gallery: DataFrame, k: int, eligible: Column | None = None, block_bytes: int = BROADCAST_QUERIES) -> DataFrame:
+#: Gallery rows that a task arranges into blocks at once, and how many more than k neighbours are looked up where some may not serve.
+ROWS, SPARE = 8192, 24
+
+
+def block_search(queries: np.ndarray, k: int, groups: list | None = None) -> Callable:
+    """search(ids, vectors, groups) over one stretch of the gallery after another, and best() with what is found:
+    (query number, gallery id, score) of the k best of each query, ties by the smaller id. search() returns how many pairs it
+    multiplied.
+
+    A stretch is cut into about sqrt(n) blocks around rows of its own. A block with centre c and radius r holds no better score
+    for q than q.c + |q| r, so blocks, most promising first, are multiplied with those queries only whose k-th score so far
+    lies below that. Scores of what passes are summed again from the first component to the last, as `dot` does.
+    """
+    norms = np.sqrt((queries * queries).sum(axis=1))
+    least = np.full(len(queries), -np.inf)
+    held: list[list] = [[] for _ in queries]
+    groups = [None] * len(queries) if groups is None else groups
+    of_group: dict = {}
+    for at, group in enumerate(groups):
+        of_group.setdefault(group, []).append(at)
+
+    def take(q, numbers, ids, vectors):
+        exact = np.add.accumulate(queries[q] * vectors[numbers], axis=1)[:, -1] if vectors.shape[1] else np.zeros(len(numbers))
+        held[q] = sorted([*held[q], *zip((-exact).tolist(), [ids[i] for i in numbers.tolist()], strict=True)])[:k]
+        if len(held[q]) == k:
+            least[q] = -held[q][-1][0]
+
+    def search(ids, vectors, own=None):
+        taken, members = 0, {}
+        for i, group in enumerate([None] * len(ids) if own is None else own):
+            members.setdefault(group, []).append(i)
+        for group, some in members.items():
+            asked = np.array(of_group.get(group, []), dtype=np.int64)
+            if not len(asked):
+                continue
+            rows = np.array(some)
+            part = vectors[rows]
+            pivots = part[:: max(1, int(len(rows) ** 0.5))]
+            nearest = (part @ pivots.T - (pivots * pivots).sum(axis=1) / 2).argmax(axis=1)
+            blocks = [np.flatnonzero(nearest == b) for b in range(len(pivots))]
+            blocks = [b for b in blocks if len(b)]
+            centres = np.stack([part[b].mean(axis=0) for b in blocks])
+            radius = np.array([np.sqrt(((part[b] - c) ** 2).sum(axis=1).max()) for b, c in zip(blocks, centres, strict=True)])
+            slack = 1e-9 * (1 + norms[asked] * np.sqrt((part * part).sum(axis=1).max()))
+            bound = queries[asked] @ centres.T + norms[asked][:, None] * radius + slack[:, None]
+            for b in np.argsort(-bound.max(axis=0)).tolist():
+                wanted = np.flatnonzero(bound[:, b] >= least[asked])
+                if not len(wanted):
+                    continue
+                scores = queries[asked[wanted]] @ part[blocks[b]].T
+                taken += scores.size
+                floor = least[asked[wanted]]
+                if scores.shape[1] > k:
+                    floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+                hits = scores >= (floor - 2 * slack[wanted])[:, None]
+                for w in np.flatnonzero(hits.any(axis=1)).tolist():
+                    take(int(asked[wanted[w]]), rows[blocks[b][hits[w]]], ids, vectors)
+        return taken
+
+    def best():
+        return [(q, found, -score) for q, some in enumerate(held) for score, found in some]
+
+    return search, best
+
+
+def _nearest(queries: DataFrame, gallery: DataFrame, k: int, within: str | None, dims: int) -> DataFrame:
+    """(query_id, gallery_id, score): the k best gallery rows of each query within each task. The queries' vectors go to every
+    executor; the gallery streams through Arrow batches."""
+    spark = gallery.sparkSession
+    sides = queries.select("query_id", "q", *[f"query_{within}"] * bool(within)).toArrow()
+    asked, groups = sides["query_id"].to_pylist(), sides[f"query_{within}"].to_pylist() if within else None
+    matrix = np.array(sides["q"].to_pylist(), dtype=np.float64).reshape(len(asked), dims)
+    shared, make, rows = spark.sparkContext.broadcast((matrix, groups)), block_search, ROWS
+    kinds = {"query_id": sides.schema.field("query_id").type}
+
+    def run(batches):
+        search, best = make(shared.value[0], k, shared.value[1])
+        waiting, count, kind = [], 0, None
+
+        def flush():
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            vectors = table["g"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+            search(table["gallery_id"].to_pylist(), vectors, table["w"].to_pylist() if "w" in table.column_names else None)
+
+        for batch in batches:
+            kind = batch.schema.field("gallery_id").type
+            for start in range(0, batch.num_rows, rows):
+                waiting.append(batch.slice(start, rows))
+                count += waiting[-1].num_rows
+                if count >= rows:
+                    flush()
+                    waiting, count = [], 0
+        if waiting:
+            flush()
+        found = best()
+        if found:
+            number, other, score = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([asked[q] for q in number], kinds["query_id"]), pa.array(other, kind), pa.array(score, pa.float64())], ["query_id", "gallery_id", "score"])
+
+    columns = gallery.where(F.size("g") == dims).select("gallery_id", "g", *[F.col(f"gallery_{within}").alias("w")] * bool(within))
+    types = dict(queries.dtypes)["query_id"], dict(gallery.dtypes)["gallery_id"]
+    return columns.mapInArrow(run, f"query_id {types[0]}, gallery_id {types[1]}, score double")
+
+
+def top_k(queries: DataFrame, gallery: DataFrame, k: int, eligible: Column | None = None, block_bytes: int = BROADCAST_QUERIES, within: str | None = None) -> DataFrame:
     """(query_id, rank, gallery_id, score): the k best gallery rows of each query, ties by gallery id.
 
-    `queries` and `gallery` have id and embedding columns (query_id, q, ... and gallery_id, g, ...). `eligible` is a
-    condition on both sides' columns. The queries are a stated set: their size is counted first, and they are sent to the
-    gallery's partitions in blocks of at most `block_bytes`; each task keeps its k best per query before anything is
-    shuffled, so the shuffle is queries x k x tasks rows, however large the gallery is.
+    `queries` and `gallery` have unique ids and vectors (query_id, q, ... and gallery_id, g, ...); rows without a vector of the
+    queries' length are left out. `eligible` is a condition on both sides' other columns. `within` names a column (query_x,
+    gallery_x) that must be equal; ids are unique within its values.
+
+    The queries are a stated set: their size is counted first, and they are sent to the gallery's partitions in blocks of at
+    most `block_bytes`. A task keeps its k best per query (block_search), so the shuffle is queries x k x tasks rows, however
+    large the gallery is. With `eligible`, SPARE more are looked up and those that may serve stay; only a query that
+    then lacks some is compared with the whole gallery pair by pair.
     """
     if k < 1:
         raise GateError("k must be positive")
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("d")).first()
-    blocks = max(1, -(-(size["n"] * ((size["d"] or 1) * 8 + 200)) // block_bytes))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "gallery_id")
+    asked = queries.where("q is not null")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("d")).first()
+    dims, blocks = size["d"] or 0, max(1, -(-(size["n"] * ((size["d"] or 1) * 8 + 200)) // block_bytes))
+    asked = asked.where(F.size("q") == dims)
+    best, wide = Window.partitionBy("query_id").orderBy(F.desc("score"), "gallery_id"), k + (0 if eligible is None else SPARE)
     found = None
     for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = gallery.join(F.broadcast(some), eligible if eligible is not None else F.lit(True))
-        scored = pairs.select("query_id", "gallery_id", dot(F.col("q"), F.col("g")).alias("score"))
-        part = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        part = _nearest(some, gallery, wide, within, dims)
         found = part if found is None else found.unionByName(part)
-    return found.select("query_id", "rank", "gallery_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= wide)
+    if eligible is None:
+        return ranked.select("query_id", "rank", "gallery_id", "score")
+    sides = ranked.join(asked.drop("q"), "query_id").join(gallery.drop("g"), "gallery_id")
+    same = F.col(f"query_{within}") == F.col(f"gallery_{within}") if within else F.lit(True)
+    served = written(sides.where(same).select("query_id", "gallery_id", "score", "rank", F.coalesce(eligible, F.lit(False)).alias("serves")))
+    enough = served.groupBy("query_id").agg(F.count_if("serves").alias("n"), F.count(F.lit(1)).alias("seen")).where((F.col("n") >= k) | (F.col("seen") < wide))
+    first = served.where("serves").join(enough.select("query_id"), "query_id", "left_semi").select("query_id", "gallery_id", "score")
+    pairs = gallery.where(F.size("g") == dims).join(F.broadcast(asked.join(served.select("query_id"), "query_id", "left_semi").join(enough, "query_id", "left_anti")), eligible & same)
+    rest = pairs.select("query_id", "gallery_id", dot(F.col("q"), F.col("g")).alias("score"))
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "gallery_id", "score")
 
 
 def safe_top_k(queries: DataFrame, gallery: DataFrame, k: int = 10, threshold: int = 4, within: str | None = None, block_bytes: int = BROADCAST_QUERIES) -> DataFrame:
@@ -95,10 +217,7 @@ def safe_top_k(queries: DataFrame, gallery: DataFrame, k: int = 10, threshold: i
     if len(gallery.select("gallery_id").limit(k).collect()) < k:
         raise GateError(f"the gallery has fewer than {k} rows")
     sides = [{n: c for n, c in fields(df, p).items() if n != "id"} for df, p in ((queries, "query_"), (gallery, "gallery_"))]
-    may = eligible(*sides, threshold)
-    if within:
-        may = may & (F.col(f"query_{within}") == F.col(f"gallery_{within}"))
-    found = top_k(queries, gallery, k, may, block_bytes)
+    found = top_k(queries, gallery, k, eligible(*sides, threshold), block_bytes, within)
     every = queries.select("query_id").join(found, "query_id", "left").withColumn("__n", F.count("gallery_id").over(Window.partitionBy("query_id")))
     enough = F.when(F.col("__n") == k, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {k} eligible neighbours for "), F.col("query_id").cast("string"))).cast("boolean"))
     return every.where(enough).select("query_id", "rank", "gallery_id", "score")
