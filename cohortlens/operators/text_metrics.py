@@ -1,17 +1,22 @@
-"""Text overlap metrics: ROUGE-L by rows, CIDEr as a distributed TF-IDF job."""
+"""Text overlap metrics: ROUGE-L by rows, CIDEr as a TF-IDF job of two passes."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.stemming import rouge_stem
+from cohortlens.sources.shared import written
 
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -41,47 +46,154 @@ def rouge_l_f(reference: str | None, hypothesis: str | None, stem: Callable[[str
 
 
 def rouge_l(reference: Column, hypothesis: Column, stem: Callable[[str], str] | None = rouge_stem) -> Column:
-    """ROUGE-L's F measure by rows over Porter stems; `stem` None compares the tokens as they are."""
+    """ROUGE-L's F measure by rows over Porter stems; `stem` None compares the tokens as they are. A word is stemmed once for
+    each batch."""
 
     @F.pandas_udf("double")
     def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for refs, hyps in pairs:
-            yield pd.Series([rouge_l_f(r, h, stem) for r, h in zip(refs, hyps, strict=True)], dtype="float64")
+            once = functools.cache(stem) if stem else None
+            yield pd.Series([rouge_l_f(r, h, once) for r, h in zip(refs, hyps, strict=True)], dtype="float64")
 
     return score(reference, hypothesis)
 
 
-def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int = 4, sigma: float = 6.0) -> DataFrame:
-    """(id, cider): consensus of TF-IDF n-grams (1 to n words) of a hypothesis with its reference, times 10.
-
-    Document frequencies come from all references. Counts are clipped to the reference's, and a difference in length is
-    damped by a Gaussian. Hashes of words are dealt by id once; an n-gram is a 64-bit hash with its counts on both sides, made
-    where these are. What is shuffled then is a row for each n-gram and text, for the frequencies and the sums.
-    """
+#: n-grams whose frequencies every task knows, the most frequent ones (16 bytes each), and words that are counted at once.
+COMMON, WORDS = 1 << 19, 1 << 20
+
+
+def _counter(n: int):
+    """grams(columns): (row, k, hash, counts on each side) of the distinct n-grams of rows of word hashes, k from 1 to n."""
+    steps = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
+
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(30))) * steps[1]
+        x = (x ^ (x >> np.uint64(27))) * steps[2]
+        return x ^ (x >> np.uint64(31))
+
+    def grams(columns):
+        rows, sizes, hashes, sides = [], [], [], []
+        for side, column in enumerate(columns):
+            offsets = column.offsets.to_numpy()
+            words = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+            owner = np.repeat(np.arange(len(column)), np.diff(offsets))
+            rolled = np.zeros(len(words), dtype=np.uint64)
+            for k in range(1, n + 1):
+                rolled = mixed(rolled[: len(words) - k + 1] * steps[0] + words[k - 1 :] + np.uint64(k))
+                inside = owner[: len(rolled)] == owner[k - 1 :]
+                rows.append(owner[: len(rolled)][inside])
+                hashes.append(rolled[inside])
+                sizes.append(np.full(int(inside.sum()), k))
+                sides.append(np.full(int(inside.sum()), side))
+        row, size, key, side = (np.concatenate(x) for x in (rows, sizes, hashes, sides))
+        order = np.lexsort((key, row))
+        row, size, key, side = row[order], size[order], key[order], side[order]
+        first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, dtype=np.int64)
+        counts = [np.add.reduceat(side == s, first, dtype=np.int64) if len(first) else np.zeros(0, dtype=np.int64) for s in range(len(columns))]
+        return row[first], size[first], key[first], counts
+
+    return grams
+
+
+def _pieces(batch: pa.RecordBatch, columns: list[str], limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of lists that hold about `limit` items, or one row."""
+    sizes = sum(pc.list_value_length(batch[c]).to_numpy(zero_copy_only=False) for c in columns)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield batch.slice(start)
+
+
+def document_frequencies(words: DataFrame, column: str, n: int) -> DataFrame:
+    """(g, n): in how many rows each n-gram of the arrays of word hashes occurs, for those that occur in several; the row of a null
+    g counts the rows. Tasks send one row for each distinct n-gram of a few million."""
+    grams, pieces, limit = _counter(n), _pieces, WORDS
+
+    def run(batches):
+        held, size, rows = [], 0, 0
+
+        def flush():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["g", "n"])
+
+        for batch in batches:
+            rows += batch.num_rows
+            for piece in pieces(batch, [column], limit) if batch.num_rows else ():
+                held.append(grams([piece[column]])[2])
+                size += len(held[-1])
+                if size > 4 * limit:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["g", "n"])
+
+    return words.select(column).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("g is null or n > 1")
 
-    def grams(words: str, r: int) -> list[Column]:
-        """Arrays of (k, hash, r) of all runs of k words, for each k. The words' hashes are a column, not an expression: each run
-        would split the text again."""
 
-        def runs(k: int) -> Column:
-            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.slice(words, i, F.lit(k))).alias("g"), F.lit(r).alias("r")))
+def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int = 4, sigma: float = 6.0) -> DataFrame:
+    """(id, cider): consensus of TF-IDF n-grams (1 to n words) of a hypothesis with its reference, times 10. Ids are unique.
 
-        return [runs(k) for k in range(1, n + 1)]
+    Document frequencies come from all references. Counts are clipped to the reference's, and a difference in length is
+    damped by a Gaussian. Words and n-grams are 64-bit hashes.
 
+    n-grams are counted text by text in Arrow batches, so no key gathers the rows of a frequent one. The frequencies of the COMMON
+    most frequent n-grams are known to every task, which adds up what these give; those of the others, none of which is
+    frequent, are joined by their hash, where there are any: an n-gram of one reference needs no look-up.
+    """
+    spark = df.sparkSession
     split = lambda text: F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    dealt = df.select(F.col(id_col).alias("id"), split(reference).alias("wr"), split(hypothesis).alias("wh")).repartition("id")
-    rows = dealt.select("id", F.explode(F.flatten(F.array(*grams("wr", 1), *grams("wh", 0)))).alias("x"))
-    counts = rows.groupBy("id", "x.k", "x.g").agg(F.sum("x.r").alias("r"), (F.count(F.lit(1)) - F.sum("x.r")).alias("h"))
-    frequency = counts.where("r > 0").groupBy("k", "g").agg(F.count(F.lit(1)).alias("df"))
-    both = counts.join(frequency, ["k", "g"], "left")
-    idf = F.lit(math.log(max(df.count(), 1))) - F.log(F.coalesce(F.col("df"), F.lit(1)).cast("double"))
-    weighed = both.select("id", "k", "r", "h", (F.col("r") * idf).alias("wr"), (F.col("h") * idf).alias("wh"))
-    # a sentence's length is its number of bigrams, as in the usual implementation
-    own = lambda k, c: F.sum(F.when(F.col("k") == k, c))
-    wr, wh = F.col("wr"), F.col("wh")
-    sums = weighed.groupBy("id").agg(own(2, F.col("h") - F.col("r")).alias("delta"), *[x for k in range(1, n + 1) for x in (own(k, F.least(wh, wr) * wr).alias(f"dot{k}"), own(k, wr * wr).alias(f"r{k}"), own(k, wh * wh).alias(f"h{k}"))])
-    parts = [F.when((F.col(f"r{k}") > 0) & (F.col(f"h{k}") > 0), F.col(f"dot{k}") / (F.sqrt(f"r{k}") * F.sqrt(f"h{k}"))).otherwise(0.0) for k in range(1, n + 1)]
-    delta = F.coalesce("delta", F.lit(0))
-    scored = sums.select("id", (10.0 * reduce(lambda a, b: a + b, parts) / n * F.exp(-(delta * delta) / (2 * sigma * sigma))).alias("cider"))
-    return df.select(F.col(id_col).alias("id")).join(scored, "id", "left").select(F.col("id").alias(id_col), F.coalesce("cider", F.lit(0.0)).alias("cider"))
+    words = df.select(F.col(id_col).alias("id"), split(reference).alias("r"), split(hypothesis).alias("h"))
+    known = written(document_frequencies(words, "r", n))
+    steps = known.groupBy(F.when(F.col("g").isNotNull(), F.floor(F.log2("n"))).alias("p")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top")).collect()
+    rows = max([r["top"] for r in steps if r["p"] is None] or [0])
+    least, total = 2**62, 0
+    for p, k in sorted(((r["p"], r["k"]) for r in steps if r["p"] is not None), reverse=True):
+        total += k
+        if total > COMMON:
+            break
+        least = 2**p
+    top = known.where(F.col("g").isNotNull() & (F.col("n") >= least)).toArrow()
+    order = np.argsort(top["g"].to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast((top["g"].to_numpy().view(np.uint64)[order], top["n"].to_numpy()[order]))
+    rest = known.where(F.col("g").isNotNull() & (F.col("n") < least)).withColumnsRenamed({"n": "df"})
+    looked_up = not rest.isEmpty()
+    grams, pieces, limit, whole = _counter(n), _pieces, WORDS, math.log(max(rows, 1))
+
+    def run(batches):
+        keys, counts = shared.value
+        for batch in batches:
+            for piece in pieces(batch, ["r", "h"], limit) if batch.num_rows else ():
+                row, size, key, (r, h) = grams([piece["r"], piece["h"]])
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                frequent = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                here = frequent if looked_up else np.ones(len(key), dtype=bool)
+                idf = whole - np.log(np.where(frequent, counts[at] if len(keys) else 1, 1))
+                wr, wh = r * idf, h * idf
+                sums = [np.bincount(row[m], weights=x[m], minlength=piece.num_rows) for k in range(1, n + 1) for x in (np.minimum(wh, wr) * wr, wr * wr, wh * wh) for m in [here & (size == k)]]
+                pairs = size == 2  # a sentence's length is its number of bigrams, as in the usual implementation
+                sums.append(np.bincount(row[pairs], weights=(h - r)[pairs], minlength=piece.num_rows))
+                flat = np.stack(sums, axis=1)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), 3 * n + 1).cast(pa.list_(pa.float64()))
+                away = ~here
+                offsets = np.searchsorted(row[away], np.arange(piece.num_rows + 1)).astype(np.int32)
+                others = pa.StructArray.from_arrays([pa.array(key[away].view(np.int64)), *(pa.array(x[away].astype(np.int32)) for x in (size, r, h))], ["g", "k", "r", "h"])
+                yield pa.RecordBatch.from_arrays([piece["id"], lists, pa.ListArray.from_arrays(pa.array(offsets), others)], ["id", "sums", "others"])
+
+    kind = dict(words.dtypes)["id"]
+    found = words.mapInArrow(run, f"id {kind}, sums array<double>, others array<struct<g:long,k:int,r:int,h:int>>")
+    if looked_up:
+        found = written(found)
+        single = found.select("id", F.explode("others").alias("x")).select("id", "x.*").join(rest, "g", "left")
+        idf = F.lit(whole) - F.log(F.coalesce("df", F.lit(1)).cast("double"))
+        wr, wh = F.col("r") * idf, F.col("h") * idf
+        own = [F.sum(F.when(F.col("k") == k, x)) for k in range(1, n + 1) for x in (F.least(wh, wr) * wr, wr * wr, wh * wh)]
+        more = single.groupBy("id").agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in own], F.lit(0.0)).alias("more"))
+        found = found.join(more, "id", "left").select("id", F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b)).alias("sums"))
+    of = lambda k, i: F.col("sums")[3 * (k - 1) + i]
+    parts = [F.when((of(k, 1) > 0) & (of(k, 2) > 0), of(k, 0) / (F.sqrt(of(k, 1)) * F.sqrt(of(k, 2)))).otherwise(0.0) for k in range(1, n + 1)]
+    delta = F.col("sums")[3 * n]
+    return found.select(F.col("id").alias(id_col), (10.0 * reduce(lambda a, b: a + b, parts) / n * F.exp(-(delta * delta) / (2 * sigma * sigma))).alias("cider"))
