@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import draw
+from cohortlens.operators.skew import one_for_each
+from cohortlens.sources.shared import written
 
 
 def greedy_split(sizes: list[tuple[str, int]], fractions: tuple[float, ...], seed_order) -> dict[str, int]:
@@ -59,25 +61,26 @@ def level_turns(levels: list[tuple[int, int]], fractions: tuple[float, ...]) ->
     return out
 
 
-def grouped_split(df: DataFrame, group: str, names: tuple[str, ...] = ("train", "validation", "test"), fractions: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 20260831, exact_groups: int = 100_000) -> DataFrame:
+def grouped_split(df: DataFrame, group: str, names: tuple[str, ...] = ("train", "validation", "test"), fractions: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 20260831, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """`df` with `split`: a group lies in one split, and split sizes follow the fractions.
 
     The assignment is greedy_split's at all sizes, equal sizes in the order of their hashes. Only the histogram of group
     sizes reaches the driver (its levels grow with the square root of the rows); ranks within a level are counted by
-    buckets of the hash. Up to `exact_groups` groups the assignment is broadcast, which doesn't change it.
+    buckets of the hash. An assignment of at most `broadcast_bytes` is sent to the rows, a larger one joined by the group.
     """
     spark = df.sparkSession
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__group").cast("string"), F.lit("None"))))
     sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", hashed).withColumn("__bucket", F.substring("__h", 1, 3))
-    levels = [(r["__n"], r["c"]) for r in sizes.groupBy("__n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    counted = sizes.groupBy("__n").agg(F.count(F.lit(1)).alias("c"), F.sum(F.coalesce(F.octet_length(F.col("__group").cast("string")), F.lit(0)) + 32).alias("bytes")).collect()
+    levels = [(r["__n"], r["c"]) for r in counted]
     turns = spark.createDataFrame([(n, a, b, [names[k] for k in t]) for n, a, b, t in level_turns(levels, fractions)], "__n long, __begin long, __end long, __turns array<string>")
     before = Window.partitionBy("__n").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.groupBy("__n", "__bucket").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
     ranked = sizes.join(offsets, ["__n", "__bucket"]).withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy("__n", "__bucket").orderBy("__h", "__group")) - 1)
     place = (F.col("__rank") - F.col("__begin")) % F.size("__turns")
     within = (ranked["__n"] == turns["__n"]) & (F.col("__rank") >= F.col("__begin")) & (F.col("__rank") < F.col("__end"))
-    assigned = ranked.join(F.broadcast(turns), within).select("__group", F.get("__turns", place).alias("split"))
-    if sum(c for _, c in levels) <= exact_groups:
+    assigned = ranked.join(turns, within).select("__group", F.get("__turns", place).alias("split"))
+    if sum(r["bytes"] for r in counted) <= broadcast_bytes:
         assigned = F.broadcast(assigned)
     return df.join(assigned, df[group].eqNullSafe(assigned["__group"]), "left").select(*[df[c] for c in df.columns], assigned["split"])
 
@@ -107,25 +110,45 @@ def proportional_sample(df: DataFrame, strata: list[str], id_col: str, n: int, s
     return sized.withColumn("__q", quotient).orderBy(F.desc("__q"), F.desc("__key"), "__seat").limit(n).select(*df.columns)
 
 
+def _ranked(work: DataFrame, keys: list[str], top: DataFrame) -> DataFrame:
+    """The rows of `top`, some of those of `work`, with `__rank`: their place from 1 by (__h, __id) among the rows of their keys.
+
+    Every row is counted by the number of chosen rows before it, so a task sends that many numbers for each group, and no
+    group is sorted.
+    """
+    marks = F.sort_array(F.collect_list(F.struct("__h", "__id")))
+    facts = top.groupBy(*keys).agg(marks.alias("__marks")).join(work.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys)
+    before = F.expr("size(filter(__marks, m -> m < struct(__h, __id)))")
+    slots = one_for_each(work.select(*keys, "__h", "__id"), facts, keys, "__n").groupBy(*keys, before.alias("__slot")).agg(F.count(F.lit(1)).alias("__c"))
+    rank = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__slot"))
+    places = slots.withColumn("__rank", rank).drop("__c")
+    return top.join(facts.drop("__n"), keys).withColumn("__slot", before).join(places, [*keys, "__slot"]).drop("__marks", "__slot")
+
+
 def case_sample(cases: DataFrame, id_col: str, tags: str, groups: list[str], n: int = 60, seed: int = 20260831) -> DataFrame:
     """Half rescued and half harmed cases (a case with both tags counts as rescued), strict ones first, spread over groups by
-    rank within the group, then filled up from what is left; with the direction and a case number."""
+    rank within the group, then filled up from what is left; with the direction and a case number. Ids are unique, groups not null.
+
+    Of a direction and group only the n strict and the n other cases of the smallest hashes can be picked: tasks send no more of
+    each, and the ranks of these are counted, so no task holds a group.
+    """
     h = draw(seed, F.col(id_col))
     work = cases.withColumn("direction", F.when(F.col(tags).contains("rescue"), "rescue").otherwise("harm")).withColumn("strict", F.when(F.col(tags).contains("strict_"), 0).otherwise(1)).withColumn("__h", h)
-    work = work.withColumn("__rank", F.row_number().over(Window.partitionBy("direction", *groups).orderBy("__h", id_col)))
     counts = {r["direction"]: r["n"] for r in work.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).collect()}
     rescue = min((n + 1) // 2, counts.get("rescue", 0))
     harm = min(n - rescue, counts.get("harm", 0))
+    keyed = work.withColumn("__id", F.col(id_col))
+    least = Window.partitionBy("direction", "strict", *groups).orderBy("__h", "__id")
+    top = written(keyed.withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= n).drop("__r"))
     order = Window.partitionBy("direction").orderBy("strict", "__rank", *groups, "__h", id_col)
-    placed = work.withColumn("__p", F.row_number().over(order)).where(F.col("__p") <= n)
-    first = placed.where(((F.col("direction") == "rescue") & (F.col("__p") <= rescue)) | ((F.col("direction") == "harm") & (F.col("__p") <= harm)))
-    picked = first
+    placed = _ranked(keyed, ["direction", *groups], top).withColumn("__p", F.row_number().over(order)).where(F.col("__p") <= n)
+    picked = placed.where(((F.col("direction") == "rescue") & (F.col("__p") <= rescue)) | ((F.col("direction") == "harm") & (F.col("__p") <= harm)))
     if rescue + harm < n:
-        rest = work.join(first.select(id_col), id_col, "left_anti").orderBy("strict", "__h", id_col).limit(n - rescue - harm)
-        picked = first.unionByName(rest, allowMissingColumns=True)
+        rest = work.join(picked.select(id_col), id_col, "left_anti").orderBy("strict", "__h", id_col).limit(n - rescue - harm)
+        picked = picked.unionByName(rest, allowMissingColumns=True)
     # at most n rows are numbered
     number = F.row_number().over(Window.orderBy("direction", "strict", "__h", id_col))
-    return picked.limit(n).withColumn("case_number", F.format_string("QR-%04d", number)).drop("__h", "__rank", "__p")
+    return picked.limit(n).withColumn("case_number", F.format_string("QR-%04d", number)).drop("__h", "__id", "__rank", "__p")
 
 
 def blinded_forms(sample: DataFrame, id_col: str, shown: list[str], seed: int = 20260831, forms: int = 2) -> tuple[DataFrame, list[DataFrame]]:
