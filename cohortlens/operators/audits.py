@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.labels import label_vector, total
+from cohortlens.functions.nested import dropped
 from cohortlens.operators.gates import require_empty
 
 # Fixed value: where reference labels must come from.
@@ -38,8 +39,8 @@ IDENTITY = ("model_key", "bundle", "query_record_id", "condition")
 
 
 def _planned(queries: DataFrame, models: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Every (model_key, bundle, query_record_id, condition); models and conditions are short lists."""
-    return queries.select("bundle", "query_record_id").crossJoin(F.broadcast(models.select("model_key"))).crossJoin(F.broadcast(conditions.select("condition")))
+    """Every (model_key, bundle, query_record_id, condition): what a plan asks for."""
+    return queries.select("bundle", "query_record_id").crossJoin(models.select("model_key")).crossJoin(conditions.select("condition"))
 
 
 def checked_generations(log: DataFrame, queries: DataFrame, runs: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -74,10 +75,15 @@ RUNTIME_FIELDS = ("generation_seconds_by_pass", "total_generation_seconds", "tot
 
 def without_runtime(raw: Column) -> Column:
     """JSON text without the fields of timing, at any depth."""
-    names = "|".join(RUNTIME_FIELDS)
-    number, numbers = r"-?[0-9][0-9.eE+-]*|null", r"\[[0-9.eE+,\s-]*\]"
-    value = f'"(?:{names})"\\s*:\\s*(?:{number}|{numbers})'
-    return F.regexp_replace(F.regexp_replace(raw, f",\\s*{value}", ""), f"{value}\\s*,?\\s*", "")
+    return dropped(raw, RUNTIME_FIELDS)
+
+
+def _content(log: DataFrame) -> Column:
+    """A row as JSON text without fields of timing; only columns of nested types are parsed again."""
+    kept = [c for c in sorted(log.columns) if c not in RUNTIME_FIELDS]
+    nested = any(t.startswith(("struct", "array", "map", "variant")) for c, t in log.dtypes if c in kept)
+    text = F.to_json(F.struct(*kept))
+    return without_runtime(text) if nested else text
 
 
 def generation_problems(log: DataFrame, queries: DataFrame, models: DataFrame, runs: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -88,15 +94,16 @@ def generation_problems(log: DataFrame, queries: DataFrame, models: DataFrame, r
     planned = _planned(queries, models, conditions).select(generation_id(*IDENTITY).alias("generation_record_id"))
     missing = planned.join(log.select("generation_record_id").distinct(), "generation_record_id", "left_anti").withColumn("problem", F.lit("missing"))
     extra = log.select("generation_record_id").distinct().join(planned, "generation_record_id", "left_anti").withColumn("problem", F.lit("unexpected"))
-    content = F.xxhash64(F.to_json(F.struct(*[c for c in sorted(log.columns) if c not in RUNTIME_FIELDS])))
-    repeated = log.groupBy("generation_record_id").agg(F.min(content).alias("low"), F.max(content).alias("high")).where("low <> high").select("generation_record_id", F.lit("conflicting").alias("problem"))
+    content = log.select("generation_record_id", F.xxhash64(_content(log)).alias("content"))
+    repeated = content.groupBy("generation_record_id").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("generation_record_id", F.lit("conflicting").alias("problem"))
     return reduce(DataFrame.unionByName, (wrong, missing, extra, repeated))
 
 
 def complete_generations(log: DataFrame, queries: DataFrame, models: DataFrame, runs: DataFrame, conditions: DataFrame) -> DataFrame:
-    """The log with reference vectors, each id once; any problem raises."""
+    """The log with reference vectors, each id once (of rows that differ in timing alone always the same one); any problem raises."""
     require_empty(generation_problems(log, queries, models, runs, conditions), "the experiment isn't complete")
-    return checked_generations(log, queries, runs, conditions).drop("problems").dropDuplicates(["generation_record_id"])
+    once = log.groupBy("generation_record_id").agg(F.min_by(F.struct(*log.columns), F.to_json(F.struct(*log.columns))).alias("row")).select("row.*")
+    return checked_generations(once, queries, runs, conditions).drop("problems")
 
 
 def resumable(log: DataFrame, model: str, bundle: str, run_id: str, queries: DataFrame, conditions: DataFrame, repair: bool = False) -> tuple[DataFrame, DataFrame]:
