@@ -11,6 +11,7 @@ import json
 import os
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,6 +22,7 @@ from cohortlens.functions.hashing import draw
 from cohortlens.operators.audits import generation_id
 from cohortlens.operators.gates import GateError, require_empty, set_differences
 from cohortlens.operators.provenance import digest, freeze_plan, load_plan
+from cohortlens.sources import commits
 from cohortlens.sources.readers import read_document
 from cohortlens.sources.sinks import freeze_document
 
@@ -151,22 +153,23 @@ def run_pending(work: DataFrame, key: str, generate: Callable[[DataFrame], DataF
     """Work on the rows whose key the target table lacks; the number of rows that failed.
 
     `generate` returns a row for each row with an `error` column. Complete rows are appended to the target with the digest of
-    their content, failed ones to a table of their own, each append in one commit: what is done stays, and the next run takes
-    the failed ones again.
+    their content, failed ones to a table of their own, both in one commit: what is done stays, and the next run takes the
+    failed ones again. A run that ends before its commit leaves nothing, one that ends behind it is finished by the next.
     """
     spark = work.sparkSession
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    there = jvm.Path(target)
-    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+    commits.recover(spark, target, [target, failures])
+    if any(not x.startswith("_") for x in commits.names(spark, target)):
         work = work.join(spark.read.parquet(target).select(key), key, "left_anti")
-    staging = f"{target.rstrip('/')}-staging"
-    generate(work).write.mode("overwrite").parquet(staging)
-    rows = spark.read.parquet(staging)
-    done = rows.where(F.col(error).isNull()).drop(error)
-    done.withColumn("payload_sha256", payload_digest(done)).write.mode("append").parquet(target)
-    bad = rows.where(F.col(error).isNotNull())
-    bad.write.mode("append").parquet(failures)
-    return bad.count()
+    staging = f"{target.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    try:
+        generate(work).write.parquet(staging)
+        rows = spark.read.parquet(staging)
+        done, bad = rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull())
+        count = bad.count()
+        commits.append(target, {target: done.withColumn("payload_sha256", payload_digest(done)), failures: bad})
+    finally:
+        commits.delete(spark, staging)
+    return count
 
 
 def payload_digest(df: DataFrame):

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.gates import require_empty, require_unique
+from cohortlens.operators.gates import GateError, require_empty, require_unique
+from cohortlens.sources import commits
 
 
 def pending(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,27 +25,32 @@ def resume_audit(log: DataFrame, key: str, expected: DataFrame, valid: Column) -
     return done.select(key), log.where(~good)
 
 
+#: Where a stream keeps the keys that it has seen: on disk, so that their number isn't bound by memory.
+STATE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def append_once(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], key: str, target: str, checkpoint: str, available: bool = True):
     """A file stream of Parquet rows into a Parquet table, each key once.
 
-    A micro-batch is worked on after its keys that the table already holds are dropped, so a batch that is repeated after a
-    failure adds nothing. The stream's own checkpoint remembers the files. The batch is written to a folder of its own
-    number, so that a repeat overwrites what it left.
+    The keys seen so far are the stream's state, dealt by their hash: a micro-batch looks up its own keys and never reads the
+    table, however large that is. State and files go back to the last whole batch after a failure; a batch is written to a
+    folder of its own number, so a repeat overwrites what it left. A table without the stream's checkpoint raises, as its
+    keys aren't known.
     """
+    if commits.names(spark, target) and not commits.exists(spark, f"{checkpoint}/metadata"):
+        raise GateError(f"{target} holds rows of another stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key])
-        session = batch.sparkSession
-        try:
-            held = session.read.option("basePath", target).parquet(target).where(F.col("batch") != number)
-            new = new.join(held.select(key), key, "left_anti")
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        work(new).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (stream.trigger(availableNow=True) if available else stream).start()
+        work(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    rows = spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
+    stream = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    before = spark.conf.get(STATE[0], None)
+    spark.conf.set(*STATE)
+    try:
+        return (stream.trigger(availableNow=True) if available else stream).start()
+    finally:
+        spark.conf.set(STATE[0], before) if before else spark.conf.unset(STATE[0])
 
 
 def windowed_counts(events: DataFrame, time: str, groups: list[str], value: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
