@@ -125,8 +125,8 @@ def test_resampling(spark):
     for r in resampling.bootstrap(stats, ["arm"], "cluster", metrics.TOTALS, values, 31).collect():
         assert r["estimate"] == direct[r["arm"]][r["metric"]]
         assert r["n_valid"] <= 31 and (r["ci_low"] is None or r["ci_low"] <= r["estimate"] + 1e-12 or r["metric"].startswith("f1"))
-    drawn = resampling.weights(resampling.numbered(stats, ["arm"], "cluster"), 20, 7)
-    assert {r["n"] for r in drawn.groupBy("b").agg(F.sum("w").alias("n")).collect()} == {6}
+    weights, _ = resampling.draws(7)
+    assert (weights(0, 20, 6).sum(axis=1) == 6).all()
 
 
 def test_sign_flip(spark):
@@ -181,7 +181,7 @@ def test_grouped_split(spark):
     gates.group_disjoint(done, "g", "split")
     n = {r["split"]: r["count"] / 180 for r in done.groupBy("split").count().collect()}
     assert all(abs(n[k] - f) <= 0.03 for k, f in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
-    hashed = sampling.grouped_split(df, "g", exact_groups=10)
+    hashed = sampling.grouped_split(df, "g", broadcast_bytes=10)
     gates.group_disjoint(hashed, "g", "split")
     with pytest.raises(GateError):
         gates.group_disjoint(df.withColumn("split", F.col("i").cast("string")), "g", "split")
@@ -323,9 +323,9 @@ def test_registered_inference_has_the_production_replicates(spark):
 def test_every_replicate_occurs_once(spark):
     df = spark.createDataFrame([("x",), (None,)], "k string")
     for n in (1, 250, 251, 10_000):
-        got = resampling.replicates(df, n)
-        assert got.columns == ["k", "b"]
-        assert sorted(r["b"] for r in got.where("k is null").collect()) == list(range(n)) and got.count() == 2 * n
+        got = resampling.weighted_totals(df.withColumn("c", F.lit("c")).withColumn("one", F.lit(1)), ["k"], "c", ["one"], n)
+        assert got.columns == ["k", "b", "one"]
+        assert sorted(r["b"] for r in got.where("k is null and one = 1").collect()) == list(range(n)) and got.count() == 2 * n
 
 
 def brute_reasons(q, g, threshold=4):
@@ -415,7 +415,7 @@ def test_grouped_split_is_one_rule_at_all_sizes(spark):
     df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, n int").repartition(7)
     wanted = sampling.greedy_split(list(sizes.items()), (0.8, 0.1, 0.1), lambda g: hashlib.md5(f"20260831|{g}".encode()).hexdigest())
     for limit in (100_000, 10):
-        done = sampling.grouped_split(df, "g", exact_groups=limit)
+        done = sampling.grouped_split(df, "g", broadcast_bytes=limit)
         assert done.columns == ["g", "n", "split"] and done.count() == sum(sizes.values())
         assert {r["g"]: ("train", "validation", "test").index(r["split"]) for r in done.select("g", "split").distinct().collect()} == wanted
         n = {r["split"]: r["count"] / sum(sizes.values()) for r in done.groupBy("split").count().collect()}
