@@ -23,7 +23,9 @@ from cohortlens.functions.hashing import MIXERS, draw
 
 SEED = 20260831
 #: Replicates in a block, clusters that a task weighs at once, cells of one matrix.
-BLOCK, CLUSTERS, CELLS = 250, 1 << 16, 1 << 21
+BLOCK, CLUSTERS, CELLS = 1000, 1 << 16, 1 << 21
+#: Tasks that the blocks of replicates are dealt to at least.
+TASKS = 32
 
 
 def numbered(stats: DataFrame, strata: list[str], cluster: str) -> DataFrame:
@@ -106,7 +108,11 @@ def replicated(stats: DataFrame, strata: list[str], cluster: str, sums: list[str
         return pa.table({c: columns[c] for c in [*strata, "b", *sums]})
 
     marked = numbered(stats, strata, cluster).select(*strata, *sums, "__n", "__i", "__h", F.floor(F.col("__i") / CLUSTERS).alias("__part"))
-    dealt = marked.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(-(-n // BLOCK) - 1))))
+    blocks = -(-n // BLOCK)
+    dealt = marked.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # a number of tasks of its own: by their bytes these rows would be one task
+    tasks = max(min(blocks, TASKS), int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, *strata, "__part", "__k")
     return dealt.groupBy(*strata, "__part", "__k").applyInArrow(run, schema).groupBy(*strata, "b").agg(*[F.sum(c).alias(c) for c in sums])
 
 
