@@ -99,11 +99,12 @@ def predictor(profiles: dict[str, np.ndarray], size: int = PROFILE, limit: int =
     known, first, count = np.unique(grams[order], return_index=True, return_counts=True)
     first, count = np.append(first, 0), np.append(count, 0)  # the last entry: an n-gram of no profile
     def predict(texts: list[str | None]) -> list[pa.Array]:
-        names, scores = [], []
+        names, scores, distances = [], [], []
         for keys in _per_text([t or "" for t in texts]):
             if not len(keys) or not langs:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                distances.append(1.0)
                 continue
             top = ranked(keys, limit)
             at = np.searchsorted(known, top)
@@ -115,15 +116,24 @@ def predictor(profiles: dict[str, np.ndarray], size: int = PROFILE, limit: int =
             best, rest = cost[nearest[0]], cost[nearest[1]] if len(langs) > 1 else size * len(top)
             names.append(langs[nearest[0]])
             scores.append(float((rest - best) / max(rest, 1)))
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            distances.append(float(best / (size * len(top))))
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(distances, pa.float64())]
 
     return predict
 
 
 def language(df: DataFrame, text: Column, profiles: dict[str, np.ndarray]) -> Column:
-    """A struct (lang_pred, score): `und` and 0 for a null text or one without a letter; the score is the relative margin
-    between the two nearest profiles, 0 for a tie (the first language by name wins)."""
-    return text_column(df.sparkSession, predictor(profiles), "lang_pred string, score double", CHUNK // 2)(text)
+    """A struct (lang_pred, score, distance): `und`, 0 and 1 for a null text or one without a letter; the score is the relative
+    margin between the two nearest profiles, 0 for a tie (the first language by name wins); the distance is the nearest
+    one's, as a part of that of a text without a known n-gram."""
+    return text_column(df.sparkSession, predictor(profiles), "lang_pred string, score double, distance double", CHUNK // 2)(text)
+
+
+def farthest(rows: DataFrame, profiles: dict[str, np.ndarray], id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> float:
+    """The largest distance of those rows that profiles are learned from to their nearest profile; 0 without rows."""
+    usable = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    found = bounded(usable, "id", "lang", per_language).select(language(usable, F.col("text"), profiles).alias("found"))
+    return found.where(F.col("found.lang_pred") != UNKNOWN).agg(F.max("found.distance").alias("d")).first()["d"] or 0.0
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

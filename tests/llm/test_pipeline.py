@@ -25,7 +25,9 @@ def tables(spark, tmp_path_factory):
             for _ in range(3):
                 text.insert(rng.randrange(60), rng.choice(["vermin", "scumbag"]))
         if kind == "letters":
-            text = ["12", "34", "!!"]
+            noise = "".join(rng.choice("qxzjvkwqp") for _ in range(200)).upper()
+            text = ["12", "34", "!!"] if k % 16 < 8 else [noise[i : i + 7] for i in range(0, 200, 7)]
+            lang = None if k % 16 >= 8 else lang
         if kind == "leak":
             text[20:20] = item.split()
         text = " ".join(text)
@@ -72,3 +74,14 @@ def test_empty_documents(spark, tables, tmp_path):
         df = spark.read.parquet(f"{folder}/{name}.parquet")
         (df.limit(0) if name == "documents" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeats_long_texts_and_no_items(spark, tmp_path):
+    rng = random.Random(3)
+    long = " ".join(words(rng, "en", 60_000))
+    rows = [(k, " ".join(words(rng, "en", 40)), "en") for k in range(60)] + [(5, "the ing and erst the and", "en"), (70, long, "en"), (71, long + " the", "en"), (72, "", "en"), (None, "the and ing er st", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, k % 2) for k in range(4)], "doc_id long, quality int, toxic int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([*range(60), 5, 70, None], key=str)
