@@ -79,9 +79,10 @@ MEANS = ("overlap", "similarity")
 def scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vectors() with optional metrics: shares of 1024, which any engine adds up alike."""
     value = lambda seed: draw(seed, F.col("model"), F.col("condition"), F.col("doc_id"))
-    overlap = F.when(value("ov") % 10 > 0, value("ov") % 1024 / F.lit(1024.0))
-    odd = F.when(value("sx") % 9 == 0, F.lit(float("nan"))).when(value("sx") % 9 == 1, F.lit(float("-inf"))).otherwise(value("sx") % 1024 / F.lit(1024.0))
-    return vectors(spark, sf_dir).withColumns({"overlap": overlap, "similarity": F.when(draw("sc", F.col("cluster")) % 3 == 0, odd)})
+    drawn = vectors(spark, sf_dir).withColumns({"__ov": value("ov"), "__sx": value("sx"), "__sc": draw("sc", F.col("cluster"))})
+    overlap = F.when(F.col("__ov") % 10 > 0, F.col("__ov") % 1024 / F.lit(1024.0))
+    odd = F.when(F.col("__sx") % 9 == 0, F.lit(float("nan"))).when(F.col("__sx") % 9 == 1, F.lit(float("-inf"))).otherwise(F.col("__sx") % 1024 / F.lit(1024.0))
+    return drawn.withColumns({"overlap": overlap, "similarity": F.when(F.col("__sc") % 3 == 0, odd)}).drop("__ov", "__sx", "__sc")
 
 
 def reference(doc: Column) -> Column:
