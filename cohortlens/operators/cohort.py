@@ -26,7 +26,8 @@ def near_hashes(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFr
     bits or fewer, exactly.
 
     The join is on combinations of blocks of bits (see blocks()): two near hashes agree in one of them at least. It is over
-    distinct hashes, so a hash that many rows share counts once.
+    distinct hashes, so a hash that many rows share counts once. It is a merge join: Spark's size of a side is that before
+    each hash becomes one row for each of its keys, so a side would be broadcast that the driver can't hold.
     """
 
     def side(df: DataFrame, tag: str) -> DataFrame:
@@ -34,7 +35,7 @@ def near_hashes(left: DataFrame, right: DataFrame, threshold: int = 4) -> DataFr
         return hashes.select("*", F.explode(blocks(F.col(f"hi_{tag}"), F.col(f"lo_{tag}"), threshold)).alias("key"))
 
     distance = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    both = side(left, "a").join(side(right, "b"), "key")
+    both = side(left, "a").join(side(right, "b").hint("merge"), "key")
     return both.where(distance <= threshold).select("hi_a", "lo_a", "hi_b", "lo_b", distance.alias("distance")).distinct()
 
 

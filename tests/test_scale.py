@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import nested
 from cohortlens.functions.hashing import draw, spread
-from cohortlens.operators import audits, experiment, manifest, metrics, ordering, quantiles, records, resampling, retrieval, sampling, skew, text_metrics
+from cohortlens.operators import audits, cohort, experiment, manifest, metrics, ordering, quantiles, records, resampling, retrieval, sampling, skew, text_metrics
 from cohortlens.operators.gates import GateError
 from cohortlens.sources import commits, shared
 from cohortlens.streaming import incremental
@@ -381,3 +381,16 @@ def test_hot_keys_are_joined_where_their_rows_are(spark, monkeypatch):
 def test_lineage_is_cut_in_the_shared_folder(spark):
     df = shared.written(spark.range(5))
     assert df.count() == 5 and shared.checkpoint_dir(spark) and "ExistingRDD" in df._jdf.queryExecution().toString() or "Scan" in df._jdf.queryExecution().toString()
+
+
+# Near hashes
+
+
+def test_no_side_of_near_hashes_is_broadcast(spark, capsys):
+    """Each hash becomes 70 rows, which Spark's size of a side doesn't know."""
+    rows = spark.range(500).select("id", (F.col("id") * 7919).alias("hi"), F.lit(5).cast("long").alias("lo"))
+    near = cohort.near_hashes(rows, rows)
+    assert near.where("hi_a = hi_b").count() == 500
+    near.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
