@@ -4,8 +4,8 @@ A profile lists a language's most frequent letter n-grams (one to three letters,
 rank. A document's own ranking is compared with each profile: an n-gram costs the difference of its ranks, or the profile's
 length if the profile lacks it. The language at the least out-of-place distance wins.
 
-Profiles are fitted on a bounded sample of labelled rows (`per_language` documents each); prediction is a map over the
-documents, without a shuffle.
+Profiles are fitted on all labelled rows: n-grams are counted by batches, and the counts added up by language and n-gram.
+Prediction is a map over the documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK, map_arrow, text_column
 from .hashing import gather
-from .sampling import bounded
 
-PROFILE, DOCUMENT, PER_LANGUAGE = 400, 300, 4000
+PROFILE, DOCUMENT = 400, 300
 UNKNOWN = "und"
 
 
@@ -73,14 +72,17 @@ def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(np.concatenate(out[1]), pa.int64()), pa.array(np.concatenate(out[2]), pa.int64())], ["lang", "gram", "n"])
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, np.ndarray]:
+def _labelled(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+
+def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles of the languages in `rows`: n-gram keys by rank, ties by key.
 
-    Null texts and languages are skipped; a language has the `per_language` rows of the smallest id hashes, repeated ids with
-    all their rows. No rows give no profiles. What reaches the driver is `profile` keys for each language.
+    Null texts and languages are skipped; all other rows count, whatever their ids, which aren't read. No rows give no profiles.
+    What reaches the driver is `profile` keys for each language.
     """
-    usable = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = map_arrow(bounded(usable, "id", "lang", per_language).select("lang", "text"), _counted, "lang string, gram long, n long", CHUNK // 2)
+    counted = map_arrow(_labelled(rows, text_col, lang_col), _counted, "lang string, gram long, n long", CHUNK // 2)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("r", rank).where(F.col("r") <= profile)
     found: dict[str, list[int]] = {}
@@ -129,10 +131,10 @@ def language(df: DataFrame, text: Column, profiles: dict[str, np.ndarray]) -> Co
     return text_column(df.sparkSession, predictor(profiles), "lang_pred string, score double, distance double", CHUNK // 2)(text)
 
 
-def farthest(rows: DataFrame, profiles: dict[str, np.ndarray], id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> float:
-    """The largest distance of those rows that profiles are learned from to their nearest profile; 0 without rows."""
-    usable = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found = bounded(usable, "id", "lang", per_language).select(language(usable, F.col("text"), profiles).alias("found"))
+def farthest(rows: DataFrame, profiles: dict[str, np.ndarray], id_col: str, text_col: str, lang_col: str) -> float:
+    """The largest distance of those rows that profiles are learned from, all of them, to their nearest profile; 0 without rows."""
+    usable = _labelled(rows, text_col, lang_col)
+    found = usable.select(language(usable, F.col("text"), profiles).alias("found"))
     return found.where(F.col("found.lang_pred") != UNKNOWN).agg(F.max("found.distance").alias("d")).first()["d"] or 0.0
 
 

@@ -212,3 +212,12 @@ def test_columns_pass_through(docs_of):
     lexicon = toxicity.Lexicon((("scum", False, 1, 3.0),), (3.0, 0.0), -2.0)
     kept = docs.where(toxicity.toxicity(docs, F.col("text"), lexicon)["score"] < 0.5)
     assert kept.columns == docs.columns and [r["text"] for r in kept.collect()] == ["fine"]
+
+
+def test_profiles_and_the_farthest_document_come_from_all_rows(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(9000)]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    profiles = language_id.fit(rows, "doc_id", "text", "lang", profile=50)
+    assert profiles["x"].tolist() == language_id.ranked(language_id.ngrams(texts)[0], 50).tolist()
+    assert language_id.farthest(rows, profiles, "doc_id", "text", "lang") == max(language_id.predictor(profiles)(texts)[2].to_pylist())
