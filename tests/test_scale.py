@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.functions import nested
+from cohortlens.functions import labels, nested
 from cohortlens.functions.hashing import draw, spread
 from cohortlens.operators import audits, cohort, experiment, manifest, metrics, ordering, quantiles, records, resampling, retrieval, sampling, skew, text_metrics
 from cohortlens.operators.gates import GateError
@@ -394,3 +394,19 @@ def test_no_side_of_near_hashes_is_broadcast(spark, capsys):
     near.explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+# Labels of a row
+
+
+def test_what_labels_are_read_from_is_made_once(spark, capsys):
+    made = lambda name: F.md5(F.concat(F.lit(name), F.col("id").cast("string")))
+    states = F.create_map(F.lit("Edema"), F.when(made("s") > "8", 1).otherwise(-1), F.lit("FRACTURE"), F.lit(-1))
+    text = F.concat_ws(" ", F.lit("no evidence of"), F.lit("edema"), made("t"))
+    df = spark.range(40).select(labels.vector_of_states(states).alias("v"), labels.negation_flags(text, F.array(F.lit("fracture"), F.lit("edema"))).alias("f"))
+    df.explain()
+    assert capsys.readouterr().out.count("md5(") == 2
+    assert {(tuple(r["v"]), tuple(r["f"])) for r in df.collect()} == {((0, 0, 0, 1) + (0,) * 9, ("edema",))}
+    bad = spark.range(1).select(labels.vector_of_states(F.create_map(F.lit("edema"), F.lit(7))).alias("v"))
+    with pytest.raises(Exception, match="state of edema: 7"):
+        bad.collect()
