@@ -60,6 +60,8 @@ def rouge_l(reference: Column, hypothesis: Column, stem: Callable[[str], str] |
 
 #: n-grams whose frequencies every task knows, the most frequent ones (16 bytes each), and words that are counted at once.
 COMMON, WORDS = 1 << 19, 1 << 20
+#: n-grams to look up that a batch holds.
+SENT = 1 << 17
 
 
 def _counter(n: int):
@@ -142,7 +144,9 @@ def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int =
 
     n-grams are counted text by text in Arrow batches, so no key gathers the rows of a frequent one. The frequencies of the COMMON
     most frequent n-grams are known to every task, which adds up what these give; those of the others, none of which is
-    frequent, are joined by their hash, where there are any: an n-gram of one reference needs no look-up.
+    frequent, are joined by their hash, where there are any. An n-gram of one reference is in no table of frequencies: what
+    tasks add up holds for those, and only n-grams found in the join are taken from there. n-grams are made again for
+    each use, as they take many times the room of their texts; no table of them is written. `n` is 8 at most.
     """
     spark = df.sparkSession
     split = lambda text: F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -161,38 +165,47 @@ def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int =
     shared = spark.sparkContext.broadcast((top["g"].to_numpy().view(np.uint64)[order], top["n"].to_numpy()[order]))
     rest = known.where(F.col("g").isNotNull() & (F.col("n") < least)).withColumnsRenamed({"n": "df"})
     looked_up = not rest.isEmpty()
-    grams, pieces, limit, whole = _counter(n), _pieces, WORDS, math.log(max(rows, 1))
+    grams, pieces, limit, whole, sent = _counter(n), _pieces, WORDS, math.log(max(rows, 1)), SENT
 
-    def run(batches):
+    def counted(batches):
         keys, counts = shared.value
         for batch in batches:
             for piece in pieces(batch, ["r", "h"], limit) if batch.num_rows else ():
                 row, size, key, (r, h) = grams([piece["r"], piece["h"]])
                 at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                 frequent = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-                here = frequent if looked_up else np.ones(len(key), dtype=bool)
-                idf = whole - np.log(np.where(frequent, counts[at] if len(keys) else 1, 1))
-                wr, wh = r * idf, h * idf
-                sums = [np.bincount(row[m], weights=x[m], minlength=piece.num_rows) for k in range(1, n + 1) for x in (np.minimum(wh, wr) * wr, wr * wr, wh * wh) for m in [here & (size == k)]]
-                pairs = size == 2  # a sentence's length is its number of bigrams, as in the usual implementation
-                sums.append(np.bincount(row[pairs], weights=(h - r)[pairs], minlength=piece.num_rows))
-                flat = np.stack(sums, axis=1)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), 3 * n + 1).cast(pa.list_(pa.float64()))
-                away = ~here
-                offsets = np.searchsorted(row[away], np.arange(piece.num_rows + 1)).astype(np.int32)
-                others = pa.StructArray.from_arrays([pa.array(key[away].view(np.int64)), *(pa.array(x[away].astype(np.int32)) for x in (size, r, h))], ["g", "k", "r", "h"])
-                yield pa.RecordBatch.from_arrays([piece["id"], lists, pa.ListArray.from_arrays(pa.array(offsets), others)], ["id", "sums", "others"])
+                yield piece, row, size, key, r, h, frequent, counts[at] if len(keys) else np.ones(len(key))
+
+    def summed(batches):
+        for piece, row, size, _, r, h, frequent, df in counted(batches):
+            idf = np.where(frequent, whole - np.log(np.where(frequent, df, 1)), 1.0)
+            products = (np.minimum(h, r) * r, r * r, h * h)
+            of = lambda chosen: [np.bincount(row[m], weights=(x * idf * idf)[m], minlength=piece.num_rows) for k in range(1, n + 1) for x in products for m in [chosen & (size == k)]]  # noqa: E731, B023
+            pairs = size == 2  # a sentence's length is its number of bigrams, as in the usual implementation
+            delta = np.bincount(row[pairs], weights=(h - r)[pairs], minlength=piece.num_rows)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1).reshape(-1).astype(t)), len(x)).cast(pa.list_(k)) for x, t, k in (([*of(frequent), delta], float, pa.float64()), (of(~frequent), np.int64, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([piece["id"], *lists], ["id", "sums", "plain"])
+
+    def asked(batches):
+        for piece, row, size, key, r, h, frequent, _ in counted(batches):
+            away = np.flatnonzero(~frequent)
+            for some in (away[i : i + sent] for i in range(0, len(away), sent)):
+                packed = r[some] << 33 | h[some] << 3 | size[some] - 1
+                yield pa.RecordBatch.from_arrays([piece["id"].take(pa.array(row[some])), pa.array(key[some].view(np.int64)), pa.array(packed.astype(np.int64))], ["id", "g", "x"])
 
     kind = dict(words.dtypes)["id"]
-    found = words.mapInArrow(run, f"id {kind}, sums array<double>, others array<struct<g:long,k:int,r:int,h:int>>")
+    names = [f"{t}{k}{i}" for t in "cd" for k in range(n) for i in range(3)]
+    found = words.mapInArrow(summed, f"id {kind}, sums array<double>, plain array<long>")
     if looked_up:
-        found = written(found)
-        single = found.select("id", F.explode("others").alias("x")).select("id", "x.*").join(rest, "g", "left")
-        idf = F.lit(whole) - F.log(F.coalesce("df", F.lit(1)).cast("double"))
-        wr, wh = F.col("r") * idf, F.col("h") * idf
-        own = [F.sum(F.when(F.col("k") == k, x)) for k in range(1, n + 1) for x in (F.least(wh, wr) * wr, wr * wr, wh * wh)]
-        more = single.groupBy("id").agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in own], F.lit(0.0)).alias("more"))
-        found = found.join(more, "id", "left").select("id", F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b)).alias("sums"))
+        single = words.mapInArrow(asked, f"id {kind}, g long, x long").join(rest, "g")
+        r, h, idf = F.shiftright("x", 33), F.shiftright("x", 3).bitwiseAND(F.lit(2**30 - 1)), F.lit(whole) - F.log(F.col("df").cast("double"))
+        products = (F.least(h, r) * r, r * r, h * h)
+        own = [F.sum(F.when(F.col("x").bitwiseAND(F.lit(7)) == k, x if t == "c" else x * idf * idf)) for t in "cd" for k in range(n) for x in products]
+        found = found.join(single.groupBy("id").agg(*[x.alias(c) for x, c in zip(own, names, strict=True)]), "id", "left")
+    # whole numbers tell what n-grams of one reference give, so nothing small is left of a difference of large sums
+    known_sum = lambda c: F.coalesce(F.col(c), F.lit(0)) if looked_up else F.lit(0)
+    parts = [F.col("sums")[j] + (F.col("plain")[j] - known_sum(f"c{j // 3}{j % 3}")) * F.lit(whole * whole) + known_sum(f"d{j // 3}{j % 3}") for j in range(3 * n)]
+    found = found.select("id", F.array(*parts, F.col("sums")[3 * n]).alias("sums"))
     of = lambda k, i: F.col("sums")[3 * (k - 1) + i]
     parts = [F.when((of(k, 1) > 0) & (of(k, 2) > 0), of(k, 0) / (F.sqrt(of(k, 1)) * F.sqrt(of(k, 2)))).otherwise(0.0) for k in range(1, n + 1)]
     delta = F.col("sums")[3 * n]

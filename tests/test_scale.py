@@ -383,6 +383,18 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     assert df.count() == 5 and shared.checkpoint_dir(spark) and "ExistingRDD" in df._jdf.queryExecution().toString() or "Scan" in df._jdf.queryExecution().toString()
 
 
+def test_cider_writes_no_table_of_ngrams(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(text_metrics, "COMMON", 0)
+    monkeypatch.setattr(text_metrics, "SENT", 3, raising=False)
+    monkeypatch.setattr(text_metrics, "written", lambda df: tables.append(df.columns) or shared.written(df))
+    pairs = [("a b c d e a b", "a b c x e"), ("a b c d", "a b c d"), ("", "a"), ("q r s a b", "q r a b s"), ("z", "")]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, r string, h string")
+    got = {r["k"]: r["cider"] for r in text_metrics.cider(df, "k", "r", "h").collect()}
+    assert [got[k] for k in range(len(pairs))] == pytest.approx(brute_cider(pairs), abs=1e-9)
+    assert tables == [["g", "n"]]
+
+
 # Near hashes
 
 
