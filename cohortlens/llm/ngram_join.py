@@ -14,9 +14,9 @@ entries written and scanned for the others (lists are counted on a sixty-fourth
 
 Equal sets are one node. No pairs are listed within a list or bucket: its members are held against a hub of it. A pair is
 compared on full sets if it shares a subset, or enough list entries: what a set has behind its entries is no more than t - 1,
-so the entries must hold the rest of the least intersection. Where a bucket then still holds different classes, another hub is
-taken, and what a few hubs leave open is counted pair by pair, in blocks, unless size or class settle it; no link is lost. A
-list of a common shingle is dealt to as many tasks as it needs.
+so the entries must hold the rest of the least intersection. Where a bucket then still holds different classes, other hubs are
+taken as long as they leave many pairs of different classes and make them fewer, and what is then open is counted pair by pair, in
+blocks, unless size or class settle it; no link is lost. A list of a common shingle is dealt to as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -35,14 +35,17 @@ from cohortlens.operators.skew import one_for_each
 from .common import chunks, drop, map_arrow, save, ship, texts_of
 from .hashing import mix, shingles, wrap
 from .near_dedup import _confirm, _sets, all_of, by_document, components, contracted
-from .pairs import SLICE, can_link, likely, one_by_one
+from .pairs import SLICE, can_link, likely, one_by_one, open_pairs
 
 #: Shingles that a task counts at once, and how often one must occur among them to be reported.
 UNIT, REPEATS = 1 << 22, 4
 #: Shingles whose counts are known to every task, 16 bytes each: the most frequent ones.
 COMMON = 1 << 18
-#: Sets of more shingles than this are heavy in any case, and rounds of hubs.
-LARGEST, HUBS = 1000, 1
+#: Sets of more shingles than this are heavy in any case.
+LARGEST = 1000
+#: Open buckets get rounds of hubs, so many at once from the second round on, while they hold more than so many pairs of different
+#: classes a row, and so many rounds have made these a tenth fewer.
+HUBS, OPEN, PATIENCE = 8, 8, 3
 #: One in so many shingles is looked at to estimate the lists' lengths.
 PROBE = 64
 
@@ -200,14 +203,17 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def _by_hub(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each open bucket's hub of this turn with the members of other classes that may link with it."""
-    hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn)))
-    facts = members.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("__n"))
-    both = one_for_each(members, facts, "key", "__n").where((F.col("root") != F.col("hub.root")) & can_link(percent, "n", "hub.n"))
+def _by_hub(members: DataFrame, turn: int, percent: int, hubs: int = 1) -> DataFrame:
+    """(a, b): each open bucket's hubs of this turn with the members of other classes that may link with them."""
+    chosen = [F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn * HUBS + k))) for k in range(hubs)]
+    facts = members.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("hubs"), F.count(F.lit(1)).alias("__n"))
+    each = one_for_each(members, facts, "key", "__n").withColumn("hub", F.explode("hubs"))
+    both = each.where((F.col("root") != F.col("hub.root")) & can_link(percent, "n", "hub.n"))
     low = F.col("node") < F.col("hub.node")
     pick = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
-    return likely(both.select("key", pick("node", "hub.node", "a"), pick("n", "hub.n", "n1"), pick("hub.node", "node", "b"), pick("hub.n", "n", "n2")), percent)
+    pairs = both.select("key", pick("node", "hub.node", "a"), pick("n", "hub.n", "n1"), pick("hub.node", "node", "b"), pick("hub.n", "n", "n2"))
+    # two members of a bucket may both be hubs of it
+    return likely(pairs.distinct() if hubs > 1 else pairs, percent)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, subset: int = 2) -> DataFrame:
@@ -241,11 +247,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     once = listed.dropDuplicates(["id", "digest"]) if again else listed
     own = once.join(nodes.select(F.col("node").alias("id"), "digest"), ["id", "digest"], "left_semi")
     each = own.select(F.col("id").alias("node"), "n", F.explode(F.arrays_zip("keys", "parts")).alias("x"))
-    entries = each.select("node", "n", F.col("x.keys").alias("key"), F.pmod(F.xxhash64("node"), F.col("x.parts")).cast("int").alias("part"))
+    entries = each.select("node", "n", F.col("x.keys").alias("key"), F.col("x.parts").alias("parts"), F.pmod(F.xxhash64("node"), F.col("x.parts")).cast("int").alias("part"))
     bucket = Window.partitionBy("key", "part")
     # parts of a list that are alone in theirs still belong to the list
-    shared = entries.withColumn("hub", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1 or part > 0")
-    shared = save(shared.select("key", "node", "n", "hub", "size", "part"), "lists")
+    shared = entries.withColumn("hub", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1 or parts > 1")
+    shared = save(shared.select("key", "node", "n", "hub"), "lists")
     both = shared.where((F.col("node") != F.col("hub.node")) & can_link(percent, "n", "hub.n"))
     tested = save(likely(both.select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("n1"), F.col("node").alias("b"), F.col("n").alias("n2")), percent), "pairs")
     edges = [compared(tested)]
@@ -254,18 +260,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     roots = components(all_of(edges))
     left = _open(shared, roots)
     drop(shared)
-    for turn in range(HUBS + 1):
-        if left.isEmpty():
-            break
-        likely_pairs = _by_hub(left, turn, percent) if turn < HUBS else one_by_one(left, percent)
+    turn, counts, by_hub = 0, [], True
+    while by_hub and not left.isEmpty():
+        if turn:
+            crossing, rows = open_pairs(left, percent)
+            counts.append(crossing)
+            by_hub = crossing > OPEN * rows and (turn <= PATIENCE or 10 * crossing < 9 * counts[-1 - PATIENCE])
+        likely_pairs = _by_hub(left, turn, percent, HUBS if turn else 1) if by_hub else one_by_one(left, percent)
         pairs = save(likely_pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         edges.append(compared(pairs))
         before = roots, tested, left
         roots, tested = contracted(roots, edges[-1]), save(tested.union(pairs), "pairs")
-        if turn < HUBS:
+        if by_hub:
             left = _open(left, roots)
         for table in (*before, pairs):
             drop(table)
+        turn += 1
     for table in (tested, *edges):
         drop(table)
 

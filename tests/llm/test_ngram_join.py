@@ -41,6 +41,40 @@ def test_common_shingles_hubs_and_blocks(docs_of, monkeypatch):
     assert found(docs_of(texts)) == brute(list(enumerate(texts)), 5, 80)
 
 
+def test_near_copies_without_a_centre_make_few_pairs(docs_of, monkeypatch):
+    """Copies of one text with two other words each: few link with any hub, but hubs join them all before pairs are made."""
+    rng, made, one_by_one = random.Random(5), [], ngram_join.one_by_one
+    words = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+
+    def copy(edits):
+        text = list(base)
+        for k in edits:
+            text[k] = rng.choice(words)
+        return " ".join(text)
+
+    texts = [copy(range(75, 87))] + [copy(rng.sample(range(150), 2)) for _ in range(500)]
+
+    def counted(members, percent):
+        made.append(one_by_one(members, percent))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "OPEN", 0.1, raising=False)
+    monkeypatch.setattr(ngram_join, "drop", lambda df: None)
+    monkeypatch.setattr(ngram_join, "one_by_one", counted)
+    assert found(docs_of(texts)) == brute(list(enumerate(texts)), 5, 80)
+    assert sum(df.count() for df in made) < 10 * len(texts)
+
+
+def test_two_sets_in_different_parts_of_a_list_link(docs_of, monkeypatch):
+    """A list that was seen often but has two members, one alone in its first part."""
+    texts = [" ".join([f"p{k // 2}w{i}" for i in range(20)] + [f"x{k}"]) for k in range(32)]
+    items = np.unique(np.concatenate(shingles(texts, 5)))
+    monkeypatch.setattr(ngram_join, "common_order", lambda *_: ngram_join.Order(items, np.ones(len(items), dtype=np.int64)))
+    monkeypatch.setattr(ngram_join, "SLICE", 1)
+    assert [c for _, _, c in sorted(found(docs_of(texts)))] == [k // 2 * 2 for k in range(32)]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     long = " ".join(f"x{i % 900}" for i in range(30_000))
     texts = ["a b c d e f", "A b\tc d e f", None, "", " \n", "a", "a", "a b c d e f", long, long + " y"]
