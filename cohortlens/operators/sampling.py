@@ -130,10 +130,12 @@ def case_sample(cases: DataFrame, id_col: str, tags: str, groups: list[str], n:
     rank within the group, then filled up from what is left; with the direction and a case number. Ids are unique, groups not null.
 
     Of a direction and group only the n strict and the n other cases of the smallest hashes can be picked: tasks send no more of
-    each, and the ranks of these are counted, so no task holds a group.
+    each, and the ranks of these are counted, so no task holds a group. Cases are computed once and written, as counts, picks,
+    ranks and the rest read them all.
     """
     h = draw(seed, F.col(id_col))
     work = cases.withColumn("direction", F.when(F.col(tags).contains("rescue"), "rescue").otherwise("harm")).withColumn("strict", F.when(F.col(tags).contains("strict_"), 0).otherwise(1)).withColumn("__h", h)
+    work = written(work)
     counts = {r["direction"]: r["n"] for r in work.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).collect()}
     rescue = min((n + 1) // 2, counts.get("rescue", 0))
     harm = min(n - rescue, counts.get("harm", 0))

@@ -422,3 +422,22 @@ def test_what_labels_are_read_from_is_made_once(spark, capsys):
     bad = spark.range(1).select(labels.vector_of_states(F.create_map(F.lit("edema"), F.lit(7))).alias("v"))
     with pytest.raises(Exception, match="state of edema: 7"):
         bad.collect()
+
+
+def _counting(spark):
+    """An identity that counts the rows it is computed for, and the count."""
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        count.add(1)
+        return x
+
+    return F.udf(seen, "string").asNondeterministic(), count
+
+
+def test_case_sample_computes_its_cases_once(spark):
+    seen, count = _counting(spark)
+    cases = spark.range(200).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 3 == 0, "strict_rescue").when(F.col("id") % 3 == 1, "dominant_harm").otherwise("strict_harm").alias("t"), F.concat(F.lit("m"), F.col("id") % 2).alias("m"))
+    got = sampling.case_sample(cases.withColumn("m", seen("m")), "k", "t", ["m"], 150).collect()
+    assert len(got) == 150 and len({r["k"] for r in got}) == 150
+    assert count.value == 200
