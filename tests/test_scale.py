@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import labels, nested
 from cohortlens.functions.hashing import draw, spread
-from cohortlens.operators import audits, cohort, experiment, manifest, metrics, ordering, quantiles, records, resampling, retrieval, sampling, skew, text_metrics
+from cohortlens.operators import audits, cohort, experiment, inference, manifest, metrics, ordering, quantiles, records, resampling, retrieval, sampling, skew, text_metrics
 from cohortlens.operators.gates import GateError
 from cohortlens.sources import commits, shared
 from cohortlens.streaming import incremental
@@ -441,3 +441,13 @@ def test_case_sample_computes_its_cases_once(spark):
     got = sampling.case_sample(cases.withColumn("m", seen("m")), "k", "t", ["m"], 150).collect()
     assert len(got) == 150 and len({r["k"] for r in got}) == 150
     assert count.value == 200
+
+
+def test_ensemble_tests_compute_their_totals_once(spark):
+    seen, count = _counting(spark)
+    rows = [(f"c{k % 5}", m, [int((k + i) % 4 == 0) for i in range(13)], [int((k * i + m) % 3 == 0) for i in range(13)]) for k in range(40) for m in range(3)]
+    df = spark.createDataFrame(rows, "cluster string, model int, reference array<int>, prediction array<int>").withColumns({"s": F.lit("A"), "model": F.col("model").cast("string")})
+    singles = metrics.totals(df.withColumn("model", seen("model")), ["s", "model", "cluster"])
+    got = inference.ensemble_tests(singles, metrics.totals(df, ["s", "cluster"]), ["s"], "model", "cluster", metrics.metrics, 50).collect()
+    assert len({(r["model"], r["metric"]) for r in got}) == len(got) == 3 * 24 and sum(r["is_best"] for r in got) == 24
+    assert count.value == len(rows)
