@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cohortlens.sources.shared import bounded_batches
+
 Generate = Callable[[str], str]
 #: (report, evidence, condition) to a verdict, None if the verifier's output can't be read.
 Verify = Callable[[str, str, str], bool | None]
@@ -123,7 +125,7 @@ SCHEMA = "record_id string, condition string, final_report string, n_reports int
 
 
 def run_all(df: DataFrame, models: Models) -> DataFrame:
-    """Every row (record_id, condition, evidence) through its condition, row by row in batches; see SCHEMA."""
+    """Every row (record_id, condition, evidence) through its condition, row by row in batches of bounded size; see SCHEMA."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,6 +135,7 @@ def run_all(df: DataFrame, models: Models) -> DataFrame:
                 rows.append((record_id, condition, run.report, len(run.reports), len(run.verdicts), run.recovered, run.stop_reason, len(run.reports) - 1))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
+    bounded_batches(df.sparkSession)
     return df.select("record_id", "condition", "evidence").mapInPandas(work, SCHEMA)
 
 
@@ -155,4 +158,5 @@ def run_matched_all(df: DataFrame, generate, verify, first, revise, passes: int
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in MATCHED.split(", ")])
             yield frame.astype({c: "Int32" for c in ("n_reports", "n_verdicts", "n_recovered")})
 
+    bounded_batches(df.sparkSession)
     return df.select("record_id", "condition", "arm", "evidence", "image_path").mapInPandas(work, MATCHED)

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, for tables that cut lineage."""
+"""The folder that driver and executors share, for tables that cut lineage, and batches on the way to Python."""
 
 from __future__ import annotations
 
@@ -6,6 +6,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch on the way to a Python worker.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches in bytes: 10,000 rows of long texts, and what Python makes of them, would take gigabytes."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) not in range(1, BATCH + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The context's checkpoint folder, from spark.checkpoint.dir where the context has none.

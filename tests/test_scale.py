@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import labels, nested
 from cohortlens.functions.hashing import draw, spread
-from cohortlens.operators import audits, cohort, experiment, inference, manifest, metrics, ordering, quantiles, records, resampling, retrieval, sampling, skew, text_metrics
+from cohortlens.operators import audits, cohort, experiment, inference, manifest, metrics, ordering, quantiles, records, resampling, retrieval, revision, sampling, skew, text_metrics
 from cohortlens.operators.gates import GateError
 from cohortlens.sources import commits, shared
 from cohortlens.streaming import incremental
@@ -451,3 +451,28 @@ def test_ensemble_tests_compute_their_totals_once(spark):
     got = inference.ensemble_tests(singles, metrics.totals(df, ["s", "cluster"]), ["s"], "model", "cluster", metrics.metrics, 50).collect()
     assert len({(r["model"], r["metric"]) for r in got}) == len(got) == 3 * 24 and sum(r["is_best"] for r in got) == 24
     assert count.value == len(rows)
+
+
+def test_revision_gets_batches_of_bounded_size(spark, monkeypatch):
+    """64 rows of half a megabyte are not one batch."""
+    df = spark.range(64).coalesce(1).select(F.col("id").cast("string").alias("record_id"), F.lit(revision.CONDITIONS[0]).alias("condition"), F.repeat(F.lit("a"), F.lit(500_000)).alias("evidence"))
+    large, whole, limit = spark.sparkContext.accumulator(0), type(df).mapInPandas, 16 << 20
+
+    def spied(self, function, schema):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    large.add(int(batch["evidence"].str.len().sum() > limit))
+                    yield batch
+
+            yield from function(each())
+
+        return whole(self, run, schema)
+
+    monkeypatch.setattr(type(df), "mapInPandas", spied)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    models = revision.Models(lambda prompt: "report", lambda report, evidence, condition: True, lambda evidence: "first", lambda report, evidence, k: "next")
+    assert revision.run_all(df, models).where("n_reports = 1").count() == 64
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert large.value == 0
