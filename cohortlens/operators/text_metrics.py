@@ -19,6 +19,8 @@ from cohortlens.functions.stemming import rouge_stem
 from cohortlens.sources.shared import written
 
 _TOKEN = re.compile("[a-z0-9]+")
+#: Words whose stems a task keeps from batch to batch.
+STEMS = 1 << 18
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -30,9 +32,10 @@ def lcs_length(a: list[str], b: list[str]) -> int:
         places[token] = places.get(token, 0) | 1 << k
     full = (1 << len(a)) - 1
     row = full
-    for token in b:
-        hit = row & places.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
+    for at in map(places.get, b):
+        if at:
+            hit = row & at
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
@@ -40,19 +43,23 @@ def rouge_l_f(reference: str | None, hypothesis: str | None, stem: Callable[[str
     """The F measure of the longest common subsequence of tokens; 0 if either side has none."""
     a, b = (_TOKEN.findall((x or "").lower()) for x in (reference, hypothesis))
     if stem:
-        a, b = [stem(t) for t in a], [stem(t) for t in b]
+        a, b = list(map(stem, a)), list(map(stem, b))
     common = lcs_length(a, b)
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
 def rouge_l(reference: Column, hypothesis: Column, stem: Callable[[str], str] | None = rouge_stem) -> Column:
-    """ROUGE-L's F measure by rows over Porter stems; `stem` None compares the tokens as they are. A word is stemmed once for
-    each batch."""
+    """ROUGE-L's F measure by rows over Porter stems; `stem` None compares the tokens as they are. A task stems a word once, as long
+    as there are no more than STEMS at the end of a batch; a stem that one batch needs is made once in any case."""
+
+    limit = STEMS
 
     @F.pandas_udf("double")
     def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        once = functools.cache(stem) if stem else None
         for refs, hyps in pairs:
-            once = functools.cache(stem) if stem else None
+            if once and once.cache_info().currsize > limit:
+                once.cache_clear()
             yield pd.Series([rouge_l_f(r, h, once) for r, h in zip(refs, hyps, strict=True)], dtype="float64")
 
     return score(reference, hypothesis)

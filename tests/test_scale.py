@@ -476,3 +476,17 @@ def test_revision_gets_batches_of_bounded_size(spark, monkeypatch):
     assert revision.run_all(df, models).where("n_reports = 1").count() == 64
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
     assert large.value == 0
+
+
+def test_a_task_stems_a_word_once(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    def stem(word):
+        count.add(1)
+        return word.rstrip("s")
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    df = spark.range(100).coalesce(1).select(F.lit("two words here").alias("r"), F.lit("two word x there").alias("h"))
+    got = {r[0] for r in df.select(text_metrics.rouge_l(F.col("r"), F.col("h"), stem)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {4 / 7} and count.value == 6
