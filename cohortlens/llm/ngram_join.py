@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.skew import one_for_each
@@ -43,9 +43,9 @@ UNIT, REPEATS = 1 << 22, 4
 COMMON = 1 << 18
 #: Sets of more shingles than this are heavy in any case.
 LARGEST = 1000
-#: Open buckets get rounds of hubs, so many at once from the second round on, while they hold more than so many pairs of different
-#: classes a row, and so many rounds have made these a tenth fewer.
-HUBS, OPEN, PATIENCE = 8, 8, 3
+#: Open buckets of more than LONG members get rounds of hubs, one at first, then so many at once, CENTRES of them by how many others
+#: share their lists, while they hold more than OPEN pairs of different classes a row and PATIENCE rounds have made these a quarter fewer.
+LONG, HUBS, CENTRES, OPEN, PATIENCE = 16, 8, 4, 4, 3
 #: One in so many shingles is looked at to estimate the lists' lengths.
 PROBE = 64
 
@@ -190,10 +190,11 @@ def _keys(width: int, percent: int, subset: int, heavy: int, order):
     return run
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, n, root) of the buckets that still hold different classes, written as a table."""
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("__n"))
-    facts = sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "__n")
+def _open(members: DataFrame, roots: DataFrame, weight: Column) -> DataFrame:
+    """(key, node, n, root, weight) of the buckets that still hold different classes, written as a table; a node's `weight` is an
+    aggregate of its rows."""
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("__n"), weight.alias("weight"))
+    facts = sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "weight", "__n")
     placed = save(one_for_each(members.select("key", "node", "n"), facts, "node", "__n"), "placed")
     counted = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("__n")).where("low <> high")
     mixed = save(counted.select("key", "__n"), "mixed")
@@ -203,17 +204,32 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def _by_hub(members: DataFrame, turn: int, percent: int, hubs: int = 1) -> DataFrame:
-    """(a, b): each open bucket's hubs of this turn with the members of other classes that may link with them."""
-    chosen = [F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn * HUBS + k))) for k in range(hubs)]
-    facts = members.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("hubs"), F.count(F.lit(1)).alias("__n"))
-    each = one_for_each(members, facts, "key", "__n").withColumn("hub", F.explode("hubs"))
-    both = each.where((F.col("root") != F.col("hub.root")) & can_link(percent, "n", "hub.n"))
+def _by_hub(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): the hubs of this turn of each long open bucket with the members of other classes that may link with them.
+
+    A node's weight is how many members all its buckets hold together, open or not. What a copy's edits bring stands in no long
+    list, so of a group of near copies the one with the fewest edits, with which the most others link, is the heaviest, and comes first.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > LONG)
+    long = save(one_for_each(members, sizes, "key", "__n"), "long")
+    member, order = F.struct("node", "n", "root"), F.struct("weight", F.xxhash64("node"))
+    chosen = [F.max_by(member, order)]
+    if turn:
+        # the heaviest ones of CENTRES different sets of classes, others at random
+        own = lambda k: F.pmod(F.xxhash64("root", F.lit(turn)), F.lit(CENTRES)) == k
+        chosen = [F.max_by(F.when(own(k), member), F.when(own(k), order)) for k in range(CENTRES)]
+        chosen += [F.min_by(member, F.xxhash64("node", F.lit(turn * HUBS + k))) for k in range(HUBS - CENTRES)]
+    facts = long.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("hubs"), F.count(F.lit(1)).alias("__n"))
+    # a row for each pair of different classes only, not for each member and hub
+    other = lambda hub: (F.col("root") != hub["root"]) & can_link(percent, F.col("n"), hub["n"])
+    both = one_for_each(long, facts, "key", "__n").select("key", "node", "n", F.explode(F.filter("hubs", other)).alias("hub"))
     low = F.col("node") < F.col("hub.node")
     pick = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
     pairs = both.select("key", pick("node", "hub.node", "a"), pick("n", "hub.n", "n1"), pick("hub.node", "node", "b"), pick("hub.n", "n", "n2"))
     # two members of a bucket may both be hubs of it
-    return likely(pairs.distinct() if hubs > 1 else pairs, percent)
+    found = save(likely(pairs.distinct(), percent), "hubs")
+    drop(long)
+    return found
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, subset: int = 2) -> DataFrame:
@@ -251,29 +267,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     bucket = Window.partitionBy("key", "part")
     # parts of a list that are alone in theirs still belong to the list
     shared = entries.withColumn("hub", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1 or parts > 1")
-    shared = save(shared.select("key", "node", "n", "hub"), "lists")
+    shared = save(shared.select("key", "node", "n", "hub", "size"), "lists")
     both = shared.where((F.col("node") != F.col("hub.node")) & can_link(percent, "n", "hub.n"))
     tested = save(likely(both.select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("n1"), F.col("node").alias("b"), F.col("n").alias("n2")), percent), "pairs")
     edges = [compared(tested)]
     several = with_id.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
     edges.append(save(with_id.join(several, "id").join(nodes, "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "owners"))
     roots = components(all_of(edges))
-    left = _open(shared, roots)
+    left = _open(shared.select("key", "node", "n", "size"), roots, F.sum("size"))
     drop(shared)
     turn, counts, by_hub = 0, [], True
     while by_hub and not left.isEmpty():
-        if turn:
-            crossing, rows = open_pairs(left, percent)
-            counts.append(crossing)
-            by_hub = crossing > OPEN * rows and (turn <= PATIENCE or 10 * crossing < 9 * counts[-1 - PATIENCE])
-        likely_pairs = _by_hub(left, turn, percent, HUBS if turn else 1) if by_hub else one_by_one(left, percent)
+        crossing, rows = open_pairs(left, percent, LONG)
+        counts.append(crossing)
+        by_hub = crossing > OPEN * rows and (turn < PATIENCE or 4 * crossing < 3 * counts[-1 - PATIENCE])
+        likely_pairs = _by_hub(left, turn, percent) if by_hub else one_by_one(left, percent)
         pairs = save(likely_pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         edges.append(compared(pairs))
         before = roots, tested, left
         roots, tested = contracted(roots, edges[-1]), save(tested.union(pairs), "pairs")
         if by_hub:
-            left = _open(left, roots)
-        for table in (*before, pairs):
+            left = _open(left.select("key", "node", "n", "weight"), roots, F.max("weight"))
+        for table in (*before, pairs, likely_pairs):
             drop(table)
         turn += 1
     for table in (tested, *edges):

@@ -13,7 +13,7 @@ from .common import drop, save
 SLICE = 4096
 
 
-def can_link(percent: int, a: str, b: str) -> Column:
+def can_link(percent: int, a: str | Column, b: str | Column) -> Column:
     """Whether sets of these sizes can reach the threshold at all."""
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
@@ -42,11 +42,12 @@ def _with_spare(members: DataFrame) -> DataFrame:
     return one_for_each(members, facts, "key", "__n").withColumn("spare", spare)
 
 
-def open_pairs(members: DataFrame, percent: int) -> tuple[float, int]:
-    """(about how many rows one_by_one's join makes, how many rows of `members` there are), counted by bucket and class."""
+def open_pairs(members: DataFrame, percent: int, least: int) -> tuple[float, int]:
+    """(about how many rows one_by_one's join makes for the buckets of more than `least` members, how many rows of `members` these
+    have), counted by bucket and class."""
     some = _with_spare(members).withColumn("late", F.col("spare") < _needed(percent, "n", "n"))
     held = some.groupBy("key", "root").agg(F.count_if(~F.col("late")).cast("double").alias("k"), F.count(F.lit(1)).alias("rows"))
-    by_key = held.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.sum("rows").alias("rows"))
+    by_key = held.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.sum("rows").alias("rows")).where(F.col("rows") > least)
     found = by_key.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs"), F.sum("rows").alias("rows")).first()
     return found["pairs"] or 0.0, found["rows"] or 0
 

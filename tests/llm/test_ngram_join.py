@@ -66,6 +66,20 @@ def test_near_copies_without_a_centre_make_few_pairs(docs_of, monkeypatch):
     assert sum(df.count() for df in made) < 10 * len(texts)
 
 
+def test_near_copies_whose_centre_has_no_low_id_take_one_hub(docs_of, monkeypatch):
+    """Copies of one text with one to three other words each, the text itself last: one hub joins them, few pairs are left."""
+    rng, rounds, made, by_hub, one_by_one = random.Random(8), [], [], ngram_join._by_hub, ngram_join.one_by_one
+    words = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    edits = [rng.sample(range(150), 1 + k % 3) for k in range(400)]
+    texts = [" ".join(rng.choice(words) if k in some else w for k, w in enumerate(base)) for some in edits] + [" ".join(base)]
+    monkeypatch.setattr(ngram_join, "drop", lambda df: None)
+    monkeypatch.setattr(ngram_join, "_by_hub", lambda *a: rounds.append(by_hub(*a)) or rounds[-1])
+    monkeypatch.setattr(ngram_join, "one_by_one", lambda *a: made.append(one_by_one(*a)) or made[-1])
+    assert found(docs_of(texts)) == brute(list(enumerate(texts)), 5, 80)
+    assert len(rounds) == 1 and sum(df.count() for df in made) < len(texts)
+
+
 def test_two_sets_in_different_parts_of_a_list_link(docs_of, monkeypatch):
     """A list that was seen often but has two members, one alone in its first part."""
     texts = [" ".join([f"p{k // 2}w{i}" for i in range(20)] + [f"x{k}"]) for k in range(32)]
