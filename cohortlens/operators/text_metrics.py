@@ -1,4 +1,4 @@
-"""Text overlap metrics: ROUGE-L by rows, CIDEr as a TF-IDF job of two passes."""
+"""Text overlap metrics: ROUGE-L by rows, CIDEr by blocks of texts that ask for the frequencies of their n-grams."""
 
 from __future__ import annotations
 
@@ -11,12 +11,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.stemming import rouge_stem
-from cohortlens.sources.shared import written
+from cohortlens.operators import ngrams
+from cohortlens.sources.shared import bounded_batches, written
 
 _TOKEN = re.compile("[a-z0-9]+")
 #: Words whose stems a task keeps from batch to batch.
@@ -65,82 +65,10 @@ def rouge_l(reference: Column, hypothesis: Column, stem: Callable[[str], str] |
     return score(reference, hypothesis)
 
 
-#: n-grams whose frequencies every task knows, the most frequent ones (16 bytes each), and words that are counted at once.
-COMMON, WORDS = 1 << 19, 1 << 20
-#: n-grams to look up that a batch holds.
-SENT = 1 << 17
-
-
-def _counter(n: int):
-    """grams(columns): (row, k, hash, counts on each side) of the distinct n-grams of rows of word hashes, k from 1 to n."""
-    steps = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
-
-    def mixed(x):
-        x = (x ^ (x >> np.uint64(30))) * steps[1]
-        x = (x ^ (x >> np.uint64(27))) * steps[2]
-        return x ^ (x >> np.uint64(31))
-
-    def grams(columns):
-        rows, sizes, hashes, sides = [], [], [], []
-        for side, column in enumerate(columns):
-            offsets = column.offsets.to_numpy()
-            words = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
-            owner = np.repeat(np.arange(len(column)), np.diff(offsets))
-            rolled = np.zeros(len(words), dtype=np.uint64)
-            for k in range(1, n + 1):
-                rolled = mixed(rolled[: len(words) - k + 1] * steps[0] + words[k - 1 :] + np.uint64(k))
-                inside = owner[: len(rolled)] == owner[k - 1 :]
-                rows.append(owner[: len(rolled)][inside])
-                hashes.append(rolled[inside])
-                sizes.append(np.full(int(inside.sum()), k))
-                sides.append(np.full(int(inside.sum()), side))
-        row, size, key, side = (np.concatenate(x) for x in (rows, sizes, hashes, sides))
-        order = np.lexsort((key, row))
-        row, size, key, side = row[order], size[order], key[order], side[order]
-        first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, dtype=np.int64)
-        counts = [np.add.reduceat(side == s, first, dtype=np.int64) if len(first) else np.zeros(0, dtype=np.int64) for s in range(len(columns))]
-        return row[first], size[first], key[first], counts
-
-    return grams
-
-
-def _pieces(batch: pa.RecordBatch, columns: list[str], limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of lists that hold about `limit` items, or one row."""
-    sizes = sum(pc.list_value_length(batch[c]).to_numpy(zero_copy_only=False) for c in columns)
-    start, held = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if held and held + size > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    yield batch.slice(start)
-
-
-def document_frequencies(words: DataFrame, column: str, n: int) -> DataFrame:
-    """(g, n): in how many rows each n-gram of the arrays of word hashes occurs, for those that occur in several; the row of a null
-    g counts the rows. Tasks send one row for each distinct n-gram of a few million."""
-    grams, pieces, limit = _counter(n), _pieces, WORDS
-
-    def run(batches):
-        held, size, rows = [], 0, 0
-
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["g", "n"])
-
-        for batch in batches:
-            rows += batch.num_rows
-            for piece in pieces(batch, [column], limit) if batch.num_rows else ():
-                held.append(grams([piece[column]])[2])
-                size += len(held[-1])
-                if size > 4 * limit:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["g", "n"])
-
-    return words.select(column).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("g is null or n > 1")
+#: Words of both sides that a block of texts holds.
+WORDS = 1 << 21
+#: Without effect since no n-gram is sent to every task; tests set it.
+COMMON = 0
 
 
 def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int = 4, sigma: float = 6.0) -> DataFrame:
@@ -149,71 +77,38 @@ def cider(df: DataFrame, id_col: str, reference: str, hypothesis: str, n: int =
     Document frequencies come from all references. Counts are clipped to the reference's, and a difference in length is
     damped by a Gaussian. Words and n-grams are 64-bit hashes.
 
-    n-grams are counted text by text in Arrow batches, so no key gathers the rows of a frequent one. The frequencies of the COMMON
-    most frequent n-grams are known to every task, which adds up what these give; those of the others, none of which is
-    frequent, are joined by their hash, where there are any. An n-gram of one reference is in no table of frequencies: what
-    tasks add up holds for those, and only n-grams found in the join are taken from there. n-grams are made again for
-    each use, as they take many times the room of their texts; no table of them is written. `n` is 8 at most.
+    The texts are read once and written as blocks of word numbers. Blocks ask for the frequencies of their distinct n-grams
+    (`ngrams.frequencies`), so neither a key nor a table has rows for n-grams, and each block scores its own texts.
     """
     spark = df.sparkSession
-    split = lambda text: F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    words = df.select(F.col(id_col).alias("id"), split(reference).alias("r"), split(hypothesis).alias("h"))
-    known = written(document_frequencies(words, "r", n))
-    steps = known.groupBy(F.when(F.col("g").isNotNull(), F.floor(F.log2("n"))).alias("p")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top")).collect()
-    rows = max([r["top"] for r in steps if r["p"] is None] or [0])
-    least, total = 2**62, 0
-    for p, k in sorted(((r["p"], r["k"]) for r in steps if r["p"] is not None), reverse=True):
-        total += k
-        if total > COMMON:
-            break
-        least = 2**p
-    top = known.where(F.col("g").isNotNull() & (F.col("n") >= least)).toArrow()
-    order = np.argsort(top["g"].to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((top["g"].to_numpy().view(np.uint64)[order], top["n"].to_numpy()[order]))
-    rest = known.where(F.col("g").isNotNull() & (F.col("n") < least)).withColumnsRenamed({"n": "df"})
-    looked_up = not rest.isEmpty()
-    grams, pieces, limit, whole, sent = _counter(n), _pieces, WORDS, math.log(max(rows, 1)), SENT
-
-    def counted(batches):
-        keys, counts = shared.value
-        for batch in batches:
-            for piece in pieces(batch, ["r", "h"], limit) if batch.num_rows else ():
-                row, size, key, (r, h) = grams([piece["r"], piece["h"]])
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                frequent = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-                yield piece, row, size, key, r, h, frequent, counts[at] if len(keys) else np.ones(len(key))
-
-    def summed(batches):
-        for piece, row, size, _, r, h, frequent, df in counted(batches):
-            idf = np.where(frequent, whole - np.log(np.where(frequent, df, 1)), 1.0)
-            products = (np.minimum(h, r) * r, r * r, h * h)
-            of = lambda chosen: [np.bincount(row[m], weights=(x * idf * idf)[m], minlength=piece.num_rows) for k in range(1, n + 1) for x in products for m in [chosen & (size == k)]]  # noqa: E731, B023
-            pairs = size == 2  # a sentence's length is its number of bigrams, as in the usual implementation
-            delta = np.bincount(row[pairs], weights=(h - r)[pairs], minlength=piece.num_rows)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1).reshape(-1).astype(t)), len(x)).cast(pa.list_(k)) for x, t, k in (([*of(frequent), delta], float, pa.float64()), (of(~frequent), np.int64, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([piece["id"], *lists], ["id", "sums", "plain"])
-
-    def asked(batches):
-        for piece, row, size, key, r, h, frequent, _ in counted(batches):
-            away = np.flatnonzero(~frequent)
-            for some in (away[i : i + sent] for i in range(0, len(away), sent)):
-                packed = r[some] << 33 | h[some] << 3 | size[some] - 1
-                yield pa.RecordBatch.from_arrays([piece["id"].take(pa.array(row[some])), pa.array(key[some].view(np.int64)), pa.array(packed.astype(np.int64))], ["id", "g", "x"])
-
-    kind = dict(words.dtypes)["id"]
-    names = [f"{t}{k}{i}" for t in "cd" for k in range(n) for i in range(3)]
-    found = words.mapInArrow(summed, f"id {kind}, sums array<double>, plain array<long>")
-    if looked_up:
-        single = words.mapInArrow(asked, f"id {kind}, g long, x long").join(rest, "g")
-        r, h, idf = F.shiftright("x", 33), F.shiftright("x", 3).bitwiseAND(F.lit(2**30 - 1)), F.lit(whole) - F.log(F.col("df").cast("double"))
-        products = (F.least(h, r) * r, r * r, h * h)
-        own = [F.sum(F.when(F.col("x").bitwiseAND(F.lit(7)) == k, x if t == "c" else x * idf * idf)) for t in "cd" for k in range(n) for x in products]
-        found = found.join(single.groupBy("id").agg(*[x.alias(c) for x, c in zip(own, names, strict=True)]), "id", "left")
-    # whole numbers tell what n-grams of one reference give, so nothing small is left of a difference of large sums
-    known_sum = lambda c: F.coalesce(F.col(c), F.lit(0)) if looked_up else F.lit(0)
-    parts = [F.col("sums")[j] + (F.col("plain")[j] - known_sum(f"c{j // 3}{j % 3}")) * F.lit(whole * whole) + known_sum(f"d{j // 3}{j % 3}") for j in range(3 * n)]
-    found = found.select("id", F.array(*parts, F.col("sums")[3 * n]).alias("sums"))
-    of = lambda k, i: F.col("sums")[3 * (k - 1) + i]
-    parts = [F.when((of(k, 1) > 0) & (of(k, 2) > 0), of(k, 0) / (F.sqrt(of(k, 1)) * F.sqrt(of(k, 2)))).otherwise(0.0) for k in range(1, n + 1)]
-    delta = F.col("sums")[3 * n]
-    return found.select(F.col("id").alias(id_col), (10.0 * reduce(lambda a, b: a + b, parts) / n * F.exp(-(delta * delta) / (2 * sigma * sigma))).alias("cider"))
+    bounded_batches(spark)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    texts = df.select(F.col(id_col).alias("id"), text(reference).alias("r"), text(hypothesis).alias("h"))
+    blocks = ngrams.blocks_of(texts, WORDS)
+    number, rows = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    *first, last = ngrams.frequencies(blocks, number, n)
+    with ngrams.released(spark):
+        last = written(last.select(F.struct("block", "k", "g").alias("g"), "n"))
+    answers = reduce(DataFrame.unionAll, [*first, last.select("g.*", "n")])
+
+    kind = dict(texts.dtypes)["id"]
+
+    def scored(block, answers):
+        known, words = ngrams.answers_of(answers), ngrams.Words(*(block[c].as_py() for c in ngrams.COLUMNS))
+        total, delta = np.zeros(words.rows), np.zeros(words.rows)
+        for k, keys, at in words.sizes(n):
+            order, dense = ngrams.numbered(keys)
+            found = words.known(k, keys, at, order, dense, known.get(k, np.zeros(0, dtype=np.int64)))
+            gram, row, r, h = words.counted(order, dense, at)
+            idf = np.where(found < rows, math.log(rows) - np.log(np.maximum(found, 1)), 0.0)[gram]
+            dot, of_r, of_h = (np.bincount(row, weights=x * idf * idf, minlength=words.rows) for x in (np.minimum(h, r) * r, r * r, h * h))
+            both = (of_r > 0) & (of_h > 0)
+            total[both] += dot[both] / (np.sqrt(of_r[both]) * np.sqrt(of_h[both]))
+            if k == 2:  # a sentence's length is its number of bigrams, as in the usual implementation
+                delta = np.bincount(row, weights=h - r, minlength=words.rows)
+            if k % 2 == 0:
+                words.learn(k, at, order, dense, found)
+        return pa.table([block["ids"].values, pa.array(10.0 * total / n * np.exp(-(delta * delta) / (2 * sigma * sigma)))], names=["id", "cider"])
+
+    found = ngrams.together(blocks, answers, scored, f"id {kind}, cider double")
+    return found.select(F.col("id").alias(id_col), "cider")
