@@ -45,7 +45,7 @@ def packed(x: np.ndarray) -> bytes:
     """Whole numbers as compressed planes of bytes: length and width in front, planes of nothing but zeros left out."""
     x = np.ascontiguousarray(x, dtype=np.int64)
     planes = x.view(np.uint8).reshape(-1, 8).T
-    width = max((k + 1 for k in range(8) if planes[k].any()), default=0)
+    width = 0 if not len(x) else 8 if x.min() < 0 else (int(x.max()).bit_length() + 7) // 8
     head = np.array([len(x), width], dtype="<i4").tobytes()
     return head + pa.compress(planes[:width].tobytes(), codec="zstd", asbytes=True) if width else head
 
@@ -130,16 +130,21 @@ def same_place(r: np.ndarray, r_sizes: np.ndarray, h_sizes: np.ndarray) -> np.nd
 
 
 class Words:
-    """The words of a block: hashes, the texts that they stand in (references first), and n-grams size by size."""
+    """The words of a block: hashes, the texts that they stand in (a reference, then its hypothesis), and n-grams size by size."""
 
     def __init__(self, names: bytes, lengths: bytes, r: bytes, h: bytes):
         sizes = unpacked(lengths)
         self.rows = len(sizes) // 2
         r, h = unpacked(r), unpacked(h)
         h = np.where(h == 0, same_place(r, sizes[: self.rows], sizes[self.rows :]), h - 1)
-        self.words = unpacked(names).view(np.uint64)[np.concatenate([r, h])]
-        self.text = np.repeat(np.arange(2 * self.rows), sizes)
-        self.bits = max(self.rows - 1, 0).bit_length() + 1
+        sides = sizes.reshape(2, -1)
+        both = sides.T.reshape(-1)
+        begins = (np.cumsum(both) - both).reshape(-1, 2).T
+        place = [np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(x)) for begin, size, x in zip(begins, sides, (r, h), strict=True)]
+        self.words, known = np.empty(len(r) + len(h), dtype=np.uint64), unpacked(names).view(np.uint64)
+        for at, x in zip(place, (r, h), strict=True):
+            self.words[at] = known[x]
+        self.text = np.repeat(np.arange(2 * self.rows, dtype=np.int32), both)
         self.good, self.base = np.ones(len(self.words), dtype=bool), 1  # by place: does an n-gram of `base` words of several references begin there
 
     def sizes(self, n: int):
@@ -159,20 +164,17 @@ class Words:
     def askable(self, k: int, at: np.ndarray) -> np.ndarray:
         """Which n-grams hold only shorter ones that several references hold, as far as these are known."""
         found = np.ones(len(at), dtype=bool)
-        for j in range(k - self.base + 1):
+        for j in range(k - self.base + 1 if self.base > 1 else 0):
             found &= self.good[at + j]
         return found
 
     def counted(self, order: np.ndarray, dense: np.ndarray, at: np.ndarray):
         """(n-gram, row, count in the reference, count in the hypothesis) for n-grams numbered by `dense` in the order given."""
-        text = self.text[at[order]]
-        side = text >= self.rows
-        pair = (dense << self.bits) | ((text - self.rows * side) << 1) | side
-        pair.sort()
-        first = np.flatnonzero(np.append(True, (pair[1:] ^ pair[:-1]) > 1)) if len(pair) else np.zeros(0, dtype=np.int64)
-        h = np.add.reduceat(pair & 1, first) if len(pair) else first
-        r = np.diff(np.append(first, len(pair))) - h
-        return pair[first] >> self.bits, (pair[first] & ((1 << self.bits) - 1)) >> 1, r, h
+        text = self.text[at][order]
+        row, side = text >> 1, text & 1
+        first = np.flatnonzero(np.append(True, (dense[1:] != dense[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.zeros(0, dtype=np.int64)
+        h = np.add.reduceat(side, first, dtype=np.int64) if len(first) else first
+        return dense[first], row[first], np.diff(np.append(first, len(row))) - h, h
 
     def known(self, k: int, keys: np.ndarray, at: np.ndarray, order: np.ndarray, dense: np.ndarray, answers: np.ndarray) -> np.ndarray:
         """References that hold each n-gram of `dense`: as answered, 1 for others (there are 0 or 1, which count alike)."""
@@ -183,15 +185,31 @@ class Words:
 
     def learn(self, k: int, at: np.ndarray, order: np.ndarray, dense: np.ndarray, found: np.ndarray) -> None:
         good = np.zeros(len(self.words), dtype=bool)
-        good[at[order]] = (found > 1)[dense]
+        several = np.empty(len(at), dtype=bool)
+        several[order] = (found > 1)[dense]
+        good[at] = several
         self.good, self.base = good, k
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys, and numbers of equal keys in that order."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    return order, np.cumsum(np.append(True, keys[1:] != keys[:-1])) - 1 if len(keys) else np.zeros(0, dtype=np.int64)
+    """The stable order of the keys, and numbers of equal keys in that order. Values of a key's high bits and its place are sorted, which
+    takes a fraction of the time that an order of keys takes; keys that differ in their low bits only are put right after it."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    low = np.uint64((1 << (len(keys) - 1).bit_length()) - 1)
+    values = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    values.sort()
+    order = (values & low).astype(np.int64)
+    values &= ~low
+    found = keys[order]
+    alike = values[1:] == values[:-1]
+    mixed = alike & (found[1:] != found[:-1])
+    if mixed.any():
+        run = np.cumsum(np.append(True, ~alike))
+        hit = np.flatnonzero(np.isin(run, run[1:][mixed]))
+        order[hit] = order[hit][np.lexsort((order[hit], found[hit]))]
+        found = keys[order]
+    return order, np.cumsum(np.append(True, found[1:] != found[:-1])) - 1
 
 
 def answers_of(table: pa.Table) -> dict[int, np.ndarray]:
@@ -217,6 +235,7 @@ def frequencies(blocks: DataFrame, number: int, n: int) -> list[DataFrame]:
     spark = blocks.sparkSession
     parts = max(number // 2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     edges = np.array([(k << 64) // parts for k in range(parts)], dtype=np.uint64)
+    shared = np.uint64(parts.bit_length() - 1)  # bits that the distance to a range's edge leaves free
 
     def asked(words, block, sizes, answers):
         """Rows for each range of hashes."""
@@ -241,8 +260,7 @@ def frequencies(blocks: DataFrame, number: int, n: int) -> list[DataFrame]:
 
     def added(table):
         """Counts of all blocks in a range, to each block that asked."""
-        base = edges[table["part"][0].as_py()]
-        keys = [np.cumsum(unpacked(x).view(np.uint64), dtype=np.uint64) + base for x in table["g"].to_pylist()]
+        keys = [np.cumsum(unpacked(x).view(np.uint64), dtype=np.uint64) << shared for x in table["g"].to_pylist()]
         sizes = [len(x) for x in keys]
         order, dense = numbered(np.concatenate(keys))
         del keys
