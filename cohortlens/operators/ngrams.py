@@ -32,7 +32,8 @@ ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("k", pa.int32()
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a table that is written go when it is there, not when the driver happens to collect its garbage."""
+    """Shuffle files of a table that is written go when it is there, not when the driver happens to collect its garbage. Its DataFrame is
+    made inside, as it takes the setting when it is made."""
     before = spark.conf.get(_RELEASE, None)
     spark.conf.set(_RELEASE, "true")
     try:
@@ -289,5 +290,5 @@ def frequencies(blocks: DataFrame, number: int, n: int) -> list[DataFrame]:
         found.append(rows.groupBy("part").applyInArrow(added, "block long, k int, g int, n binary"))
         if low + 2 <= n:
             with released(spark):
-                found[-1] = written(found[-1])
+                found[-1] = written(found[-1].select("*"))
     return found

@@ -48,3 +48,12 @@ def test_no_row_for_an_ngram_is_shuffled(spark, monkeypatch):
     df = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)], "k long, r string, h string").coalesce(1)
     assert all(abs(r["cider"] - 10) < 1e-9 for r in text_metrics.cider(df, "k", "r", "h").collect())
     assert rows[0] < 100  # 100 texts of more than 100,000 n-grams
+
+
+def test_shuffle_files_go_round_by_round(spark, monkeypatch):
+    modes = []
+    for module in (ngrams, text_metrics):
+        monkeypatch.setattr(module, "written", lambda df, f=module.written: modes.append(str(df._jdf.queryExecution().shuffleCleanupMode())) or f(df))
+    df = spark.createDataFrame([(k, "a b c d e", "a b x d e") for k in range(20)], "k long, r string, h string")
+    assert text_metrics.cider(df, "k", "r", "h", 6).count() == 20
+    assert modes[0] != modes[1] and len(set(modes[1:])) == 1 and len(modes) == 4  # the blocks, made without a shuffle, then each round
